@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafmill.llm import rules, simhash
+from leafmill.llm import packing, rules, simhash
 
 QUERIES = {
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {
