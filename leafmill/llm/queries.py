@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import packing, rules, simhash
+from leafmill.llm import packing, pieces, rules, simhash
 
 QUERIES = {
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
