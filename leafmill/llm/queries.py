@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import packing, pieces, rules, simhash
+from leafmill.llm import packing, pieces, rules, simhash, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op8_quality_rules": rules.OP8_SQL,
 }
