@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import packing, pieces, rules, simhash, warc
+from leafmill.llm import mil, packing, pieces, rules, simhash, warc
 
 QUERIES = {
+    "op3_quality_mil": mil.op3_quality_mil,
     "op2_warc": warc.op2_warc,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": rules.op8_quality_rules,
