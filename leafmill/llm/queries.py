@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import mil, packing, pieces, rules, simhash, warc
+from leafmill.llm import mil, packing, pieces, rules, simhash, substring, warc
 
 QUERIES = {
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op3_quality_mil": mil.op3_quality_mil,
     "op2_warc": warc.op2_warc,
     "op7_sentencepiece": pieces.op7_sentencepiece,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_substring_dedup": substring.OP4_SQL,
     "op2_warc": warc.OP2_SQL,
     "op8_quality_rules": rules.OP8_SQL,
 }

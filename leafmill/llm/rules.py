@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +25,22 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes where low <= value <= high; a missing bound is open. value: SQL over the measures."""
+    """A document passes where low <= sum of factor * measure <= high; a missing bound is open."""
 
     name: str
-    value: str
-    low: float | None = None
-    high: float | None = None
+    terms: dict[str, int]
+    low: int | None = None
+    high: int | None = None
 
 
-#: Integers only (shares in thousandths of the total), so that any engine gives the same verdict.
+#: Whole numbers only (shares in thousandths of the total), so that any engine gives the same verdict.
 RULES = (
-    Rule("word_length", "1000 * word_chars - 1500 * n_words", low=0),
-    Rule("long_words", "word_chars - 25 * n_words", high=0),
-    Rule("symbols", "1000 * n_symbols - 300 * n_words", high=0),
-    Rule("shouting", "1000 * n_exclaims - 300 * n_words", high=0),
-    Rule("stop_words", "1000 * n_stop_words - 5 * n_words", low=0),
-    Rule("dup_lines", "1000 * n_dup_lines - 500 * n_lines", high=0),
+    Rule("word_length", {"word_chars": 1000, "n_words": -1500}, low=0),
+    Rule("long_words", {"word_chars": 1, "n_words": -25}, high=0),
+    Rule("symbols", {"n_symbols": 1000, "n_words": -300}, high=0),
+    Rule("shouting", {"n_exclaims": 1000, "n_words": -300}, high=0),
+    Rule("stop_words", {"n_stop_words": 1000, "n_words": -5}, low=0),
+    Rule("dup_lines", {"n_dup_lines": 1000, "n_lines": -500}, high=0),
 )
 
 
@@ -98,41 +100,47 @@ def measures(text: Column) -> Column:
     )
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> Column:
-    """array<string> of the names of the rules that a row of measures breaks."""
+def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
+    """array<string> of the names of the rules that the measures m break."""
     checks = []
     for r in rules:
-        bad = [f"({r.value}) < {r.low}"] * (r.low is not None) + [f"({r.value}) > {r.high}"] * (r.high is not None)
-        checks.append(F.when(F.expr(" or ".join(bad)), F.lit(r.name)))
+        value = reduce(add, [m[k] * F.lit(f).cast("long") for k, f in r.terms.items()])
+        bad = [value < r.low] * (r.low is not None) + [value > r.high] * (r.high is not None)
+        checks.append(F.when(reduce(or_, bad), F.lit(r.name)))
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """struct(measures, base_failed, broken, kept): one expression, so that the measures are taken once however often they are used."""
+
+    def judge(m: Column) -> Column:
+        failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+        broken = compile_rules(rules, m)
+        return F.struct(m.alias("measures"), failed.alias("base_failed"), broken.alias("broken"), (~failed & (F.size(broken) == 0)).alias("kept"))
+
+    return _let(measures(text), judge)
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """docs with its measures, base_failed, broken (names of the broken rules) and kept.
+    """docs with the struct column `verdict`: measures, base_failed, broken (names of the broken rules) and kept.
 
     base_failed: under min_words words, or over max_repeat_percent percent of the words in repeated 3-word windows. kept: not
     base_failed and no rule broken. One projection of built-in functions and no shuffle: rows are judged alone, so ties, repeated
     rows and hot sources change nothing. Null and blank texts have no words and fail. An empty table gives no rows. Columns of docs
-    stay; the new ones are in the struct column quality_measures, and base_failed, broken, kept replace columns of those names.
+    stay, but one named verdict is replaced.
     """
-    measured = docs.withColumn("quality_measures", measures(F.col("text").cast("string")))
-    names = [f.name for f in measured.schema["quality_measures"].dataType.fields]
-    # The rules' SQL names measures alone, so it is bound to the struct through a projection of its own.
-    flat = measured.select(F.struct(*[F.col(c) for c in measured.columns]).alias("_row"), *[F.col(f"quality_measures.{n}").alias(n) for n in names])
-    base = F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat_percent} * n_words")
-    judged = flat.select("_row", base.alias("base_failed"), compile_rules(rules).alias("broken"))
-    keep = [c for c in measured.columns if c not in ("base_failed", "broken", "kept")]
-    return judged.select(*[F.col("_row")[c].alias(c) for c in keep], "base_failed", "broken", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"))
+    return docs.withColumn("verdict", verdict(F.col("text").cast("string"), rules, min_words, max_repeat_percent))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(load(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.select("doc_id", *[F.col(f"quality_measures.{n}").alias(n) for n in names], "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"verdict.measures.{n}").alias(n) for n in names], "verdict.base_failed", "verdict.kept")
 
 
 _STOPS_SQL = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
-_BROKEN_SQL = " or ".join(" or ".join([f"({r.value}) < {r.low}"] * (r.low is not None) + [f"({r.value}) > {r.high}"] * (r.high is not None)) for r in RULES)
+_VALUE_SQL = {r.name: " + ".join(f"{f} * {k}" for k, f in r.terms.items()) for r in RULES}
+_BROKEN_SQL = " or ".join(f"({_VALUE_SQL[r.name]}) {op} {bound}" for r in RULES for op, bound in (("<", r.low), (">", r.high)) if bound is not None)
 
 OP8_SQL = f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
