@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import mil, packing, pieces, rules, simhash, substring, warc
+from leafmill.llm import lattice, mil, packing, pieces, rules, simhash, substring, warc
 
 QUERIES = {
+    "op5_lattice": lattice.op5_lattice,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op3_quality_mil": mil.op3_quality_mil,
     "op2_warc": warc.op2_warc,
