@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import lattice, mil, packing, pieces, rules, sharding, simhash, substring, warc
+from leafmill.llm import lattice, lm, mil, packing, pieces, rules, sharding, simhash, substring, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op6_sharding": sharding.op6_sharding,
     "op5_lattice": lattice.op5_lattice,
     "op4_substring_dedup": substring.op4_substring_dedup,
