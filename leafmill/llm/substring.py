@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, load
+from leafmill.llm.common import load, stored
 from leafmill.llm.fm import FmIndex
 
 WINDOW = 20
 #: Words of an anchor, the part of a window that decides its shard.
 ANCHOR = 6
+#: Anchors seen this often or less are never treated as hot.
+HOT_MIN = 1000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,8 +59,8 @@ def _anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.nd
 
 
 def _anchor_rows(window: int, anchor: int):
-    """(key, kind, doc_id, at, n) per anchor: 0 seen once in the batch; 1 seen more often, so surely repeated, under a spread key; 2 the
-    stand-in of such an anchor, with its count n."""
+    """(key, doc_id, at) per anchor, at being 4 * place + kind. Kind 0: seen once in the batch; 1: seen more often, so surely repeated,
+    under a spread key; 2: the stand-in of such an anchor, with its count in place of the doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,12 +82,12 @@ def _anchor_rows(window: int, anchor: int):
             many = np.repeat(count > 1, count)
             spread = _mix(docs.view(np.uint64) * _M + at.view(np.uint64))
             stand = head[count > 1]
-            parts = [
-                (np.where(many, spread, value), many.astype(np.int32), docs, at, np.ones(len(docs), np.int64)),
-                (value[stand], np.full(len(stand), 2, np.int32), docs[stand], at[stand], count[count > 1]),
+            cols = [
+                np.concatenate((np.where(many, spread, value), value[stand])).view(np.int64),
+                np.concatenate((docs, count[count > 1])),
+                np.concatenate((4 * at + many, np.full(len(stand), 2))),
             ]
-            cols = [np.concatenate(c) for c in zip(*parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["key", "kind", "doc_id", "at", "n"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["key", "doc_id", "at"])
 
     return run
 
@@ -95,13 +97,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, kind, doc, at, n = cols
-        counted = kind != 1
+        key, doc, at = cols
+        kind, at = at & 3, at >> 2
+        counted, n = kind != 1, np.where(kind == 2, doc, 1)
         head = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
         rows, total = np.add.reduceat(counted.astype(np.int64), head), np.add.reduceat(np.where(counted, n, 0), head)
         size = np.diff(np.append(head, len(key)))
         emit = (kind == 1) | ((kind == 0) & np.repeat(total > 1, size))
-        big = (rows > 0) & (total > 63)
+        big = (rows > 0) & (total > 63)  # those that may be hot
         cols = [
             pa.array(np.concatenate((doc[emit], np.zeros(big.sum(), np.int64)))),
             pa.array(np.concatenate((at[emit], np.zeros(big.sum(), np.int64)))),
@@ -111,7 +114,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "key", "n"])
 
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(5)]
+        cols = [b.column(i).to_numpy() for i in range(3)]
         if not b.num_rows:
             continue
         if held:
@@ -124,9 +127,26 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _runs_of(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(doc_id, at, n) with stretches that follow each other put together."""
+    if not found:
+        return found
+    doc, at, n = (np.array(c, np.int64) for c in zip(*sorted(found)))
+    head = np.nonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + n[:-1]))))[0]
+    last = np.append(head[1:], len(doc)) - 1
+    return list(zip(doc[head].tolist(), at[head].tolist(), (at[last] + n[last] - at[head]).tolist()))
+
+
 def _passages(window: int, anchor: int, hot_keys):
-    """Stretches of text around repeated anchors: (key, doc_id, at, n, words), and for stretches that an earlier row of the batch holds
-    too the verdict at once (key null)."""
+    """Stretches of text around repeated anchors: (key, doc_id, at, n, words); for stretches that the batch holds at an earlier place too
+    the verdict at once, words being null and the key spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_keys.value
@@ -139,8 +159,8 @@ def _passages(window: int, anchor: int, hot_keys):
                     continue
                 h = _hashes(words)
                 first, size, value = _anchors(h, window, anchor)
-                hit = np.nonzero(np.isin(first, np.unique(np.asarray(wanted.as_py(), np.int64))))[0]
-                is_hot = np.isin(value[hit], hot)
+                hit = np.nonzero(_among(first, np.sort(wanted.values.to_numpy())))[0]
+                is_hot = _among(value[hit], hot)
                 whole = _grams(h, window) if is_hot.any() else None
                 for i, alone in zip(hit.tolist(), is_hot.tolist()):
                     s, n = int(first[i]), int(size[i])
@@ -156,7 +176,8 @@ def _passages(window: int, anchor: int, hot_keys):
                         else:
                             done.append(kept[1:])
                             best[body] = row
-            rows = [(np.uint64(k).astype(np.int64).item(), d, a, m, body) for body, (k, d, a, m) in best.items()] + [(None, d, a, m, None) for d, a, m in done]
+            done = _runs_of(done)
+            rows = [(k - (1 << 64) if k >> 63 else k, d, a, m, body) for body, (k, d, a, m) in best.items()] + [(d * 1_000_003 + a & (1 << 62) - 1, d, a, m, None) for d, a, m in done]
             for at in range(0, len(rows), 100_000):
                 part = rows[at : at + 100_000]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -199,15 +220,19 @@ def _shards(window: int, shard_words: int):
         rows: list[tuple] = []
         size, last, begun = 0, None, 0
 
-        def solve(part: list[tuple]) -> pa.RecordBatch:
-            found = _judge(part, window)
+        def verdicts(found: list[tuple]) -> pa.RecordBatch:
+            found = _runs_of(found)
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["doc_id", "at", "n"])
 
         for b in batches:
+            known: list[tuple] = []
             for key, doc, at, n, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if body is None:
+                    known.append((doc, at, n))
+                    continue
                 if key != last:
                     if size >= shard_words:
-                        yield solve(rows)
+                        yield verdicts(_judge(rows, window))
                         rows, size = [], 0
                     elif len(rows) - begun == 1:  # a key with one stretch has nothing to be compared with
                         size -= rows[begun][2] + window
@@ -215,8 +240,9 @@ def _shards(window: int, shard_words: int):
                     last, begun = key, len(rows)
                 rows.append((doc, at, n, body))
                 size += n + window
+            yield verdicts(known)
         if rows:
-            yield solve(rows)
+            yield verdicts(_judge(rows, window))
 
     return run
 
@@ -241,30 +267,34 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     Earlier: in a document of smaller doc_id, or before in the same document. Passes:
     1. Each run of windows that share an anchor gives a row; anchors that occur once in all texts are dropped. Rows of one anchor in
        one batch go as one row, so an anchor that every document holds gives as many rows as there are batches.
-    2. The stretches of words around repeated anchors go to shards by anchor. Anchors with a share of over 1 / hot_share (and 64 or
-       more) go window by window, by the hash of the whole window; there are at most hot_share of them, so their list may be broadcast.
+    2. The stretches of words around repeated anchors go to shards by anchor. Anchors with a share of over 1 / hot_share (and over
+       HOT_MIN) go window by window, by the hash of the whole window; there are at most hot_share of them, so their list may be broadcast.
     3. In each shard an FM-index of its distinct stretches is searched backward with each of them.
 
     Null and blank texts have no words. Rows with a null doc_id are left whole. doc_id names a text: rows that repeat one get the same
     ranges, none of them counts as earlier than the other. An empty table gives no rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = rows.where("doc_id is not null")
-    seen = named.mapInArrow(_anchor_rows(window, anchor), "key long, kind int, doc_id long, at long, n long")
-    again = cut(seen.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc_id long, at long, key long, n long"))
-    total = again.agg(F.count_if(F.col("n") == 0)).first()[0]
-    hot = again.where(F.col("n") > max(63, total // hot_share)).select("key").toPandas()["key"].to_numpy(np.int64)  # at most hot_share keys
+    named = _texts(docs).where("doc_id is not null")
+    seen = named.mapInArrow(_anchor_rows(window, anchor), "key long, doc_id long, at long")
+    again = stored(seen.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc_id long, at long, key long, n long"))
+    total = again.where("n = 0").count()
+    hot = again.where(F.col("n") > max(HOT_MIN, total // hot_share)).select("key").toPandas()["key"].to_numpy(np.int64)  # at most hot_share keys
     hot_keys = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
     wanted = again.where("n = 0").groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
     near = named.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    found = cut(near.mapInArrow(_passages(window, anchor, hot_keys), "key long, doc_id long, at long, n long, words binary"))
-    shards = found.where("key is not null").repartition("key").sortWithinPartitions("key")
-    late = shards.mapInArrow(_shards(window, shard_words), "doc_id long, at long, n long")
-    late = late.unionAll(found.where("key is null").select("doc_id", "at", "n"))
+    found = near.mapInArrow(_passages(window, anchor, hot_keys), "key long, doc_id long, at long, n long, words binary")
+    late = found.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(window, shard_words), "doc_id long, at long, n long")
     return late.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text; plain columns where the types are right already, so that equal plans stay equal and Spark can share a shuffle."""
+    kinds = {"doc_id": "bigint", "text": "string"}
+    have = dict(docs.dtypes)
+    return docs.select(*[F.col(c) if have[c] == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -277,8 +307,11 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): the words that no repeated window covers, joined by one space."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = rows.join(repeated_ranges(docs, **options), "doc_id", "left").select("doc_id", "text", "ranges")
+    rows = _texts(docs)
+    ranges = repeated_ranges(rows, **options)
+    # The join's left side is the one that repeated_ranges shuffles too, so that Spark shuffles the texts once.
+    both = rows.where("doc_id is not null").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    both = both.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     return both.mapInArrow(_applied, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
