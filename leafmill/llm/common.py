@@ -50,6 +50,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, like `name`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blocks_of(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """The text in pieces of about `size` bytes that end between words, so that very long texts need little memory."""
     at = 0

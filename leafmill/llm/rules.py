@@ -132,6 +132,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     return docs.withColumn("verdict", verdict(F.col("text").cast("string"), rules, min_words, max_repeat_percent))
 
 
+def keep_passing(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    return docs.where(verdict(F.col("text").cast("string"), **options)["kept"])
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(load(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

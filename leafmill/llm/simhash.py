@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import blocks_of, components, cut, load
+from leafmill.llm.common import blocks_of, components, cut, fresh, load
 
 SEED = 42
 SEGMENTS = 4
@@ -203,8 +203,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     All columns stay as they are. Rows with a null doc_id stay.
     """
-    first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    name = fresh(docs, "kept_id")
+    first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where("doc_id is null"))
 
 

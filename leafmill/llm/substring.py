@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import load, stored
+from leafmill.llm.common import fresh, load, stored
 from leafmill.llm.fm import FmIndex
 
 WINDOW = 20
@@ -320,22 +320,23 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Texts in which nothing repeats stay as they are; in others the kept words are joined by one space. No row is dropped.
     """
-    ranges = repeated_ranges(docs, **options).select(F.col("doc_id").alias("_id"), F.col("ranges").alias("_ranges"))
+    ident, found_in = fresh(docs, "range_id"), fresh(docs, "found_ranges")
+    ranges = repeated_ranges(docs, **options).select(F.col("doc_id").alias(ident), F.col("ranges").alias(found_in))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = dict(zip(b.schema.names, b.columns))
             texts = []
-            for text, found in zip(cols["text"], cols["_ranges"]):
+            for text, found in zip(cols["text"], cols[found_in]):
                 r = found.as_py()
                 texts.append(b" ".join(kept_words(text.as_py(), [(x["at"], x["n"]) for x in r])[1]).decode("utf-8", "surrogatepass") if r else text.as_py())
             cols["text"] = pa.array(texts, cols["text"].type)
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([n if not r.as_py() else len(t or "") for n, t, r in zip(cols["n_chars"].to_pylist(), texts, cols["_ranges"])], cols["n_chars"].type)
+                cols["n_chars"] = pa.array([n if not r.as_py() else len(t or "") for n, t, r in zip(cols["n_chars"].to_pylist(), texts, cols[found_in])], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
-    return docs.join(ranges, F.col("doc_id") == F.col("_id"), "left").select(*names, "_ranges").mapInArrow(run, docs.schema)
+    return docs.join(ranges, F.col("doc_id") == F.col(ident), "left").select(*names, found_in).mapInArrow(run, docs.schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,380 @@
+"""Each operator against a plain version on small tables."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from duck import same_rows
+
+from leafmill.llm import fm, lattice, lm, mil, packing, pieces, queries, sharding, simhash, substring, warc
+
+DOCS = "doc_id long, text string"
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, sf_dir, name):
+    same_rows(queries.QUERIES[name](spark, sf_dir), queries.SQL[name], sf_dir)
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_lm_base_is_exact_and_model_is_better(spark, sf_dir, texts):
+    rows = lm.op1_lm_scoring(spark, sf_dir).collect()
+    toks = {i: [*words((t or "").lower()), b" "] for i, t in texts.items()}
+    toks = {i: [w.lower() for w in words(t)] + [b" "] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    count = collections.Counter(w for i, ws in toks.items() if not held[i] for w in ws)
+    n, v = sum(count.values()), len(count)
+    for r in rows:
+        ws = toks[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(count[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
+        assert r.score < 0
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_lm_rare_tokens_by_join_equal_the_broadcast_ones(spark, sf_dir, docs):
+    few = {r.doc_id: r.base_score for r in lm.score_documents(docs, most_frequent=64).collect()}
+    many = {r.doc_id: r.base_score for r in lm.score_documents(docs).collect()}
+    assert all(math.isclose(few[i], many[i], rel_tol=1e-9) for i in many)
+
+
+def test_count_filter_reads_counts_back():
+    rng = np.random.default_rng(0)
+    names, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(1, 2000, 5000)
+    bits, k, data = lm._block(names, counts, 1.25, 1 << 40)
+    f = lm.CountFilter(64, 1.25, np.zeros(1, np.int64), np.array([bits]), np.array([k]), np.frombuffer(data, np.uint8))
+    assert (f.level(names) >= lm._levels(counts, 1.25)).all()  # never too low
+    assert (f.level(names) == lm._levels(counts, 1.25)).mean() > 0.97
+    assert (f.level(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.03
+
+
+def test_full_filter_leaves_out_the_rarest():
+    names, counts = np.arange(1000, dtype=np.uint64), np.array([1] * 900 + [8] * 100)
+    bits, k, data = lm._block(names, counts, 2.0, 5000)
+    f = lm.CountFilter(64, 2.0, np.zeros(1, np.int64), np.array([bits]), np.array([k]), np.frombuffer(data, np.uint8))
+    assert bits <= 5000 and (f.level(names[900:]) >= 4).all() and (f.level(names[:900]) > 0).mean() < 0.05
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_warc_pushes_header_tests_and_skips_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/x", "one"), (2, "http://b/y", "one"), (3, None, None), (4, "http://a/z", "é" * 100_000), (None, "q", "n")], "page_id long, url string, html string")
+    warc.archive_pages(pages, str(tmp_path / "w"))
+    reader = warc.WarcReader(str(tmp_path / "w"), "all", 1 << 20)
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
+
+    left = list(reader.pushFilters([EqualTo(("record_type",), "response"), StringStartsWith(("target_uri",), "http://a/"), GreaterThan(("payload_bytes",), 5)]))
+    assert [type(f).__name__ for f in left] == ["GreaterThan"]
+    found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["record_id"] for r in found) == ["urn:page:1", "urn:page:4"] and all(r["digest_ok"] for r in found)
+    back = {r.page_id: r for r in warc.archived_pages(spark, str(tmp_path / "w")).collect()}
+    assert (back[2].record_type, back[2].refers_to, back[2].payload_bytes) == ("revisit", 1, 3)
+    assert back[3].payload_bytes == 0 and back[4].payload_bytes == 200_000 and back[None].record_type == "response"
+    assert back[1].payload_digest == back[2].payload_digest == warc.digest_of(b"one")
+    plan = spark.read.format("warc").load(str(tmp_path / "w")).where("record_type = 'revisit'")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("RuntimeFilters", "")
+
+
+def test_warc_reads_plain_and_foreign_gzip(tmp_path):
+    import gzip
+
+    records = [warc.record("response", f"urn:page:{i}", "u", "d", b"WARC/1.1\r\n\r\n" * i, None) for i in range(6)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(warc.member, records)))
+    reader = warc.WarcReader(str(tmp_path), "none", 1)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(reader.partitions()) == 3 and sorted(r["payload_bytes"] for r in rows) == sorted(12 * i for i in range(6) for _ in range(3))
+    assert all(r["payload"] is None for r in rows)
+    assert gzip.decompress(warc.member(records[3])) == records[3]
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_classifier_is_right_on_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in mil.op3_quality_mil(spark, sf_dir).collect()}
+    held = [(rows[r.doc_id].predicted, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if rows[r.doc_id].held_out]
+    assert len(held) > 50 and sum(p == q for p, q in held) / len(held) >= 0.97
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows.values())
+
+
+def test_attention_gradient_finds_the_odd_passage():
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(0, 1, (5, 6)) for _ in range(200)]
+    y = np.array([i % 2 for i in range(200)], float)
+    for b, label in zip(bags, y):
+        if label:
+            b[rng.integers(5), 0] += 6
+    heads = np.arange(0, 1000, 5)
+    model = mil.train(np.concatenate(bags), heads, y, steps=300)
+    assert ((model.scores(np.concatenate(bags), heads) > 0.5) == y).mean() > 0.95
+
+
+# ---------------------------------------------------------------- 4
+
+
+def plain_repeats(texts, window):
+    seen, gone = set(), {}
+    for i in sorted(texts):
+        ws = words(texts[i])
+        gone[i] = set()
+        for s in range(len(ws) - window + 1):
+            key = tuple(ws[s : s + window])
+            if key in seen:
+                gone[i] |= set(range(s, s + window))
+            seen.add(key)
+    return gone
+
+
+@pytest.mark.parametrize(("window", "anchor"), [(4, 2), (8, 3)])
+def test_substrings_equal_a_plain_loop(spark, monkeypatch, window, anchor):
+    rng = random.Random(window)
+    base = [rng.choice("abcdefg") + rng.choice("xy") for _ in range(400)]
+    texts = {}
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            s = rng.randrange(380)
+            parts += base[s : s + rng.randint(1, 20)] if rng.random() < 0.5 else ["z" * rng.randint(1, 2)] * rng.randint(1, 25)
+        texts[i] = " ".join(parts)
+    for hot_min in (3, 1000):  # with and without anchors that are handled window by window
+        monkeypatch.setattr(substring, "HOT_MIN", hot_min)
+        got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(list(texts.items()), DOCS).repartition(5), window=window, anchor=anchor, shard_words=300).collect()}
+        want = plain_repeats(texts, window)
+        for i, t in texts.items():
+            kept = [w for k, w in enumerate(words(t)) if k not in want[i]]
+            assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(words(t)), len(want[i]), b" ".join(kept).decode())
+            assert got[i].kept_sha256 == hashlib.sha256(b" ".join(kept)).hexdigest()
+
+
+def test_fm_index_finds_the_earliest_window():
+    rng = np.random.default_rng(3)
+    for depth in (2, 5, 20):
+        text, parts = [], []
+        base = rng.integers(1, 5, 300)
+        for _ in range(40):
+            n, s = int(rng.integers(depth, depth + 9)), int(rng.integers(0, 270))
+            x = base[s : s + n] if rng.random() < 0.7 else rng.integers(1, 5, n)
+            parts.append((len(text), len(text) + len(x)))
+            text += [*x.tolist(), 0]
+        t = np.array(text)
+        for (b, e), found in zip(parts, fm.FmIndex.of(t, depth).earliest(parts)):
+            for j, at in enumerate(found):
+                assert at == next(i for i in range(len(t)) if t[i : i + depth].tolist() == t[b + j : b + j + depth].tolist())
+            assert len(found) == max(0, e - b - depth + 1)
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_lattice_links_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 64))
+    x = np.concatenate([c + rng.normal(scale=s, size=(30, 64)) for c, s in zip(centres, np.linspace(0.02, 0.25, 12))] + [np.repeat(centres[:1], 40, 0)]).astype(np.float32)
+    label = rng.integers(0, 2, len(x))
+    rows = [(i, [float(v) for v in r], int(k)) for i, (r, k) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(1))
+    for block, span in ((2000, 1), (16, 1), (2000, 2)):  # also with cells spread over tasks, and with cells of two blocks
+        got = {r.vec_id: r for r in lattice.near_vectors(df, block=block, span=span).collect()}
+        n = np.array([got[i].n_links for i in range(len(x))])
+        assert (n <= link.sum(1)).all() and n.sum() >= 0.97 * link.sum(), (block, span)
+        if n.sum() == link.sum():
+            assert [got[i].component_id for i in range(len(x))] == comp.tolist()
+        assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_e8_decoding_is_nearest():
+    x = np.random.default_rng(6).normal(scale=2, size=(300, 8))
+    p = lattice.decode_e8(x)
+    d = ((x - p) ** 2).sum(1)
+    for v in lattice._NEAR:
+        assert (d <= ((x - p - v) ** 2).sum(1) + 1e-9).all()
+    assert (np.abs(p * 2 - np.rint(p * 2)) < 1e-9).all() and (np.rint(p.sum(1)) % 2 == 0).all()
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_shards_are_even_and_groups_stay(spark, docs):
+    rows = sharding.op6_sharding(spark, "/root/testdata/sf0.01").collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    text = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    groups = collections.defaultdict(set)
+    for r in rows:
+        assert (r.size, r.text_crc32) == (len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode()))
+        groups[text[r.doc_id]].add(r.shard)
+    assert sum(len(s) > 1 for s in groups.values()) <= 7
+
+
+def test_group_larger_than_a_shard_spreads(spark):
+    df = spark.createDataFrame([(i, "same" if i % 2 else f"t{i}") for i in range(400)], DOCS)
+    rows = sharding.shard_documents(df).collect()
+    count = collections.Counter(r.shard for r in rows)
+    assert set(count.values()) == {50}
+    assert len({r.shard for r in rows if r.doc_id % 2}) <= 6
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_pieces_equal_the_library(texts):
+    import public_tokenizers
+
+    enc = pieces.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    vocabulary = list(enc.code)
+    cases = [t for t in texts.values()][:60] + ["", " ", "  ", "a  b", " ▁▁ x", "\n\t", "\x00", "🙂é中", "<s></s><0x41>", "a" * 5000, " " * 999]
+    for _ in range(1500):
+        cases.append("".join(rng.choice(vocabulary).replace("▁", rng.choice("▁ ")) for _ in range(rng.randint(0, 9))))
+        cases.append("".join(rng.choice("ab dest inhr\n▁é中") for _ in range(rng.randint(0, 30))))
+    for t in cases:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.model.encode(t), repr(t)
+
+
+def test_pieces_query_decodes(spark, sf_dir, texts):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in pieces.op7_sentencepiece(spark, sf_dir).collect():
+        ids = [1, *model.encode(texts[r.doc_id]), 2]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
+# ---------------------------------------------------------------- 9
+
+
+def plain_fingerprint(text):
+    ws = [w.lower() for w in words(text)]
+    if not ws:
+        return 0
+    shingles = [b" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))]
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def plain_components(fps, bits=3):
+    ids = sorted(fps)
+    comp = {i: i for i in ids}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if (fps[a] ^ fps[b]).bit_count() <= bits:
+            x, y = find(a), find(b)
+            comp[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_query_equals_brute_force(spark, sf_dir, texts):
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    want = plain_components(fps)
+    for r in simhash.op9_simhash(spark, sf_dir).collect():
+        assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_ring_keys_lose_no_link(spark, monkeypatch, block):
+    rng = random.Random(9)
+    fps = {}
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        for _ in range(12):
+            f = centre
+            for b in rng.sample(range(64), rng.randint(0, 3)):
+                f ^= 1 << b
+            fps[len(fps)] = f
+    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, k: docs)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long"), block=block).collect()}
+    assert got == plain_components(fps)
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_packing_is_tight_and_complete(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    rows = packing.op10_packing(spark, sf_dir).collect()
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for i, t in texts.items():
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        ps = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [p.piece for p in ps] == list(range(len(ps))) and all(p.length == 1024 for p in ps[1:]) and len(ps) == -(-len(ids) // 1024)
+        for p, start in zip(ps, itertools.accumulate([0] + [p.length for p in ps])):
+            assert p.start == start and p.ids_crc32 == zlib.crc32(np.array(ids[start : start + p.length], "<u4").tobytes())
+    for ps in by_seq.values():
+        ps.sort(key=lambda r: r.offset)
+        assert [p.offset for p in ps] == list(itertools.accumulate([0] + [p.length for p in ps]))[:-1] and ps[-1].offset + ps[-1].length <= 1024
+    assert len(by_seq) <= -(-sum(r.length for r in rows) // 1024) + 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_configurations_hold_the_histogram(seed):
+    rng = random.Random(seed)
+    h = {n: rng.randint(1, 50 ** rng.randint(1, 3)) for n in rng.sample(range(1, 101), rng.randint(1, 60))}
+    configs, held = packing.configurations(h, 100), collections.Counter()
+    for config, bins in configs:
+        assert sum(n * k for n, k in config) <= 100
+        for n, k in config:
+            held[n] += k * bins
+    assert held == h
+    demand = np.zeros(101, np.int64)
+    for n, k in h.items():
+        demand[n] = k
+    assert sum(b for _, b in configs) <= sum(b for _, b in packing._best_fit(demand, 100))
+
+
+def test_encoder_equals_the_library():
+    enc = packing.ByteEncoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    assert enc.fast is not None
+    rng = random.Random(1)
+    for _ in range(1500):
+        t = "".join(rng.choice("ab é ñ中 \n\t'sll've1２三　.,#<|>") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode("a<|endoftext|> b"), "<u4").tolist() == enc.whole.encode("a<|endoftext|> b", add_special_tokens=False).ids
