@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.llm.common import load, stored
 from leafmill.llm.mil import keep_good
 from leafmill.llm.packing import pack_documents, tokenizer_path
-from leafmill.llm.rules import quality_rules
+from leafmill.llm.rules import keep_passing
 from leafmill.llm.simhash import keep_one
 from leafmill.llm.substring import cut_repeats
 
@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no quality rule."""
-    return quality_rules(docs).where("verdict.kept").select(*docs.columns)
+    return keep_passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
