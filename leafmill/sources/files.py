@@ -19,7 +19,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, failed pages) of JSON lines. Blank lines are skipped; a line that is no JSON fails the page its file is named after."""
-    rows = spark.read.schema(f"{CHUNK}, _corrupt_record string").json(path).withColumn("file_page", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1))
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1).alias("file_page"))
+    rows = lines.select("file_page", F.from_json("value", f"{CHUNK}, _corrupt_record string").alias("r")).select("file_page", "r.*")
     failed = rows.where("_corrupt_record is not null").select(F.expr("try_cast(file_page as bigint)").alias("page_id"), F.lit("unreadable chunk line").alias("last_error")).distinct()
     bad = failed.select("page_id").where("page_id is not null")
     return rows.where("_corrupt_record is null").drop("_corrupt_record", "file_page").join(bad, "page_id", "left_anti"), failed
