@@ -149,25 +149,32 @@ def _section(title: str, body: Column) -> Column:
     return F.when(no_blank(body).isNotNull(), F.concat(F.lit(f"{title}:\n\n"), strip(body)))
 
 
-def render_attachment(attachments: DataFrame) -> DataFrame:
-    """(page_id, relative_path, section): an attachment's facts as Markdown; attachments(page_id, relative_path, file_name,
-    detected_type, summary, labels, components, relationships)."""
+def render_attachment(attachments: DataFrame, diagrams: DataFrame | None = None) -> DataFrame:
+    """(page_id, relative_path, section): an attachment's facts as Markdown.
+
+    attachments(page_id, relative_path, file_name, detected_type, summary, labels, components, relationships), and of title, description,
+    visible_text, flow and warnings those that there are. diagrams(relative_path, sections): ready sections of diagram attachments.
+    """
+    have = set(attachments.columns)
     bullets = lambda c, n: F.array_join(F.transform(F.slice(F.filter(c, lambda s: s.rlike(r"\S")), 1, n), lambda s: F.concat(F.lit("- "), s)), "\n")
     is_diagram = F.col("detected_type").rlike("DIAGRAM|DRAWIO|FLOWCHART")
-    has = no_blank(F.col("summary")).isNotNull() | join_lists(F.col("labels"), F.col("components"), F.col("relationships")).isNotNull()
+    rows = attachments.withColumn("sections", F.lit(None).cast("string")) if diagrams is None else attachments.join(diagrams, "relative_path", "left")
+    has = no_blank(F.col("summary")).isNotNull() | F.col("sections").isNotNull() | join_lists(F.col("labels"), F.col("components"), F.col("relationships")).isNotNull()
     is_erd = (F.col("detected_type") == "GENERIC_IMAGE") & F.lower("file_name").rlike("erd|er-diagram|schema|database")
     head = F.concat_ws("\n", F.concat(F.lit("File: "), F.col("file_name")), F.concat(F.lit("Attachment Type: "), display_type(F.col("detected_type"))))
     diagram = F.concat_ws("\n\n", _section("Diagram Summary", F.col("summary")), _section("Key Labels", bullets("labels", 20)), _section("Components", bullets("components", 40)), _section("Relationships", bullets("relationships", 40)))
-    plain = F.concat_ws("\n\n", _section("Summary", F.col("summary")), _section("Labels", bullets("labels", 200)))
+    text = [_section(t, F.col(c)) for t, c in (("Title", "title"), ("Description", "description")) if c in have]
+    lists = [("Extracted Text", "visible_text"), ("Labels", "labels"), ("Components", "components"), ("Relationships", "relationships"), ("Flow", "flow"), ("Warnings", "warnings")]
+    plain = F.concat_ws("\n\n", _section("Summary", F.col("summary")), *text, *[_section(t, bullets(c, 200)) for t, c in lists if c in have])
     missing = F.when(is_erd, "Data Model Summary\n\nStructured ERD extraction is unavailable because no deterministic diagram metadata was found.").otherwise("Searchable Content:\n\nNo visual content extracted because image analysis is disabled or unavailable.")
-    body = F.when(has, F.when(is_diagram, diagram).otherwise(plain)).otherwise(missing)
-    return attachments.select("page_id", "relative_path", F.concat_ws("\n\n", F.lit(ENRICHMENT_HEADING), head, body, F.lit("---")).alias("section"))
+    body = F.when(has, F.when(is_diagram, F.coalesce("sections", diagram)).otherwise(plain)).otherwise(missing)
+    return rows.select("page_id", "relative_path", F.concat_ws("\n\n", F.lit(ENRICHMENT_HEADING), head, body, F.lit("---")).alias("section"))
 
 
-def enrich_markdown(md: DataFrame, attachments: DataFrame) -> DataFrame:
+def enrich_markdown(md: DataFrame, attachments: DataFrame, diagrams: DataFrame | None = None) -> DataFrame:
     """(page_id, md, enriched): after each line that links attachments as images, their sections; pages without any stay as they are."""
     lines = md.select("page_id", F.posexplode(F.split("md", "\n")).alias("pos", "line"))
-    sections = match_links(lines, attachments).join(render_attachment(attachments), ["page_id", "relative_path"])
+    sections = match_links(lines, attachments).join(render_attachment(attachments, diagrams), ["page_id", "relative_path"])
     added = sections.groupBy("page_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "section"))), lambda x: F.concat(F.lit("\n\n"), x["section"])), "").alias("added"))
     rows = lines.join(added, ["page_id", "pos"], "left").withColumn("line", F.concat("line", F.coalesce("added", F.lit(""))))
     body = rows.groupBy("page_id").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("new"), F.bool_or(F.col("added").isNotNull()).alias("enriched"))

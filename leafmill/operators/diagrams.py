@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_label, display_type, extension, is_attribute, is_class_member, is_column_only, is_meaningful, is_multiplicity, is_raw_id, no_blank, strip
+from leafmill.functions.text import clean_label, display_type, escape_cell, extension, is_attribute, is_class_member, is_column_only, is_meaningful, is_multiplicity, is_raw_id, no_blank, strip
 from leafmill.operators.common import distinct_ordered
 from leafmill.operators.markup import attribute
 
@@ -124,7 +124,7 @@ def diagram_nodes(cells: DataFrame, types: DataFrame) -> DataFrame:
     kids = cells.where("parent_id is not null").groupBy("diagram_id", F.col("parent_id").alias("cell_id")).agg(F.bool_or(is_class_member(F.col("value"))).alias("has_members"))
     c = c.join(kids, ["diagram_id", "cell_id"], "left")
     plain = F.col("label").isNotNull() & ~is_multiplicity(F.col("label"))
-    is_class = F.col("vertex") & plain & ~is_class_member(F.col("value")) & (F.coalesce("has_members", F.lit(False)) | F.lower("style").rlike("swimlane|shape=class|umlclass") | F.col("value").rlike(r"^[A-Z][A-Za-z0-9]*$"))
+    is_class = F.col("vertex") & plain & ~is_class_member(F.col("value")) & (F.coalesce("has_members", F.lit(False)) | F.lower("style").rlike("swimlane|uml|class") | F.col("value").rlike(r"^[A-Z][A-Za-z0-9_]*$"))
     keep = (
         F.when(F.col("dtype") == "CLASS_DIAGRAM", is_class)
         .when(F.col("dtype") == "STATE_DIAGRAM", F.col("vertex") & F.col("label").isNotNull())
@@ -211,10 +211,13 @@ def diagram_edges(cells: DataFrame, types: DataFrame, nodes: DataFrame) -> DataF
 def pick_diagram(candidates: DataFrame) -> DataFrame:
     """candidates(file_id, file_name, page_ix, diagram_name, labels, type) -> the best page of each file by how its name and labels meet
     the words of the file's name (three letters or more), first of equals."""
-    words = F.filter(F.split(F.lower(F.regexp_replace("file_name", r"\.[^.]*$", "")), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    plain = F.regexp_replace(F.lower(F.coalesce("file_name", F.lit(""))), "[^a-z0-9]+", " ")
+    words = F.filter(F.split(plain, " "), lambda w: (F.length(w) >= 3) & ~w.isin("drawio", "png"))
     name, labels = F.lower(F.coalesce("diagram_name", F.lit(""))), F.lower(F.array_join("labels", " "))
     met = F.aggregate(words, F.lit(0), lambda s, w: s + F.when(F.contains(name, w), 12).otherwise(0) + F.when(F.contains(labels, w), 2).otherwise(0))
-    kind = F.when(F.array_contains(words, F.lower(F.substring_index("type", "_", 1))), 100).otherwise(0)
+    kind = F.lit(0)
+    for word, k in (("state", "STATE_DIAGRAM"), ("class", "CLASS_DIAGRAM"), ("arch", "ARCHITECTURE_DIAGRAM")):
+        kind = kind + F.when(F.contains(plain, F.lit(word)) & (F.col("type") == k), 100).otherwise(0)
     w = Window.partitionBy("file_id").orderBy(F.desc("score"), "page_ix")
     return candidates.withColumn("score", met + kind).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
@@ -260,6 +263,65 @@ def diagram_summary(types: DataFrame, cells: DataFrame, nodes: DataFrame, edges:
     return out.select("diagram_id", F.coalesce(own, concise).alias("summary"))
 
 
+# Headings of an architecture diagram's layers, in their order.
+LAYER_HEADINGS = (
+    ("Inbound", "inbound"), ("Controller Layer", "controller-layer"), ("Core Business Services", "core-business-service"),
+    ("Supporting Services", "supporting-service"), ("Cross-Cutting Services", "cross-cutting-service"), ("Domain Logic", "domain-logic"),
+    ("Data Mapping", "data-mapping"), ("Data Access", "data-access"), ("Infrastructure", "infrastructure"),
+    ("External Clients", "external-client"), ("Database", "database"),
+)
+
+
+def _table(rows: Column, head: str, columns: int) -> Column:
+    """A pipe table of an array of ready lines; null where there is none."""
+    rule = "|" + "---|" * columns
+    return F.when(F.size(rows) > 0, F.concat(F.lit(f"{head}\n{rule}\n"), F.array_join(rows, "\n")))
+
+
+def _titled(title: str, body: Column, colon: bool = False) -> Column:
+    return F.when(no_blank(body).isNotNull(), F.concat(F.lit(f"{title}{':' if colon else ''}\n\n"), body))
+
+
+def diagram_sections(types: DataFrame, cells: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(diagram_id, sections): summary, then tables of states and transitions, classes and relations, layers, or tables and references by
+    the diagram's type, then all labels; diagrams that aren't valid give summary and labels only."""
+    row = lambda *cols: F.concat(F.lit("| "), F.concat_ws(" | ", *[escape_cell(F.coalesce(c, F.lit(""))) for c in cols]), F.lit(" |"))
+    lines = lambda text, cond=None: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.lit(True) if cond is None else cond, F.struct("ord", text.alias("t"))))), lambda x: x["t"]))
+    members = F.array_join("attributes", "; ")
+    abstract = F.when(F.exists("stereotypes", lambda x: F.lower(x).contains("abstract")), "Abstract class").otherwise("Class")
+    bullet = F.concat(F.lit("- "), F.col("label"))
+    n = nodes.groupBy("diagram_id").agg(
+        lines(F.concat(F.lit("| "), escape_cell(F.col("label")), F.lit(" |  |"))).alias("states"),
+        lines(row(F.col("label"), abstract, members)).alias("classes"),
+        lines(row(F.col("label"), members)).alias("tables"),
+        lines(bullet).alias("components"),
+        *[F.slice(lines(bullet, F.col("type") == kind), 1, 40).alias(f"layer_{i}") for i, (_, kind) in enumerate(LAYER_HEADINGS)],
+    )
+    e = edges.groupBy("diagram_id").agg(
+        lines(row(F.col("source"), F.col("label"), F.col("target"))).alias("moves"),
+        lines(row(F.col("source"), F.coalesce(no_blank(F.col("label")), F.col("relationship_type"), F.lit("connects")), F.col("target"))).alias("relations"),
+        lines(row(F.col("source"), F.col("target"), F.coalesce(no_blank(F.col("label")), F.lit("references")))).alias("references"),
+        lines(F.concat(F.lit("- "), F.concat_ws(" -> ", "source", no_blank(F.col("label")), "target"))).alias("arrows"),
+    )
+    raw = diagram_labels(cells).where(~is_raw_id(F.col("label"))).groupBy("diagram_id").agg(F.slice(lines(bullet), 1, 200).alias("labels"))
+    out = types.join(diagram_summary(types, cells, nodes, edges), "diagram_id").join(valid_diagrams(types, nodes, edges), "diagram_id")
+    for part in (n, e, raw):
+        out = out.join(part, "diagram_id", "left")
+    listed = lambda c, k=None: F.array_join(F.col(c) if k is None else F.slice(c, 1, k), "\n")
+    kinds = {
+        "STATE_DIAGRAM": [_titled("Workflow Summary", F.col("summary"), True), _titled("States", _table(F.col("states"), "| State | Description |", 2)), _titled("Transitions", _table(F.col("moves"), "| From | Event | To |", 3))],
+        "CLASS_DIAGRAM": [_titled("Domain Summary", F.col("summary"), True), _titled("Classes", _table(F.col("classes"), "| Class | Type | Attributes |", 3)), _titled("Relationships", _table(F.col("relations"), "| Source | Relationship | Target |", 3))],
+        "ARCHITECTURE_DIAGRAM": [_titled("Architecture Summary", F.col("summary"), True), *[_titled(title, listed(f"layer_{i}"), True) for i, (title, _) in enumerate(LAYER_HEADINGS)]],
+        "ER_DIAGRAM": [_titled("Data Model Summary", F.col("summary"), True), _titled("Tables", _table(F.col("tables"), "| Table | Columns |", 2)), _titled("Relationships", _table(F.col("references"), "| Source Table | Target Table | Join/Reference |", 3))],
+    }
+    body = F.concat_ws("\n\n", _titled("Diagram Summary", F.col("summary"), True), _titled("Key Labels", listed("labels", 20), True), _titled("Components", listed("components", 40), True), _titled("Relationships", listed("arrows", 40), True))
+    for kind, parts in kinds.items():
+        body = F.when(F.col("type") == kind, F.concat_ws("\n\n", *parts)).otherwise(body)
+    poor = F.concat_ws("\n\n", _titled("Diagram Summary", F.col("summary"), True), _titled("Key Labels", listed("labels", 40), True))
+    appendix = F.when(F.size("labels") > 0, F.concat(F.lit("<details>\n<summary>Raw extracted labels</summary>\n\n"), listed("labels"), F.lit("\n\n</details>")))
+    return out.select("diagram_id", F.concat_ws("\n\n", F.when(F.col("valid"), body).otherwise(poor), appendix).alias("sections"))
+
+
 def diagram_files(attachments: DataFrame) -> DataFrame:
     """(diagram_id, xml) of attachments(relative_path, content) that are diagram sources."""
     text = F.decode("content", "UTF-8")

@@ -11,6 +11,7 @@ from leafmill.operators import chunks, diagrams, manifest, markup, retrieval, tr
 from leafmill.operators.common import assemble
 from leafmill.plans import fixtures as fx
 from leafmill.plans.fixtures import derived
+from leafmill.plans.scratch import scratch, stored
 from leafmill.sources.files import load
 from leafmill.streaming import jobs
 
@@ -460,10 +461,11 @@ def _cells(spark, sf_dir) -> DataFrame:
 
 
 def _graph(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    types = diagrams.classify_diagrams(cells)
-    nodes = diagrams.diagram_nodes(cells, types)
-    return cells, types, nodes, diagrams.diagram_edges(cells, types, nodes)
+    """Cells, types, nodes and edges, each written once, since most operators read several of them."""
+    cells = stored(_cells(spark, sf_dir), "cells")
+    types = stored(diagrams.classify_diagrams(cells), "types")
+    nodes = stored(diagrams.diagram_nodes(cells, types), "nodes")
+    return cells, types, nodes, stored(diagrams.diagram_edges(cells, types, nodes), "edges")
 
 
 _CUST = "select c_custkey, c_name, c_nationkey, n_name from customer join nation on n_nationkey = c_nationkey"
@@ -482,7 +484,8 @@ def diagram_type(spark, sf_dir):
 
 @query(f"select c_nationkey::varchar as diagram_id, c_name || ' Controller' as label, case when t.type = 'ARCHITECTURE_DIAGRAM' then 'controller-layer' else 'node' end as type from ({_CUST}) c join ({_TYPES}) t on t.diagram_id = c_nationkey::varchar union all select n_nationkey::varchar, n_name || ' Service', case when t.type = 'ARCHITECTURE_DIAGRAM' then 'supporting-service' else 'node' end from nation join ({_TYPES}) t on t.diagram_id = n_nationkey::varchar")
 def diagram_nodes(spark, sf_dir):
-    return _graph(spark, sf_dir)[2].select("diagram_id", "label", "type")
+    cells = stored(_cells(spark, sf_dir), "cells")
+    return diagrams.diagram_nodes(cells, diagrams.classify_diagrams(cells)).select("diagram_id", "label", "type")
 
 
 @query(f"select c_nationkey::varchar as diagram_id, c_name || ' Controller' as source, n_name || ' Service' as target from ({_CUST})")
@@ -507,6 +510,15 @@ def diagram_valid(spark, sf_dir):
     return diagrams.valid_diagrams(types, nodes, edges)
 
 
+@query(f"""with t as ({_TYPES}) select t.diagram_id, 'Architecture Summary:' || chr(10) || chr(10) || 'Architecture diagram containing supporting service, controller layer.' || chr(10) || chr(10)
+  || 'Controller Layer:' || chr(10) || chr(10) || (select string_agg('- ' || c_name || ' Controller', chr(10) order by c_custkey) from (select c_name, c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as k from customer) c where c_nationkey::varchar = t.diagram_id and k <= 40)
+  || chr(10) || chr(10) || 'Supporting Services:' || chr(10) || chr(10) || '- ' || (select n_name from nation where n_nationkey::varchar = t.diagram_id) || ' Service' as start from t where type = 'ARCHITECTURE_DIAGRAM'""")
+def diagram_sections(spark, sf_dir):
+    cells, types, nodes, edges = _graph(spark, sf_dir)
+    out = diagrams.diagram_sections(types, cells, nodes, edges).join(types.where("type = 'ARCHITECTURE_DIAGRAM'").select("diagram_id"), "diagram_id", "left_semi")
+    return out.select("diagram_id", F.substring_index("sections", "\n\n<details>", 1).alias("start"))
+
+
 @query("select n_nationkey::varchar as diagram_id, count(c_custkey) + 1 as node_count, count(c_custkey) as edge_count, count(c_custkey) + 1 as label_count from nation left join customer on c_nationkey = n_nationkey group by n_nationkey")
 def diagram_counts(spark, sf_dir):
     cells, _, nodes, edges = _graph(spark, sf_dir)
@@ -519,8 +531,6 @@ def diagram_counts(spark, sf_dir):
 @query(f"with j as ({fx.JOBS}) select message_id, root_id, job_type from (select distinct message_id, root_id, job_type from j where message_id is not null) union all select message_id, root_id, job_type from j where message_id is null")
 def stream_jobs(spark, sf_dir):
     """Runs the job stream to its end; the result is what its sink holds."""
-    from leafmill.plans.scratch import scratch
-
     path = scratch(spark, "jobs")
     rows = derived(spark, sf_dir, fx.JOBS).withColumn("ts", F.col("ts").cast("timestamp"))
     rows.write.parquet(f"{path}/in")
@@ -532,8 +542,6 @@ def stream_jobs(spark, sf_dir):
 @query("select user_id as root_id, max(ts) as ts from events group by user_id")
 def stream_upsert(spark, sf_dir):
     """Upserts a stream of events by user into version folders; the last version is the result."""
-    from leafmill.plans.scratch import scratch
-
     path = scratch(spark, "upsert")
     load(spark, sf_dir, "events").selectExpr("cast(event_id as string) as message_id", "user_id as root_id", "event_type as job_type", "cast(ts as timestamp) as ts").repartition(4).write.parquet(f"{path}/in")
     stream = jobs.job_stream(spark, f"{path}/in")
