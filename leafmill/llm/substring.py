@@ -247,7 +247,7 @@ def _shards(window: int, shard_words: int):
     return run
 
 
-def kept_words(text: str | None, ranges: list[tuple[int, int]], window: int = WINDOW) -> tuple[int, list[bytes]]:
+def kept_words(text: str | None, ranges: list[tuple[int, int]], window: int) -> tuple[int, list[bytes]]:
     """(number of words, words that no window of the ranges (first window, windows) covers)."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not ranges:
@@ -295,33 +295,36 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c) if have[c] == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, ranges in zip(b.column(1), b.column(2)):
-            n, kept = kept_words(text.as_py(), [(r["at"], r["n"]) for r in ranges.as_py() or []])
-            out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode("utf-8", "surrogatepass")))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def _applied(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, ranges in zip(b.column(1), b.column(2)):
+                n, kept = kept_words(text.as_py(), [(r["at"], r["n"]) for r in ranges.as_py() or []], window)
+                out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode("utf-8", "surrogatepass")))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): the words that no repeated window covers, joined by one space."""
     rows = _texts(docs)
-    ranges = repeated_ranges(rows, **options)
+    ranges = repeated_ranges(rows, window, **options)
     # The join's left side is the one that repeated_ranges shuffles too, so that Spark shuffles the texts once.
     both = rows.where("doc_id is not null").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
     both = both.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
-    return both.mapInArrow(_applied, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return both.mapInArrow(_applied(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def cut_repeats(docs: DataFrame, **options) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_chars, where there is such a column, counted anew; other columns stay.
 
     Texts in which nothing repeats stay as they are; in others the kept words are joined by one space. No row is dropped.
     """
     ident, found_in = fresh(docs, "range_id"), fresh(docs, "found_ranges")
-    ranges = repeated_ranges(docs, **options).select(F.col("doc_id").alias(ident), F.col("ranges").alias(found_in))
+    ranges = repeated_ranges(docs, window, **options).select(F.col("doc_id").alias(ident), F.col("ranges").alias(found_in))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +333,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
             texts = []
             for text, found in zip(cols["text"], cols[found_in]):
                 r = found.as_py()
-                texts.append(b" ".join(kept_words(text.as_py(), [(x["at"], x["n"]) for x in r])[1]).decode("utf-8", "surrogatepass") if r else text.as_py())
+                texts.append(b" ".join(kept_words(text.as_py(), [(x["at"], x["n"]) for x in r], window)[1]).decode("utf-8", "surrogatepass") if r else text.as_py())
             cols["text"] = pa.array(texts, cols["text"].type)
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([n if not r.as_py() else len(t or "") for n, t, r in zip(cols["n_chars"].to_pylist(), texts, cols[found_in])], cols["n_chars"].type)
