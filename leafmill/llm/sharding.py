@@ -38,18 +38,21 @@ def _accepted(requests: dict[tuple[int, int], int], load: list[int], capacity: i
 def propagate(bundles: DataFrame, shards: int, rounds: int, capacity: int) -> DataFrame:
     """Moves of linked documents: bundles(grp, shard, n), n documents of one link group in one shard, towards each group's fullest shard.
 
-    A round joins every bundle with its group's fullest shard and asks to move there. The driver sees the requests by (from, to), at
+    A round joins every bundle with the shard that holds most of its group, of those with room, and asks to move there; the larger part of
+    a group in a full shard stays. The driver sees the requests by (from, to), at
     most shards * shards numbers, and grants shares within the quotas: a shard takes what it gives plus its room up to `capacity` linked
     documents (unlinked ones are left to even the counts later). Small bundles move
     whole, drawn by hash; of large ones the granted part moves, so a group that is larger than a shard settles in several.
     """
     for turn in range(rounds):
-        best = bundles.groupBy("grp").agg(F.max_by("shard", F.struct("n", F.xxhash64("grp", "shard"))).alias("to"))
-        asked = bundles.join(best, "grp")
-        flow = asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # at most shards * shards rows
         load = [0] * shards
-        for r in flow:
-            load[r["shard"]] += r["n"]
+        for r in bundles.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # at most a row per shard
+            load[r["shard"]] = r["n"]
+        full = [s for s in range(shards) if load[s] >= capacity]
+        best = bundles.where(~F.col("shard").isin(full)).groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("draw"), "shard")).alias("best"))
+        stays = F.col("best").isNull() | (F.col("shard").isin(full) & (F.col("best.n") < F.col("n")))
+        asked = bundles.join(best, "grp", "left").withColumn("to", F.when(stays, F.col("shard")).otherwise(F.col("best.shard"))).drop("best")
+        flow = asked.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # at most shards * shards rows
         requests = {(r["shard"], r["to"]): r["n"] for r in flow if r["shard"] != r["to"]}
         if not requests:
             break
@@ -64,7 +67,7 @@ def propagate(bundles: DataFrame, shards: int, rounds: int, capacity: int) -> Da
     return bundles
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): documents in `shards` shards whose counts differ by one at most, few equal texts apart.
 
     Documents with equal texts are linked. They start where their id hashes to, then labels propagate (see propagate). Last, all
@@ -85,14 +88,22 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFr
     rows = cut(rows)
     parts = cut(rows.groupBy("grp", "shard").agg(F.count("*").alias("n")))
     linked = parts.join(parts.groupBy("grp").agg(F.sum("n").alias("all")).where("all > 1"), "grp").select("grp", "shard", "n")
-    settled = propagate(cut(linked), shards, rounds, -(-rows.count() // shards))
+    capacity = -(-rows.count() // shards)
+    settled = cut(propagate(cut(linked), shards, rounds, capacity))
+    held = {r["shard"]: r["n"] for r in settled.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
+    room = [max(0, capacity - held.get(s, 0)) for s in range(shards)]
+    alone, upto = F.col("shard"), sum(room)
+    for s in reversed(range(shards)):  # unlinked documents go where linked ones have left room, in proportion
+        upto -= room[s]
+        if room[s]:
+            alone = F.lit(s) if upto + room[s] == sum(room) else F.when(_share("doc_id", F.lit(5)) < (upto + room[s]) / sum(room), F.lit(s)).otherwise(alone)
     # Per group its shards with the running share of documents up to each, at most `shards` entries.
     spans = settled.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("held"), F.sum("n").alias("all"))
     spans = cut(spans.select("grp", F.transform("held", lambda h, i: F.struct(h["shard"].alias("shard"), (F.aggregate(F.slice("held", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["n"]) / F.col("all")).alias("upto"))).alias("spans")))
     draw = _share("doc_id", F.lit(3))
     chosen = F.coalesce(F.element_at(F.filter("spans", lambda s: s["upto"] > draw), 1)["shard"], F.element_at("spans", -1)["shard"])
     where = F.when(F.col("spans").isNull(), F.when(_share("doc_id", F.lit(4)) < 0.5, 0).otherwise(2)).otherwise(1)
-    placed = rows.join(spans, "grp", "left").select("doc_id", "size", "text_crc32", F.coalesce(chosen, "shard").alias("near"), where.alias("zone"), "grp")
+    placed = rows.join(spans, "grp", "left").select("doc_id", "size", "text_crc32", F.coalesce(chosen, alone).alias("near"), where.alias("zone"), "grp")
     keys = ["near", "zone", "grp", "doc_id"]
     ranked = cut(placed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "size", "text_crc32", F.monotonically_increasing_id().alias("at")))
     part = F.shiftright("at", 33)
