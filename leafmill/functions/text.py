@@ -22,6 +22,15 @@ VISION_TYPES = {
 }
 
 
+# Patterns of labels in diagrams.
+RAW_ID = r"^[0-9a-fA-F-]{6,}$"
+MULTIPLICITY = r"^(0\.\.1|0\.\.\*|1\.\.\*|1|\*|many|one)$"
+ATTRIBUTE_TYPED_AFTER = r"^[-+#~]?\s*([A-Z][A-Za-z0-9_<>?, ]+\s+)?[a-z][A-Za-z0-9_]*\s*:\s*[A-Z][A-Za-z0-9_<>?, ]+$"
+ATTRIBUTE_TYPED_BEFORE = r"^[-+#~]?\s*([A-Z][A-Za-z0-9_<>?, ]*|(Collection|List|Set|Map)<[^>]+>)\s+[a-z][A-Za-z0-9_]*$"
+COLUMN_ONLY = r" pk| fk|primary key|foreign key|\b(id|uuid|created_at|updated_at)\b"
+DIAGRAM_MARK = r"(?i)<mx(file|GraphModel)\b"
+
+
 def strip(x: Column) -> Column:
     """x without blanks at its ends; not only spaces."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -139,17 +148,15 @@ def join_lists(*lists: Column) -> Column:
 
 
 def is_meaningful(label: Column) -> Column:
-    return F.coalesce(label.rlike(r"\S") & ~label.rlike(r"^[0-9a-fA-F-]{6,}$"), F.lit(False))
+    return F.coalesce(label.rlike(r"\S") & ~label.rlike(RAW_ID), F.lit(False))
 
 
 def is_multiplicity(label: Column) -> Column:
-    return F.coalesce(strip(label).rlike(r"^(0\.\.1|0\.\.\*|1\.\.\*|1|\*|many|one)$"), F.lit(False))
+    return F.coalesce(strip(label).rlike(MULTIPLICITY), F.lit(False))
 
 
 def is_attribute(label: Column) -> Column:
-    typed_after = r"^[-+#~]?\s*([A-Z][A-Za-z0-9_<>?, ]+\s+)?[a-z][A-Za-z0-9_]*\s*:\s*[A-Z][A-Za-z0-9_<>?, ]+$"
-    typed_before = r"^[-+#~]?\s*([A-Z][A-Za-z0-9_<>?, ]*|(Collection|List|Set|Map)<[^>]+>)\s+[a-z][A-Za-z0-9_]*$"
-    return F.coalesce(strip(label).rlike(typed_after) | strip(label).rlike(typed_before), F.lit(False))
+    return F.coalesce(strip(label).rlike(ATTRIBUTE_TYPED_AFTER) | strip(label).rlike(ATTRIBUTE_TYPED_BEFORE), F.lit(False))
 
 
 def is_class_member(label: Column) -> Column:
@@ -157,11 +164,11 @@ def is_class_member(label: Column) -> Column:
 
 
 def is_raw_id(label: Column) -> Column:
-    return F.coalesce(label.rlike(r"^[0-9a-fA-F-]{6,}$"), F.lit(False))
+    return F.coalesce(label.rlike(RAW_ID), F.lit(False))
 
 
 def is_column_only(label: Column) -> Column:
-    return F.coalesce(F.lower(label).rlike(r" pk| fk|primary key|foreign key|\b(id|uuid|created_at|updated_at)\b"), F.lit(False))
+    return F.coalesce(F.lower(label).rlike(COLUMN_ONLY), F.lit(False))
 
 
 def mime_by_extension(name: Column) -> Column:
@@ -186,7 +193,7 @@ def mime_type(name: Column, declared: Column, content: Column) -> Column:
 
 
 def is_drawio(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)<mx(file|GraphModel)\b"), F.lit(False))
+    return F.coalesce(text.rlike(DIAGRAM_MARK), F.lit(False))
 
 
 def placeholder(kind: str, ident: Column) -> Column:

@@ -11,6 +11,9 @@ from leafmill.functions.text import asset_path, checksum, display_type, extensio
 from leafmill.operators.common import distinct_ordered, first_n
 from leafmill.operators.markup import attribute, tokens
 
+# The heading of inserted sections, texts for attachments without content, and known extensions.
+NO_ERD = "Data Model Summary\n\nStructured ERD extraction is unavailable because no deterministic diagram metadata was found."
+NO_CONTENT = "Searchable Content:\n\nNo visual content extracted because image analysis is disabled or unavailable."
 ENRICHMENT_HEADING = "### Attachment Information"
 KNOWN = ("drawio", "vsdx", "vsd", "svg", "pdf", "pptx", "ppt", "png", "jpg", "jpeg", "gif", "webp", "bmp")
 DIAGRAM_EXTENSIONS = ("drawio", "xml")
@@ -166,7 +169,7 @@ def render_attachment(attachments: DataFrame, diagrams: DataFrame | None = None)
     text = [_section(t, F.col(c)) for t, c in (("Title", "title"), ("Description", "description")) if c in have]
     lists = [("Extracted Text", "visible_text"), ("Labels", "labels"), ("Components", "components"), ("Relationships", "relationships"), ("Flow", "flow"), ("Warnings", "warnings")]
     plain = F.concat_ws("\n\n", _section("Summary", F.col("summary")), *text, *[_section(t, bullets(c, 200)) for t, c in lists if c in have])
-    missing = F.when(is_erd, "Data Model Summary\n\nStructured ERD extraction is unavailable because no deterministic diagram metadata was found.").otherwise("Searchable Content:\n\nNo visual content extracted because image analysis is disabled or unavailable.")
+    missing = F.when(is_erd, F.lit(NO_ERD)).otherwise(F.lit(NO_CONTENT))
     body = F.when(has, F.when(is_diagram, F.coalesce("sections", diagram)).otherwise(plain)).otherwise(missing)
     return rows.select("page_id", "relative_path", F.concat_ws("\n\n", F.lit(ENRICHMENT_HEADING), head, body, F.lit("---")).alias("section"))
 

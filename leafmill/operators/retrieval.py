@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import hit_title, meta_string, no_blank, score_of, truncate
 
 
+# Texts for queries without hits, and the head of answers made without a model.
+NO_CONTEXT = "(no relevant context found)"
+NO_HITS = "No relevant content found"
+NO_MODEL = "LLM chat model is not configured. Showing top matching excerpts:\n\n"
+
+
 def validate_queries(queries: DataFrame, max_k: int = 50) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) queries(query, top_k, threshold): text not blank and at most 4000 characters, 1 <= top_k <= max_k, 0 <= threshold
     <= 1; a missing top_k or threshold is fine."""
@@ -39,7 +45,7 @@ def _block() -> F.Column:
 def rag_context(queries: DataFrame, hit_rows: DataFrame) -> DataFrame:
     """(query_id, context): the hits' texts with their headers in rank order; a fixed line for queries without hits."""
     per = hit_rows.select("query_id", "rank", _block().alias("b")).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]), "").alias("context"))
-    return queries.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("context", F.lit("(no relevant context found)")).alias("context"))
+    return queries.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
 
 
 def retrieval_answer(queries: DataFrame, hit_rows: DataFrame) -> DataFrame:
@@ -47,8 +53,8 @@ def retrieval_answer(queries: DataFrame, hit_rows: DataFrame) -> DataFrame:
     bullet = F.concat(F.lit("• "), hit_title(F.col("title"), F.col("heading_path")), F.lit("\n"), truncate(F.col("text"), 500))
     per = hit_rows.select("query_id", "rank", bullet.alias("b")).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]), "\n\n").alias("a"))
     out = queries.select("query_id").join(per, "query_id", "left")
-    answer = F.concat(F.lit("LLM chat model is not configured. Showing top matching excerpts:\n\n"), F.col("a"))
-    return out.select("query_id", F.col("a").isNotNull().alias("success"), F.coalesce(answer, F.lit("No relevant content found")).alias("answer"))
+    answer = F.concat(F.lit(NO_MODEL), F.col("a"))
+    return out.select("query_id", F.col("a").isNotNull().alias("success"), F.coalesce(answer, F.lit(NO_HITS)).alias("answer"))
 
 
 def sources(hit_rows: DataFrame) -> DataFrame:
