@@ -273,3 +273,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, span: int = 1, probes
 
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+ok as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, c) as (select vec_id, vec_id from v union select r.vec_id, p.b from r join p on p.a = r.c),
+c as (select vec_id, min(c) as component_id from r group by vec_id),
+n as (select a as vec_id, count(*) as n from p group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept from v join c on c.vec_id = v.vec_id left join n on n.vec_id = v.vec_id
+"""

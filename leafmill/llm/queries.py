@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_lattice": lattice.OP5_SQL,
     "op4_substring_dedup": substring.OP4_SQL,
     "op2_warc": warc.OP2_SQL,
     "op8_quality_rules": rules.OP8_SQL,
