@@ -547,3 +547,51 @@ def stream_upsert(spark, sf_dir):
     stream = jobs.job_stream(spark, f"{path}/in")
     jobs.stream_upsert(stream, f"{path}/out", ["root_id"], f"{path}/ck").awaitTermination()
     return jobs.read_target(spark, f"{path}/out", stream.schema).selectExpr("root_id", "cast(ts as timestamp_ntz) as ts")
+
+
+# ---------------------------------------------------------------- matching of attachments and diagrams
+
+
+@query(f"with a as ({fx.ATTACHMENTS}) select page_id, file_name as name, ord % 4 <> 0 as found from a")
+def image_resolution(spark, sf_dir):
+    a = derived(spark, sf_dir, fx.ATTACHMENTS)
+    listed = a.where("ord % 4 <> 0").selectExpr("page_id", "file_name as title", "ord", "declared_mime as media_type")
+    found, missing = att.resolve_images(a.selectExpr("page_id", "file_name as name"), listed)
+    return found.select("page_id", "name", F.lit(True).alias("found")).unionByName(missing.select("page_id", "name", F.lit(False).alias("found")))
+
+
+@query(f"with a as ({fx.ATTACHMENTS}) select page_id, file_name, case when ord % 3 <> 0 then 2 * ord end as asset_size from a")
+def asset_meta(spark, sf_dir):
+    a = derived(spark, sf_dir, fx.ATTACHMENTS)
+    known = a.where("ord % 3 <> 0").selectExpr("page_id", "file_name", "explode(array(named_struct('k', 0, 's', ord), named_struct('k', 1, 's', 2 * ord))) as x").selectExpr("page_id", "file_name", "x.k as ord", "x.s as size")
+    return att.with_asset_meta(a.select("page_id", "file_name"), known).select("page_id", "file_name", "asset_size")
+
+
+@query("select doc_id as page_id, 'f' || doc_id || '.png' as file_name, source || ' > ' || lang as heading_path from documents")
+def attachment_headings(spark, sf_dir):
+    lines = chunks.heading_paths(chunks.lines(derived(spark, sf_dir, fx.MARKDOWN)))
+    a = load(spark, sf_dir, "documents").selectExpr("doc_id as page_id", "concat('./assets/f', doc_id, '.png') as relative_path", "concat('f', doc_id, '.png') as file_name")
+    return att.with_heading_path(a, att.asset_headings(lines)).select("page_id", "file_name", "heading_path")
+
+
+@query("select c_custkey as file_id, 1 as page_ix, 14 as score from customer")
+def pick_diagram(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    pages = c.selectExpr("c_custkey as file_id", "concat(c_mktsegment, '-plan.drawio') as file_name", "c_mktsegment", "explode(array(0, 1)) as page_ix")
+    pages = pages.selectExpr("file_id", "file_name", "page_ix", "case when page_ix = 1 then c_mktsegment else 'other' end as diagram_name", "case when page_ix = 1 then array(c_mktsegment) else array() end as labels", "'GENERIC_DIAGRAM' as type")
+    return diagrams.pick_diagram(pages).select("file_id", "page_ix", "score")
+
+
+@query("select doc_id as page_id, 'diagram-1' as diagram_id, case when doc_id % 2 = 0 then '[DIAGRAM:diagram-1](assets/diagrams/diagram-1.json)' || chr(10) || chr(10) || '- ' || lang || chr(10) || '- ' || source else '[DIAGRAM:diagram-1 (unavailable)]' end as md from documents")
+def inline_diagrams(spark, sf_dir):
+    refs = markup.diagram_refs(markup.tokens(derived(spark, sf_dir, _MACRO)))
+    labels = load(spark, sf_dir, "documents").where("doc_id % 2 = 0").selectExpr("doc_id as page_id", "'diagram-1' as diagram_id", "posexplode(array(lang, source)) as (ord, label)")
+    return markup.inline_diagrams(refs, labels)
+
+
+@query(f"with a as ({fx.ATTACHMENTS}) select page_id, file_name, case when length(magic) > 6 then 'no' end as skip_reason, sha256(unhex(magic)) as checksum, case when ord % 2 = 0 then 'Summary ' || lang end as title from a")
+def attachment_facts(spark, sf_dir):
+    a = derived(spark, sf_dir, fx.ATTACHMENTS).withColumn("content", F.unhex("magic"))
+    rows = att.size_guard(a).withColumn("skip_reason", F.when(F.col("skip_reason").isNull(), "no")).withColumn("title", F.expr("case when ord % 2 = 0 then 'Summary ' || lang end"))
+    rows = att.attachment_metadata(rows.withColumn("checksum", fn.checksum(F.col("content"))))
+    return rows.select("page_id", "file_name", "skip_reason", "checksum", F.col("metadata.title").alias("title"))

@@ -125,3 +125,44 @@ def test_search_in_blocks_equals_one_pass(spark, sf_dir, monkeypatch):
     once = rows()
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
     assert rows() == once
+
+
+def test_class_diagram_members_and_edges(spark):
+    rows = [
+        ("d", "k", None, "Order Service", True, False, None, None, "swimlane", 0),
+        ("d", "k1", "k", "+ total : Long", True, False, None, None, "", 1),
+        ("d", "k2", "k", "close()", True, False, None, None, "", 2),
+        ("d", "p", None, "Item", True, False, None, None, "swimlane", 3),
+        ("d", "p1", "p", "open()", True, False, None, None, "", 4),
+        ("d", "e", None, "1 to many", False, True, "k1", "p", "endArrow=diamond", 5),
+        ("d", "f", None, "", False, True, "k", "k1", "", 6),
+        ("d", "x", None, "String name", True, False, None, None, "", 7),
+    ]
+    cells = spark.createDataFrame(rows, "diagram_id string, cell_id string, parent_id string, value string, vertex boolean, edge boolean, source_id string, target_id string, style string, ord int")
+    types = diagrams.classify_diagrams(cells)
+    assert types.first()["type"] == "CLASS_DIAGRAM"
+    nodes = diagrams.diagram_nodes(cells, types)
+    got = {r.label: (r.type, r.attributes, r.methods) for r in nodes.collect()}
+    assert got == {"Order Service": ("class", ["+ total : Long"], ["close()"]), "Item": ("class", [], ["open()"])}
+    e = diagrams.diagram_edges(cells, types, nodes).collect()
+    assert [(r.source, r.target, r.relationship_type, r.label, r.source_multiplicity, r.target_multiplicity) for r in e] == [("Order Service", "Item", "aggregation", "aggregation one-to-many", "1", "many")]
+    text = diagrams.diagram_sections(types, cells, nodes, diagrams.diagram_edges(cells, types, nodes)).first()["sections"]
+    assert "| Order Service | Class | + total : Long |" in text and "| Order Service | aggregation one-to-many | Item |" in text
+
+
+def test_state_diagram_marks(spark):
+    rows = [
+        ("s", "a", None, "", True, False, None, None, "ellipse;fillColor=#000000", 0),
+        ("s", "b", None, "WAIT", True, False, None, None, "", 1),
+        ("s", "c", None, "APPROVED", True, False, None, None, "", 2),
+        ("s", "z", None, "", True, False, None, None, "shape=endState", 3),
+        ("s", "e1", None, "", False, True, "a", "b", "", 4),
+        ("s", "e2", None, "approve", False, True, "b", "c", "", 5),
+        ("s", "e3", None, "", False, True, "c", "z", "", 6),
+    ]
+    cells = spark.createDataFrame(rows, "diagram_id string, cell_id string, parent_id string, value string, vertex boolean, edge boolean, source_id string, target_id string, style string, ord int")
+    types = diagrams.classify_diagrams(cells)
+    nodes = diagrams.diagram_nodes(cells, types)
+    assert {(r.label, r.type) for r in nodes.collect()} == {("START", "state-start"), ("WAIT", "state"), ("APPROVED", "state"), ("END", "state-end")}
+    edges = diagrams.diagram_edges(cells, types, nodes)
+    assert diagrams.diagram_summary(types, cells, nodes, edges).first()["summary"] == "Workflow begins in WAIT and can move to WAIT, APPROVED."
