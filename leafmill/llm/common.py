@@ -38,10 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared checkpoint folder and read from there: compressed, for wide rows and texts."""
+def stored(df: DataFrame, **options) -> DataFrame:
+    """df written as Parquet (with the writer's options) to the shared checkpoint folder and read from there: compressed, for wide rows and texts."""
     path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

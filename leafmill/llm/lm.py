@@ -1,7 +1,8 @@
-"""Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers."""
+"""Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts, in blocks to which the n-grams are sent."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,110 +132,153 @@ def _bunches(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[lis
             rows, parts, size = [], [], 0
 
 
+_BUNCH = "bunch string, docs array<struct<doc_id: bigint, held_out: boolean, text: string>>"
+
+
+def _gathered(most_bytes: int):
+    """Rows (bunch, docs): stretches of rows of about most_bytes of text under a random name, which is fixed by storing them."""
+    docs_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())]))
+
+    def packed(docs: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([docs], docs_type)], ["bunch", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, size = [], 0
+        for b in batches:
+            for row in zip(*(b.column(c) for c in ("doc_id", "held_out", "text"))):
+                doc_id, held_out, text = (x.as_py() for x in row)
+                docs.append({"doc_id": doc_id, "held_out": held_out, "text": text})
+                size += len(text or "")
+                if size >= most_bytes or len(docs) >= 1 << 16:
+                    yield packed(docs)
+                    docs, size = [], 0
+        if docs:
+            yield packed(docs)
+
+    return run
+
+
+def _tokens_in(docs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, first token of each row, tokens of each row) of a bunch."""
+    parts = [tokens_of(d["text"]) for d in docs]
+    sizes = np.array([len(p) for p in parts])
+    return np.concatenate(parts), np.cumsum(sizes) - sizes, sizes
+
+
 def _counted(blocks_log2: int):
-    """Rows (kind, block, names, counts, trained): packed hashes of a bunch's distinct tokens (kind 1) and training pairs (kind 2)."""
+    """Rows (kind, block, bunch, names, counts, trained): packed hashes of a bunch's distinct tokens (kind 1) and pairs (kind 2)."""
     shift = np.uint64(64 - blocks_log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            train = ~np.array(b.column("held_out").to_pylist(), bool)
-            for rows, tokens, heads in _bunches(b):
-                sizes = np.diff(np.append(heads, len(tokens)))
-                learn = np.repeat(train[rows], sizes)
+            for bunch, listed in zip(b.column("bunch"), b.column("docs")):
+                docs = listed.as_py()
+                tokens, heads, sizes = _tokens_in(docs)
+                learn = np.repeat([not d["held_out"] for d in docs], sizes)
                 _, pair = pairs_of(tokens, heads)
                 out = []
-                for kind, names in ((1, tokens), (2, pair[learn])):
+                for kind, names in ((1, tokens), (2, pair)):
                     unique, count = np.unique(names, return_counts=True)
-                    trained = count
-                    if kind == 1:
-                        known, often = np.unique(names[learn], return_counts=True)
-                        trained = np.zeros(len(unique), np.int64)
-                        trained[np.searchsorted(unique, known)] = often
+                    known, often = np.unique(names[learn], return_counts=True)
+                    trained = np.zeros(len(unique), np.int64)
+                    trained[np.searchsorted(unique, known)] = often
                     block = (unique >> shift).astype(np.int64) if blocks_log2 else np.zeros(len(unique), np.int64)
-                    edge = np.nonzero(np.concatenate(([True], block[1:] != block[:-1])))[0] if len(unique) else []
-                    for s, e in zip(edge, np.append(edge[1:], len(unique)) if len(unique) else []):
-                        out.append((kind, int(block[s]), unique[s:e].tobytes(), count[s:e].astype("<u4").tobytes() if kind == 1 else None, trained[s:e].astype("<u4").tobytes()))
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["kind", "block", "names", "counts", "trained"])
+                    edge = np.nonzero(np.concatenate(([True], block[1:] != block[:-1])))[0]
+                    for s, e in zip(edge, np.append(edge[1:], len(unique))):
+                        out.append((kind, int(block[s]), bunch.as_py(), unique[s:e].tobytes(), count[s:e].astype("<u4").tobytes() if kind == 1 else None, trained[s:e].astype("<u4").tobytes()))
+                kinds = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["kind", "block", "bunch", "names", "counts", "trained"])
 
     return run
 
 
-def _merged(most_bits: tuple[int, int]):
-    """One block: its filter part, and for tokens (kind 1) also the exact counts."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kind = int(key[0])
-        names = np.frombuffer(b"".join(rows.names), np.uint64)
-        trained = np.frombuffer(b"".join(rows.trained), "<u4").astype(np.int64)
-        order = np.argsort(names, kind="stable")
-        names, trained = names[order], trained[order]
-        head = np.nonzero(np.concatenate(([True], names[1:] != names[:-1])))[0]
-        unique, learned = names[head], np.add.reduceat(trained, head)
-        counts = np.add.reduceat(np.frombuffer(b"".join(rows.counts), "<u4").astype(np.int64)[order], head) if kind == 1 else learned
-        seen = learned > 0
-        bits, k, data = _block(unique[seen], learned[seen], BASES[kind - 1], most_bits[kind - 1])
-        exact = [unique.tobytes(), counts.tobytes(), learned.tobytes()] if kind == 1 else [None] * 3
-        return pd.DataFrame([[kind, int(key[1]), bits, k, data, int(learned.sum()), int(counts.sum()), int(seen.sum()), *exact]])
-
-    return run
-
-
-_MERGED = "kind int, block long, bits long, hashes int, data binary, trained long, total long, types long, names binary, counts binary, learned binary"
+def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One block: its sums (for tokens, kind 1, also the exact counts) and, for each bunch, the levels its filter gives for the bunch's names,
+    in their order. A block's filter holds all its n-grams."""
+    kind = int(key[0])
+    names = np.frombuffer(b"".join(rows.names), np.uint64)
+    trained = np.frombuffer(b"".join(rows.trained), "<u4").astype(np.int64)
+    order = np.argsort(names, kind="stable")
+    ordered = names[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    head = np.nonzero(first)[0]
+    unique, learned = ordered[head], np.add.reduceat(trained[order], head)
+    counts = np.add.reduceat(np.frombuffer(b"".join(rows.counts), "<u4").astype(np.int64)[order], head) if kind == 1 else learned
+    seen = learned > 0
+    bits, k, data = _block(unique[seen], learned[seen], BASES[kind - 1], 1 << 62)
+    filter_ = CountFilter(64, BASES[kind - 1], np.zeros(1, np.int64), np.array([bits]), np.array([k]), np.frombuffer(data or b"\0", np.uint8))
+    level = np.empty(len(names), np.uint8)
+    level[order] = np.minimum(filter_.level(unique), 127).astype(np.uint8)[np.cumsum(first) - 1]
+    exact = [unique.tobytes(), counts.tobytes(), learned.tobytes()] if kind == 1 else [None] * 3
+    out, at = [[kind, int(key[1]), None, None, int(learned.sum()), int(counts.sum()), int(seen.sum()), *exact]], 0
+    for bunch, part in zip(rows.bunch, rows.names):
+        out.append([kind, int(key[1]), bunch, level[at : at + len(part) // 8].tobytes(), 0, 0, 0, None, None, None])
+        at += len(part) // 8
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGED.split(", ")])
+
+
+_MERGED = "kind int, block long, bunch string, levels binary, trained long, total long, types long, names binary, counts binary, learned binary"
+
+#: Bits of the levels of a token, the token before and the pair in a code.
+_BITS = (7, 7, 6)
+_CODES = 1 << sum(_BITS)
 
 
 @dataclass
 class Model:
-    tokens: CountFilter
-    pairs: CountFilter
+    """Scores by code: the levels of a token, of the token before it and of the pair. There are at most _CODES, however large the corpus."""
+
     n: int
     v: int
     weight: np.ndarray  # of the pair's relative frequency, by bit length of the count of the token before
 
-    def parts(self, tokens: np.ndarray, heads: np.ndarray, unique: np.ndarray, where: np.ndarray, minus: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """tokens are unique[where]. (probability of the token alone, relative frequency after the token before, class of that token's count); minus: occurrences
+    def parts(self, codes: np.ndarray, minus: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability of the token alone, relative frequency after the token before, class of that token's count); minus: occurrences
         to leave out of each count."""
-        _, pair = pairs_of(tokens, heads)
-        count = self.tokens.count(unique)
-        c = np.maximum(count[where] - minus, 0)
-        previous = np.empty(len(tokens))
-        previous[1:] = count[where][:-1]
-        end = self.tokens.count(np.array([END]))[0]
-        previous[heads] = end
-        both = np.maximum(self.pairs.count(pair) - minus, 0)
-        alone = (c + 0.5) / (self.n + 0.5 * (self.v + 1))
+        count = np.maximum(_count_of(codes >> 13, BASES[0]) - minus, 0)
+        previous = _count_of((codes >> 6) & 127, BASES[0])
+        both = np.maximum(_count_of(codes & 63, BASES[1]) - minus, 0)
+        alone = (count + 0.5) / (self.n + 0.5 * (self.v + 1))
         after = np.minimum(both / np.maximum(previous - minus, 1), 1.0)
-        return alone, after, np.ceil(np.log2(np.maximum(previous, 0) + 1)).astype(np.int64)
+        return alone, after, np.minimum(np.ceil(np.log2(previous + 1)).astype(np.int64), len(self.weight) - 1)
 
-    def scores(self, tokens: np.ndarray, heads: np.ndarray, unique: np.ndarray, where: np.ndarray) -> np.ndarray:
-        alone, after, group = self.parts(tokens, heads, unique, where)
-        w = self.weight[np.minimum(group, len(self.weight) - 1)]
-        return np.add.reduceat(np.log10(w * after + (1 - w) * alone), heads)
+    def terms(self, codes: np.ndarray) -> np.ndarray:
+        alone, after, group = self.parts(codes)
+        w = self.weight[group]
+        return np.log10(w * after + (1 - w) * alone)
 
-    def tune(self, tokens: np.ndarray, heads: np.ndarray, rounds: int = 30) -> None:
-        """Interpolation weights by expectation maximisation over training texts, each token's own occurrence left out."""
-        alone, after, group = self.parts(tokens, heads, *np.unique(tokens, return_inverse=True), minus=1)
+    def tune(self, codes: np.ndarray, times: np.ndarray, rounds: int = 30) -> None:
+        """Interpolation weights by expectation maximisation over the training tokens, given as codes with how often each occurs; each
+        token's own occurrence is left out. A class without training tokens (nothing follows an unseen token) has no weight."""
+        alone, after, group = self.parts(codes, minus=1)
         size = len(self.weight)
-        group = np.minimum(group, size - 1)
-        n = np.bincount(group, minlength=size)
+        n = np.bincount(group, times, size)
         for _ in range(rounds):
             w = self.weight[group]
             share = w * after / np.maximum(w * after + (1 - w) * alone, 1e-300)
-            self.weight = (np.bincount(group, share, size) + 0.5) / (n + 5.0)
+            self.weight = np.where(n > 0, (np.bincount(group, share * times, size) + 0.5) / (n + 5.0), 0.0)
 
 
-def _filter(blocks: pd.DataFrame, blocks_log2: int, base: float) -> CountFilter:
-    count = 1 << blocks_log2
-    bits, hashes = np.zeros(count, np.int64), np.ones(count, np.int64)
-    bits[blocks.block], hashes[blocks.block] = blocks.bits, blocks.hashes
-    data = [b""] * count
-    for b, d in zip(blocks.block, blocks.data):
-        data[b] = d
-    start = np.concatenate(([0], np.cumsum(bits)[:-1]))
-    return CountFilter(64 - blocks_log2, base, start, bits, hashes, np.frombuffer(b"".join(data) or b"\0", np.uint8))
+def _codes_in(tokens: np.ndarray, heads: np.ndarray, levels: dict[int, np.ndarray]) -> np.ndarray:
+    """The code of each token of a bunch; levels: those of its distinct tokens (1) and pairs (2) in the order of their hashes."""
+    _, pair = pairs_of(tokens, heads)
+    at = [levels[kind][np.unique(names, return_inverse=True)[1]].astype(np.int64) for kind, names in ((1, tokens), (2, pair))]
+    previous = np.empty_like(at[0])
+    previous[1:] = at[0][:-1]
+    previous[heads] = at[0][tokens == END][0]
+    return at[0] << 13 | previous << 6 | np.minimum(at[1], 63)
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, filter_mb: int = 32, most_frequent: int = 1 << 21, tune_docs: int = 1000, block_text_mb: int = 4) -> DataFrame:
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    times = np.zeros(_CODES, np.int64)
+    for b in batches:
+        for codes in b.column("codes"):
+            times += np.bincount(np.frombuffer(codes.as_py(), "<u4"), minlength=_CODES)
+    code = np.nonzero(times)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times[code])], ["code", "times"])
+
+
+def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, most_frequent: int = 1 << 21, tune_docs: int = 1000, block_text_mb: int = 4, bunch_mb: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of the whole texts.
 
     Learns from rows whose crc32(doc_id) mod `folds` is not `held`. score interpolates the relative frequency of the token after the one
@@ -243,8 +287,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, filter_mb: i
     base_score is exact: tokens with at least 1 / most_frequent of all occurrences, most_frequent at most, are broadcast with their
     counts, the rows of the others are joined with theirs; none of these holds a large share.
 
-    filter_mb bounds the broadcast filter (a quarter for tokens, the rest for pairs). It is sized by its entries; if they would not
-    fit, the rarest n-grams of each block stay out and are scored by backing off.
+    The filter lies in blocks by hash and grows with the input; no n-gram stays out of it. It is not broadcast: texts go in bunches of
+    about bunch_mb, the distinct n-grams of a bunch go to their blocks once, to be counted and looked up there, and the levels come back.
 
     Null texts count as empty: one token, the end. A null doc_id counts as the empty text when folds are drawn. Repeated rows stay and
     are counted as often. An empty table gives no rows. Other columns are ignored.
@@ -254,22 +298,12 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, filter_mb: i
     rows = rows.withColumn("held_out", fold_of(F.col("doc_id"), folds) == held)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2 = max(0, int(np.ceil(np.log2(max(1, size / (block_text_mb << 20))))))
-    caps = tuple(int(filter_mb * share * (8 << 20)) >> log2 for share in (0.25, 0.75))
-    packed = rows.mapInArrow(_counted(log2), "kind int, block long, names binary, counts binary, trained binary")
-    merged = stored(packed.groupBy("kind", "block").applyInPandas(_merged(caps), _MERGED))
-    blocks = merged.select("kind", "block", "bits", "hashes", "data", "trained", "total", "types").toPandas()  # filter_mb at most
-    one, two = (blocks[blocks.kind == k] for k in (1, 2))
-    n, v, total = int(one.trained.sum()), int(one.types.sum()), int(one.total.sum())
-    model = Model(_filter(one, log2, BASES[0]), _filter(two, log2, BASES[1]), n, v, np.full(40, 0.3))
-    del blocks, one, two
-    # First the smallest hashes alone, then the texts that have them: an ordered limit over texts would send tune_docs of every task.
-    drawn = rows.where(~F.col("held_out")).withColumn("draw", F.xxhash64("doc_id"))
-    last = drawn.select("draw").orderBy("draw").limit(tune_docs).agg(F.max("draw")).first()[0]
-    sample = drawn.where(F.col("draw") <= F.lit(last)).select("text").limit(tune_docs).toPandas()
-    if len(sample):
-        parts = [tokens_of(t) for t in sample.text]
-        model.tune(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])))
-    shared = spark.sparkContext.broadcast(model)
+    checks = {f"parquet.{x}.size.row.check.{y}": 2 for x in ("page", "block") for y in ("min", "max")}  # few rows, large ones
+    bunches = stored(rows.mapInArrow(_gathered(bunch_mb << 20), _BUNCH), **checks)
+    packed = bunches.mapInArrow(_counted(log2), "kind int, block long, bunch string, names binary, counts binary, trained binary")
+    merged = stored(packed.groupBy("kind", "block").applyInPandas(_merged, _MERGED))
+    sums = merged.where("bunch is null and kind = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("trained", "types", "total")]).first()
+    n, v, total = (int(x) for x in sums)
 
     def explode(kinds: str):
         """(name, counts) rows of the token blocks; head: frequent ones, tail: the others."""
@@ -281,11 +315,10 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, filter_mb: i
                     pick = (counts * most_frequent >= total) == (kinds == "head")
                     yield pa.RecordBatch.from_arrays([pa.array(names[pick]), pa.array(learned[pick])], ["name", "c"])
 
-        return merged.where("kind = 1").select("names", "counts", "learned").mapInArrow(run, "name long, c long")
+        return merged.where("bunch is null and kind = 1").select("names", "counts", "learned").mapInArrow(run, "name long, c long")
 
     head = explode("head").toPandas()  # most_frequent rows at most
     order = np.argsort(head.name.to_numpy(np.int64).view(np.uint64))
-    del sample
     frequent = spark.sparkContext.broadcast((head.name.to_numpy(np.int64).view(np.uint64)[order], head.c.to_numpy(np.int64)[order]))
     lookup_base = 0.5 * (v + 1) + n
 
@@ -294,13 +327,12 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, filter_mb: i
         at = np.minimum(np.searchsorted(names, tokens), max(len(names) - 1, 0))
         return at, names[at] == tokens if len(names) else np.zeros(len(tokens), bool)
 
-    def row_key(b: pa.RecordBatch) -> list[int]:
-        ids = b.column("doc_id").to_pylist()
-        return [xxhash.xxh64_intdigest((t.as_py() or "").encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(str(d))) - (1 << 63) for d, t in zip(ids, b.column("text"))]
+    def key_of(doc_id: int | None, text: str | None) -> int:
+        return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(str(doc_id))) - (1 << 63)
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.array(row_key(b), np.int64)
+            keys = np.array([key_of(d.as_py(), t.as_py()) for d, t in zip(b.column("doc_id"), b.column("text"))], np.int64)
             for nums, tokens, heads in _bunches(b, 300_000):
                 unique, where = np.unique(tokens, return_inverse=True)
                 rare = ~place(unique)[1][where]
@@ -311,31 +343,50 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, filter_mb: i
                 first = np.nonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (name[1:] != name[:-1]))))[0] if len(name) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(name[first]), pa.array(owner[first]), pa.array(np.diff(np.append(first, len(name))))], ["name", "row", "k"])
 
+    def coded(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        kind, block = (answers.column(c).to_numpy() for c in ("kind", "block"))
+        found = answers.column("levels").to_pylist()
+        levels = {k: np.frombuffer(b"".join(found[i] for i in np.lexsort((block, kind)) if kind[i] == k), np.uint8) for k in (1, 2)}
+        for listed in texts.column("docs"):
+            docs = listed.as_py()
+            tokens, heads, sizes = _tokens_in(docs)
+            unique, where = np.unique(tokens, return_inverse=True)
+            at, is_head = place(unique)
+            counts = frequent.value[1][at] if len(frequent.value[1]) else np.zeros(len(unique))
+            term = np.where(is_head, np.log10(counts + 0.5), 0.0)
+            known = (is_head & (counts > 0)).astype(np.int64)
+            codes = _codes_in(tokens, heads, levels).astype("<u4")
+            cols = [
+                pa.array([d["doc_id"] for d in docs], pa.int64()),
+                pa.array([d["held_out"] for d in docs], pa.bool_()),
+                pa.array([key_of(d["doc_id"], d["text"]) for d in docs], pa.int64()),
+                pa.array(sizes),
+                pa.array(np.add.reduceat(known[where], heads)),
+                pa.array(np.add.reduceat(term[where], heads)),
+                pa.array([codes[h : h + k].tobytes() for h, k in zip(heads, sizes)], pa.binary()),
+            ]
+            out.append(pa.Table.from_arrays(cols, ["doc_id", "held_out", "row", "n_tokens", "known", "base", "codes"]))
+        return pa.concat_tables(out)
+
+    answers = merged.where("bunch is not null").select("bunch", "kind", "block", "levels")
+    codes = stored(bunches.groupBy("bunch").cogroup(answers.groupBy("bunch")).applyInArrow(coded, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, codes binary"))
+    model = Model(n, v, np.full(40, 0.3))
+    times = codes.where("not held_out").orderBy(F.xxhash64("doc_id")).limit(tune_docs).select("codes").mapInArrow(_histogram, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toPandas()  # _CODES at most
+    times = times.sort_values("code")
+    model.tune(times.code.to_numpy(np.int64), times.times.to_numpy(np.int64))
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = model.terms(np.arange(_CODES))
         for b in batches:
-            keys = np.array(row_key(b), np.int64)
-            for nums, tokens, heads in _bunches(b, 300_000):
-                unique, where = np.unique(tokens, return_inverse=True)
-                at, is_head = place(unique)
-                counts = frequent.value[1][at] if len(frequent.value[1]) else np.zeros(len(unique))
-                term = np.where(is_head, np.log10(counts + 0.5), 0.0)
-                known = (is_head & (counts > 0)).astype(np.int64)
-                sizes = np.diff(np.append(heads, len(tokens)))
-                cols = [
-                    b.column("doc_id").take(pa.array(nums)),
-                    b.column("held_out").take(pa.array(nums)),
-                    pa.array(keys[nums]),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat(known[where], heads)),
-                    pa.array(np.add.reduceat(term[where], heads)),
-                    pa.array(shared.value.scores(tokens, heads, unique, where)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score"])
+            score = [terms[np.frombuffer(c.as_py(), "<u4")].sum() for c in b.column("codes")]
+            names = ["doc_id", "held_out", "row", "n_tokens", "known", "base"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(score, pa.float64())], [*names, "score"])
 
     rare = rows.mapInArrow(tails, "name long, row long, k long").join(explode("tail"), "name", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("tail_base"))
     copies = "count(*) over (partition by row)"
-    out = rows.mapInArrow(scored, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double").join(rare, "row", "left")
+    out = codes.mapInArrow(scored, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double").join(rare, "row", "left")
     out = out.withColumn("copies", F.expr(copies))  # rows with equal doc_id and text share a row key and its sums
     base = F.col("base") + F.coalesce(F.col("tail_base") / F.col("copies"), F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(lookup_base))
     known = F.col("known") + F.coalesce((F.col("tail_known") / F.col("copies")).cast("long"), F.lit(0))

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from duck import same_rows
@@ -78,6 +79,13 @@ def test_full_filter_leaves_out_the_rarest():
     assert bits <= 5000 and (f.level(names[900:]) >= 4).all() and (f.level(names[:900]) > 0).mean() < 0.05
 
 
+def test_a_block_keeps_every_ngram():
+    names = np.random.default_rng(1).integers(0, 2**63, 7_000_000).astype(np.uint64)  # 70 million bits; 8 MB was the bound
+    ones = np.ones(len(names), "<u4").tobytes()
+    out = lm._merged((1, 0), pd.DataFrame([{"bunch": "a", "names": names.tobytes(), "counts": ones, "trained": ones}]))
+    assert np.frombuffer(out["levels"][1], np.uint8).min() >= 1
+
+
 # ---------------------------------------------------------------- 2
 
 
