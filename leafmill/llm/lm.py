@@ -278,12 +278,12 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times[code])], ["code", "times"])
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, most_frequent: int = 1 << 21, tune_docs: int = 1000, block_text_mb: int = 4, bunch_mb: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, most_frequent: int = 1 << 21, block_text_mb: int = 4, bunch_mb: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of the whole texts.
 
     Learns from rows whose crc32(doc_id) mod `folds` is not `held`. score interpolates the relative frequency of the token after the one
     before it with the token's own add-0.5 probability; both come from counts read off the filter by repeated probes. Weights of the
-    interpolation are fitted to tune_docs training texts (those with the smallest hash of doc_id), all counts cover all texts.
+    interpolation are fitted to all training texts, all counts cover all texts.
     base_score is exact: tokens with at least 1 / most_frequent of all occurrences, most_frequent at most, are broadcast with their
     counts, the rows of the others are joined with theirs; none of these holds a large share.
 
@@ -372,7 +372,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, most_frequen
     answers = merged.where("bunch is not null").select("bunch", "kind", "block", "levels")
     codes = stored(bunches.groupBy("bunch").cogroup(answers.groupBy("bunch")).applyInArrow(coded, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, codes binary"))
     model = Model(n, v, np.full(40, 0.3))
-    times = codes.where("not held_out").orderBy(F.xxhash64("doc_id")).limit(tune_docs).select("codes").mapInArrow(_histogram, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toPandas()  # _CODES at most
+    times = codes.where("not held_out").select("codes").mapInArrow(_histogram, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toPandas()  # _CODES at most
     times = times.sort_values("code")
     model.tune(times.code.to_numpy(np.int64), times.times.to_numpy(np.int64))
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from duck import same_rows
 
@@ -86,6 +87,14 @@ def test_a_block_keeps_every_ngram():
     assert np.frombuffer(out["levels"][1], np.uint8).min() >= 1
 
 
+def test_lm_weights_come_from_all_training_texts(spark):
+    plain = spark.range(1500).selectExpr("id as doc_id", "concat('a b c', id % 7) as text")
+    late = spark.range(1500, 4000).where("crc32(cast(cast(id as string) as binary)) % 5 <> 1").orderBy(F.xxhash64("id").desc()).first()[0]
+    twice = spark.createDataFrame([(late, "zz yy " * 300)], "doc_id long, text string")
+    r = lm.score_documents(plain.unionAll(twice)).where(F.col("doc_id") == late).first()
+    assert r.score / r.n_tokens > -0.2  # 'yy' always follows 'zz'; with the weight of a sample -1.2
+
+
 # ---------------------------------------------------------------- 2
 
 
