@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +28,12 @@ def first_n(items: Column, n: int) -> Column:
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """name: 1, 2, ... inside each key by order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir (a temporary one only where the session names none) and read from there, so that
+    lineage ends."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+    return df.checkpoint()

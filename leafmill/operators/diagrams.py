@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import clean_label, display_type, escape_cell, extension, is_attribute, is_class_member, is_column_only, is_meaningful, is_multiplicity, is_raw_id, no_blank, strip
-from leafmill.operators.common import distinct_ordered
+from leafmill.operators.common import cut, distinct_ordered
 from leafmill.operators.markup import attribute
 
 # Words that tell the layer of an architecture node, tried in this order.
@@ -146,21 +146,23 @@ def diagram_nodes(cells: DataFrame, types: DataFrame) -> DataFrame:
     return distinct_ordered(out, ["diagram_id", "label"], "ord")
 
 
-def resolve_endpoints(cells: DataFrame, types: DataFrame, nodes: DataFrame, max_depth: int = 50) -> DataFrame:
+def resolve_endpoints(cells: DataFrame, types: DataFrame, nodes: DataFrame) -> DataFrame:
     """(diagram_id, cell_id, node): for each cell the label of the nearest of itself and its parents that is a node of its diagram; in a
-    diagram without nodes, that has a label at all. Cells that are their own ancestors end the climb."""
+    diagram without nodes, that has a label at all. Each round doubles the climb, so that the number of cells bounds the rounds; what is
+    still open then are cells that are their own ancestors, which have no node."""
     any_node = nodes.select("diagram_id").distinct().withColumn("some", F.lit(True))
     named = nodes.select("diagram_id", F.col("label"), F.lit(True).alias("is_node"))
     c = _labelled(cells, types).join(any_node, "diagram_id", "left").join(named, ["diagram_id", "label"], "left")
     node = F.when(F.coalesce("is_node", F.lit(False)) | (F.col("some").isNull() & F.col("label").isNotNull()), F.col("label"))
-    c.select("diagram_id", "cell_id", "parent_id", node.alias("node")).where("cell_id is not null").createOrReplaceTempView("leafmill_cells")
-    return cells.sparkSession.sql(f"""
-        with recursive climb(diagram_id, cell_id, node, parent_id, n) max recursion level {max_depth} as (
-          select diagram_id, cell_id, node, parent_id, 0 from leafmill_cells
-          union all
-          select k.diagram_id, k.cell_id, c.node, c.parent_id, k.n + 1 from climb k join leafmill_cells c
-            on c.diagram_id = k.diagram_id and c.cell_id = k.parent_id where k.node is null and k.n < {max_depth - 2})
-        select diagram_id, cell_id, node from climb where node is not null""")
+    climb = cut(c.select("diagram_id", "cell_id", "parent_id", node.alias("node")).where("cell_id is not null"))
+    for _ in range(climb.count().bit_length() + 1):
+        left = climb.where("node is null and parent_id is not null")
+        if left.isEmpty():
+            break
+        up = climb.select("diagram_id", F.col("cell_id").alias("parent_id"), F.col("parent_id").alias("higher"), F.col("node").alias("found"))
+        moved = left.join(up, ["diagram_id", "parent_id"]).select("diagram_id", "cell_id", F.col("higher").alias("parent_id"), F.col("found").alias("node"))
+        climb = cut(climb.where("node is not null").unionByName(moved))
+    return climb.where("node is not null").select("diagram_id", "cell_id", "node")
 
 
 def edge_labels(cells: DataFrame) -> DataFrame:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.common import cut
+
 
-def descendants(edges: DataFrame, root: int, max_depth: int = 100) -> DataFrame:
+def descendants(edges: DataFrame, root: int) -> DataFrame:
     """(page_id, parent_path, position, depth) of all pages below root; edges(parent_id, child_id, position).
 
-    A page that is its own ancestor is not followed again. Levels are joined by a recursive query.
+    A page that is its own ancestor is not followed again. Each level is joined to the edges until one is empty, however deep or wide.
     """
-    edges.select("parent_id", "child_id", "position").createOrReplaceTempView("leafmill_edges")
-    return edges.sparkSession.sql(f"""
-        with recursive below(page_id, parent_path, position, depth, seen) max recursion level {max_depth} as (
-          select child_id, cast(array() as array<int>), position, 1, array(cast({root} as bigint), child_id) from leafmill_edges where parent_id = {root}
-          union all
-          select e.child_id, concat(b.parent_path, array(b.position)), e.position, b.depth + 1, concat(b.seen, array(e.child_id))
-          from below b join leafmill_edges e on e.parent_id = b.page_id where not array_contains(b.seen, e.child_id))
-        select page_id, parent_path, position, depth from below""")
+    e = cut(edges.select("parent_id", "child_id", "position"))
+    at = F.lit(root).cast("long")
+    level = e.where(F.col("parent_id") == at).select(F.col("child_id").alias("page_id"), F.array().cast("array<int>").alias("parent_path"), "position", F.lit(1).alias("depth"), F.array(at, "child_id").alias("seen"))
+    below = None
+    for depth in count(2):
+        level = cut(level)
+        below = level if below is None else below.unionAll(level)
+        if level.isEmpty():
+            return below.drop("seen")
+        if depth % 32 == 0:  # few parts, so that the plan stays small
+            below = cut(below)
+        up = level.select(F.col("page_id").alias("parent_id"), F.col("parent_path").alias("path"), F.col("position").alias("place"), "seen")
+        level = up.join(e, "parent_id").where(~F.array_contains("seen", F.col("child_id"))).select(F.col("child_id").alias("page_id"), F.concat("path", F.array(F.col("place").cast("int"))).alias("parent_path"), "position", F.lit(depth).alias("depth"), F.concat("seen", F.array("child_id")).alias("seen"))
 
 
 def crawl_order(edges: DataFrame, root: int) -> DataFrame:

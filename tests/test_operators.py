@@ -86,6 +86,18 @@ def test_cycles_end(spark):
     assert sorted(r.page_id for r in tree.crawl_rows(edges, 0).collect()) == [0, 1, 2]
 
 
+def test_deep_trees_and_cells_are_whole(spark):
+    edges = spark.range(105).selectExpr("id as parent_id", "id + 1 as child_id", "0 as position")
+    assert sorted(r.depth for r in tree.descendants(edges, 0).select("depth").collect()) == list(range(1, 106))
+    deep = spark.range(80).selectExpr("'d' as diagram_id", "concat('c', id) as cell_id", "if(id < 79, concat('c', id + 1), null) as parent_id", "if(id = 79, 'Top', '') as value")
+    loop = spark.createDataFrame([("d", "x", "y", ""), ("d", "y", "x", "")], deep.schema)
+    cells = deep.unionAll(loop).selectExpr("*", "true as vertex", "false as edge", "'' as style", "null as source_id", "null as target_id", "0 as ord")
+    types = spark.createDataFrame([("d", "FLOWCHART")], "diagram_id string, type string")
+    nodes = spark.createDataFrame([("d", "Top")], "diagram_id string, label string")
+    got = diagrams.resolve_endpoints(cells, types, nodes).collect()
+    assert len(got) == 80 and {r.node for r in got} == {"Top"}
+
+
 def test_effective_retries(spark):
     df = spark.createDataFrame([(0, "e"), (0, " "), (3, None), (-1, None), (None, "e")], "n int, e string")
     assert [r[0] for r in df.select(manifest.effective_retries(F.col("n"), F.col("e"))).collect()] == [1, 0, 3, 0, 1]
