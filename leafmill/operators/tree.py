@@ -34,8 +34,15 @@ def crawl_order(edges: DataFrame, root: int) -> DataFrame:
     """(page_id, crawl_order, depth): the root is 0; a page's children come together, the leftmost page's own children first."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("parent_path", "position")  # one root's tree
-    below = descendants(edges, root).select("page_id", F.row_number().over(w).cast("long").alias("crawl_order"), "depth")
+    # Sorted ranges are numbered in parallel; then the rows of the ranges before are added, of which there is one number a range.
+    ranged = cut(descendants(edges, root).repartitionByRange("parent_path", "position").withColumn("part", F.spark_partition_id()))
+    offset, before = 0, []
+    for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):
+        before.append((part, offset))
+        offset += n
+    starts = F.broadcast(edges.sparkSession.createDataFrame(before, "part int, start long"))
+    w = Window.partitionBy("part").orderBy("parent_path", "position")
+    below = ranged.join(starts, "part").select("page_id", (F.row_number().over(w) + F.col("start")).alias("crawl_order"), "depth")
     first = edges.sparkSession.sql(f"select cast({root} as bigint) as page_id, cast(0 as bigint) as crawl_order, 0 as depth")
     return first.unionByName(below)
 

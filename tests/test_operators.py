@@ -86,6 +86,12 @@ def test_cycles_end(spark):
     assert sorted(r.page_id for r in tree.crawl_rows(edges, 0).collect()) == [0, 1, 2]
 
 
+def test_crawl_order_is_numbered_in_ranges(spark):
+    edges = spark.range(1, 60).selectExpr("(id - 1) div 3 as parent_id", "id as child_id", "cast(id % 3 as int) as position")
+    plan = tree.crawl_order(edges, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan
+
+
 def test_deep_trees_and_cells_are_whole(spark):
     edges = spark.range(105).selectExpr("id as parent_id", "id + 1 as child_id", "0 as position")
     assert sorted(r.depth for r in tree.descendants(edges, 0).select("depth").collect()) == list(range(1, 106))
