@@ -43,7 +43,6 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_lm_base_is_exact_and_model_is_better(spark, sf_dir, texts):
     rows = lm.op1_lm_scoring(spark, sf_dir).collect()
-    toks = {i: [*words((t or "").lower()), b" "] for i, t in texts.items()}
     toks = {i: [w.lower() for w in words(t)] + [b" "] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     count = collections.Counter(w for i, ws in toks.items() if not held[i] for w in ws)
@@ -57,34 +56,93 @@ def test_lm_base_is_exact_and_model_is_better(spark, sf_dir, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_rare_tokens_by_join_equal_the_broadcast_ones(spark, sf_dir, docs):
-    few = {r.doc_id: r.base_score for r in lm.score_documents(docs, most_frequent=64).collect()}
-    many = {r.doc_id: r.base_score for r in lm.score_documents(docs).collect()}
-    assert all(math.isclose(few[i], many[i], rel_tol=1e-9) for i in many)
+def plain_scores(texts, order, folds=5, held=1):
+    """{doc_id: score} by dictionaries of word tuples: the same counts, levels, weights and interpolation without hashes, filter or Spark."""
+    bases = [1.25] + [2.0] * (order - 1)
+
+    def level(c, base):
+        return 1 + math.floor(math.log(c) / math.log(base) + 1e-9) if c else 0
+
+    def stands_for(lev, base):
+        low = math.ceil(base ** (lev - 1) - 1e-6)
+        return math.sqrt(low * max(low, math.ceil(base**lev - 1e-6) - 1)) if lev else 0.0
+
+    toks = {i: [w.lower() for w in words(t)] + ["</s>"] for i, t in texts.items()}
+    learn = [i for i in toks if zlib.crc32(str(i).encode()) % folds != held]
+    grams = lambda ws, k: [tuple((["</s>"] * k + ws)[j + 1 : j + k + 1]) for j in range(len(ws))]
+    count = collections.Counter(g for i in learn for k in range(1, order + 1) for g in grams(toks[i], k))
+    for k in range(2, order):
+        count[("</s>",) * k] = round(stands_for(level(count[("</s>",)], bases[0]), bases[0]))
+    n, v = sum(len(toks[i]) for i in learn), sum(len(g) == 1 for g in count)
+    quantised = lambda g: stands_for(level(count[g], bases[len(g) - 1]), bases[len(g) - 1])
+    weights = []
+
+    def probability(g, minus, upto):
+        p = (max(quantised(g[-1:]) - minus, 0) + 0.5) / (n + 0.5 * (v + 1))
+        for k in range(2, upto + 1):
+            after, group = relative(g[-k:], minus)
+            p = weights[k - 2][group] * after + (1 - weights[k - 2][group]) * p
+        return p
+
+    def relative(g, minus):
+        before = quantised(g[:-1])
+        return min(max(quantised(g) - minus, 0) / max(before - minus, 1), 1.0), math.ceil(math.log2(before + 1))
+
+    for k in range(2, order + 1):
+        rows = collections.Counter()
+        for i in learn:
+            for g in grams(toks[i], order):
+                rows[(*relative(g[-k:], 1), min(127, round(-8 * math.log10(probability(g, 1, k - 1)))))] += 1
+        group = collections.Counter()
+        for (_, c, _), times in rows.items():
+            group[c] += times
+        w = dict.fromkeys(range(64), 0.3)
+        for _ in range(30):
+            share = collections.Counter()
+            for (after, c, shorter), times in rows.items():
+                share[c] += times * w[c] * after / max(w[c] * after + (1 - w[c]) * 10 ** (-shorter / 8), 1e-300)
+            w = {c: (share[c] + 0.5) / (group[c] + 5) if group[c] else 0.0 for c in w}
+        weights.append(w)
+    return {i: sum(math.log10(probability(g, 0, order)) for g in grams(ws, order)) for i, ws in toks.items()}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_equal_a_plain_model(docs, texts, order):
+    some = docs.where("doc_id % 2 = 0")
+    want = plain_scores({i: t for i, t in texts.items() if i % 2 == 0}, order)
+    ways = [{}, {"broadcast_mb": 0, "block_mb": 1, "bunch_mb": 1}]
+    for way in ways:
+        got = {r.doc_id: r.score for r in lm.score_documents(some, order=order, bits=64, probes=20, **way).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
+def test_lm_scores_are_the_same_whether_the_filter_is_broadcast_or_not(docs):
+    one, other = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score_documents(docs, block_mb=1, bunch_mb=1, broadcast_mb=mb).collect()} for mb in (0, 32))
+    assert one.keys() == other.keys() and all(math.isclose(x, y, rel_tol=1e-9) for i in one for x, y in zip(one[i], other[i]))
+
+
+def test_word_hashes():
+    data = b"One two\x0b\x0cTWO one  " + b"x" * 600_000 + b" one\tab ba\n" + "é É".encode() + b" two" * 100_000
+    hashes, places = lm.word_hashes(data)
+    assert len(hashes) == len(data.split()) and [data[p] for p in places[:3].tolist()] == [79, 116, 84]
+    name = {}
+    for w, h in zip(data.lower().split(), hashes.tolist()):
+        assert name.setdefault(w, h) == h
+    assert len(set(name.values())) == len(name)
 
 
 def test_count_filter_reads_counts_back():
     rng = np.random.default_rng(0)
     names, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(1, 2000, 5000)
-    bits, k, data = lm._block(names, counts, 1.25, 1 << 40)
-    f = lm.CountFilter(64, 1.25, np.zeros(1, np.int64), np.array([bits]), np.array([k]), np.frombuffer(data, np.uint8))
+    f = lm.CountFilter.of(names, lm._levels(counts, 1.25))
     assert (f.level(names) >= lm._levels(counts, 1.25)).all()  # never too low
     assert (f.level(names) == lm._levels(counts, 1.25)).mean() > 0.97
     assert (f.level(rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.03
 
 
-def test_full_filter_leaves_out_the_rarest():
-    names, counts = np.arange(1000, dtype=np.uint64), np.array([1] * 900 + [8] * 100)
-    bits, k, data = lm._block(names, counts, 2.0, 5000)
-    f = lm.CountFilter(64, 2.0, np.zeros(1, np.int64), np.array([bits]), np.array([k]), np.frombuffer(data, np.uint8))
-    assert bits <= 5000 and (f.level(names[900:]) >= 4).all() and (f.level(names[:900]) > 0).mean() < 0.05
-
-
-def test_a_block_keeps_every_ngram():
-    names = np.random.default_rng(1).integers(0, 2**63, 7_000_000).astype(np.uint64)  # 70 million bits; 8 MB was the bound
-    ones = np.ones(len(names), "<u4").tobytes()
-    out = lm._merged((1, 0), pd.DataFrame([{"bunch": "a", "names": names.tobytes(), "counts": ones, "trained": ones}]))
-    assert np.frombuffer(out["levels"][1], np.uint8).min() >= 1
+def test_a_filter_block_keeps_every_ngram():
+    names = np.random.default_rng(1).integers(0, 2**63, 3_000_000).astype(np.uint64)
+    assert lm.CountFilter.of(names, np.ones(len(names), np.int64)).level(names).min() >= 1
 
 
 def test_lm_weights_come_from_all_training_texts(spark):
@@ -92,7 +150,17 @@ def test_lm_weights_come_from_all_training_texts(spark):
     late = spark.range(1500, 4000).where("crc32(cast(cast(id as string) as binary)) % 5 <> 1").orderBy(F.xxhash64("id").desc()).first()[0]
     twice = spark.createDataFrame([(late, "zz yy " * 300)], "doc_id long, text string")
     r = lm.score_documents(plain.unionAll(twice)).where(F.col("doc_id") == late).first()
-    assert r.score / r.n_tokens > -0.2  # 'yy' always follows 'zz'; with the weight of a sample -1.2
+    assert r.score / r.n_tokens > -0.2  # 'yy' always follows 'zz'
+
+
+def test_lm_scores_texts_that_occur_twice_apart(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(1000 * rng.random() ** 3)}" for _ in range(200))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    r = {x.doc_id: x.score / x.n_tokens for x in lm.score_documents(spark.createDataFrame(rows, DOCS)).where("not held_out").collect()}
+    both = [r[i] for i in range(40) if i in r and 1000 + i in r]
+    once = [x for i, x in r.items() if 40 <= i < 1000]
+    assert min(both) > max(once)
 
 
 # ---------------------------------------------------------------- 2

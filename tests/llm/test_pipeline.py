@@ -2,7 +2,7 @@
 
 import collections
 
-from test_operators import plain_components, plain_fingerprint, plain_repeats
+from test_llm_operators import plain_components, plain_fingerprint, plain_repeats
 
 import corpus_pipeline
 from leafmill.llm.rules import quality_rules
