@@ -175,13 +175,22 @@ class CountFilter:
 # ---------------------------------------------------------------- counting
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of the numbers, all first bytes before all second ones: sorted and small numbers compress well so."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+_squeezer, _opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _from_planes(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _packed(x: np.ndarray) -> bytes:
+    """The bytes of the numbers, all first bytes before all second ones and so on, compressed."""
+    return _squeezer.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).data)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(_opener.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers, the first from 0."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 _BUNCH = "bunch string, ids array<bigint>, held array<boolean>, sizes array<bigint>, texts binary"
@@ -214,7 +223,7 @@ def _gathered(most_bytes: int):
 
 
 def _opened(sizes: list[int], texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tokens_in(zstandard.ZstdDecompressor().decompress(texts), np.array(sizes, np.int64))
+    return tokens_in(_opener.decompress(texts), np.array(sizes, np.int64))
 
 
 def _width(kind: int, log2: int) -> int:
@@ -247,7 +256,7 @@ def _counted(log2: int, order: int):
                     cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
                     if kind > 1:
                         unique = unique.astype(np.uint32)  # the block tells the rest
-                    out = [(kind, int(block[s]), bunch.as_py(), _planes(unique[s:e]), _planes(trained[s:e])) for s, e in zip(cut, np.append(cut[1:], len(unique)))]
+                    out = [(kind, int(block[s]), bunch.as_py(), _packed(_steps(unique[s:e])), _packed(trained[s:e])) for s, e in zip(cut, np.append(cut[1:], len(unique)))]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     return run
@@ -262,7 +271,8 @@ def _merged(log2: int, bits: int, probes: int, keep: bool):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kind, block = int(key[0]), int(key[1])
-        low = [_from_planes(x, "<u8" if kind == 1 else "<u4") for x in rows.names]
+        size = "<u8" if kind == 1 else "<u4"
+        low = [np.cumsum(_unpacked(x, size), dtype=size) for x in rows.names]
         names = np.concatenate(low).astype(np.uint64)
         if kind > 1:
             names |= np.uint64(block) << np.uint64(32)
@@ -270,7 +280,7 @@ def _merged(log2: int, bits: int, probes: int, keep: bool):
         ordered = names[order]
         first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         head = np.flatnonzero(first)
-        learned = np.add.reduceat(np.concatenate([_from_planes(x, "<u4") for x in rows.trained]).astype(np.int64)[order], head)
+        learned = np.add.reduceat(np.concatenate([_unpacked(x, "<u4") for x in rows.trained]).astype(np.int64)[order], head)
         place = np.empty(len(names), np.int64)
         place[order] = np.cumsum(first) - 1
         unique, seen = ordered[head], learned > 0
@@ -279,7 +289,7 @@ def _merged(log2: int, bits: int, probes: int, keep: bool):
         out, at = [[f"types {block % 1024}", kind, block, None, None, int(seen.sum()) if kind == 1 else 0, counts.data.tobytes() if keep else None]], 0
         for bunch, n in zip(rows.bunch, map(len, low)):
             where = place[at : at + n]
-            out.append([bunch, kind, block, None if keep else level[where].tobytes(), _planes(learned[where].astype("<u8")) if kind == 1 else None, 0, None])
+            out.append([bunch, kind, block, None if keep else _packed(level[where]), _packed(learned[where].astype("<u8")) if kind == 1 else None, 0, None])
             at += n
         return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGED.split(", ")])
 
@@ -395,12 +405,12 @@ def _coded(log2: int, order: int, filters):
             where = np.empty(len(name), np.int64)
             where[by] = np.cumsum(first) - 1
             if k == 1:
-                counts = np.concatenate([_from_planes(answers.column("counts")[i].as_py(), "<u8") for i in parts[k]]).astype(np.int64)
+                counts = np.concatenate([_unpacked(answers.column("counts")[i].as_py(), "<u8") for i in parts[k]]).astype(np.int64)
                 base, known = np.add.reduceat(np.log10(counts + 0.5)[where], heads), np.add.reduceat((counts > 0).astype(np.int64)[where], heads)
             if filters:
                 levels.append(filters.value[k].level(name[by][first]).astype(np.uint8)[where])
             else:
-                levels.append(np.frombuffer(b"".join(answers.column("levels")[i].as_py() for i in parts[k]), np.uint8)[where])
+                levels.append(np.concatenate([_unpacked(answers.column("levels")[i].as_py(), "<u1") for i in parts[k]])[where])
         trained = int(sizes[~np.array(held, bool)].sum())
         return row([texts.column("ids")[0].as_py(), held, sizes, known, base, [x.tobytes() for x in levels]], trained, 0)
 
