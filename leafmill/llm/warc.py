@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -29,8 +30,6 @@ _ARROW = pa.schema(
 #: Columns that a pushed filter may test, and the WARC header each holds.
 _HEADER = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "refers_to": "warc-refers-to"}
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Longest block of WARC headers that is taken for one.
-_HEAD_MAX = 1 << 20
 
 
 def _files(path: str):
@@ -140,87 +139,138 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 class _Plain:
-    """Bytes of an uncompressed archive, record by record."""
+    """Forward reader of an uncompressed archive: bytes as far as they are asked for, longer stretches to be skipped by a seek."""
 
-    def __init__(self, source) -> None:
-        self.source, self.at, self.size = source, 0, source.size()
+    def __init__(self, source, name: str) -> None:
+        self.source, self.name, self.data, self.at, self.more = source, name, bytearray(), 0, True
+        source.seek(0)
 
-    def head(self) -> bytes | None:
-        data = b""
-        while self.at + len(data) < self.size and len(data) < _HEAD_MAX:
-            self.source.seek(self.at + len(data))
-            data += self.source.read(8192)
-            if (end := data.find(b"\r\n\r\n")) >= 0:
-                self.body = self.at + end + 4
-                return data[:end]
-        return None
-
-    def block(self, length: int) -> bytes:
-        self.source.seek(self.body)
-        return self.source.read(length)
+    def offset(self) -> int:
+        """Place in the file of the next byte, or of the gzip member that holds it."""
+        return self.at
 
-    def skip(self, length: int) -> None:
-        self.at = self.body + length
-        self.source.seek(self.at)
-        while (c := self.source.read(1)) in (b"\r", b"\n"):
-            self.at += 1
+    def _feed(self) -> bytes:
+        return self.source.read(1 << 16)
 
+    def fill(self, n: int) -> bool:
+        """Whether n bytes lie ahead; they are then in data."""
+        while len(self.data) < n and self.more:
+            chunk = self._feed()
+            self.data += chunk
+            self.more = bool(chunk)
+        return len(self.data) >= n
 
-class _Gzip:
-    """Bytes of an archive of one gzip member a record; members with an 'sl' field are skipped without inflating them."""
+    def drop(self, n: int) -> None:
+        del self.data[:n]
+        self.at += n
 
-    def __init__(self, source) -> None:
-        self.source, self.at, self.size = source, 0, source.size()
+    def blanks(self) -> None:
+        """Skips the line ends between records."""
+        while self.fill(1) and self.data[0] in b"\r\n":
+            self.drop(1)
 
     def head(self) -> bytes | None:
-        if self.at >= self.size:
+        """The header block, whatever its length; None at the end of the archive."""
+        self.blanks()
+        if not self.fill(1):
             return None
-        self.source.seek(self.at)
-        raw = self.source.read(24)
-        self.length = None
-        if len(raw) == 24 and raw[:4] == b"\x1f\x8b\x08\x04" and raw[12:14] == b"sl":
-            packed, full = struct.unpack("<II", raw[16:24])
-            if full < 0xFFFFFFFF:
-                self.length = packed
-        self.source.seek(self.at)
-        self.inflate, self.data, self.fed = zlib.decompressobj(31), b"", 0
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
-            if len(self.data) > _HEAD_MAX or not self._more(4096):
-                return None
-        self.body = end + 4
-        return self.data[:end]
-
-    def _more(self, want: int) -> bool:
-        if self.inflate.eof:
-            return False
-        feed = self.inflate.unconsumed_tail
-        if not feed:
-            feed = self.source.read(1 << 16)
-            self.fed += len(feed)
-        if not feed:
-            return False
-        self.data += self.inflate.decompress(feed, want)
-        return True
-
-    def block(self, length: int) -> bytes:
-        parts, have = [self.data[self.body :]], len(self.data) - self.body
-        while have < length and not self.inflate.eof:
-            self.data = b""
-            if not self._more(1 << 20):
-                break
-            parts.append(self.data)
-            have += len(self.data)
-        return b"".join(parts)[:length]
-
-    def skip(self, length: int) -> None:
-        if self.length:
-            self.at += self.length
+        self.begun = self.offset()
+        seen = 0
+        while (end := self.data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.data)
+            if not self.fill(seen + 1):
+                raise self.broken("the file ends inside a record's headers")
+        out = bytes(self.data[:end])
+        if not out.startswith(b"WARC/"):
+            raise self.broken("no record begins here")
+        self.drop(end + 4)
+        return out
+
+    def broken(self, what: str) -> ValueError:
+        return ValueError(f"{self.name}, record at byte {self.begun}: {what}")
+
+    def block(self, n: int) -> bytes:
+        """The next n bytes, which stay ahead."""
+        if not self.fill(n):
+            raise self.broken("the file ends inside a record's block")
+        return bytes(self.data[:n])
+
+    def skip(self, n: int) -> None:
+        have = len(self.data)
+        if n > have:
+            self.drop(have)
+            self.at += n - have
+            if self.at > self.source.size():
+                raise self.broken("the file ends inside a record's block")
+            self.source.seek(self.at)
+            self.more = True
+        else:
+            self.drop(n)
+
+
+class _Gzip(_Plain):
+    """Forward reader of an archive of gzip members, of one or more records each. A member whose 'sl' field shows that it holds the one
+    record only is skipped without inflating it."""
+
+    def __init__(self, source, name: str) -> None:
+        super().__init__(source, name)
+        self.raw, self.raw_at, self.inflate = b"", 0, None
+        self.starts: list[tuple[int, int, int, int]] = []  # first inflated byte, place in the file, packed and full length of members ahead
+        self.out = 0  # inflated bytes so far
+
+    def offset(self) -> int:
+        return [s for s in self.starts if s[0] <= self.at][-1][1]
+
+    def _feed(self) -> bytes:
+        while True:
+            if not self.raw:
+                self.raw = self.source.read(1 << 16)
+                if not self.raw:
+                    if self.inflate:
+                        raise ValueError(f"{self.name}: the file ends inside the gzip member at byte {self.starts[-1][1]}")
+                    return b""
+            if self.inflate is None:
+                self.raw = self.raw if self.raw.strip(b"\0") else b""  # padding
+                if not self.raw:
+                    self.raw_at = self.source.tell()
+                    continue
+                if len(self.raw) < 24:
+                    self.raw += self.source.read(24)
+                packed = full = 0
+                if self.raw[:4] == b"\x1f\x8b\x08\x04" and self.raw[12:14] == b"sl":
+                    packed, full = struct.unpack("<II", self.raw[16:24])
+                self.starts = [s for s in self.starts[:-1] if s[0] > self.at] + self.starts[-1:] + [(self.out, self.raw_at, packed, full)]
+                self.inflate = zlib.decompressobj(31)
+            before = len(self.raw)
+            try:
+                chunk = self.inflate.decompress(self.raw, 1 << 20)
+            except zlib.error as e:
+                raise ValueError(f"{self.name}: broken gzip member at byte {self.starts[-1][1]}: {e}") from None
+            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.raw_at += before - len(self.raw)
+            self.out += len(chunk)
+            if self.inflate.eof:
+                self.inflate = None
+            if chunk:
+                return chunk
+
+    def skip(self, n: int) -> None:
+        first, place, packed, full = self.starts[-1]
+        alone = packed and full < 0xFFFFFFFF and first <= self.at and 0 <= first + full - (self.at + n) <= 4 and self.begun == place
+        if alone and n > len(self.data) and self.inflate:
+            if place + packed > self.source.size():
+                raise self.broken("the file ends inside its gzip member")
+            self.source.seek(place + packed)
+            self.data, self.raw, self.inflate, self.more = bytearray(), b"", None, True
+            self.at = self.out = first + full
+            self.raw_at = place + packed
             return
-        while not self.inflate.eof:
-            self.data = b""
-            if not self._more(1 << 20):
-                break
-        self.at += self.fed - len(self.inflate.unused_data)
+        while n:
+            if not self.fill(1):
+                raise self.broken("the file ends inside a record's block")
+            step = min(n, len(self.data))
+            self.drop(step)
+            n -= step
 
 
 class WarcReader(DataSourceReader):
@@ -262,13 +312,12 @@ class WarcReader(DataSourceReader):
     def _records(self, name: str, fs) -> Iterator[tuple]:
         with fs.open_input_file(name) as source:
             packed = source.read(2) == b"\x1f\x8b"
-            stream = (_Gzip if packed else _Plain)(source)
-            while True:
-                offset, head = stream.at, stream.head()
-                if head is None:
-                    return
-                h = _headers(head)
-                length = int(h.get("content-length", "0") or 0)
+            stream = (_Gzip if packed else _Plain)(source, name)
+            while (head := stream.head()) is not None:
+                h, offset = _headers(head), stream.begun
+                if not re.fullmatch("[0-9]+", h.get("content-length", "")):
+                    raise stream.broken(f"Content-Length is {h.get('content-length')!r}")
+                length = int(h["content-length"])
                 v = {c: h.get(k) for c, k in _HEADER.items()}
                 for c in ("record_id", "refers_to"):
                     v[c] = v[c].strip("<>") if v[c] else None
@@ -317,7 +366,9 @@ class WarcSource(DataSource):
     """spark.read.format("warc").load(path); df.write.format("warc").mode("append").save(path).
 
     Read options: payload, one of all (the default), none, or a record type: only payloads of that type are decoded;
-    partitionBytes. Write options: date (for rows without one), maxFileBytes. Rows to write have record_type, record_id, target_uri,
+    partitionBytes (small files are read together up to it; a file is never split, since where a record begins inside one can't be told
+    for sure). Members may hold several records and header blocks any length; broken or cut-off files raise an error that names the file
+    and the byte. Write options: date (for rows without one), maxFileBytes. Rows to write have record_type, record_id, target_uri,
     payload, refers_to and optionally date; other columns are ignored.
     """
 
@@ -334,7 +385,7 @@ class WarcSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("archives are written once: use mode('append')")
-        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), int(self.options.get("maxfilebytes", 1 << 30)))
+        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), int(self.options.get("maxfilebytes", 128 << 20)))
 
 
 def register(spark: SparkSession) -> None:
@@ -389,6 +440,7 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages and reads them back; see archive_pages for nulls, repeated rows and empty tables."""
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive_pages(load(spark, sf_dir, "pages"), path)
     return archived_pages(spark, path)

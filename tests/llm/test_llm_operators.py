@@ -198,6 +198,66 @@ def test_warc_reads_plain_and_foreign_gzip(tmp_path):
     assert gzip.decompress(warc.member(records[3])) == records[3]
 
 
+def _read_all(path, payload="all", pushed=()):
+    reader = warc.WarcReader(str(path), payload, 1 << 20)
+    list(reader.pushFilters(list(pushed)))
+    return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+def _some_records():
+    texts = [b"", b"one", b"\r\n\r\nWARC/1.1\r\n", b"x" * 300_000, np.random.default_rng(3).bytes(400_000), b"last"]
+    return texts, [warc.record("response", f"urn:page:{i}", "http://h/" + "u" * (1_500_000 if i == 2 else 5), "1970-01-01T00:00:00Z", t, None) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("form", ["plain", "a member a record", "skippable members", "one member", "two members"])
+def test_warc_reads_every_record(tmp_path, form):
+    import gzip
+
+    texts, records = _some_records()
+    data = {
+        "plain": lambda: b"".join(records),
+        "a member a record": lambda: b"".join(map(gzip.compress, records)),
+        "skippable members": lambda: b"".join(map(warc.member, records)),
+        "one member": lambda: gzip.compress(b"".join(records)),
+        "two members": lambda: gzip.compress(b"".join(records[:2])) + gzip.compress(b"".join(records[2:])) + b"\0" * 100,
+    }[form]()
+    (tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(data)
+    rows = _read_all(tmp_path)
+    assert [r["payload"] for r in rows] == texts and all(r["digest_ok"] for r in rows)
+    assert [r["payload_digest"] for r in _read_all(tmp_path, "none")] == [warc.digest_of(t) for t in texts]
+    from pyspark.sql.datasource import EqualTo
+
+    assert [r["payload"] for r in _read_all(tmp_path, "all", [EqualTo(("record_id",), "urn:page:5")])] == [b"last"]
+    starts = [r["offset"] for r in rows]
+    assert len(set(starts)) == {"one member": 1, "two members": 2}.get(form, 6) and all(data[x : x + 2] in (b"\x1f\x8b", b"WA") for x in starts)
+
+
+def test_broken_archives_raise(tmp_path):
+    import gzip
+
+    _, records = _some_records()
+    whole = b"".join(records)
+    bad = {
+        "cut in a block": whole[:-20],
+        "cut in headers": whole + records[0][:50],
+        "cut in a member": gzip.compress(whole)[:-500],
+        "cut in a skippable member": b"".join(map(warc.member, records))[:-30],
+        "broken member": gzip.compress(whole) + b"no gzip",
+        "length": records[0].replace(b"Content-Length: ", b"Content-Length: x") + whole,
+        "no record": records[0] + b"something else\r\n\r\n" + whole,
+    }
+    for name, data in bad.items():
+        folder = tmp_path / name.replace(" ", "-")
+        folder.mkdir()
+        (folder / ("b.warc.gz" if data[:2] == b"\x1f\x8b" else "b.warc")).write_bytes(data)
+        with pytest.raises(ValueError, match=r"b\.warc"):
+            _read_all(folder)
+    for payload in ("all", "none"):
+        (folder / "b.warc").write_bytes(warc.member(records[4])[:-100_000])
+        with pytest.raises(ValueError, match=r"b\.warc"):
+            _read_all(folder, payload)
+
+
 # ---------------------------------------------------------------- 3
 
 
