@@ -56,16 +56,17 @@ def _cell(points: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """tables of 8 * span dimensions each, taken from a random rotation; `probes` neighbouring cells a block."""
+    """8 tables over a random rotation's 8 blocks of 8 dimensions: a table's cell is made of `span` blocks that follow each other on a
+    ring; `probes` neighbouring cells a block."""
 
-    def __init__(self, dim: int, cosine: float, span: int = 1, probes: int = 2, width: float = 3.5, seed: int = 11) -> None:
+    def __init__(self, dim: int, cosine: float, span: int = 2, probes: int = 1, width: float = 4.5, seed: int = 11) -> None:
         blocks = 8
         self.dim, self.size = dim, max(64, dim)
         q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.size, self.size)))
         self.rotation = q[: 8 * blocks, :dim].T  # dim x 64
         #: A block of the difference of two vectors at the threshold has about this norm.
         self.step = width * np.sqrt((2 - 2 * cosine) * 8 / max(dim, 64))
-        self.tables, self.probes = list(combinations(range(blocks), span)), probes
+        self.tables, self.probes = [tuple((t + i) % blocks for i in range(span)) for t in range(blocks)], probes
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n, tables) names of the home cells and (n, tables, probes) names of probed ones."""
@@ -101,8 +102,9 @@ def _units(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
 
 
-def _cell_rows(cosine: float, kind: str, light: bool, options: dict):
-    """A row for each cell that a class lies in (role 0) or probes (role 1); light: the cell's key alone."""
+def _cell_rows(cosine: float, kind: str, packed: bool, options: dict):
+    """Rows (key, role, tab, rep) for each cell that a class lies in (role 0) or probes (role 1); packed: one row (rep, n, v, cells) a class
+    with the lower halves of its cells' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Lattice] = {}
@@ -115,34 +117,24 @@ def _cell_rows(cosine: float, kind: str, light: bool, options: dict):
                     vectors = [raw[i].as_py() for i in part]
                     unit = _units(vectors, kind)
                     lattice = known.setdefault(int(size), Lattice(unit.shape[1], cosine, **options))
-                    label = labels.to_numpy()[part]
-                    home, near = (_salted(n, label) for n in lattice.cells(unit))
-                    tables, p = home.shape[1], near.shape[2]
-                    keys = np.concatenate([home[:, :, None], near], axis=2)  # n x tables x (1 + probes)
-                    flat = keys.reshape(-1).view(np.int64)
-                    if light:
-                        yield pa.RecordBatch.from_arrays([pa.array(flat)], ["key"])
+                    home, near = (_salted(n, labels.to_numpy()[part]) for n in lattice.cells(unit))
+                    keys = np.concatenate([home[:, :, None], near], axis=2)  # classes x tables x (1 + probes)
+                    n, tables, each = keys.shape
+                    if packed:
+                        cells = [k.tobytes() for k in keys.reshape(n, -1).astype(np.uint32)]
+                        yield pa.RecordBatch.from_arrays([reps.take(pa.array(part)), counts.take(pa.array(part)), pa.array(vectors, pa.binary()), pa.array(cells, pa.binary())], ["rep", "n", "v", "cells"])
                         continue
-                    each = tables * (1 + p)
-                    n, packed = len(part), [k.tobytes() for k in keys.reshape(len(part), -1)]
-                    rows = np.repeat(np.arange(n), each)
                     cols = [
-                        pa.array(flat),
-                        pa.array(np.tile(np.tile(np.arange(1 + p) > 0, tables).astype(np.int32), n)),
-                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + p), n)),
-                        reps.take(pa.array(part)).take(pa.array(rows)),
-                        counts.take(pa.array(part)).take(pa.array(rows)),
-                        pa.array(vectors, pa.binary()).take(pa.array(rows)),
-                        pa.array(packed, pa.binary()).take(pa.array(rows)),
+                        keys.reshape(-1).view(np.int64),
+                        np.tile(np.tile(np.arange(each) > 0, tables).astype(np.int32), n),
+                        np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n),
+                        np.repeat(reps.to_numpy()[part], tables * each),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "role", "tab", "rep", "n", "v", "cells"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["key", "role", "tab", "rep"])
 
     return run
 
 
-_ROWS = "key long, role int, tab int, rep long, n long, v binary, cells binary"
-
-
 def _verify(cosine: float, kind: str, each: int, tile: int = 1024):
     """For rows (key, x, y, own, role, tab, rep, n, v, cells) sorted by (key, x, y): link counts and spanning edges of each run.
 
@@ -171,8 +163,8 @@ def _verify(cosine: float, kind: str, each: int, tile: int = 1024):
         for size in np.unique(sizes):
             at = np.nonzero(sizes == size)[0]
             unit = _units([v[i] for i in at], kind)
-            names = np.frombuffer(b"".join([cells[i] for i in at]), np.uint64).reshape(len(at), -1, each)
-            t, k = tab[0], np.int64(key[0]).view(np.uint64)
+            names = np.frombuffer(b"".join([cells[i] for i in at]), np.uint32).reshape(len(at), -1, each)
+            t, k = tab[0], np.uint32(key[0] & 0xFFFFFFFF)
             for i, j in pairs(role[at], own[at], x[0] != y[0], unit):
                 a, b = names[i], names[j]
                 keep = rep[at][i] != rep[at][j]
@@ -218,14 +210,16 @@ def _verify(cosine: float, kind: str, each: int, tile: int = 1024):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, span: int = 1, probes: int = 2, block: int = 2000, salts: int = 32) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, span: int = 2, probes: int = 1, width: float = 4.5, block: int = 2000) -> DataFrame:
     """Links of cosine >= `cosine` between the vectors of a label: (vec_id, n_links, component_id, kept), one row per input row.
 
-    Args: vectors(vec_id, embedding, label); span: blocks that make a table's cell: 1 (8 tables) up to about a million vectors a
-    label, 2 (28 tables) beyond; block: rows of a cell that are compared in one task, larger cells go to tasks by pairs of blocks.
+    Args: vectors(vec_id, embedding, label); span: blocks of 8 dimensions in a table's cell, more for more than some hundred thousand
+    vectors a label; width: size of a cell; block: rows of a cell that are compared in one task, larger cells go to tasks by pairs of
+    blocks.
 
-    The rotation keeps distances, so of the 8 blocks of a linked pair one at least differs by no more than its share, and a pair is
-    found if any block's cells meet. Equal vectors are one class, so copies cost no pairs. Found pairs are counted where they are
+    Cells are first looked at by ids alone; those with one class go. Only to what is left the vectors are joined.
+    The rotation keeps distances, so of the 8 tables of a linked pair one at least differs by no more than its share, and a pair is
+    found if any table's cells meet. Equal vectors are one class, so copies cost no pairs. Found pairs are counted where they are
     found and never written; tasks hand on counts and spanning edges.
 
     Null labels, null, empty and zero vectors and those with null or non-finite components link with nothing, nor do rows with a null
@@ -234,7 +228,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, span: int = 1, probes
     """
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
-    options = {"span": span, "probes": probes}
+    options = {"span": span, "probes": probes, "width": width}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,12 +248,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, span: int = 1, probes
     packed = cut(packed.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat(F.col("label").cast("string").cast("binary"), F.lit(b"|"), F.col("v")), 256))))
     classes = cut(packed.where("v is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.count("*").alias("n"), F.first("v").alias("v")))
     plain = classes.select("rep", "label", "n", "v")
-    sizes = plain.mapInArrow(_cell_rows(cosine, kind, True, options), "key long").groupBy("key").count().where(F.col("count") > block)
-    spread = sizes.select("key", F.ceil(2 * F.col("count") / block).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = plain.mapInArrow(_cell_rows(cosine, kind, False, options), _ROWS).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
-    rows = rows.join(cut(spread), ["key", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "role", "tab", "rep", "n", "v", "cells")
+    light = plain.mapInArrow(_cell_rows(cosine, kind, False, options), "key long, role int, tab int, rep long")
+    sizes = light.groupBy("key").agg(F.count("*").alias("count"), F.min("role").alias("least")).where("count > 1 and least = 0")
+    sizes = sizes.select("key", F.when(F.col("count") > block, F.ceil(2 * F.col("count") / block)).otherwise(1).cast("int").alias("parts"))
+    rows = light.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = plain.mapInArrow(_cell_rows(cosine, kind, True, options), "rep long, n long, v binary, cells binary")
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "role", "tab", "rep").join(full, "rep")
+    rows = rows.select("key", "x", "y", "own", "role", "tab", "rep", "n", "v", "cells")
     each = 1 + probes * span
     found = cut(rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_verify(cosine, kind, each), "a long, b long, links long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
@@ -272,6 +268,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, span: int = 1, probes
 
 
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links among all embeddings; see near_vectors for nulls, odd vectors, repeated rows and empty tables."""
     return near_vectors(load(spark, sf_dir, "embeddings"))
 
 

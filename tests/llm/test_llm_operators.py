@@ -351,7 +351,7 @@ def test_lattice_links_equal_brute_force(spark):
     comp = np.arange(len(x))
     for _ in range(len(x)):
         comp = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(1))
-    for block, span in ((2000, 1), (16, 1), (2000, 2)):  # also with cells spread over tasks, and with cells of two blocks
+    for block, span in ((2000, 2), (16, 2), (2000, 1), (2000, 3)):  # also with cells spread over tasks, and with other spans
         got = {r.vec_id: r for r in lattice.near_vectors(df, block=block, span=span).collect()}
         n = np.array([got[i].n_links for i in range(len(x))])
         assert (n <= link.sum(1)).all() and n.sum() >= 0.97 * link.sum(), (block, span)
