@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, load
+from leafmill.llm.common import cut, fresh, load
 
 CAPACITY = 1024
 END_ID = 2
@@ -82,13 +82,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
 # ---------------------------------------------------------------- the configuration program
 
+#: What a free place costs, in values of the dearest place.
+WASTE = 8.0
 
-def _price(value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable configuration {length: copies} of those that fill the capacity exactly, copies at most `most`; {} if none does.
 
-    A knapsack by dynamic programming over used capacity.
+def _price(value: np.ndarray, most: np.ndarray, waste: float) -> dict[int, int]:
+    """The configuration {length: copies} of most value less `waste` for each place left free, copies at most `most`; {} if there are no
+    items.
+
+    A knapsack by dynamic programming over used capacity; copies of a length are tried in groups of 1, 2, 4, ... and the rest.
     """
-    items = [(int(n), k) for n in np.nonzero(most)[0][::-1] for k in (1, 2, 4) if k * n <= capacity and 2 * k - 1 <= most[n]]
+    capacity = len(value) - 1
+    items = []
+    for n in np.nonzero(most)[0][::-1].tolist():
+        left, k = min(int(most[n]), capacity // n), 1
+        while left > 0:
+            items.append((n, min(k, left)))
+            left -= k
+            k *= 2
     best, took = np.full(capacity + 1, -np.inf), np.zeros((len(items), capacity + 1), bool)
     best[0] = 0
     for i, (n, k) in enumerate(items):
@@ -96,7 +107,7 @@ def _price(value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]
         took[i, n * k :] = with_it > best[n * k :] + 1e-12
         np.copyto(best[n * k :], with_it, where=took[i, n * k :])
     out: dict[int, int] = {}
-    c = capacity if np.isfinite(best[capacity]) else 0
+    c = int(np.argmax(best + waste * np.arange(capacity + 1)))
     for i in range(len(items) - 1, -1, -1):
         if took[i, c]:
             n, k = items[i]
@@ -109,15 +120,15 @@ def _solve(demand: np.ndarray, capacity: int, rounds: int, rate: float, lean: fl
     """Fractional configurations {((length, copies), ...): bins} that cover the demand without exceeding it.
 
     Each length has a weight that falls as its demand is covered ahead of the others' and, by `lean`, is larger for longer items,
-    which fit in fewer places. A round prices the best configuration under the weights and takes as many bins of it as the demand
-    allows, at most a 96th of the goal.
+    which fit in fewer places. A round prices the best configuration under the weights, a free place costing as much as the dearest
+    ones hold, and takes as many bins of it as the demand allows, at most a 96th of the goal.
     """
     n, size, plan = demand.astype(float), np.arange(len(demand), dtype=float), {}
     left, goal, used = n.copy(), float((size * n).sum() / capacity), 0.0
     for _ in range(rounds):
         lag = used / max(goal, 1e-9) - 1 + left / np.maximum(n, 1)
         weight = np.exp(rate * np.clip(lag, -1, 1) + lean * size / capacity)
-        config = _price(size * weight, np.minimum(np.floor(left + 1e-9), 7).astype(np.int64), capacity)
+        config = _price(size * weight, np.floor(left + 1e-9).astype(np.int64), WASTE * float(weight.max()))
         if not config:
             break
         step = min(max(goal / 96, 1.0), *(left[k] / a for k, a in config.items()))
@@ -158,7 +169,8 @@ def _best_fit(demand: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 2500, rate: float = 1.0, lean: float = 2.0) -> list[tuple[tuple, int]]:
     """[(((length, copies), ...), bins)] that hold exactly the histogram's items in few bins of `capacity`.
 
-    The program is solved fractionally, each configuration's bins are rounded down, and what is then left goes by best fit. If best fit alone needs no more bins, its result is taken. Work depends on the capacity, not on counts.
+    The program is solved fractionally, each configuration's bins are rounded down, and what is then left goes by best fit. If best fit
+    alone needs fewer bins, its result is taken. Work depends on the capacity, not on counts.
     """
     rest = np.zeros(capacity + 1, np.int64)
     for n, k in histogram.items():
@@ -199,12 +211,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The histogram (at most `capacity` rows) goes to the driver, which plans configurations of equal sequences; the plan's size depends
     on the capacity alone. Pieces are sorted by (length, doc_id, piece), so that very many equal lengths spread over partitions, and
-    each finds its place from its rank. Ties and repeated rows get places of their own. An empty table gives no rows.
+    each finds its place from its rank. Ties and repeated rows get places of their own. An empty table gives no rows. Other columns stay,
+    but ones named sequence_id or offset are replaced. A length outside 1..capacity raises ValueError.
     """
-    keys = ["length", "doc_id", "piece"]
+    pieces = pieces.drop("sequence_id", "offset")
+    keys, at_name = ["length", "doc_id", "piece"], fresh(pieces, "at")
     spark = pieces.sparkSession
-    ranked = cut(pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
+    ranked = cut(pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at_name, F.monotonically_increasing_id()))
+    part = F.shiftright(at_name, 33)
     sizes = {r[0]: r[1] for r in ranked.groupBy(part.alias("p")).count().collect()}  # a row per partition
     histogram = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}  # at most `capacity` rows
     before, total = np.zeros(max(sizes, default=0) + 1, np.int64), 0
@@ -230,7 +244,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """Tokenises docs(doc_id, text) and packs the pieces: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null texts count as empty and give one piece of the end id. A document of over `capacity` ids is cut so that all pieces but the
-    first are full. Other columns are ignored. Rows with a null doc_id are packed like others.
+    first are full. Other columns are ignored. Rows with a null doc_id are packed like others, repeated rows as often as they occur. An
+    empty table gives no rows.
     """
     return pack(cut(token_pieces(docs, tokenizer, capacity, end_id)), capacity)
 
@@ -242,4 +257,5 @@ def tokenizer_path(name: str) -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents; see pack_documents for nulls, long texts and empty tables."""
     return pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))

@@ -478,6 +478,35 @@ def test_ring_keys_lose_no_link(spark, monkeypatch, block):
 # ---------------------------------------------------------------- 10
 
 
+@pytest.mark.parametrize("histogram", [{100: 1000}, {300: 1000, 500: 1000}, {1: 10000}, {2: 5000, 3: 5000}, {341: 300, 342: 300, 700: 100}, {1024: 5, 7: 3}])
+def test_every_histogram_is_packed_by_configurations(histogram):
+    demand = np.zeros(1025, np.int64)
+    for n, k in histogram.items():
+        demand[n] = k
+    below = demand.copy()
+    below[1024] = 0
+    plan = packing._solve(below, 1024, 2500, 1.0, 2.0)
+    assert plan and all(sum(n * a for n, a in c) <= 1024 for c in plan)
+    out = packing.configurations(histogram)
+    assert sum(b for _, b in out) <= sum(b for _, b in packing._best_fit(demand, 1024))
+    held = collections.Counter()
+    for config, bins in out:
+        assert sum(n * a for n, a in config) <= 1024
+        for n, a in config:
+            held[n] += a * bins
+    assert held == collections.Counter(histogram)
+
+
+def test_configurations_beat_best_fit():
+    assert sum(b for _, b in packing.configurations({341: 300, 342: 300, 700: 100})) < 350  # best fit needs 350
+
+
+def test_packing_keeps_clashing_columns(spark):
+    pieces = spark.createDataFrame([(1, 0, 3, "a", 9), (2, 0, 3, "b", 9)], "doc_id long, piece int, length long, _at string, offset int")
+    rows = packing.pack(pieces).collect()
+    assert sorted((r._at, r.offset) for r in rows) == [("a", 0), ("b", 3)]
+
+
 def test_packing_is_tight_and_complete(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
