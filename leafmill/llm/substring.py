@@ -187,29 +187,27 @@ def _passages(window: int, anchor: int, hot_keys):
 
 
 def _judge(rows: list[tuple], window: int) -> list[tuple[int, int, int]]:
-    """(doc_id, at, n): n windows from `at` on whose words occur earlier, for stretches (doc_id, at, n, words) that share their anchors."""
+    """(doc_id, at, n): n windows from `at` on whose words occur earlier, for stretches (doc_id, at, n, words) that share their anchors.
+
+    The index is built of the distinct stretches, each at its first place; all stretches are matched against it, equal ones at once.
+    """
     rows.sort(key=lambda r: (r[0], r[1]))
-    out, ids, text, parts, owner, seen = [], {}, [], [], [], {}
-    for doc, at, n, body in rows:
-        if body in seen:
-            if seen[body] < (doc, at):
-                out.append((doc, at, n))
-            continue
-        seen[body] = (doc, at)
-        begin = len(text)
-        text += [ids.setdefault(w, len(ids) + 1) for w in body.split(b" ")]
-        parts.append((begin, len(text)))
-        owner.append((doc, at))
-        text.append(0)
-    if len(parts) < 2:
-        return out
-    found = FmIndex.of(np.array(text, np.int64), window).earliest(parts)
-    for (doc, at), (begin, _), earliest in zip(owner, parts, found):
-        here = begin + np.arange(len(earliest))
-        late = earliest < here
-        if late.any():
-            edge = np.diff(np.concatenate(([0], late.astype(np.int8), [0])))
-            out += [(doc, at + int(s), int(e - s)) for s, e in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0])]
+    ids: dict[bytes, int] = {}
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    for doc, at, _, body in rows:
+        places.setdefault(body, []).append((doc, at))
+    patterns = [np.array([ids.setdefault(w, len(ids) + 1) for w in body.split(b" ")], np.int64) for body in places]
+    begin = np.cumsum([0, *[len(p) + 1 for p in patterns]])[:-1]
+    index = FmIndex(np.concatenate([np.append(p, 0) for p in patterns]), window)
+    out = []
+    for where, here, earliest in zip(places.values(), begin.tolist(), index.earliest(patterns)):
+        own = here + np.arange(len(earliest))
+        for doc, at in dict.fromkeys(where):
+            # Text order is the order of first places, so a smaller place is earlier; a copy comes after its first place itself.
+            late = (earliest >= 0) & (earliest < own + ((doc, at) > where[0]))
+            if late.any():
+                edge = np.diff(np.concatenate(([0], late.astype(np.int8), [0])))
+                out += [(doc, at + int(s), int(e - s)) for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
     return out
 
 
@@ -260,7 +258,7 @@ def kept_words(text: str | None, ranges: list[tuple[int, int]], window: int) ->
     return len(words), [w for w, g in zip(words, gone.tolist()) if not g]
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = 400_000, hot_share: int = 1_000_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = 400_000, hot_share: int = 4_000_000) -> DataFrame:
     """(doc_id, ranges) of the documents with repeats; ranges is array<struct<at, n>>: from word window `at` on, n windows of which each
     also begins earlier.
 
@@ -269,7 +267,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
        one batch go as one row, so an anchor that every document holds gives as many rows as there are batches.
     2. The stretches of words around repeated anchors go to shards by anchor. Anchors with a share of over 1 / hot_share (and over
        HOT_MIN) go window by window, by the hash of the whole window; there are at most hot_share of them, so their list may be broadcast.
-    3. In each shard an FM-index of its distinct stretches is searched backward with each of them.
+    3. In each shard an FM-index is built of the distinct stretches, and all its stretches are matched against it by backward search; the
+       windows found earlier are reported. Equal stretches of one batch of texts go as one, the first of them: the others are known to
+       come later.
 
     Null and blank texts have no words. Rows with a null doc_id are left whole. doc_id names a text: rows that repeat one get the same
     ranges, none of them counts as earlier than the other. An empty table gives no rows. Other columns of docs are ignored.
@@ -321,7 +321,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
 def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_chars, where there is such a column, counted anew; other columns stay.
 
-    Texts in which nothing repeats stay as they are; in others the kept words are joined by one space. No row is dropped.
+    Texts in which nothing repeats stay as they are, null ones null; in others the kept words are joined by one space. No row is dropped;
+    rows with a null doc_id are left whole. An empty table gives an empty one.
     """
     ident, found_in = fresh(docs, "range_id"), fresh(docs, "found_ranges")
     ranges = repeated_ranges(docs, window, **options).select(F.col("doc_id").alias(ident), F.col("ranges").alias(found_in))
@@ -343,6 +344,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes repeated passages from all documents; see repeated_ranges for nulls, repeated rows and empty tables."""
     return remove_repeats(load(spark, sf_dir, "documents")).drop("kept_text")
 
 

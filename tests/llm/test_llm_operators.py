@@ -321,18 +321,28 @@ def test_substrings_equal_a_plain_loop(spark, monkeypatch, window, anchor):
 def test_fm_index_finds_the_earliest_window():
     rng = np.random.default_rng(3)
     for depth in (2, 5, 20):
-        text, parts = [], []
+        text, streamed = [], []
         base = rng.integers(1, 5, 300)
-        for _ in range(40):
-            n, s = int(rng.integers(depth, depth + 9)), int(rng.integers(0, 270))
+        for i in range(80):
+            n, s = int(rng.integers(1, depth + 9)), int(rng.integers(0, 270))
             x = base[s : s + n] if rng.random() < 0.7 else rng.integers(1, 5, n)
-            parts.append((len(text), len(text) + len(x)))
-            text += [*x.tolist(), 0]
+            if rng.random() < 0.3:
+                x = np.concatenate((x, rng.integers(1, 9, 3), x))  # symbols that the text lacks, and matches that end
+            streamed.append(x)
+            if i < 40:
+                text += [*x.tolist(), 0]
         t = np.array(text)
-        for (b, e), found in zip(parts, fm.FmIndex.of(t, depth).earliest(parts)):
-            for j, at in enumerate(found):
-                assert at == next(i for i in range(len(t)) if t[i : i + depth].tolist() == t[b + j : b + j + depth].tolist())
-            assert len(found) == max(0, e - b - depth + 1)
+        held = {}
+        for i in range(len(t) - depth + 1):
+            held.setdefault(tuple(t[i : i + depth].tolist()), i)
+        for x, found in zip(streamed, fm.FmIndex(t, depth).earliest(streamed)):
+            assert found.tolist() == [held.get(tuple(x[j : j + depth].tolist()), -1) for j in range(len(x) - depth + 1)]
+
+
+def test_fm_index_is_compressed():
+    rng = np.random.default_rng(5)
+    text = np.concatenate([np.append(rng.integers(1, 5000, 60), 0) for _ in range(2000)] * 2)
+    assert fm.FmIndex(text, 20).nbytes() < 1.1 * 8 * len(text)  # the suffix array alone has 8 bytes a symbol
 
 
 # ---------------------------------------------------------------- 5
