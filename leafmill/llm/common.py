@@ -25,10 +25,13 @@ def words_of(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder from spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The shared folder from spark.checkpoint.dir. Only where the session names none and runs in one process, a temporary one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-"))
     return sc.getCheckpointDir()
 
 

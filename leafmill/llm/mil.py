@@ -176,7 +176,8 @@ def score_quality(docs: DataFrame, model: MilModel) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held: int = 2) -> DataFrame:
     """docs whose score reaches the threshold, with all their columns; the model learns from labels outside the held fold.
 
-    Rows with a null doc_id are scored like others.
+    Rows with a null doc_id are scored like others, null and blank texts as one empty passage, very long ones whole. Repeated rows are
+    judged alike. An empty table gives an empty one.
     """
     model = fit(docs, labels.where(fold_of(F.col("doc_id"), folds) != held))
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
@@ -193,6 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
 
 
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned outside the held fold; see score_quality for nulls, empty texts and empty tables."""
     docs, held = load(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2
     model = fit(docs, load(spark, sf_dir, "labels").where(~held))
     out = score_quality(docs, model).withColumn("held_out", held)

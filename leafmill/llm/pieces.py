@@ -113,13 +113,13 @@ class PieceEncoder:
         longest: list[str | None] = [None] * n
         for end, piece in self.automaton.iter(text):
             longest[end - len(piece) + 1] = piece  # longer ones of a start come later
-        dead = 0  # a bit per place: set if no encoding goes on from there
+        dead = bytearray(n // 8 + 1)  # a bit per place: set if no encoding goes on from there
         fits, shorter, out = self.fits, self.shorter, []
         at, piece, after = 0, longest[0], None
         while True:
             while piece is not None:
                 end = at + len(piece)
-                if not dead >> end & 1:
+                if not dead[end >> 3] >> (end & 7) & 1:
                     if after is None:
                         break
                     ok = after.get(piece)
@@ -136,7 +136,7 @@ class PieceEncoder:
                 at, after = end, fits[piece]
                 piece = longest[at]
             else:
-                dead |= 1 << at
+                dead[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
                 after = fits[out[-1]] if out else None
@@ -205,6 +205,7 @@ def _encoded(docs: DataFrame, model: str, full: bool) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' ids; see encode_pieces for nulls, empty texts and empty tables."""
     import public_tokenizers
 
     return _encoded(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), full=False)

@@ -133,11 +133,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
 
 
 def keep_passing(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns. Null and blank texts go, whatever their doc_id; repeated rows are judged
+    alike. An empty table gives an empty one."""
     return docs.where(verdict(F.col("text").cast("string"), **options)["kept"])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents; see quality_rules for nulls, repeated rows and empty tables."""
     out = quality_rules(load(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *[F.col(f"verdict.measures.{n}").alias(n) for n in names], "verdict.base_failed", "verdict.kept")

@@ -119,5 +119,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents; see shard_documents for nulls, repeated rows and empty tables."""
     out = shard_documents(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

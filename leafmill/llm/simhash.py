@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, bits: int = 3, k: int = 3, pieces: int = 4,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the near-duplicates: of each component the rows with the smallest doc_id stay, one row of them if rows repeat.
 
-    All columns stay as they are. Rows with a null doc_id stay.
+    All columns stay as they are. Rows with a null doc_id stay. Null and blank texts share fingerprint 0, so one row of them stays. An empty
+    table gives an empty one.
     """
     name = fresh(docs, "kept_id")
     first = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
@@ -210,5 +211,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all documents; see near_duplicates for nulls, empty texts, repeated rows and empty tables."""
     out = near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
