@@ -97,8 +97,25 @@ def span(attr: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(strip(attr).try_cast("int"), F.lit(1)))
 
 
+def _char(code: Column) -> Column:
+    """The character of a code point as UTF-8 bytes; null outside of 1 ... 10FFFF and for surrogates."""
+    tail = lambda shift: F.lit(128) + F.shiftright(code, shift).bitwiseAND(F.lit(63))
+    hexed = lambda *b: F.concat(*[F.lpad(F.hex(x), 2, "0") for x in b])
+    head = lambda base, shift: F.lit(base) + F.shiftright(code, shift)
+    data = F.when(code < 128, hexed(code)).when(code < 2048, hexed(head(192, 6), tail(0))).when(code < 65536, hexed(head(224, 12), tail(6), tail(0))).otherwise(hexed(head(240, 18), tail(12), tail(6), tail(0)))
+    return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(data), "UTF-8"))
+
+
 def decode_entities(x: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&#10;", "\n"), ("&#xa;", "\n"), ("&amp;", "&")):
+    """Named entities of the formats and numeric ones (&#8211; &#x2013;) as characters; others stay."""
+    number = r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});"
+    code = lambda e: F.coalesce(F.conv(F.regexp_extract(e, "&#[xX]([0-9a-fA-F]+);", 1), 16, 10).try_cast("int"), F.regexp_extract(e, r"&#(\d+);", 1).try_cast("int"))
+    # Each text between two numbers, followed by the number after it.
+    parts = F.split(x, number)
+    found = F.concat(F.transform(F.regexp_extract_all(x, F.lit(number), F.lit(0)), lambda e: F.coalesce(_char(code(e)), e)), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    x = F.when(x.rlike(number), joined).otherwise(x)
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
     return x
 

@@ -14,7 +14,8 @@ from leafmill.operators.markup import attribute, tokens
 # The heading of inserted sections, texts for attachments without content, and known extensions.
 NO_ERD = "Data Model Summary\n\nStructured ERD extraction is unavailable because no deterministic diagram metadata was found."
 NO_CONTENT = "Searchable Content:\n\nNo visual content extracted because image analysis is disabled or unavailable."
-ENRICHMENT_HEADING = "### Attachment Information"
+# Fixed value: the heading that marks enriched pages.
+ENRICHMENT_HEADING = "### Extracted Attachment Information"
 KNOWN = ("drawio", "vsdx", "vsd", "svg", "pdf", "pptx", "ppt", "png", "jpg", "jpeg", "gif", "webp", "bmp")
 DIAGRAM_EXTENSIONS = ("drawio", "xml")
 
@@ -59,9 +60,10 @@ def with_heading_path(attachments: DataFrame, headings: DataFrame) -> DataFrame:
     return out.select(*attachments.columns, F.coalesce("_p", "_f").alias("heading_path"))
 
 
-def size_guard(attachments: DataFrame, max_mb: int = 20) -> DataFrame:
-    """attachments with skip_reason for contents of over max_mb MiB."""
-    return attachments.withColumn("skip_reason", F.when(F.length("content") > (max_mb << 20), F.lit(f"File exceeds {max_mb} MB limit")))
+def size_guard(attachments: DataFrame, max_mb: int = 20, max_bytes: int | None = None) -> DataFrame:
+    """attachments with skip_reason for contents of over max_mb MiB, or over max_bytes where that is given."""
+    limit, named = (max_mb << 20, f"{max_mb} MB") if max_bytes is None else (max_bytes, f"{max_bytes} bytes")
+    return attachments.withColumn("skip_reason", F.when(F.length("content") > limit, F.lit(f"File exceeds {named} limit")))
 
 
 def classify(attachments: DataFrame, xml_diagrams: bool = False) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import join_lists, no_blank, strip
+from leafmill.operators.attachments import ENRICHMENT_HEADING
 
 MAX_CHARACTERS = 4000
-#: Attachment types that get chunks for their parts too.
+# Attachment types that get chunks for their parts too.
 DIAGRAMS = ("DRAWIO_DIAGRAM", "DRAWIO_SOURCE", "STATE_DIAGRAM", "CLASS_DIAGRAM", "ER_DIAGRAM", "GENERIC_DIAGRAM", "ARCHITECTURE_DIAGRAM", "FLOWCHART", "SEQUENCE_DIAGRAM", "SVG_DIAGRAM", "VISIO_DIAGRAM")
-ENRICHED = "## Attachment analysis"
 
 
 def lines(md: DataFrame) -> DataFrame:
@@ -107,6 +107,7 @@ def image_chunks(attachments: DataFrame, start: DataFrame | None = None) -> Data
     return rows.select(name.alias("chunk_id"), "page_id", "heading_path", "chunk_index", F.col("c.text").alias("text"), F.lit("IMAGE").alias("chunk_type"), F.col("c.semantic_type").alias("semantic_type"), F.col("detected_type").alias("asset_type"), F.col("relative_path").alias("asset_path"))
 
 
-def all_chunks(md_chunks: DataFrame, img_chunks: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Markdown chunks and image chunks; pages of enriched(page_id) hold their attachments in the text and get no image chunks."""
-    return md_chunks.unionByName(img_chunks.join(enriched.select("page_id"), "page_id", "left_anti"), allowMissingColumns=True)
+def all_chunks(md_chunks: DataFrame, img_chunks: DataFrame, md: DataFrame) -> DataFrame:
+    """Markdown chunks and image chunks; pages of md(page_id, md) whose text holds their attachments already get no image chunks."""
+    enriched = md.where(F.col("md").contains(ENRICHMENT_HEADING)).select("page_id")
+    return md_chunks.unionByName(img_chunks.join(enriched, "page_id", "left_anti"), allowMissingColumns=True)

@@ -84,9 +84,8 @@ def layer(label: Column, style: Column) -> Column:
 
 
 def style_type(style: Column) -> Column:
-    """A node's shape by its style: the named shape, else the first word."""
-    named, first = F.regexp_extract(style, r"shape=([^;]+)", 1), F.regexp_extract(style, r"^([A-Za-z]+)(?:;|$)", 1)
-    return F.coalesce(no_blank(named), no_blank(first), F.lit("node"))
+    """A node's shape by its style: the first part that names a shape, a swimlane or rounded corners, whole; null if none does."""
+    return F.get(F.filter(F.split(style, ";"), lambda p: p.rlike("^(shape=|swimlane|rounded=)")), 0)
 
 
 def class_members(cells: DataFrame) -> DataFrame:
@@ -173,6 +172,7 @@ def edge_labels(cells: DataFrame) -> DataFrame:
     return first.groupBy("diagram_id", "cell_id").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), " ")).alias("edge_label"))
 
 
+# Arrows and the relations that they stand for.
 def relationship(style: Column) -> Column:
     """The kind of a class relation by its arrow."""
     low = F.lower(style)
@@ -328,3 +328,16 @@ def diagram_files(attachments: DataFrame) -> DataFrame:
     """(diagram_id, xml) of attachments(relative_path, content) that are diagram sources."""
     text = F.decode("content", "UTF-8")
     return attachments.where((extension(F.col("relative_path")) == "drawio") & text.rlike(r"(?i)<mx(file|GraphModel)\b")).select(F.col("relative_path").alias("diagram_id"), text.alias("xml"))
+
+
+def analyze_diagrams(files: DataFrame) -> DataFrame:
+    """(diagram_id, type, valid, summary, sections, node_count, edge_count, label_count, components, relationships) of files(diagram_id, xml)
+    in one call. Cells, types, nodes and edges are written once, since the parts read them several times. Files without a labelled cell give
+    zero counts and null lists."""
+    cells = cut(diagram_cells(files))
+    types = cut(classify_diagrams(cells))
+    nodes = cut(diagram_nodes(cells, types))
+    edges = cut(diagram_edges(cells, types, nodes))
+    out = types.join(valid_diagrams(types, nodes, edges), "diagram_id").join(diagram_summary(types, cells, nodes, edges), "diagram_id")
+    out = out.join(diagram_sections(types, cells, nodes, edges), "diagram_id").join(diagram_metadata(cells, nodes, edges), "diagram_id", "left")
+    return out.fillna(0, ["node_count", "edge_count", "label_count"])

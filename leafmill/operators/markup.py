@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import decode_entities, escape_cell, no_blank, placeholder, span, src_name, strip
-from leafmill.operators.common import distinct_ordered
+from leafmill.operators.common import cut, distinct_ordered
 
 VOID = ("br", "hr", "img", "meta", "link", "input")
 _TOKEN = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[^>]+>|[^<]+"
@@ -91,7 +91,7 @@ def render_blocks(toks: DataFrame) -> DataFrame:
     items = items.join(top, ["page_id", "block"])
     line = F.concat(F.when(F.col("top") == "ol", F.concat(F.col("item").cast("string"), F.lit(". "))).otherwise("- "), strip(F.regexp_replace("text", r"\s+", " ")))
     lists = items.where(F.col("top").isin("ul", "ol")).groupBy("page_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("l")))), lambda x: x["l"]), "\n").alias("list"))
-    cells = table_cells(toks)
+    cells = cut(table_cells(toks))
     piped = pipe_tables(cells).select("page_id", "block", "pipe")
     hard = complex_tables(cells).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("block")))
     hard = hard.select("page_id", "block", placeholder("table", F.concat(F.lit("table-"), F.col("n").cast("string"))).alias("held"))
@@ -112,8 +112,9 @@ def render_blocks(toks: DataFrame) -> DataFrame:
 
 
 def markdown(pages: DataFrame) -> DataFrame:
-    """(page_id, md) of pages(page_id, title, html): the title as a heading, then the blocks, blank lines between them."""
-    body = render_blocks(tokens(pages)).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    """(page_id, md) of pages(page_id, title, html): the title as a heading, then the blocks, blank lines between them. Tokens are written
+    once, since blocks, lists and tables all read them."""
+    body = render_blocks(cut(tokens(pages))).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
     title = F.concat(F.lit("# "), strip(F.col("title")))
     return pages.select("page_id", "title").join(body, "page_id", "left").select("page_id", F.concat_ws("\n\n", F.when(no_blank(F.col("title")).isNotNull(), title), no_blank(F.col("body"))).alias("md"))
 
@@ -143,9 +144,9 @@ def table_cells(toks: DataFrame) -> DataFrame:
 
 
 def table_shapes(cells: DataFrame) -> DataFrame:
-    """Per table: rows, columns (most spanned cells in a row), ragged, spanned and nested flags."""
-    per = cells.groupBy("page_id", "block", "row_ix").agg(F.sum("colspan").cast("int").alias("wide"), F.count("*").alias("n"), F.bool_or((F.col("colspan") > 1) | (F.col("rowspan") > 1)).alias("spanned"), F.bool_or("nested").alias("nested"))
-    return per.groupBy("page_id", "block").agg(F.count("*").cast("int").alias("row_count"), F.max("wide").alias("column_count"), (F.countDistinct("n") > 1).alias("ragged"), F.bool_or("spanned").alias("spanned"), F.bool_or("nested").alias("nested"))
+    """Per table: rows, columns (most of a row, spans counted), ragged (rows of different numbers of columns), spanned and nested flags."""
+    per = cells.groupBy("page_id", "block", "row_ix").agg(F.sum("colspan").cast("int").alias("wide"), F.bool_or((F.col("colspan") > 1) | (F.col("rowspan") > 1)).alias("spanned"), F.bool_or("nested").alias("nested"))
+    return per.groupBy("page_id", "block").agg(F.count("*").cast("int").alias("row_count"), F.max("wide").alias("column_count"), (F.countDistinct("wide") > 1).alias("ragged"), F.bool_or("spanned").alias("spanned"), F.bool_or("nested").alias("nested"))
 
 
 def complex_tables(cells: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass holds in memory; more go in further passes.
-QUERY_BLOCK = 4096
+#: Queries and vectors that meet in one task.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 50_000
 
 
 def scope(df: DataFrame, root_id: int | None = None) -> DataFrame:
@@ -30,56 +30,75 @@ def top_k(scored: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_search(block: pd.DataFrame, k: int, threshold: float, scoped: bool):
-    q = np.stack(block["embedding"].to_numpy()).astype(np.float64)
-    norm = np.linalg.norm(q, axis=1)
-    ids, roots = block["query_id"].to_numpy(np.int64), block["root_id"].to_numpy(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            v = b.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            length = np.linalg.norm(v, axis=1)
-            root = b.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 256):
-                s = slice(at, at + 256)
-                score = (v @ q[s].T) / np.maximum(length[:, None] * norm[None, s], 1e-300)
-                score[(length == 0)[:, None] | (norm[s] == 0)[None, :]] = -np.inf
-                if scoped:
-                    score[root[:, None] != roots[None, s]] = -np.inf
-                score[score < threshold] = -np.inf
-                # Rows that tie with the k-th stay, so that ties are settled over all batches.
-                low = np.partition(score, n - min(k, n), axis=0)[n - min(k, n)]
-                i, j = np.nonzero((score >= low[None, :]) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s][j]), b.column(0).take(pa.array(i)), pa.array(root[i]), pa.array(score[i, j])], ["query_id", "chunk_id", "root_id", "score"])
+def _matrix(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (row numbers, unit vectors)} of the finite vectors that aren't zero."""
+    rows = [np.asarray(x, np.float64) for x in column.to_pylist()]
+    sizes = np.array([len(r) for r in rows])
+    out = {}
+    for n in set(sizes.tolist()) - {0}:
+        at = np.flatnonzero(sizes == n)
+        x = np.stack([rows[i] for i in at])
+        norm = np.linalg.norm(x, axis=1)
+        good = np.isfinite(norm) & (norm > 0)
+        out[n] = at[good], x[good] / norm[good, None]
+    return out
+
+
+def _best(k: int, threshold: float):
+    """For a block of queries and a block of vectors: the k best rows of each query, ties by chunk_id."""
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        names = np.array(vectors.column("chunk_id").to_pylist(), object)
+        place = np.empty(len(names), np.int64)
+        place[np.argsort(names.astype(str), kind="stable")] = np.arange(len(names))
+        asked, held = _matrix(queries.column("embedding")), _matrix(vectors.column("embedding"))
+        for n in asked.keys() & held.keys():
+            (qs, q), (vs, v) = asked[n], held[n]
+            for at in range(0, len(q), 256) if len(v) else ():
+                score = q[at : at + 256] @ v.T
+                low = np.maximum(np.partition(score, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))], threshold)
+                i, j = np.nonzero(score >= low[:, None])
+                order = np.lexsort((place[vs[j]], -score[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i, "left")
+                keep = np.arange(len(i)) - first < k
+                found.append((qs[at + i[keep]], vs[j[keep]], score[i[keep], j[keep]]))
+        i, j, score = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(i, pa.int64())), "chunk_id": vectors.column("chunk_id").take(pa.array(j, pa.int64())), "root_id": vectors.column("root_id").take(pa.array(j, pa.int64())), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = -1.0, scoped: bool = False) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = -1.0, scoped: bool = False, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, chunk_id, root_id, score, rank): the k most cosine-similar vectors of each query.
 
-    queries(query_id, root_id, embedding) against vectors(chunk_id, root_id, embedding). Queries go in blocks of QUERY_BLOCK, of which
-    each is compared with every batch of vectors where it lies; a batch hands on its k best, so no pairs are written. scoped: only
-    vectors of the query's root. Zero vectors match nothing.
+    queries(query_id, root_id, embedding) against vectors(chunk_id, root_id, embedding). Both are dealt by hash into blocks of about
+    query_block and vector_block rows; each block of queries meets each block of vectors in a task of its own, which hands on the k best
+    of each query, so that no task or driver holds all of either and no pairs are written. scoped: only vectors of the query's root,
+    blocks being made inside each root. Ties go by chunk_id.
+
+    Null, empty and zero vectors and those with null or non-finite components match nothing; vectors of different lengths aren't compared.
+    Rows with a null root_id count as root -1.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    held = queries.select("query_id", F.coalesce("root_id", F.lit(-1)).cast("long").alias("root_id"), "embedding")
-    plain = vectors.where("embedding is not null").select("chunk_id", F.col("root_id").cast("long").alias("root_id"), F.col("embedding").cast("array<double>"))
-    out = None
-    for i in range(blocks):
-        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        block = part.toPandas()
-        if not len(block):
-            continue
-        found = plain.mapInArrow(_block_search(block, k, threshold, scoped), "query_id long, chunk_id string, root_id long, score double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        out = plain.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "root_id", F.lit(0.0).alias("score")).limit(0)
-    return top_k(out, k)
+    clean = lambda df, ident: df.select(ident, F.coalesce("root_id", F.lit(-1)).cast("long").alias("root_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("size(embedding) > 0 and not exists(embedding, x -> x is null)")
+    asked, held = clean(queries, "query_id"), clean(vectors, "chunk_id")
+    blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    if scoped:
+        sizes = asked.groupBy("root_id").agg(blocks(F.count("*"), query_block).alias("qs")).join(held.groupBy("root_id").agg(blocks(F.count("*"), vector_block).alias("vs")), "root_id")
+        asked, held = asked.join(sizes, "root_id"), held.join(sizes, "root_id")
+    else:
+        counts = {"qs": max(1, -(-asked.count() // query_block)), "vs": max(1, -(-held.count() // vector_block))}
+        asked, held = (df.withColumns({c: F.lit(n) for c, n in counts.items()}) for df in (asked, held))
+    own = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    area = F.col("root_id") if scoped else F.lit(0).cast("long")
+    left = asked.select("query_id", "embedding", area.alias("area"), own("query_id", "qs").alias("qb"), every("vs").alias("vb"))
+    right = held.select("chunk_id", "root_id", "embedding", area.alias("area"), every("qs").alias("qb"), own("chunk_id", "vs").alias("vb"))
+    keys = ["area", "qb", "vb"]
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k, threshold), f"query_id {kinds[0]}, chunk_id {kinds[1]}, root_id long, score double")
+    return top_k(found, k)
 
 
 def embed_hashing(chunks: DataFrame, size: int = 256) -> DataFrame:

@@ -92,17 +92,17 @@ def sources(spark, sf_dir):
     return s.select("query_id", F.size("sources").cast("long").alias("n"), F.array_join(line, "#").alias("joined"))
 
 
-@query(f"""with m as ({fx.MANIFEST}), h as (select doc_id, doc_id % 7 as root_id, doc_id as page_id, case when doc_id % 2 = 0 then ' ' else source end as title, case when doc_id % 3 = 0 then 0.25 end as score, case when doc_id % 4 <> 0 then 0.4 end as distance from documents)
+@query(f"""with m as ({fx.MANIFEST}), h as (select doc_id, cast(floor(doc_id / 50) as bigint) as root_id, doc_id as page_id, case when doc_id % 2 = 0 then ' ' else source end as title, case when doc_id % 3 = 0 then 0.25 end as score, case when doc_id % 4 <> 0 then 0.4 end as distance from documents)
   select h.page_id, case when trim(h.title) <> '' then h.title else m.title end as title, m.web_url, coalesce(score, case when distance is not null then greatest(0.0, 1 - distance) end)::double as score
   from h left join m on m.page_id = h.page_id and m.root_id = h.root_id""")
 def hit_enrichment(spark, sf_dir):
-    h = load(spark, sf_dir, "documents").selectExpr("doc_id % 7 as root_id", "doc_id as page_id", "case when doc_id % 2 = 0 then ' ' else source end as title", "cast(null as string) as web_url", "cast(case when doc_id % 3 = 0 then 0.25 end as double) as score", "cast(case when doc_id % 4 <> 0 then 0.4 end as double) as distance")
+    h = load(spark, sf_dir, "documents").selectExpr("cast(floor(doc_id / 50) as bigint) as root_id", "doc_id as page_id", "case when doc_id % 2 = 0 then ' ' else source end as title", "cast(null as string) as web_url", "cast(case when doc_id % 3 = 0 then 0.25 end as double) as score", "cast(case when doc_id % 4 <> 0 then 0.4 end as double) as distance")
     return retrieval.hits(h, derived(spark, sf_dir, fx.MANIFEST)).select("page_id", "title", "web_url", "score")
 
 
-@query("select conv_id, turn, case when length(text) <= 4000 and regexp_matches(text, '\\S') and turn + 1 <= 50 then 'valid' else 'rejected' end as verdict from conversations where role = 'user'")
+@query("select conv_id, turn, case when length(text) <= 4000 and regexp_matches(text, '\\S') and 12 * turn + 1 <= 50 and turn / 4.0 <= 1 then 'valid' else 'rejected' end as verdict from conversations where role = 'user'")
 def validate_queries(spark, sf_dir):
-    q = load(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", "text as query", "turn + 1 as top_k", "0.5 as threshold")
+    q = load(spark, sf_dir, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", "text as query", "12 * turn + 1 as top_k", "cast(turn / 4 as double) as threshold")
     good, bad = retrieval.validate_queries(q)
     return good.select("conv_id", "turn", F.lit("valid").alias("verdict")).unionByName(bad.select("conv_id", "turn", F.lit("rejected").alias("verdict")))
 
@@ -114,10 +114,11 @@ def embed_hashing(spark, sf_dir):
     return out.select("chunk_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("square"))
 
 
-@query("select cast(vec_id as string) as chunk_id, 1 as dim from embeddings")
+@query("select cast(doc_id as string) as chunk_id, length(text)::double as size, (length(text) - length(replace(text, 'e', '')))::double as es from documents")
 def embed_user_function(spark, sf_dir):
-    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").cast("string").alias("text"))
-    return vectors.embed(rows, lambda texts: [[float(len(t))] for t in texts]).select("chunk_id", F.size("embedding").alias("dim"))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    out = vectors.embed(rows, lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
+    return out.select("chunk_id", F.col("embedding")[0].cast("double").alias("size"), F.col("embedding")[1].cast("double").alias("es"))
 
 
 @query()
@@ -269,10 +270,10 @@ def run_progress(spark, sf_dir):
 
 
 @query(f"""with o as ({fx.OUTCOMES}), t as (select root_id, phase, arg_max(success::varchar, ts) as s from o group by root_id, phase)
-  select root_id, string_agg('batch(' || phase || ')=' || s, '; ' order by phase) || '; manifest ' || case when root_id < 5 then 'present' else 'absent' end as message from t group by root_id""")
+  select root_id, string_agg('batch(' || phase || ')=' || s, '; ' order by phase) || '; manifest ' || case when root_id < 3 then 'present' else 'absent' end as message from t group by root_id""")
 def run_status(spark, sf_dir):
     o = derived(spark, sf_dir, fx.OUTCOMES).withColumn("status", F.col("success").cast("string"))
-    m = derived(spark, sf_dir, fx.MANIFEST).where("root_id < 5")
+    m = derived(spark, sf_dir, fx.MANIFEST).where("root_id < 3")
     return manifest.run_status(o.select("root_id").distinct(), o, m)
 
 
@@ -335,17 +336,22 @@ def heading_tokens(spark, sf_dir):
     return markup.heading_tokens(load(spark, sf_dir, "pages"))
 
 
-_STORED = "select doc_id as page_id, source as title, '<h2>' || lang || '</h2><p>One <strong> bold </strong> and <a href=\"http://x/' || doc_id || '\">link</a></p><ol><li>' || source || '</li><li>b</li></ol><p><ac:image><ri:attachment ri:filename=\"f' || doc_id || '.png\"/></ac:image></p><pre>x &lt; y</pre><hr/><p>' || substring(replace(replace(text, '<', ' '), '&', ' '), 1, 100000) || '</p>' as html, text, lang, source, doc_id from documents"
+_STORED = """select doc_id as page_id, source as title, '<h2>' || lang || '</h2><p>One <strong> bold </strong> and <a href="http://x/' || doc_id || '">link</a></p><ol><li>' || source || '</li><li>b</li></ol><ul><li>u&#8211;1</li><li><em>u2</em></li></ul>'
+  || '<blockquote>q1<br/>q2</blockquote><table><tr><th>' || lang || '</th><th>h</th></tr><tr><td>a|b</td><td>' || source || '</td></tr></table><table><tr><td colspan="2">w</td></tr><tr><td>1</td><td>2</td></tr></table>'
+  || '<p><ac:image><ri:attachment ri:filename="f' || doc_id || '.png"/></ac:image></p><p><img src="http://i/g' || doc_id || '.jpg"/></p><pre>x &lt; y</pre><hr/><p>'
+  || replace(replace(replace(replace(text, '<', ' '), '&', ' '), '*', ' '), '`', ' ') || '</p>' as html, text, lang, source, doc_id from documents"""
 
 
-@query(f"""with s as ({_STORED}) select page_id, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || 'One **bold** and [link](http://x/' || doc_id || ')' || chr(10) || chr(10) || '1. ' || source || chr(10) || '2. b'
-  || chr(10) || chr(10) || '![f' || doc_id || '.png](assets/f' || doc_id || '.png)' || chr(10) || chr(10) || '```' || chr(10) || 'x < y' || chr(10) || '```' || chr(10) || chr(10) || '---' as head from s""")
+@query(f"""with s as ({_STORED}), b as (select *, regexp_replace(replace(replace(replace(replace(text, '<', ' '), '&', ' '), '*', ' '), '`', ' '), '^\\s+|\\s+$', '', 'g') as body from s)
+  select page_id, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || 'One **bold** and [link](http://x/' || doc_id || ')' || chr(10) || chr(10) || '1. ' || source || chr(10) || '2. b' || chr(10) || chr(10)
+  || '- u–1' || chr(10) || '- *u2*' || chr(10) || chr(10) || '> q1' || chr(10) || '> q2' || chr(10) || chr(10) || '| ' || lang || ' | h |' || chr(10) || '| --- | --- |' || chr(10) || '| a\\|b | ' || source || ' |' || chr(10) || chr(10) || '[TABLE:table-1](assets/tables/table-1.json)'
+  || chr(10) || chr(10) || '![f' || doc_id || '.png](assets/f' || doc_id || '.png)' || chr(10) || chr(10) || '![g' || doc_id || '.jpg](assets/g' || doc_id || '.jpg)' || chr(10) || chr(10) || '```' || chr(10) || 'x < y' || chr(10) || '```' || chr(10) || chr(10) || '---' || case when body = '' then '' else chr(10) || chr(10) || body end as md from b""")
 def storage_markdown(spark, sf_dir):
-    pages = derived(spark, sf_dir, _STORED.replace("substring(replace(replace(text, '<', ' '), '&', ' '), 1, 100000)", "replace(replace(text, '<', ' '), '&', ' ')"))
-    return markup.markdown(pages).select("page_id", F.concat(F.substring_index("md", "\n\n---\n\n", 1), F.lit("\n\n---")).alias("head"))
+    """The whole Markdown of stored pages that hold each document's text beside every kind of block."""
+    return markup.markdown(derived(spark, sf_dir, _STORED)).select("page_id", "md")
 
 
-@query("select doc_id as page_id, 'f' || doc_id || '.png' as name from documents")
+@query("select doc_id as page_id, unnest(['f' || doc_id || '.png', 'g' || doc_id || '.jpg']) as name from documents")
 def image_refs(spark, sf_dir):
     pages = derived(spark, sf_dir, _STORED).selectExpr("page_id", "html || html as html")
     return markup.image_refs(markup.tokens(pages)).select("page_id", "name")
@@ -356,27 +362,30 @@ def _table_pages(spark, sf_dir) -> DataFrame:
     return assemble(rows, ["page_id"], ["row_ix"], "tr", "", "rows").select("page_id", F.concat(F.lit("<table><caption> Parts </caption><tbody>"), "rows", F.lit("</tbody></table>")).alias("html"))
 
 
-_D4 = f"t as (select *, table_id % 3 = 0 and row_ix = 2 as is_span, row_number() over (partition by table_id order by row_ix) - 1 as r from ({fx.TABLE_ROWS}))"
+_D4 = f"t as (select *, table_id % 3 = 0 and row_ix = 2 as is_span, table_id % 3 = 1 and row_ix = 3 as is_long, row_ix as r from ({fx.TABLE_ROWS}))"
+_HARD = "select table_id from t where is_span or is_long"
 
 
-@query(f"with {_D4} select table_id as page_id, r::int as row_ix, 0 as col_ix, p_name as text, case when is_span then 2 else 1 end as colspan from t union all select table_id, r::int, 1, p_brand || ' | x', 1 from t where not is_span")
+@query(f"with {_D4} select table_id as page_id, r::int as row_ix, 0 as col_ix, p_name as text, case when is_span then 2 else 1 end as colspan from t union all select table_id, r::int, 1, p_brand || ' | x', 1 from t where not is_span union all select table_id, r::int, 2, 'more', 1 from t where is_long")
 def table_cells(spark, sf_dir):
     return markup.table_cells(markup.tokens(_table_pages(spark, sf_dir))).select("page_id", "row_ix", "col_ix", "text", "colspan")
 
 
-@query(f"with {_D4} select table_id as page_id, count(*)::int as row_count, 2 as column_count, bool_or(is_span) as ragged, bool_or(is_span) as spanned, false as nested from t group by table_id")
+@query(f"with {_D4} select table_id as page_id, count(*)::int as row_count, case when bool_or(is_long) then 3 else 2 end as column_count, bool_or(is_long) as ragged, bool_or(is_span) as spanned, false as nested from t group by table_id")
 def table_shapes(spark, sf_dir):
     return markup.table_shapes(markup.table_cells(markup.tokens(_table_pages(spark, sf_dir)))).drop("block")
 
 
-@query(f"""with {_D4}, s as (select * from t where table_id % 3 <> 0) select table_id as page_id, string_agg('| ' || p_name || ' | ' || p_brand || ' \\| x |' || case when r = 0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by r) as pipe from s group by table_id""")
+@query(f"""with {_D4}, s as (select * from t where table_id not in ({_HARD})) select table_id as page_id, string_agg('| ' || p_name || ' | ' || p_brand || ' \\| x |' || case when r = 0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by r) as pipe from s group by table_id""")
 def pipe_tables(spark, sf_dir):
     return markup.pipe_tables(markup.table_cells(markup.tokens(_table_pages(spark, sf_dir)))).select("page_id", "pipe")
 
 
-@query(f"with {_D4} select table_id as page_id, 'table-1' as table_id, count(*)::int as row_count, 'Parts' as caption from t where table_id % 3 = 0 group by table_id")
+@query(f"with {_D4}, h as (select table_id as page_id, count(*)::int as row_count from t where table_id in ({_HARD}) group by table_id) select page_id, 'table-' || n as table_id, row_count, 'Parts' as caption from h, (select unnest([1, 2]) as n)")
 def complex_tables(spark, sf_dir):
-    return markup.extract_tables(markup.tokens(_table_pages(spark, sf_dir))).select("page_id", "table_id", "row_count", "caption")
+    """Pages with their table twice, so that numbers above 1 occur."""
+    pages = _table_pages(spark, sf_dir).selectExpr("page_id", "html || html as html")
+    return markup.extract_tables(markup.tokens(pages)).select("page_id", "table_id", "row_count", "caption")
 
 
 _MACRO = "select doc_id as page_id, '<p>a</p><ac:structured-macro ac:name=\"drawio\"><ac:parameter ac:name=\"diagramName\">d' || doc_id || '</ac:parameter>' || case when doc_id % 2 = 0 then '<ac:plain-text-body><![CDATA[<mxGraphModel>' || doc_id || '</mxGraphModel>]]></ac:plain-text-body>' else '' end || '</ac:structured-macro>' as html from documents"
@@ -430,19 +439,28 @@ def attachment_status(spark, sf_dir):
     return a.select("file_name", att.extraction_status(F.when(F.col("status") == "SKIPPED", F.lit("x")), F.lit(None), F.col("summary")).alias("outcome"))
 
 
-@query(f"with a as ({fx.ATTACHMENTS}), d as (select doc_id % 200 as page_id, doc_id from documents) select d.page_id, d.doc_id::int as pos, a.file_name as relative_path from d join a on a.ord = d.doc_id")
+@query(f"with a as ({fx.ATTACHMENTS}), d as (select cast(floor(doc_id / 5) as bigint) as page_id, doc_id from documents) select d.page_id, d.doc_id::int as pos, a.file_name as relative_path from d join a on a.ord = d.doc_id")
 def link_match(spark, sf_dir):
     a = derived(spark, sf_dir, fx.ATTACHMENTS).selectExpr("page_id", "ord", "file_name", "'assets/' || file_name as relative_path")
     lines = a.selectExpr("page_id", "int(ord) as pos", "'see ![a](./assets/' || file_name || ') and ![b](' || file_name || ')' as line")
     return att.match_links(lines, a).select("page_id", "pos", F.expr("substring(relative_path, 8)").alias("relative_path"))
 
 
-@query("select doc_id as page_id, doc_id % 2 = 0 as enriched, case when doc_id % 2 = 0 then 1 else 0 end as sections from documents")
+@query(f"""with m as ({fx.MARKDOWN}) select page_id, page_id % 2 = 0 as enriched, case when page_id % 2 = 1 then md else
+  replace(md, '![a](assets/f' || page_id || '.png)', '![a](assets/f' || page_id || '.png)' || chr(10) || chr(10) || '### Extracted Attachment Information' || chr(10) || chr(10) || 'File: f' || page_id || '.png' || chr(10)
+  || 'Attachment Type: Photo' || chr(10) || chr(10) || 'Summary:' || chr(10) || chr(10) || 'About ' || source || chr(10) || chr(10) || 'Labels:' || chr(10) || chr(10) || '- ' || lang || chr(10) || chr(10) || '---') end as md from m""")
 def enrich_markdown(spark, sf_dir):
     md = derived(spark, sf_dir, fx.MARKDOWN)
     a = md.where("page_id % 2 = 0").selectExpr("page_id", "'assets/f' || page_id || '.png' as relative_path", "'f' || page_id || '.png' as file_name", "'PHOTO' as detected_type", "'About ' || source as summary", "array(lang) as labels", "cast(null as array<string>) as components", "cast(null as array<string>) as relationships")
-    out = att.enrich_markdown(md.select("page_id", "md"), a)
-    return out.select("page_id", "enriched", (F.size(F.split("md", att.ENRICHMENT_HEADING)) - 1).alias("sections"))
+    return att.enrich_markdown(md.select("page_id", "md"), a)
+
+
+@query(f"with m as ({fx.MARKDOWN}) select 'c' || page_id as chunk_id, page_id from m union all select 'i' || page_id, page_id from m where page_id % 2 = 1")
+def all_chunks(spark, sf_dir):
+    """Image chunks stay only for pages whose text doesn't hold their attachments yet."""
+    md = derived(spark, sf_dir, fx.MARKDOWN).withColumn("md", F.when(F.col("page_id") % 2 == 0, F.concat("md", F.lit("\n" + att.ENRICHMENT_HEADING))).otherwise(F.col("md")))
+    one = lambda mark: md.select(F.concat(F.lit(mark), F.col("page_id").cast("string")).alias("chunk_id"), "page_id")
+    return chunks.all_chunks(one("c"), one("i"), md)
 
 
 @query("select c_custkey as page_id, c_name as title, c_name || '; ' || c_mktsegment as summary from customer")
@@ -454,10 +472,14 @@ def svg_text(spark, sf_dir):
 # ---------------------------------------------------------------- diagrams
 
 
+def _files(spark, sf_dir) -> DataFrame:
+    rows = derived(spark, sf_dir, fx.DIAGRAM_CELLS).withColumn("diagram_id", F.col("g").cast("string"))
+    body = assemble(rows, ["diagram_id"], ["ord"], "xml", "", "body")
+    return body.select("diagram_id", F.concat(F.lit("<mxGraphModel><root>"), "body", F.lit("</root></mxGraphModel>")).alias("xml"))
+
+
 def _cells(spark, sf_dir) -> DataFrame:
-    rows = derived(spark, sf_dir, fx.DIAGRAM_CELLS).withColumn("diagram_id", F.col("nation").cast("string"))
-    xml = assemble(rows, ["diagram_id"], ["ord"], "xml", "", "body").select("diagram_id", F.concat(F.lit("<mxGraphModel><root>"), "body", F.lit("</root></mxGraphModel>")).alias("xml"))
-    return diagrams.diagram_cells(xml)
+    return diagrams.diagram_cells(_files(spark, sf_dir))
 
 
 def _graph(spark, sf_dir):
@@ -468,61 +490,97 @@ def _graph(spark, sf_dir):
     return cells, types, nodes, stored(diagrams.diagram_edges(cells, types, nodes), "edges")
 
 
-_CUST = "select c_custkey, c_name, c_nationkey, n_name from customer join nation on n_nationkey = c_nationkey"
-_TYPES = "select n_nationkey::varchar as diagram_id, case when count(c_custkey) >= 3 then 'ARCHITECTURE_DIAGRAM' else 'GENERIC_DIAGRAM' end as type from nation left join customer on c_nationkey = n_nationkey group by n_nationkey"
+# Members, hubs, and what the operators make of them: nodes, edges and labels in the order of the cells.
+_D6 = f"""m as ({fx.MEMBERS}), h as (select g, any_value(kind) as kind, any_value(hub) as hub from m group by g),
+t as (select g::varchar as diagram_id, g, kind, hub, case kind when 0 then 'ARCHITECTURE_DIAGRAM' when 1 then 'STATE_DIAGRAM' when 2 then 'GENERIC_DIAGRAM' when 3 then 'ER_DIAGRAM' else 'CLASS_DIAGRAM' end as type from h),
+n as (select g, -1 as o, hub as label, case kind when 0 then 'supporting-service' when 1 then 'state' when 3 then 'table' when 4 then 'class' end as type, null as child from h
+  union all select g, c_custkey, label, case kind when 0 then 'controller-layer' when 1 then 'state' when 2 then 'rounded=1' when 3 then 'table' else 'class' end, child from m),
+e as (select g, c_custkey as o, label as source, hub as target, case kind when 1 then 'approve' when 3 then 'references' when 4 then case when c_custkey % 2 = 1 then 'implements' else 'extends' end end as label,
+  case kind when 3 then 'reference' when 4 then case when c_custkey % 2 = 1 then 'implements' else 'extends' end end as relation from m),
+l as (select g, -1 as o, 0 as k, hub as label from h union all select g, c_custkey, 0, label from m union all select g, c_custkey, 1, child from m where child is not null union all select g, min(c_custkey), 2, 'approve' from m where kind = 1 group by g),
+x as (select g, list(label order by o, k) as labels from l group by g),
+y as (select g, list(label order by o) as names, list('| ' || label || ' |  |' order by o) as states, list('| ' || label || ' | Class | ' || coalesce(child, '') || ' |' order by o) as classes, list('| ' || label || ' | ' || coalesce(child, '') || ' |' order by o) as tables from n group by g),
+z as (select g, list('| ' || source || ' | ' || coalesce(label, '') || ' | ' || target || ' |' order by o) as moves, list('| ' || source || ' | ' || target || ' | ' || coalesce(label, '') || ' |' order by o) as refs, list('- ' || source || ' -> ' || coalesce(label || ' -> ', '') || target order by o) as arrows,
+  list(source || ' ' || coalesce(relation, '') || ' ' || target order by o) as facts, min_by(source, o) as first from e group by g),
+u as (select t.*, labels, names, states, classes, tables, moves, refs, arrows, case kind when 0 then 'Architecture diagram containing supporting service, controller layer.' when 1 then 'Workflow begins in ' || first || ' and can move to ' || hub || '.'
+  when 4 then array_to_string(facts[1:2], '; ') || '.' else case kind when 2 then 'Generic Diagram' else 'Er Diagram' end || ' containing: ' || array_to_string(labels[1:12], ', ') || '.' end as summary from t join x on x.g = t.g join y on y.g = t.g join z on z.g = t.g)"""
 
 
-@query(f"select c_nationkey::varchar as diagram_id, 'c' || c_custkey as cell_id, c_name || ' Controller' as value, true as vertex, null as target_id from ({_CUST}) union all select n_nationkey::varchar, 'n', n_name || ' Service', true, null from nation union all select c_nationkey::varchar, 'e' || c_custkey, '', false, 'n' from ({_CUST})")
+@query(f"with {_D6} select g::varchar as diagram_id, 'n' as cell_id, hub as value, true as vertex, null as target_id from h union all select g::varchar, 'c' || c_custkey, label, true, null from m union all select g::varchar, 'k' || c_custkey, child, true, null from m where child is not null union all select g::varchar, 'e' || c_custkey, case when kind = 1 then 'approve' else '' end, false, 'n' from m")
 def diagram_cells(spark, sf_dir):
     return _cells(spark, sf_dir).select("diagram_id", "cell_id", "value", "vertex", "target_id")
 
 
-@query(_TYPES)
+@query(f"with {_D6} select diagram_id, type from t")
 def diagram_type(spark, sf_dir):
     return diagrams.classify_diagrams(_cells(spark, sf_dir))
 
 
-@query(f"select c_nationkey::varchar as diagram_id, c_name || ' Controller' as label, case when t.type = 'ARCHITECTURE_DIAGRAM' then 'controller-layer' else 'node' end as type from ({_CUST}) c join ({_TYPES}) t on t.diagram_id = c_nationkey::varchar union all select n_nationkey::varchar, n_name || ' Service', case when t.type = 'ARCHITECTURE_DIAGRAM' then 'supporting-service' else 'node' end from nation join ({_TYPES}) t on t.diagram_id = n_nationkey::varchar")
+@query(f"with {_D6} select t.diagram_id, n.label, n.type, case when t.kind = 3 then coalesce(n.child, '') else '' end as columns, case when t.kind = 4 then coalesce(n.child, '') else '' end as members from n join t on t.g = n.g")
 def diagram_nodes(spark, sf_dir):
     cells = stored(_cells(spark, sf_dir), "cells")
-    return diagrams.diagram_nodes(cells, diagrams.classify_diagrams(cells)).select("diagram_id", "label", "type")
+    types = stored(diagrams.classify_diagrams(cells), "types")
+    both, is_er = F.array_join("attributes", ","), F.col("dtype") == "ER_DIAGRAM"
+    nodes = diagrams.diagram_nodes(cells, types).join(types.withColumnRenamed("type", "dtype"), "diagram_id")
+    return nodes.select("diagram_id", "label", "type", F.when(is_er, both).otherwise("").alias("columns"), F.when(is_er, "").otherwise(both).alias("members"))
 
 
-@query(f"select c_nationkey::varchar as diagram_id, c_name || ' Controller' as source, n_name || ' Service' as target from ({_CUST})")
+@query(f"with {_D6} select g::varchar as diagram_id, source, target, label, relation as relationship_type from e")
 def diagram_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[3].select("diagram_id", "source", "target")
+    """Edges of tables and classes begin at a child and climb to the node that holds it."""
+    return _graph(spark, sf_dir)[3].select("diagram_id", "source", "target", "label", "relationship_type")
 
 
-@query(f"select c_nationkey::varchar as diagram_id, 'c' || c_custkey as cell_id, 1 as outgoing, 0 as incoming from ({_CUST}) union all select c_nationkey::varchar, 'n', 0, count(*) from ({_CUST}) group by c_nationkey")
+@query(f"with {_D6} select g::varchar as diagram_id, case when child is null then 'c' else 'k' end || c_custkey as cell_id, 1 as outgoing, 0 as incoming from m union all select g::varchar, 'n', 0, count(*) from m group by g")
 def diagram_degrees(spark, sf_dir):
     return diagrams.degrees(_cells(spark, sf_dir))
 
 
-@query(f"select t.diagram_id, case when t.type = 'ARCHITECTURE_DIAGRAM' then 'Architecture diagram containing supporting service, controller layer.' else 'Generic Diagram containing: ' || (select n_name from nation where n_nationkey::varchar = t.diagram_id) || ' Service' || coalesce((select string_agg(', ' || c_name || ' Controller', '' order by c_custkey) from customer where c_nationkey::varchar = t.diagram_id), '') || '.' end as summary from ({_TYPES}) t")
+@query(f"with {_D6} select diagram_id, summary from u")
 def diagram_summary(spark, sf_dir):
     cells, types, nodes, edges = _graph(spark, sf_dir)
     return diagrams.diagram_summary(types, cells, nodes, edges)
 
 
-@query(f"select diagram_id, true as valid from ({_TYPES})")
+@query(f"with {_D6} select diagram_id, g % 4 <> 1 and g % 4 <> 2 as valid from t")
 def diagram_valid(spark, sf_dir):
+    """Of four diagrams one gets a raw id as a node and one a repeated edge."""
     _, types, nodes, edges = _graph(spark, sf_dir)
-    return diagrams.valid_diagrams(types, nodes, edges)
+    raw = types.where("int(diagram_id) % 4 = 1").selectExpr("diagram_id", "'deadbeef' as label")
+    again = edges.where("int(diagram_id) % 4 = 2")
+    return diagrams.valid_diagrams(types, nodes.unionByName(raw, allowMissingColumns=True), edges.unionByName(again))
 
 
-@query(f"""with t as ({_TYPES}) select t.diagram_id, 'Architecture Summary:' || chr(10) || chr(10) || 'Architecture diagram containing supporting service, controller layer.' || chr(10) || chr(10)
-  || 'Controller Layer:' || chr(10) || chr(10) || (select string_agg('- ' || c_name || ' Controller', chr(10) order by c_custkey) from (select c_name, c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as k from customer) c where c_nationkey::varchar = t.diagram_id and k <= 40)
-  || chr(10) || chr(10) || 'Supporting Services:' || chr(10) || chr(10) || '- ' || (select n_name from nation where n_nationkey::varchar = t.diagram_id) || ' Service' as start from t where type = 'ARCHITECTURE_DIAGRAM'""")
+_NL = "chr(10) || chr(10)"
+_LINES = lambda c, k=None: f"array_to_string({c}{f'[1:{k}]' if k else ''}, chr(10))"
+_SECTIONS_OF = f"""case kind
+  when 0 then 'Architecture Summary:' || {_NL} || summary || {_NL} || 'Controller Layer:' || {_NL} || {_LINES("list_transform(names[2:], lambda x: '- ' || x)", 40)} || {_NL} || 'Supporting Services:' || {_NL} || '- ' || hub
+  when 1 then 'Workflow Summary:' || {_NL} || summary || {_NL} || 'States' || {_NL} || '| State | Description |' || chr(10) || '|---|---|' || chr(10) || {_LINES("states")} || {_NL} || 'Transitions' || {_NL} || '| From | Event | To |' || chr(10) || '|---|---|---|' || chr(10) || {_LINES("moves")}
+  when 2 then 'Diagram Summary:' || {_NL} || summary || {_NL} || 'Key Labels:' || {_NL} || {_LINES("list_transform(labels, lambda x: '- ' || x)", 20)} || {_NL} || 'Components:' || {_NL} || {_LINES("list_transform(names, lambda x: '- ' || x)", 40)} || {_NL} || 'Relationships:' || {_NL} || {_LINES("arrows", 40)}
+  when 3 then 'Data Model Summary:' || {_NL} || summary || {_NL} || 'Tables' || {_NL} || '| Table | Columns |' || chr(10) || '|---|---|' || chr(10) || {_LINES("tables")} || {_NL} || 'Relationships' || {_NL} || '| Source Table | Target Table | Join/Reference |' || chr(10) || '|---|---|---|' || chr(10) || {_LINES("refs")}
+  else 'Domain Summary:' || {_NL} || summary || {_NL} || 'Classes' || {_NL} || '| Class | Type | Attributes |' || chr(10) || '|---|---|---|' || chr(10) || {_LINES("classes")} || {_NL} || 'Relationships' || {_NL} || '| Source | Relationship | Target |' || chr(10) || '|---|---|---|' || chr(10) || {_LINES("moves")} end
+  || {_NL} || '<details>' || chr(10) || '<summary>Raw extracted labels</summary>' || {_NL} || {_LINES("list_transform(labels, lambda x: '- ' || x)", 200)} || {_NL} || '</details>'"""
+
+
+@query(f"with {_D6} select diagram_id, {_SECTIONS_OF} as sections from u")
 def diagram_sections(spark, sf_dir):
     cells, types, nodes, edges = _graph(spark, sf_dir)
-    out = diagrams.diagram_sections(types, cells, nodes, edges).join(types.where("type = 'ARCHITECTURE_DIAGRAM'").select("diagram_id"), "diagram_id", "left_semi")
-    return out.select("diagram_id", F.substring_index("sections", "\n\n<details>", 1).alias("start"))
+    return diagrams.diagram_sections(types, cells, nodes, edges)
 
 
-@query("select n_nationkey::varchar as diagram_id, count(c_custkey) + 1 as node_count, count(c_custkey) as edge_count, count(c_custkey) + 1 as label_count from nation left join customer on c_nationkey = n_nationkey group by n_nationkey")
+@query(f"with {_D6} select diagram_id, len(names) as node_count, len(arrows) as edge_count, len(labels) as label_count, array_to_string(names, '; ') as components, array_to_string(list_transform(arrows, lambda x: x[3:]), '; ') as relationships from u")
 def diagram_counts(spark, sf_dir):
     cells, _, nodes, edges = _graph(spark, sf_dir)
-    return diagrams.diagram_metadata(cells, nodes, edges).select("diagram_id", "node_count", "edge_count", "label_count")
+    out = diagrams.diagram_metadata(cells, nodes, edges)
+    return out.select("diagram_id", "node_count", "edge_count", "label_count", F.array_join("components", "; ").alias("components"), F.array_join("relationships", "; ").alias("relationships"))
+
+
+@query(f"with {_D6} select 'p' || diagram_id || '.drawio' as diagram_id, type, true as valid, summary, len(names) as node_count, len(arrows) as edge_count from u")
+def analyze_diagrams(spark, sf_dir):
+    """Diagram files of attachments in one call; other attachments are left aside."""
+    files = _files(spark, sf_dir).select(F.concat(F.lit("p"), "diagram_id", F.lit(".drawio")).alias("relative_path"), F.encode("xml", "UTF-8").alias("content"))
+    other = files.select(F.regexp_replace("relative_path", "drawio", "png").alias("relative_path"), "content")
+    return diagrams.analyze_diagrams(diagrams.diagram_files(files.unionAll(other))).select("diagram_id", "type", "valid", "summary", "node_count", "edge_count")
 
 
 # ---------------------------------------------------------------- streams
@@ -574,11 +632,12 @@ def attachment_headings(spark, sf_dir):
     return att.with_heading_path(a, att.asset_headings(lines)).select("page_id", "file_name", "heading_path")
 
 
-@query("select c_custkey as file_id, 1 as page_ix, 14 as score from customer")
+@query("select c_custkey as file_id, case when c_custkey % 3 = 2 then 0 else 1 end::int as page_ix, case c_custkey % 3 when 0 then 14 when 1 then 12 else 100 end as score from customer")
 def pick_diagram(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    pages = c.selectExpr("c_custkey as file_id", "concat(c_mktsegment, '-plan.drawio') as file_name", "c_mktsegment", "explode(array(0, 1)) as page_ix")
-    pages = pages.selectExpr("file_id", "file_name", "page_ix", "case when page_ix = 1 then c_mktsegment else 'other' end as diagram_name", "case when page_ix = 1 then array(c_mktsegment) else array() end as labels", "'GENERIC_DIAGRAM' as type")
+    """By the name and labels, by the name alone, or by the type that the file's name tells."""
+    c = load(spark, sf_dir, "customer").selectExpr("*", "cast(c_custkey % 3 as int) as way")
+    pages = c.selectExpr("c_custkey as file_id", "case when way = 2 then 'state.drawio' else concat(c_mktsegment, '-plan.drawio') end as file_name", "c_mktsegment", "way", "explode(array(0, 1)) as page_ix")
+    pages = pages.selectExpr("file_id", "file_name", "page_ix", "case when page_ix = 1 then c_mktsegment else 'other' end as diagram_name", "case when page_ix = 1 and way = 0 then array(c_mktsegment) else array() end as labels", "case when way = 2 and page_ix = 0 then 'STATE_DIAGRAM' else 'GENERIC_DIAGRAM' end as type")
     return diagrams.pick_diagram(pages).select("file_id", "page_ix", "score")
 
 
@@ -589,9 +648,10 @@ def inline_diagrams(spark, sf_dir):
     return markup.inline_diagrams(refs, labels)
 
 
-@query(f"with a as ({fx.ATTACHMENTS}) select page_id, file_name, case when length(magic) > 6 then 'no' end as skip_reason, sha256(unhex(magic)) as checksum, case when ord % 2 = 0 then 'Summary ' || lang end as title from a")
+@query(f"with a as (select a.*, d.text from ({fx.ATTACHMENTS}) a join documents d on d.doc_id = a.ord) select page_id, file_name, case when strlen(text) > 4096 then 'File exceeds 4096 bytes limit' end as skip_reason, sha256(text) as checksum, case when ord % 2 = 0 then 'Summary ' || lang end as title from a")
 def attachment_facts(spark, sf_dir):
-    a = derived(spark, sf_dir, fx.ATTACHMENTS).withColumn("content", F.unhex("magic"))
-    rows = att.size_guard(a).withColumn("skip_reason", F.when(F.col("skip_reason").isNull(), "no")).withColumn("title", F.expr("case when ord % 2 = 0 then 'Summary ' || lang end"))
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.encode("text", "UTF-8").alias("content"))
+    rows = att.size_guard(derived(spark, sf_dir, fx.ATTACHMENTS).join(texts, "ord"), max_bytes=4096)
+    rows = rows.withColumn("title", F.expr("case when ord % 2 = 0 then 'Summary ' || lang end"))
     rows = att.attachment_metadata(rows.withColumn("checksum", fn.checksum(F.col("content"))))
     return rows.select("page_id", "file_name", "skip_reason", "checksum", F.col("metadata.title").alias("title"))

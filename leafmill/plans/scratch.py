@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.operators.common import shared_dir
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
-    return f"{root.rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+    """A new path below the session's shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
