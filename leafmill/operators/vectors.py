@@ -57,13 +57,14 @@ def _best(k: int, threshold: float):
             (qs, q), (vs, v) = asked[n], held[n]
             for at in range(0, len(q), 256) if len(v) else ():
                 score = q[at : at + 256] @ v.T
-                low = np.maximum(np.partition(score, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))], threshold)
-                i, j = np.nonzero(score >= low[:, None])
-                order = np.lexsort((place[vs[j]], -score[i, j], i))
-                i, j = i[order], j[order]
+                low = np.partition(score, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))] - 1e-11
+                i, j = np.nonzero(score >= np.maximum(low, threshold)[:, None])
+                near = np.round(score[i, j], 11)  # equal vectors tie, wherever they lie
+                order = np.lexsort((place[vs[j]], -near, i))
+                i, j, near = i[order], j[order], near[order]
                 first = np.searchsorted(i, i, "left")
                 keep = np.arange(len(i)) - first < k
-                found.append((qs[at + i[keep]], vs[j[keep]], score[i[keep], j[keep]]))
+                found.append((qs[at + i[keep]], vs[j[keep]], near[keep]))
         i, j, score = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
         return pa.table({"query_id": queries.column("query_id").take(pa.array(i, pa.int64())), "chunk_id": vectors.column("chunk_id").take(pa.array(j, pa.int64())), "root_id": vectors.column("root_id").take(pa.array(j, pa.int64())), "score": pa.array(score, pa.float64())})
 
@@ -76,7 +77,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float
     queries(query_id, root_id, embedding) against vectors(chunk_id, root_id, embedding). Both are dealt by hash into blocks of about
     query_block and vector_block rows; each block of queries meets each block of vectors in a task of its own, which hands on the k best
     of each query, so that no task or driver holds all of either and no pairs are written. scoped: only vectors of the query's root,
-    blocks being made inside each root. Ties go by chunk_id.
+    blocks being made inside each root. Scores have 11 digits; ties go by chunk_id.
 
     Null, empty and zero vectors and those with null or non-finite components match nothing; vectors of different lengths aren't compared.
     Rows with a null root_id count as root -1.

@@ -12,6 +12,7 @@ from leafmill.operators.common import assemble
 from leafmill.plans import fixtures as fx
 from leafmill.plans.fixtures import derived
 from leafmill.plans.scratch import scratch, stored
+from leafmill.sources import files
 from leafmill.sources.files import load
 from leafmill.streaming import jobs
 
@@ -394,8 +395,8 @@ _MACRO = "select doc_id as page_id, '<p>a</p><ac:structured-macro ac:name=\"draw
 @query("select doc_id as page_id, 'diagram-1' as diagram_id, case when doc_id % 2 = 0 then 'embedded' when doc_id % 3 = 0 then 'guessed' end as source, case when doc_id % 2 = 0 then '<mxGraphModel>' || doc_id || '</mxGraphModel>' when doc_id % 3 = 0 then '<mxfile>' || lang || '</mxfile>' end as content from documents")
 def diagram_sources(spark, sf_dir):
     refs = markup.diagram_refs(markup.tokens(derived(spark, sf_dir, _MACRO)))
-    files = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").selectExpr("doc_id as page_id", "concat('d', doc_id, '.drawio') as title", "concat('<mxfile>', lang, '</mxfile>') as content")
-    return att.resolve_diagrams(refs, files)
+    drawn = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").selectExpr("doc_id as page_id", "concat('d', doc_id, '.drawio') as title", "concat('<mxfile>', lang, '</mxfile>') as content")
+    return att.resolve_diagrams(refs, drawn)
 
 
 # ---------------------------------------------------------------- attachments
@@ -578,9 +579,9 @@ def diagram_counts(spark, sf_dir):
 @query(f"with {_D6} select 'p' || diagram_id || '.drawio' as diagram_id, type, true as valid, summary, len(names) as node_count, len(arrows) as edge_count from u")
 def analyze_diagrams(spark, sf_dir):
     """Diagram files of attachments in one call; other attachments are left aside."""
-    files = _files(spark, sf_dir).select(F.concat(F.lit("p"), "diagram_id", F.lit(".drawio")).alias("relative_path"), F.encode("xml", "UTF-8").alias("content"))
-    other = files.select(F.regexp_replace("relative_path", "drawio", "png").alias("relative_path"), "content")
-    return diagrams.analyze_diagrams(diagrams.diagram_files(files.unionAll(other))).select("diagram_id", "type", "valid", "summary", "node_count", "edge_count")
+    drawn = _files(spark, sf_dir).select(F.concat(F.lit("p"), "diagram_id", F.lit(".drawio")).alias("relative_path"), F.encode("xml", "UTF-8").alias("content"))
+    other = drawn.select(F.regexp_replace("relative_path", "drawio", "png").alias("relative_path"), "content")
+    return diagrams.analyze_diagrams(diagrams.diagram_files(drawn.unionAll(other))).select("diagram_id", "type", "valid", "summary", "node_count", "edge_count")
 
 
 # ---------------------------------------------------------------- streams
@@ -655,3 +656,75 @@ def attachment_facts(spark, sf_dir):
     rows = rows.withColumn("title", F.expr("case when ord % 2 = 0 then 'Summary ' || lang end"))
     rows = att.attachment_metadata(rows.withColumn("checksum", fn.checksum(F.col("content"))))
     return rows.select("page_id", "file_name", "skip_reason", "checksum", F.col("metadata.title").alias("title"))
+
+
+# ---------------------------------------------------------------- stores
+
+
+@query(f"with {_PARTS}, c as (select page_id || '-' || (row_number() over (partition by page_id order by section, part) - 1) as chunk_id, page_id, text from u) select chunk_id, page_id % 9 as root_id, page_id, case when page_id % 3 = 0 then 'new' else text end as text from c where page_id % 3 <> 0 or chunk_id = page_id || '-0'")
+def chunk_store(spark, sf_dir):
+    """Chunks as JSON lines are read into a store; then a third of the pages is rewritten with one chunk each."""
+    path = scratch(spark, "chunks")
+    rows = chunks.chunk_pages(derived(spark, sf_dir, fx.MARKDOWN)).withColumn("root_id", F.col("page_id") % 9)
+    files.artifacts(rows, []).write.text(f"{path}/in")
+    good, _ = files.read_chunks(spark, f"{path}/in")
+    files.write_chunks(good, f"{path}/out")
+    files.write_chunks(good.where("page_id % 3 = 0 and chunk_index = 0").withColumn("text", F.lit("new")), f"{path}/out")
+    return files.read_store(spark, f"{path}/out").select("chunk_id", F.col("root_id").cast("long").alias("root_id"), "page_id", "text")
+
+
+@query(f"{_UPSERT} select coalesce(b.chunk_id, a.chunk_id) as chunk_id, coalesce(b.root_id, a.root_id) as root_id, coalesce(b.batch, a.batch) as batch from a full join b on a.chunk_id = b.chunk_id")
+def vector_store(spark, sf_dir):
+    """Two writes into a collection, the second with every row twice."""
+    path, v = scratch(spark, "vectors"), derived(spark, sf_dir, fx.VECTORS)
+    files.write_vectors(v.where("vec_id % 3 <> 0").selectExpr("chunk_id", "root_id", "1 as batch"), path)
+    new = v.where("vec_id % 2 = 0").selectExpr("chunk_id", "root_id + 100 as root_id", "2 as batch")
+    files.write_vectors(new.unionAll(new.selectExpr("chunk_id", "root_id", "0 as batch")), path)
+    return files.read_store(spark, path).select("chunk_id", "root_id", "batch")
+
+
+@query(f"with a as ({fx.ATTACHMENTS}) select page_id, file_name, case when page_id % 2 = 0 then 'second' else status end as status from a")
+def attachment_store(spark, sf_dir):
+    path, a = scratch(spark, "attachments"), derived(spark, sf_dir, fx.ATTACHMENTS).select("page_id", "file_name", "status")
+    files.write_attachments(a, path)
+    files.write_attachments(a.where("page_id % 2 = 0").withColumn("status", F.lit("second")), path)
+    return files.read_store(spark, path).select("page_id", "file_name", "status")
+
+
+@query(f"select root_id, page_id, title, web_url, markdown_extracted, chunked, last_error, no_of_retries from ({fx.MANIFEST})")
+def manifest_store(spark, sf_dir):
+    """Manifests written as a JSON file per root and read back."""
+    path = files.write_manifest(derived(spark, sf_dir, fx.MANIFEST), scratch(spark, "manifests"))
+    return files.read_manifest(spark, path).select("root_id", "page_id", "title", "web_url", "markdown_extracted", "chunked", "last_error", "no_of_retries")
+
+
+@query(f"with m as ({fx.MANIFEST}) select root_id, page_id, case when page_id % 3 = 0 then 'again ' || title else title end as title from m")
+def crawl_dedupe(spark, sf_dir):
+    """Pages that a crawl met twice stay at their first place."""
+    m = derived(spark, sf_dir, fx.MANIFEST).withColumn("crawl_order", F.col("page_id") + 1000)
+    again = m.where("page_id % 3 = 0").withColumn("title", F.concat(F.lit("again "), "title")).withColumn("crawl_order", F.col("page_id"))
+    return manifest.dedupe_pages(m.unionByName(again)).select("root_id", "page_id", "title")
+
+
+@query(f"with a as ({fx.ATTACHMENTS}) select file_name, regexp_matches(file_name, '(?i)\\.(png|pdf)$') as allowed, true as key_like, false as id_like from a")
+def name_rules(spark, sf_dir):
+    a = derived(spark, sf_dir, fx.ATTACHMENTS)
+    return a.select("file_name", fn.allowed_extension(F.col("file_name"), ("png", "pdf")).alias("allowed"), fn.is_space_key(F.concat("lang", F.lit("_1"))).alias("key_like"), fn.is_space_key(F.concat(F.lit("1"), "lang")).alias("id_like"))
+
+
+_LETTERS = "aeinrst"
+
+
+@query(f"""with {_PARTS}, c as (select page_id || '-' || (row_number() over (partition by page_id order by section, part) - 1) as chunk_id, page_id, row_number() over (partition by page_id order by section, part) - 1 as k, text from u),
+  v as (select chunk_id, page_id, k, [length(text)::double, {", ".join(f"(10 * (length(text) - length(replace(text, '{x}', ''))))::double" for x in _LETTERS)}] as e from c),
+  s as (select q.chunk_id as query_id, v.chunk_id, round(list_cosine_similarity(q.e, v.e), 9) as score from v q, v where q.page_id % 50 = 0 and q.k = 0)
+  select query_id, chunk_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) where rank = 1""")
+def ingest_search(spark, sf_dir):
+    """From page text to hits: Markdown, chunks, vectors by a user function, the collection, and the best hit of each query."""
+    rows = chunks.chunk_pages(derived(spark, sf_dir, fx.MARKDOWN))
+    made = vectors.embed(rows, lambda texts: [[float(len(t)), *[10.0 * t.count(x) for x in _LETTERS]] for t in texts])
+    path = scratch(spark, "ingest")
+    files.write_vectors(made.select("chunk_id", "page_id", "chunk_index", F.lit(0).cast("long").alias("root_id"), "embedding"), path)
+    held = files.read_store(spark, path)
+    asked = held.where("page_id % 50 = 0 and chunk_index = 0").select(F.col("chunk_id").alias("query_id"), "root_id", "embedding")
+    return vectors.search(asked, held, k=1).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.common import cut
+
 MANIFEST_PAGE = "page_id bigint, title string, web_url string, markdown_extracted boolean, chunked boolean, vector_ingested boolean, last_error string, no_of_retries int"
 MANIFEST = f"root_id bigint, version int, base_url string, created_at timestamp, updated_at timestamp, total_pages int, pages array<struct<{', '.join(c.replace(' ', ': ', 1) for c in MANIFEST_PAGE.split(', '))}>>"
 CHUNK = "chunk_id string, root_id bigint, page_id bigint, heading_path string, chunk_index int, text string"
@@ -31,17 +34,49 @@ def replace_pages(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
-def write_version(df: DataFrame, path: str, partition: str | None = None, form: str = "parquet") -> str:
+def write_version(df: DataFrame, path: str, partition: str | None = None, form: str = "parquet", **options) -> str:
     """Writes df as a new version folder under path and returns it; earlier versions stay readable."""
     target = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    writer = df.write.format(form)
+    writer = df.write.format(form).options(**options)
     (writer.partitionBy(partition) if partition else writer).save(target)
     return target
 
 
-def write_chunks(new: DataFrame, old: DataFrame | None, path: str) -> str:
-    """All chunks with the pages of new rewritten, as a new version partitioned by root."""
-    return write_version(new if old is None else replace_pages(old, new, ["root_id", "page_id"]), path, "root_id")
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """A partitioned store of Parquet files; None if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def upsert_store(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
+    """Replaces in the store at path the rows with the keys of new by the rows of new.
+
+    Only partitions that new touches are read and written; the merged rows are written to the shared folder before the store is changed, and
+    the same call again gives the same store.
+    """
+    old = read_store(new.sparkSession, path)
+    if old is not None:
+        old = old.join(new.select(partition).distinct(), partition, "left_semi")
+        new = replace_pages(old, new, keys).select(*old.columns)
+    cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def write_chunks(new: DataFrame, path: str) -> None:
+    """Chunks of the pages of new in place of those that the store has of these pages; partitions are roots."""
+    upsert_store(new, path, ["root_id", "page_id"], "root_id")
+
+
+def write_vectors(new: DataFrame, path: str, buckets: int = 64) -> None:
+    """The collection: vectors(chunk_id, ...) in place of those with their chunk_id; of several new rows with one the latest stays where
+    there is a column `batch`, else the largest. Partitions are hash buckets of the chunk_id."""
+    cols = [c for c in new.columns if c != "chunk_id"]
+    row = F.struct(*sorted(cols, key=lambda c: c != "batch"))
+    one = new.groupBy("chunk_id").agg(F.max(row).alias("r")).select("chunk_id", *[F.col("r")[c].alias(c) for c in cols])
+    upsert_store(one.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")), path, ["bucket", "chunk_id"], "bucket")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +92,8 @@ def manifest_documents(pages: DataFrame, version: int = 1) -> DataFrame:
 
 
 def write_manifest(pages: DataFrame, path: str) -> str:
-    return write_version(manifest_documents(pages), path, form="json")
+    """A JSON file per root."""
+    return write_version(manifest_documents(pages), path, form="json", maxRecordsPerFile=1)
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +119,9 @@ def read_attachments(spark: SparkSession, path: str) -> DataFrame:
     return last.select("page_id", "relative_path", "r.*")
 
 
-def write_attachments(new: DataFrame, old: DataFrame | None, path: str) -> str:
-    return write_version(new if old is None else replace_pages(old, new, ["page_id"]), path)
+def write_attachments(new: DataFrame, path: str, buckets: int = 64) -> None:
+    """Attachments of the pages of new in place of those that the store has of these pages; partitions are hash buckets of the page."""
+    upsert_store(new.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")), path, ["bucket", "page_id"], "bucket")
 
 
 def artifacts(df: DataFrame, keys: list[str]) -> DataFrame:

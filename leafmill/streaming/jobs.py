@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources.files import read_store, upsert_store
+
 JOB = "message_id string, root_id bigint, job_type string, ts timestamp"
 
 
@@ -29,32 +29,29 @@ def dedupe_jobs(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return once.unionByName(timed.where("message_id is null"))
 
 
-def stream_upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: str = "ts", merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
-    """Starts a query that keeps the latest row per key in version folders target/b=<batch>; a batch that runs again writes the same folder."""
+def stream_upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: str = "ts", buckets: int = 16):
+    """Starts a query that keeps the latest row per key (by `order`) in target, a store in hash buckets of the keys.
+
+    A batch reads and writes the buckets that it touches only, so its cost does not grow with the number of batches; one that runs again
+    gives the same rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         cols = [c for c in batch.columns if c not in keys]
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in cols])
-        old = read_target(spark, target, batch.schema, number)
-        out = merge(old, new) if merge else old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
-        out.write.mode("overwrite").parquet(f"{target}/b={number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        old = read_store(batch.sparkSession, target)
+        if old is not None:
+            new = new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_semi"))
+        latest = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in cols], "bucket")
+        upsert_store(latest, target, ["bucket", *keys], "bucket")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_target(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
-    """The rows of the last version, or of the last before batch `before`."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        all_rows = spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        all_rows = all_rows.where(F.col("b") < before)
-    last = all_rows.agg(F.max("b")).first()[0]
-    return all_rows.where(F.col("b") == F.lit(last)).drop("b")
+def read_target(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The rows of the store; none before the first batch."""
+    found = read_store(spark, target)
+    return spark.createDataFrame([], schema) if found is None else found.drop("bucket")
 
 
 def progress_ticks(ticks: DataFrame, every: int = 25) -> DataFrame:

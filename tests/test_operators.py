@@ -135,14 +135,52 @@ def test_relationship_types(spark):
     assert [r[0] for r in df.collect()] == ["implements", "extends", "aggregation", "dependency", "association"]
 
 
-def test_search_in_blocks_equals_one_pass(spark, sf_dir, monkeypatch):
+def test_search_in_blocks_equals_one_pass(spark, sf_dir):
     from leafmill.plans.queries import _sides
 
     q, v = _sides(spark, sf_dir)
-    rows = lambda: sorted((r.query_id, r.rank, r.chunk_id) for r in vectors.search(q, v, 3).collect())
-    once = rows()
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
-    assert rows() == once
+    rows = lambda **o: sorted((r.query_id, r.rank, r.chunk_id) for r in vectors.search(q, v, 3, **o).collect())
+    assert rows() == rows(query_block=3, vector_block=40)
+    assert rows(scoped=True) == rows(scoped=True, query_block=1, vector_block=7)
+
+
+def test_search_with_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    kind = "long, root_id long, embedding array<float>"
+    q = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, None), (3, None, [0.0, 1.0]), (4, 1, [1.0, 0.0, 0.0]), (5, 1, [0.0, 0.0]), (6, 1, [nan, 1.0]), (7, 1, [None, 1.0])], f"query_id {kind}")
+    rows = [("a", 1, [2.0, 0.0]), ("b", 1, [1.0, 1.0]), ("c", 1, None), ("d", 1, [0.0, 0.0]), ("e", None, [0.0, 3.0]), ("f", 1, [0.0, 0.0, 5.0]), ("g", 1, [inf, 1.0]), ("h", 1, [nan, 0.0]), ("i", 1, []), ("0", 1, [4.0, 0.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, root_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.chunk_id, round(r.score, 3)) for r in vectors.search(q, v, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, "0", 1.0), (1, 2, "a", 1.0), (3, 1, "e", 1.0), (3, 2, "b", 0.707), (4, 1, "f", 0.0)]
+    assert [(r.query_id, r.chunk_id) for r in vectors.search(q, v, 1, scoped=True).orderBy("query_id").collect()] == [(1, "0"), (3, "e"), (4, "f")]
+    assert vectors.search(q.limit(0), v).collect() == [] and vectors.search(q, v.limit(0)).collect() == []
+
+
+def test_numeric_entities(spark):
+    from leafmill.functions.text import decode_entities
+
+    df = spark.createDataFrame([("a&#8211;b &#x1F600; &lt;&#39;&amp;#65; &#0; &#xD800; &#233;",), (None,), ("&#65;",)], "s string")
+    assert [r[0] for r in df.select(decode_entities(F.col("s"))).collect()] == ["a–b 😀 <'&#65; &#0; &#xD800; é", None, "A"]
+
+
+def test_wide_cells_do_not_make_a_table_ragged(spark):
+    html = "<table><tr><td colspan=\"2\">a</td></tr><tr><td>b</td><td>c</td></tr></table><table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>"
+    shapes = markup.table_shapes(markup.table_cells(markup.tokens(spark.createDataFrame([(1, html)], "page_id long, html string")))).orderBy("block").collect()
+    assert [(r.column_count, r.ragged, r.spanned) for r in shapes] == [(2, False, True), (2, True, False)]
+
+
+def test_style_types(spark):
+    df = spark.createDataFrame([("whiteSpace=wrap;shape=cloud;rounded=1",), ("swimlane;x=1",), ("ellipse",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(diagrams.style_type(F.col("s"))).collect()] == ["shape=cloud", "swimlane", None, None, None]
+
+
+def test_views_of_the_session_stay(spark, sf_dir):
+    from leafmill.plans.queries import QUERIES
+
+    spark.range(3).createOrReplaceTempView("documents")
+    QUERIES["manifest_summary"](spark, sf_dir).collect()
+    assert spark.table("documents").count() == 3
+    spark.catalog.dropTempView("documents")
 
 
 def test_class_diagram_members_and_edges(spark):

@@ -1,5 +1,7 @@
 """Sources and sinks: what is written comes back."""
 
+from pyspark.sql import functions as F
+
 from leafmill.sources import files
 
 
@@ -10,12 +12,28 @@ def test_chunks_round_trip_and_bad_lines(spark, tmp_path):
     good, failed = files.read_chunks(spark, str(tmp_path / "in"))
     assert [r.chunk_id for r in good.collect()] == ["7-0"] and [r.page_id for r in failed.collect()] == [8]
     old = spark.createDataFrame([("7-0", 1, 7, "", 0, "old"), ("7-1", 1, 7, "", 1, "old"), ("9-0", 1, 9, "", 0, "kept")], files.CHUNK)
-    path = files.write_chunks(good, old, str(tmp_path / "out"))
-    assert sorted((r.chunk_id, r.text) for r in spark.read.parquet(path).collect()) == [("7-0", "a"), ("9-0", "kept")]
+    path = str(tmp_path / "out")
+    assert files.read_store(spark, path) is None
+    files.write_chunks(old, path)
+    other = spark.createDataFrame([("5-0", 2, 5, "", 0, "other root")], files.CHUNK)
+    files.write_chunks(other, path)
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "root_id=2").glob("*.parquet")}
+    for _ in range(2):  # the same write again changes nothing
+        files.write_chunks(good, path)
+        assert sorted((r.chunk_id, r.text) for r in spark.read.parquet(path).collect()) == [("5-0", "other root"), ("7-0", "a"), ("9-0", "kept")]
+    assert untouched == {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "root_id=2").glob("*.parquet")}
+
+
+def test_vectors_latest_of_repeated_rows_stays(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = spark.createDataFrame([("a", [1.0], 1), ("a", [2.0], 3), ("a", [3.0], 2), ("b", None, 1)], "chunk_id string, embedding array<float>, batch int")
+    files.write_vectors(rows, path)
+    files.write_vectors(rows.where("chunk_id = 'b'").withColumn("batch", F.lit(7)), path)
+    assert sorted((r.chunk_id, r.embedding, r.batch) for r in files.read_store(spark, path).collect()) == [("a", [2.0], 3), ("b", None, 7)]
 
 
 def test_manifest_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(1, 2, "t", None, True, False, False, None, 0), (1, 3, "u", "x", False, False, False, "e", 2)], f"root_id bigint, {files.MANIFEST_PAGE}")
+    pages = spark.createDataFrame([(1, 2, "t", None, True, False, False, None, 0), (1, 3, "u", "x", False, False, False, "e", 2), (4, 5, "v", "y", False, True, False, None, 1)], f"root_id bigint, {files.MANIFEST_PAGE}")
     path = files.write_manifest(pages, str(tmp_path / "m"))
     back = files.read_manifest(spark, path)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, pages.collect()), key=str)
