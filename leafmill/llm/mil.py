@@ -94,6 +94,19 @@ def _forward(w: dict, x: np.ndarray, heads: np.ndarray) -> dict:
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": p, "sizes": sizes}
 
 
+def _gradient(w: dict, x: np.ndarray, heads: np.ndarray, y: np.ndarray) -> dict:
+    """Derivatives of the mean cross-entropy of the labels y by each weight."""
+    f = _forward(w, x, heads)
+    err = (f["p"] - y) / len(y)
+    rep = lambda q: np.repeat(q, f["sizes"], axis=0)
+    dz = err[:, None] * w["c"]
+    da = (rep(dz) * f["h"]).sum(1)
+    de = f["a"] * (da - rep(np.add.reduceat(f["a"] * da, heads)))
+    dt, dg = de[:, None] * w["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * w["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * rep(dz) + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (de[:, None] * f["t"] * f["g"]).sum(0), "c": err @ f["z"], "d": err.sum(keepdims=True)}
+
+
 def train(x: np.ndarray, heads: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, steps: int = 400, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> MilModel:
     """Fits the model to document labels y by Adam on the whole sample; the attention weights are learned from those labels alone."""
     prior = float(y.mean()) if len(y) else 0.5
@@ -106,15 +119,7 @@ def train(x: np.ndarray, heads: np.ndarray, y: np.ndarray, hidden: int = 24, gat
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "bd" else np.zeros(s) for k, s in shape.items()}
     m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        f = _forward(w, x, heads)
-        err = (f["p"] - y) / len(y)
-        rep = lambda q: np.repeat(q, f["sizes"], axis=0)  # noqa: E731, B023
-        dz = err[:, None] * w["c"]
-        da = (rep(dz) * f["h"]).sum(1)
-        de = f["a"] * (da - rep(np.add.reduceat(f["a"] * da, heads)))
-        dt, dg = de[:, None] * w["w"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * w["w"] * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["a"][:, None] * rep(dz) + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-        grad = {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (de[:, None] * f["t"] * f["g"]).sum(0), "c": err @ f["z"], "d": err.sum(keepdims=True)}
+        grad = _gradient(w, x, heads, y)
         for k, g in grad.items():
             g = g + decay * w[k] / 10
             m[k] = 0.9 * m[k] + 0.1 * g

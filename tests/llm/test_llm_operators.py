@@ -281,6 +281,43 @@ def test_attention_gradient_finds_the_odd_passage():
     assert ((model.scores(np.concatenate(bags), heads) > 0.5) == y).mean() > 0.95
 
 
+def _small_model():
+    rng = np.random.default_rng(8)
+    sizes = [1, 4, 2, 7, 1, 3]
+    x, heads, y = rng.normal(size=(sum(sizes), 5)), np.cumsum([0, *sizes[:-1]]), np.array([1.0, 0, 0, 1, 1, 0])
+    shape = {"W": (5, 4), "b": (4,), "V": (4, 3), "U": (4, 3), "w": (3,), "c": (4,), "d": (1,)}
+    return {k: rng.normal(size=n) for k, n in shape.items()}, x, heads, sizes, y
+
+
+def test_attention_pooling_equals_plain_loops():
+    w, x, heads, sizes, _ = _small_model()
+    got = mil._forward(w, x, heads)["p"]
+    for h, n, p in zip(heads, sizes, got):
+        hidden = [[math.tanh(sum(x[i][q] * w["W"][q][k] for q in range(5)) + w["b"][k]) for k in range(4)] for i in range(h, h + n)]
+        energy = [sum(w["w"][j] * math.tanh(sum(v[k] * w["V"][k][j] for k in range(4))) / (1 + math.exp(-sum(v[k] * w["U"][k][j] for k in range(4)))) for j in range(3)) for v in hidden]
+        share = [math.exp(e) / sum(map(math.exp, energy)) for e in energy]
+        pooled = [sum(a * v[k] for a, v in zip(share, hidden)) for k in range(4)]
+        assert math.isclose(p, 1 / (1 + math.exp(-sum(c * z for c, z in zip(w["c"], pooled)) - w["d"][0])), rel_tol=1e-9)
+
+
+def test_gradient_equals_finite_differences():
+    w, x, heads, _, y = _small_model()
+
+    def loss():
+        p = mil._forward(w, x, heads)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    for k, g in mil._gradient(w, x, heads, y).items():
+        for at in np.ndindex(w[k].shape):
+            held = w[k][at]
+            w[k][at] = held + 1e-5
+            up = loss()
+            w[k][at] = held - 1e-5
+            down = loss()
+            w[k][at] = held
+            assert math.isclose((up - down) / 2e-5, g[at], rel_tol=1e-4, abs_tol=1e-8), (k, at)
+
+
 # ---------------------------------------------------------------- 4
 
 

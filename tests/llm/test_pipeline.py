@@ -37,3 +37,17 @@ def test_stages_take_effect(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
+
+
+def test_run_on_an_empty_table_and_on_odd_texts(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    text = " ".join(f"the w{i} of" for i in range(400))
+    odd = spark.createDataFrame([(1, text, None, None, 1), (2, None, "en", "s", None), (3, "", "en", None, 0), (None, text + " tail", "en", "s", 5), (None, None, None, None, None), (4, text, "de", "s", 1)], empty.schema)
+    for name, docs in (("empty", empty), ("odd", odd)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert (rows == []) == (name == "empty")
+        assert {r.doc_id for r in rows} <= {1, None}  # of equal texts the first stays; null and blank ones break rules
