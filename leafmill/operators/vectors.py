@@ -121,12 +121,19 @@ def embed(chunks: DataFrame, fn: Callable[[pd.Series], list]) -> DataFrame:
     return chunks.withColumn("embedding", run(F.coalesce("text", F.lit(""))))
 
 
-def lsh_candidates(queries: DataFrame, vectors: DataFrame, distance: float, tables: int = 4, width: float = 1.0) -> DataFrame:
-    """(query_id, chunk_id, distance) of candidate pairs within a Euclidean distance, for two large sides."""
+def lsh_candidates(queries: DataFrame, vectors: DataFrame, distance: float, tables: int = 6, width: float | None = None) -> DataFrame:
+    """(query_id, chunk_id, distance) of pairs within a Euclidean distance, for two large sides: the pairs that share a bucket of one table.
+
+    width: length of a bucket along a random direction; by default twice the distance over the root of the dimension, which a pair at the
+    distance overcomes with about two fifths chance a table. Not all pairs are found; see search for those that must be.
+    """
     from pyspark.ml.functions import array_to_vector
 
+    if width is None:
+        first = vectors.where("size(embedding) > 0").select(F.size("embedding")).first()
+        width = 2 * distance / max(first[0] if first else 1, 1) ** 0.5
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=5)
-    a, b = (df.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))) for df in (queries.select("query_id", "embedding"), vectors.select("chunk_id", "embedding")))
+    a, b = (df.where("embedding is not null").withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))) for df in (queries.select("query_id", "embedding"), vectors.select("chunk_id", "embedding")))
     pairs = model.fit(b).approxSimilarityJoin(a, b, distance, "distance")
     return pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), "distance")
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from leafmill.operators import chunks, diagrams, manifest, markup, tree, vectors
@@ -156,6 +157,16 @@ def test_search_with_odd_vectors(spark):
     assert vectors.search(q.limit(0), v).collect() == [] and vectors.search(q, v.limit(0)).collect() == []
 
 
+def test_lsh_finds_most_pairs(spark, sf_dir):
+    from leafmill.plans.queries import _sides
+
+    q, v = _sides(spark, sf_dir)
+    x = {r.chunk_id: np.array(r.embedding) for r in v.collect()}
+    want = {(r.query_id, c) for r in q.collect() for c, e in x.items() if np.linalg.norm(np.array(r.embedding) - e) < 0.9}
+    got = {(r.query_id, r.chunk_id) for r in vectors.lsh_candidates(q, v, 0.9).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_numeric_entities(spark):
     from leafmill.functions.text import decode_entities
 
