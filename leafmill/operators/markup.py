@@ -28,7 +28,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     put into a paragraph. Void elements and the missing end of a paragraph aren't closed by themselves (see article_blocks for raw pages).
     """
     html = F.coalesce("html", F.lit(""))
-    fragment = F.when(strip(html).startswith("<"), html).otherwise(F.concat(F.lit("<p>"), html, F.lit("</p>")))
+    fragment = F.when(html.rlike(r"^\s*<"), html).otherwise(F.concat(F.lit("<p>"), html, F.lit("</p>")))
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(fragment, F.lit(_TOKEN), F.lit(0))).alias("ix", "raw")).where(~F.col("raw").startswith("<!--") & ~F.col("raw").rlike("^<[!?](?!\\[CDATA)"))
     tag = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][^\s/>]*)", 1))
     is_cdata = F.col("raw").startswith("<![CDATA[")
