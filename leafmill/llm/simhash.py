@@ -94,10 +94,15 @@ def _linked(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 
 
 class _Forest:
-    """Union-find over ids, smaller root wins; take() gives node-root edges and forgets them."""
+    """Union-find over ids, smaller root wins; take() gives spanning edges and forgets the sets.
 
-    def __init__(self) -> None:
+    Members of a set are tied as a tree with `fan` children a node, in order of their ids: no node gets more than fan + 1 edges however
+    large the set is, so no later join by node has a hot key, and few levels lie between any two members.
+    """
+
+    def __init__(self, fan: int = 16) -> None:
         self.up: dict[int, int] = {}
+        self.fan = fan
 
     def find(self, x: int) -> int:
         up = self.up
@@ -111,9 +116,11 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
     def take(self) -> list[tuple[int, int]]:
-        out = [(x, r) for x in list(self.up) if (r := self.find(x)) != x]
+        sets: dict[int, list[int]] = {}
+        for x in sorted(self.up):
+            sets.setdefault(self.find(x), []).append(x)
         self.up = {}
-        return out
+        return [(m[i], m[(i - 1) // self.fan]) for m in sets.values() for i in range(1, len(m))]
 
 
 def _tie(forest: _Forest, fps: np.ndarray, ids: np.ndarray, bits: int, tile: int = 512) -> None:

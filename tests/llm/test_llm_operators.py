@@ -525,6 +525,23 @@ def test_ring_keys_lose_no_link(spark, monkeypatch, block):
 # ---------------------------------------------------------------- 10
 
 
+@pytest.mark.parametrize("n", [1, 2, 17, 3000])
+def test_spanning_edges_have_no_hub(n):
+    ids = list(range(5, 5 + 3 * n, 3))
+    forest = simhash._Forest(fan=16)
+    for x in random.Random(n).sample(ids, n):
+        forest.join(x, 5)
+    forest.join(1_000_000, 1_000_001)
+    edges = forest.take()
+    assert len(edges) == n and not forest.take()
+    degree = collections.Counter(x for e in edges for x in e)
+    assert max(degree.values()) <= 17
+    again = simhash._Forest()
+    for a, b in edges:
+        again.join(a, b)
+    assert {again.find(x) for x in ids[1:]} == ({5} if n > 1 else set()) and again.find(1_000_001) == 1_000_000
+
+
 @pytest.mark.parametrize("histogram", [{100: 1000}, {300: 1000, 500: 1000}, {1: 10000}, {2: 5000, 3: 5000}, {341: 300, 342: 300, 700: 100}, {1024: 5, 7: 3}])
 def test_every_histogram_is_packed_by_configurations(histogram):
     demand = np.zeros(1025, np.int64)
