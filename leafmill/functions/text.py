@@ -114,10 +114,10 @@ def decode_entities(x: Column) -> Column:
     parts = F.split(x, number)
     found = F.concat(F.transform(F.regexp_extract_all(x, F.lit(number), F.lit(0)), lambda e: F.coalesce(_char(code(e)), e)), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    x = F.when(x.rlike(number), joined).otherwise(x)
+    out = F.when(x.rlike(number), joined).otherwise(x)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(x.contains("&"), out).otherwise(x)  # most texts hold none
 
 
 def clean_label(value: Column) -> Column:

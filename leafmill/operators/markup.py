@@ -29,10 +29,12 @@ def tokens(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     fragment = F.when(html.rlike(r"^\s*<"), html).otherwise(F.concat(F.lit("<p>"), html, F.lit("</p>")))
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(fragment, F.lit(_TOKEN), F.lit(0))).alias("ix", "raw")).where(~F.col("raw").startswith("<!--") & ~F.col("raw").rlike("^<[!?](?!\\[CDATA)"))
-    tag = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][^\s/>]*)", 1))
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(fragment, F.lit(_TOKEN), F.lit(0))).alias("ix", "raw"))
+    in_tag = F.col("raw").startswith("<")  # looked at first, so that patterns never run over long texts
+    rows = rows.where(~(in_tag & (F.col("raw").startswith("<!--") | F.col("raw").rlike("^<[!?](?!\\[CDATA)"))))
+    tag = F.when(in_tag, F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][^\s/>]*)", 1)))
     is_cdata = F.col("raw").startswith("<![CDATA[")
-    kind = F.when(is_cdata, "cdata").when(F.col("raw").startswith("</"), "close").when(~F.col("raw").startswith("<"), "text").when(F.col("raw").endswith("/>") | tag.isin(list(VOID)), "void").otherwise("open")
+    kind = F.when(is_cdata, "cdata").when(F.col("raw").startswith("</"), "close").when(~in_tag, "text").when(F.col("raw").endswith("/>") | tag.isin(list(VOID)), "void").otherwise("open")
     rows = rows.withColumn("kind", kind).withColumn("tag", F.when(F.col("kind").isin("open", "close", "void"), tag))
     text = F.when(F.col("kind") == "text", decode_entities(F.col("raw"))).when(F.col("kind") == "cdata", F.regexp_extract("raw", r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1))
     attrs = F.when(F.col("kind").isin("open", "void"), F.regexp_extract("raw", r"(?s)^<[^\s/>]+(.*?)/?>$", 1))
@@ -43,11 +45,14 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def blocks(toks: DataFrame) -> DataFrame:
-    """Tokens of top-level elements with block, the element's number in its page; top-level text outside of elements goes."""
+    """Tokens of top-level elements with block, the element's number in its page, and top, its tag; top-level text outside of elements
+    goes."""
     w = Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     starts = (F.col("depth") == 1) & F.col("kind").isin("open", "void")
     out = toks.withColumn("block", F.sum(starts.cast("int")).over(w))
-    return out.where((F.col("block") > 0) & ~((F.col("depth") == 0) & F.col("kind").isin("text", "cdata")))
+    out = out.where((F.col("block") > 0) & ~((F.col("depth") == 0) & F.col("kind").isin("text", "cdata")))
+    # An element's first token is its tag.
+    return out.withColumn("top", F.first("tag").over(Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _mark() -> Column:
@@ -69,38 +74,40 @@ def _mark() -> Column:
     )
 
 
-def render_inline(toks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, text): the tokens of each key as inline Markdown, in order; unknown tags pass through their content."""
-    w = Window.partitionBy(*keys).orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    linked = toks.withColumn("href", F.last(F.when((F.col("tag") == "a") & (F.col("kind") == "open"), F.coalesce(attribute(F.col("attrs"), "href"), F.lit(""))), ignorenulls=True).over(w))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", F.coalesce(_mark(), F.lit("")).alias("m")))), lambda x: x["m"]), "")
-    out = linked.groupBy(*keys).agg(joined.alias("text"))
-    # What stands between two marks of strong, emphasised or code text is stripped.
-    return out.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\*\*\s*([^*]+?)\s*\*\*", "**$1**"), r"`\s*([^`]+?)\s*`", "`$1`"))
+def _tidy(text: Column) -> Column:
+    """What stands between two marks of strong or code text is stripped."""
+    return F.regexp_replace(F.regexp_replace(text, r"\*\*\s*([^*]+?)\s*\*\*", "**$1**"), r"`\s*([^`]+?)\s*`", "`$1`")
 
 
 def render_blocks(toks: DataFrame) -> DataFrame:
     """(page_id, block, tag, text) for each top-level element that isn't empty: headings, paragraphs, lists, code, quotes, rules,
     tables (as pipe tables, or placeholders for complex ones) and images; any other element gives its inline content."""
-    inside = blocks(toks)
-    top = inside.where((F.col("depth") == 1) & F.col("kind").isin("open", "void")).select("page_id", "block", F.col("tag").alias("top"))
     w = Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    item = inside.withColumn("item", F.sum(((F.col("tag") == "li") & (F.col("kind") == "open") & (F.col("depth") == 2)).cast("int")).over(w))
-    plain = render_inline(inside, ["page_id", "block"])
-    items = render_inline(item.where("item > 0"), ["page_id", "block", "item"])
-    items = items.join(top, ["page_id", "block"])
-    line = F.concat(F.when(F.col("top") == "ol", F.concat(F.col("item").cast("string"), F.lit(". "))).otherwise("- "), strip(F.regexp_replace("text", r"\s+", " ")))
-    lists = items.where(F.col("top").isin("ul", "ol")).groupBy("page_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("l")))), lambda x: x["l"]), "\n").alias("list"))
-    cells = cut(table_cells(toks))
-    piped = pipe_tables(cells).select("page_id", "block", "pipe")
+    href = F.when((F.col("tag") == "a") & (F.col("kind") == "open"), F.coalesce(attribute(F.col("attrs"), "href"), F.lit("")))
+    item = F.sum(((F.col("tag") == "li") & (F.col("kind") == "open") & (F.col("depth") == 2)).cast("int")).over(w)
+    held = cut(blocks(toks))  # written once, since blocks and tables both read it
+    inside = held.withColumn("href", F.last(href, ignorenulls=True).over(w)).withColumn("item", item)
+    # Tokens are joined by items, then items by blocks; both stay in the partition of their page.
+    inline = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", F.coalesce(_mark(), F.lit("")).alias("m")))), lambda x: x["m"]), "")
+    parts = inside.groupBy("page_id", "block", "top", "item").agg(inline.alias("m"))
+    whole = parts.groupBy("page_id", "block", "top").agg(F.array_sort(F.collect_list(F.struct("item", "m"))).alias("parts"))
+
+    def line(part: Column) -> Column:
+        mark = F.when(F.col("top") == "ol", F.concat(part["item"].cast("string"), F.lit(". "))).otherwise("- ")
+        return F.concat(mark, strip(F.regexp_replace(_tidy(part["m"]), r"\s+", " ")))
+
+    lines = F.array_join(F.transform(F.filter("parts", lambda x: x["item"] > 0), line), "\n")
+    plain = whole.select("page_id", "block", "top", _tidy(F.array_join(F.transform("parts", lambda x: x["m"]), "")).alias("text"), F.when(F.col("top").isin("ul", "ol"), lines).alias("list"))
+    cells = cut(_cells(held))
     hard = complex_tables(cells).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("block")))
-    hard = hard.select("page_id", "block", placeholder("table", F.concat(F.lit("table-"), F.col("n").cast("string"))).alias("held"))
-    out = plain.join(top, ["page_id", "block"]).join(lists, ["page_id", "block"], "left").join(piped, ["page_id", "block"], "left").join(hard, ["page_id", "block"], "left")
+    hard = hard.select("page_id", "block", placeholder("table", F.concat(F.lit("table-"), F.col("n").cast("string"))).alias("table"))
+    tables = hard.unionAll(pipe_tables(cells).select("page_id", "block", "pipe"))
+    out = plain.join(tables, ["page_id", "block"], "left")
     body, level = strip(F.col("text")), F.substring("top", 2, 1).cast("int")
     text = (
         F.when(F.col("top").isin(*_HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), body))
         .when(F.col("top").isin("ul", "ol"), F.col("list"))
-        .when(F.col("top") == "table", F.coalesce("held", "pipe"))
+        .when(F.col("top") == "table", F.col("table"))
         .when(F.col("top") == "pre", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
         .when(F.col("top") == "blockquote", F.concat(F.lit("> "), F.regexp_replace(body, r"\n", "\n> ")))
         .when(F.col("top") == "hr", F.lit("---"))
@@ -112,9 +119,8 @@ def render_blocks(toks: DataFrame) -> DataFrame:
 
 
 def markdown(pages: DataFrame) -> DataFrame:
-    """(page_id, md) of pages(page_id, title, html): the title as a heading, then the blocks, blank lines between them. Tokens are written
-    once, since blocks, lists and tables all read them."""
-    body = render_blocks(cut(tokens(pages))).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    """(page_id, md) of pages(page_id, title, html): the title as a heading, then the blocks, blank lines between them."""
+    body = render_blocks(tokens(pages)).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
     title = F.concat(F.lit("# "), strip(F.col("title")))
     return pages.select("page_id", "title").join(body, "page_id", "left").select("page_id", F.concat_ws("\n\n", F.when(no_blank(F.col("title")).isNotNull(), title), no_blank(F.col("body"))).alias("md"))
 
@@ -124,10 +130,12 @@ def markdown(pages: DataFrame) -> DataFrame:
 
 def table_cells(toks: DataFrame) -> DataFrame:
     """(page_id, block, row_ix, col_ix, text, colspan, rowspan, header, nested) of top-level tables, a row per cell."""
+    return _cells(blocks(toks))
+
+
+def _cells(inside: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    inside = blocks(toks)
-    top = inside.where((F.col("depth") == 1) & (F.col("tag") == "table") & (F.col("kind") == "open")).select("page_id", "block")
-    inside = inside.join(top, ["page_id", "block"])
+    inside = inside.where("top = 'table'")
     step = lambda tags, kind: F.sum((F.col("tag").isin(*tags) & (F.col("kind") == kind)).cast("int")).over(w)
     rows = inside.withColumn("tables", step(["table"], "open") - step(["table"], "close")).withColumn("row_n", F.sum(((F.col("tag") == "tr") & (F.col("kind") == "open") & (F.col("tables") == 1)).cast("int")).over(w))
     opens = F.col("tag").isin("td", "th") & (F.col("kind") == "open") & (F.col("tables") == 1)
