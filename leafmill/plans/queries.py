@@ -728,3 +728,44 @@ def ingest_search(spark, sf_dir):
     held = files.read_store(spark, path)
     asked = held.where("page_id % 50 = 0 and chunk_index = 0").select(F.col("chunk_id").alias("query_id"), "root_id", "embedding")
     return vectors.search(asked, held, k=1).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- values of metadata and errors
+
+
+@query(SQL["complex_tables"])
+def table_artifacts(spark, sf_dir):
+    """Extracted tables written as JSON, a folder per page, and read back."""
+    pages = _table_pages(spark, sf_dir).selectExpr("page_id", "html || html as html")
+    path = files.write_artifacts(markup.extract_tables(markup.tokens(pages)), "tables", scratch(spark, "artifacts"))
+    row = F.from_json("value", "page_id long, table_id string, row_count int, caption string")
+    return spark.read.text(path).select(row.alias("r")).select("r.page_id", "r.table_id", "r.row_count", "r.caption")
+
+
+_META = "select doc_id, lang, case doc_id % 4 when 0 then ' ' || n_chars || ' ' when 1 then 'n/a' when 2 then n_chars || '.5' else ' ' end as value from documents"
+
+
+@query(f"select doc_id, case when trim(value) = '' then lang else value end as as_string, case when doc_id % 4 = 0 then trim(value)::int end as as_int, try_cast(trim(value) as double) as as_double from ({_META})")
+def metadata_values(spark, sf_dir):
+    m, value = derived(spark, sf_dir, _META), F.col("value")
+    return m.select("doc_id", fn.meta_string(value, F.col("lang")).alias("as_string"), fn.meta_int(value).alias("as_int"), fn.meta_double(value).alias("as_double"))
+
+
+@query("select doc_id, case when length(text) > 500 then substring(text, 1, 500) || '...' else coalesce(text, '') end as page_error, case when length(text) > 500 then substring(text, 1, 500) || '...' else coalesce(text, '') end as file_error from documents")
+def error_texts(spark, sf_dir):
+    """Errors are kept to 500 characters; here the documents' texts stand for them."""
+    return load(spark, sf_dir, "documents").select("doc_id", manifest.error_text(F.col("text")).alias("page_error"), att.analysis_error(F.col("text")).alias("file_error"))
+
+
+_TITLES = "select doc_id, case when doc_id % 3 = 0 then ' ' else source end as title, case when doc_id % 2 = 0 then lang end as heading_path, n_chars / 1000.0 as score from documents"
+
+
+@query(f"select doc_id, case when doc_id % 3 = 0 then 'Untitled' else title end || case when doc_id % 2 = 0 then ' › ' || lang else '' end as title_line from ({_TITLES.replace('select doc_id', 'select doc_id, lang', 1)}) where score >= 0.5")
+def titled_hits(spark, sf_dir):
+    return retrieval.titled(vectors.min_score(derived(spark, sf_dir, _TITLES), 0.5)).select("doc_id", "title_line")
+
+
+@query(f"select chunk_id, page_id from ({fx.VECTORS}) where page_id not in (select page_id from ({fx.VECTORS}) where page_id % 3 = 0)")
+def delete_pages(spark, sf_dir):
+    v = derived(spark, sf_dir, fx.VECTORS)
+    return vectors.delete_pages(v, v.where("page_id % 3 = 0")).select("chunk_id", "page_id")
