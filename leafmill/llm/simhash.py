@@ -96,8 +96,9 @@ def _linked(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
 class _Forest:
     """Union-find over ids, smaller root wins; take() gives spanning edges and forgets the sets.
 
-    Members of a set are tied as a tree with `fan` children a node, in order of their ids: no node gets more than fan + 1 edges however
-    large the set is, so no later join by node has a hot key, and few levels lie between any two members.
+    Members of a set are tied as a tree with `fan` children a node: no node gets more than fan + 1 edges however large the set is, so no
+    later join by node has a hot key, and few levels lie between any two members. The root is drawn from the members' sum, so that
+    overlapping sets of several tasks have different roots; equal sets have equal trees.
     """
 
     def __init__(self, fan: int = 16) -> None:
@@ -120,7 +121,12 @@ class _Forest:
         for x in sorted(self.up):
             sets.setdefault(self.find(x), []).append(x)
         self.up = {}
-        return [(m[i], m[(i - 1) // self.fan]) for m in sets.values() for i in range(1, len(m))]
+        out = []
+        for m in sets.values():
+            root = sum(m) % len(m)
+            m = m[root:] + m[:root]
+            out += [(m[i], m[(i - 1) // self.fan]) for i in range(1, len(m))]
+        return out
 
 
 def _tie(forest: _Forest, fps: np.ndarray, ids: np.ndarray, bits: int, tile: int = 512) -> None:
