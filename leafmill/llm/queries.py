@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import lattice, lm, mil, packing, pieces, rules, sharding, simhash, substring, warc
+from leafmill.llm import align, lattice, lm, lpf, mil, packing, phrases, pieces, rules, sharding, simhash, substring, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_packing": packing.op10_packing,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_suffix_dedup": lpf.op12_suffix_dedup,
+    "op13_alignment": align.op13_alignment,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op2_warc": warc.OP2_SQL,
     "op8_quality_rules": rules.OP8_SQL,
+    "op11_phrases": phrases.OP11_SQL,
+    "op12_suffix_dedup": lpf.OP12_SQL,
 }
