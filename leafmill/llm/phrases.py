@@ -21,8 +21,8 @@ TOP = 2000
 #: Bytes that end a piece become one that no UTF-8 text holds, A-Z become lower case, and tabs blanks.
 _FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BREAK = b"\xff"
-#: Suffixes whose pointers are sorted at once.
-_FLUSH = 2_000_000
+#: Words that a task holds before it sorts pointers to them; those of the language with most of them are sorted at once.
+_FLUSH = 800_000
 #: Partitions of fewer suffixes are sorted out in one go.
 _SMALL = 4096
 _END = 0
@@ -83,6 +83,7 @@ def _word_runs(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[tuple[
     """(lang, ids, words, n) of some texts of one language: word ids in text order, 0 where a piece ends, words naming those from 1 on. Suffixes
     begin at the first n places; the `ahead` places behind them are begun in the next run."""
     held: defaultdict[str, list[bytes]] = defaultdict(list)
+    total = 0
 
     def runs(lang: str, words: list[bytes]) -> Iterator[tuple[str, np.ndarray, pa.Array, int]]:
         for at in range(0, len(words), _FLUSH):
@@ -91,11 +92,14 @@ def _word_runs(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[tuple[
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-            words = held[lang]
-            words += (text.as_py() or b"").translate(_FOLD).replace(_BREAK, b" \xff ").split()
+            words = (text.as_py() or b"").translate(_FOLD).replace(_BREAK, b" \xff ").split()
             words.append(_BREAK)
-            if len(words) >= _FLUSH:
-                yield from runs(lang, held.pop(lang))
+            held[lang] += words
+            total += len(words)
+            if total >= _FLUSH:
+                most = max(held, key=lambda x: len(held[x]))
+                total -= len(held[most])
+                yield from runs(most, held.pop(most))
     for lang, words in held.items():
         yield from runs(lang, words)
 
@@ -244,7 +248,7 @@ def _counted(filter_: Broadcast, longest: int, least: int, shard: int):
 # ---------------------------------------------------------------- operator
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, hot_share: int = 10_000, hot_min: int = 1000, shard: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, hot_share: int = 10_000, hot_min: int = 1000, shard: int = 400_000) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all words and of all phrases of 2 to `longest` words that occur `least` times or more; see collocations for the edges.
 
     Passes:
