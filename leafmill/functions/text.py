@@ -120,10 +120,18 @@ def decode_entities(x: Column) -> Column:
     return F.when(x.contains("&"), out).otherwise(x)  # most texts hold none
 
 
+# Tags that part words; the text beside any other tag runs on.
+_BLOCK_TAGS = "br|hr|p|div|ul|ol|li|dl|dt|dd|table|caption|thead|tbody|tfoot|tr|td|th|h[1-6]|pre|blockquote|section|article|header|footer|center"
+
+
 def clean_label(value: Column) -> Column:
-    """A diagram label as plain text: entities decoded, tags dropped, blanks squeezed."""
-    text = decode_entities(decode_entities(F.coalesce(value, F.lit(""))))
-    return strip(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
+    """A diagram label as plain text: entities decoded and line ends made blanks. Where it holds markup, tags are dropped and blanks squeezed;
+    otherwise runs of blanks stay, since they part a class's members."""
+    text = decode_entities(F.coalesce(value, F.lit("")))
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    bare = F.regexp_replace(F.regexp_replace(text, f"(?i)</?(?:{_BLOCK_TAGS})\\b[^>]*>", " "), "(?s)<!--.*?-->|</?[A-Za-z][^>]*>", "")
+    return strip(F.when(text.contains("<"), F.regexp_replace(decode_entities(bare), r"\s+", " ")).otherwise(F.regexp_replace(text, "\n", " ")))
 
 
 def display_type(kind: Column) -> Column:

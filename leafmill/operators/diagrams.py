@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import clean_label, display_type, escape_cell, extension, is_attribute, is_class_member, is_column_only, is_meaningful, is_multiplicity, is_raw_id, no_blank, strip
+from leafmill.functions.text import clean_label, display_type, escape_cell, extension, is_attribute, is_class_member, is_column_only, is_drawio, is_meaningful, is_multiplicity, is_raw_id, no_blank, strip
 from leafmill.operators.common import cut, distinct_ordered
 from leafmill.operators.markup import attribute
 
@@ -33,11 +33,39 @@ ER_TERMS = " pk| fk|primary key|foreign key"
 ARCHITECTURE_TERMS = "controller|service|repository|postgres|rabbit|gateway|client|infrastructure|layer|keycloak"
 
 
+def _parts(files: DataFrame) -> DataFrame:
+    """(file_id, pos, raw, page_ix, opens): the openings of pages and cells in each file of files(diagram_id, xml), with the number of the page that
+    they are in; a file without pages is one page, and what lies before the first of others is none of theirs."""
+    found = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:mxCell|diagram)\b[^>]*>"), F.lit(0))
+    rows = files.select(F.col("diagram_id").cast("string").alias("file_id"), F.posexplode(found).alias("pos", "raw")).withColumn("opens", F.col("raw").startswith("<diagram"))
+    so_far = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("opened", F.sum(F.col("opens").cast("int")).over(so_far)).withColumn("all", F.max(F.col("opens").cast("int")).over(Window.partitionBy("file_id")))
+    return rows.where("opened > 0 or all = 0").withColumn("page_ix", F.greatest(F.col("opened") - 1, F.lit(0)).cast("int")).drop("opened", "all")
+
+
+def page_key(file_id: Column, page_ix: Column) -> Column:
+    """The diagram_id of a file's page: the file's own for its first page."""
+    return F.when(page_ix == 0, file_id).otherwise(F.concat(file_id, F.lit("#page-"), page_ix.cast("string")))
+
+
+def diagram_pages(files: DataFrame) -> DataFrame:
+    """(diagram_id, file_id, page_ix, diagram_name) of files(diagram_id, xml): a row a page, also for pages and files without a cell."""
+    name = no_blank(strip(attribute(F.regexp_replace("raw", "^<diagram", ""), "name")))
+    named = _parts(files).where("opens").select("file_id", "page_ix", name.alias("diagram_name"))
+    bare = files.select(F.col("diagram_id").cast("string").alias("file_id")).join(named.select("file_id").distinct(), "file_id", "left_anti")
+    out = named.unionByName(bare.select("file_id", F.lit(0).alias("page_ix"), F.lit(None).cast("string").alias("diagram_name")))
+    return out.select(page_key(F.col("file_id"), F.col("page_ix")).alias("diagram_id"), "file_id", "page_ix", "diagram_name")
+
+
 def diagram_cells(files: DataFrame) -> DataFrame:
-    """(diagram_id, cell_id, parent_id, value, vertex, edge, source_id, target_id, style, ord) of files(diagram_id, xml)."""
-    rows = files.select("diagram_id", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<mxCell\b[^>]*>"), F.lit(0))).alias("ord", "raw"))
+    """(diagram_id, cell_id, parent_id, value, vertex, edge, source_id, target_id, style, ord) of files(diagram_id, xml).
+
+    Each page of a file is a diagram of its own, so cells of two pages never meet, whatever their ids; see page_key for its diagram_id.
+    """
+    rows = _parts(files).where("not opens").select(page_key(F.col("file_id"), F.col("page_ix")).alias("diagram_id"), F.col("pos").alias("ord"), "raw")
     a = lambda name: attribute(F.regexp_replace("raw", r"^<mxCell", ""), name)
-    return rows.select("diagram_id", a("id").alias("cell_id"), a("parent").alias("parent_id"), clean_label(a("value")).alias("value"), F.coalesce(a("vertex") == "1", F.lit(False)).alias("vertex"), F.coalesce(a("edge") == "1", F.lit(False)).alias("edge"), a("source").alias("source_id"), a("target").alias("target_id"), F.coalesce(a("style"), F.lit("")).alias("style"), "ord")
+    key = lambda name: no_blank(strip(a(name)))
+    return rows.select("diagram_id", key("id").alias("cell_id"), key("parent").alias("parent_id"), clean_label(a("value")).alias("value"), F.coalesce(a("vertex") == "1", F.lit(False)).alias("vertex"), F.coalesce(a("edge") == "1", F.lit(False)).alias("edge"), key("source").alias("source_id"), key("target").alias("target_id"), F.coalesce(a("style"), F.lit("")).alias("style"), "ord")
 
 
 def diagram_labels(cells: DataFrame) -> DataFrame:
@@ -147,12 +175,13 @@ def diagram_nodes(cells: DataFrame, types: DataFrame) -> DataFrame:
 
 def resolve_endpoints(cells: DataFrame, types: DataFrame, nodes: DataFrame) -> DataFrame:
     """(diagram_id, cell_id, node): for each cell the label of the nearest of itself and its parents that is a node of its diagram; in a
-    diagram without nodes, that has a label at all. Each round doubles the climb, so that the number of cells bounds the rounds; what is
+    diagram without nodes, that has a label at all (of a class diagram then none). Each round doubles the climb, so that the number of cells bounds the rounds; what is
     still open then are cells that are their own ancestors, which have no node."""
     any_node = nodes.select("diagram_id").distinct().withColumn("some", F.lit(True))
     named = nodes.select("diagram_id", F.col("label"), F.lit(True).alias("is_node"))
     c = _labelled(cells, types).join(any_node, "diagram_id", "left").join(named, ["diagram_id", "label"], "left")
-    node = F.when(F.coalesce("is_node", F.lit(False)) | (F.col("some").isNull() & F.col("label").isNotNull()), F.col("label"))
+    free = F.col("some").isNull() & (F.col("type") != "CLASS_DIAGRAM") & F.col("label").isNotNull()
+    node = F.when(F.coalesce("is_node", F.lit(False)) | free, F.col("label"))
     climb = cut(c.select("diagram_id", "cell_id", "parent_id", node.alias("node")).where("cell_id is not null"))
     for _ in range(climb.count().bit_length() + 1):
         left = climb.where("node is null and parent_id is not null")
@@ -325,19 +354,37 @@ def diagram_sections(types: DataFrame, cells: DataFrame, nodes: DataFrame, edges
 
 
 def diagram_files(attachments: DataFrame) -> DataFrame:
-    """(diagram_id, xml) of attachments(relative_path, content) that are diagram sources."""
-    text = F.decode("content", "UTF-8")
-    return attachments.where((extension(F.col("relative_path")) == "drawio") & text.rlike(r"(?i)<mx(file|GraphModel)\b")).select(F.col("relative_path").alias("diagram_id"), text.alias("xml"))
+    """(diagram_id, file_name, xml) of attachments(relative_path, content) that are diagram sources."""
+    text, path = F.decode("content", "UTF-8"), F.col("relative_path")
+    return attachments.where((extension(path) == "drawio") & is_drawio(text)).select(path.alias("diagram_id"), F.regexp_extract(path, r"([^/]*)$", 1).alias("file_name"), text.alias("xml"))
+
+
+def choose_pages(files: DataFrame, pages: DataFrame, cells: DataFrame, types: DataFrame) -> DataFrame:
+    """(diagram_id, file_id, page_ix, diagram_name, score): the page of each of files(diagram_id, file_name) that its name fits best; see pick_diagram."""
+    labels = diagram_labels(cells).groupBy("diagram_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"]).alias("labels"))
+    names = files.select(F.col("diagram_id").cast("string").alias("file_id"), "file_name")
+    rows = pages.join(names, "file_id").join(labels, "diagram_id", "left").join(types, "diagram_id", "left")
+    rows = rows.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+    return pick_diagram(rows).select("diagram_id", "file_id", "page_ix", "diagram_name", "score")
 
 
 def analyze_diagrams(files: DataFrame) -> DataFrame:
-    """(diagram_id, type, valid, summary, sections, node_count, edge_count, label_count, components, relationships) of files(diagram_id, xml)
-    in one call. Cells, types, nodes and edges are written once, since the parts read them several times. Files without a labelled cell give
-    zero counts and null lists."""
-    cells = cut(diagram_cells(files))
-    types = cut(classify_diagrams(cells))
+    """(diagram_id, page_ix, diagram_name, type, valid, summary, sections, node_count, edge_count, label_count, components, relationships) of
+    files(diagram_id, xml, file_name) in one call; without a file_name the diagram_id's last part stands for it.
+
+    Of a file's pages the one that fits its name best is analysed, the first of equals; nodes and edges are made for that page only. Cells, types,
+    nodes and edges are written once, since the parts read them several times. Files without a cell are generic, with zero counts and null lists.
+    """
+    if "file_name" not in files.columns:
+        files = files.withColumn("file_name", F.regexp_extract(F.col("diagram_id").cast("string"), r"([^/]*)$", 1))
+    whole = cut(diagram_cells(files))
+    kinds = classify_diagrams(whole)
+    pages = cut(choose_pages(files, diagram_pages(files), whole, kinds))
+    cells = cut(whole.join(pages.select("diagram_id"), "diagram_id", "left_semi"))
+    types = cut(pages.select("diagram_id").join(kinds, "diagram_id", "left").fillna("GENERIC_DIAGRAM", ["type"]))
     nodes = cut(diagram_nodes(cells, types))
     edges = cut(diagram_edges(cells, types, nodes))
     out = types.join(valid_diagrams(types, nodes, edges), "diagram_id").join(diagram_summary(types, cells, nodes, edges), "diagram_id")
     out = out.join(diagram_sections(types, cells, nodes, edges), "diagram_id").join(diagram_metadata(cells, nodes, edges), "diagram_id", "left")
+    out = pages.drop("score").join(out, "diagram_id").drop("diagram_id").withColumnRenamed("file_id", "diagram_id")
     return out.fillna(0, ["node_count", "edge_count", "label_count"])

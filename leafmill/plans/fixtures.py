@@ -50,17 +50,17 @@ select cast(floor(doc_id / 5) as bigint) as page_id, doc_id as ord,
   source, lang
 from documents"""
 
-# Diagrams of 50 customers around a hub, of five kinds in turn: architecture, states, boxes, tables with a column each, classes with a member each.
+# Diagrams of 50 customers around a hub, of five kinds in turn: architecture, states, boxes, tables with a column each, classes with a member each, that of the hub in its own label.
 MEMBERS = """
 select g, cast(g % 5 as int) as kind, c_custkey,
   case g % 5 when 0 then c_name || ' Controller' when 1 then 'WAIT ' || cast(c_custkey as string) when 2 then 'Box ' || cast(c_custkey as string) when 3 then 'Table ' || cast(c_custkey as string) else 'Item' || cast(c_custkey as string) end as label,
-  case g % 5 when 0 then 'Hub ' || cast(g as string) || ' Service' when 1 then 'APPROVED ' || cast(g as string) when 2 then 'Root ' || cast(g as string) when 3 then 'Hub ' || cast(g as string) else 'Base' || cast(g as string) end as hub,
+  case g % 5 when 0 then 'Hub ' || cast(g as string) || ' Service' when 1 then 'APPROVED ' || cast(g as string) when 2 then 'Root ' || cast(g as string) when 3 then 'Hub ' || cast(g as string) else 'Base' || cast(g as string) || '  +id: Long' end as hub,
   case g % 5 when 3 then 'c' || cast(c_custkey as string) || ' pk' when 4 then 'String name' || cast(c_custkey as string) end as child
 from (select cast(floor(c_custkey / 50) as bigint) as g, c_custkey, c_name from customer) c"""
 
 DIAGRAM_CELLS = f"""
 with m as ({MEMBERS})
-select g, cast(0 as bigint) as ord, '<mxCell id="n" value="' || hub || '" vertex="1" parent="1"/>' as xml from m where c_custkey % 50 = 0
+select g, cast(0 as bigint) as ord, '<mxCell id="n" value="' || hub || '" vertex="1" parent="1"' || case when kind = 4 then ' style="swimlane;"' else '' end || '/>' as xml from m where c_custkey % 50 = 0
 union all
 select g, 4 * c_custkey + 1, '<mxCell id="c' || cast(c_custkey as string) || '" value="' || label || '" vertex="1" parent="1" style="rounded=1;"/>' from m
 union all

@@ -494,7 +494,7 @@ def _graph(spark, sf_dir):
 # Members, hubs, and what the operators make of them: nodes, edges and labels in the order of the cells.
 _D6 = f"""m as ({fx.MEMBERS}), h as (select g, any_value(kind) as kind, any_value(hub) as hub from m group by g),
 t as (select g::varchar as diagram_id, g, kind, hub, case kind when 0 then 'ARCHITECTURE_DIAGRAM' when 1 then 'STATE_DIAGRAM' when 2 then 'GENERIC_DIAGRAM' when 3 then 'ER_DIAGRAM' else 'CLASS_DIAGRAM' end as type from h),
-n as (select g, -1 as o, hub as label, case kind when 0 then 'supporting-service' when 1 then 'state' when 3 then 'table' when 4 then 'class' end as type, null as child from h
+n as (select g, -1 as o, hub as label, case kind when 0 then 'supporting-service' when 1 then 'state' when 2 then null when 3 then 'table' else 'class' end as type, case when kind = 4 then '+id: Long' end as child from h
   union all select g, c_custkey, label, case kind when 0 then 'controller-layer' when 1 then 'state' when 2 then 'rounded=1' when 3 then 'table' else 'class' end, child from m),
 e as (select g, c_custkey as o, label as source, hub as target, case kind when 1 then 'approve' when 3 then 'references' when 4 then case when c_custkey % 2 = 1 then 'implements' else 'extends' end end as label,
   case kind when 3 then 'reference' when 4 then case when c_custkey % 2 = 1 then 'implements' else 'extends' end end as relation from m),
@@ -584,6 +584,22 @@ def analyze_diagrams(spark, sf_dir):
     return diagrams.analyze_diagrams(diagrams.diagram_files(drawn.unionAll(other))).select("diagram_id", "type", "valid", "summary", "node_count", "edge_count")
 
 
+_PAGED = f"""{_D6}, f as (select *, g // 2 as f, kind = 1 as is_state from u),
+c as (select f, case f % 3 when 0 then coalesce(min(case when is_state then g end), min(g)) when 1 then max(g) else min(g) end as g, min(g) as g0 from f group by f)"""
+
+
+@query(f"with {_PAGED} select 'dir/' || case c.f % 3 when 0 then 'state' when 1 then 'plan' else 'q' end || c.f || '.drawio' as diagram_id, (c.g - g0)::int as page_ix, case when c.g = g0 then 'First' else 'Plan' end as diagram_name, type, summary, len(names) as node_count, len(arrows) as edge_count, len(labels) as label_count from c join u on u.g = c.g")
+def diagram_pages(spark, sf_dir):
+    """Files of two pages with the same cell ids; the file's name tells the page by type or by the page's name, or fits none."""
+    name = F.when(F.col("f") % 3 == 0, "state").when(F.col("f") % 3 == 1, "plan").otherwise("q")
+    pages = _files(spark, sf_dir).selectExpr("*", "cast(diagram_id as bigint) div 2 as f", "cast(diagram_id as bigint) % 2 as k")
+    body = F.concat(F.when(F.col("k") == 0, '<diagram id="a" name="First">').otherwise('<diagram name=" Plan ">'), "xml", F.lit("</diagram>"))
+    held = assemble(pages.withColumn("body", body), ["f"], ["k"], "body", "", "xml")
+    content = F.encode(F.concat(F.lit('<mxfile><mxCell id="n" value="none of theirs"/>'), "xml", F.lit("</mxfile>")), "UTF-8")
+    found = diagrams.diagram_files(held.select(F.concat(F.lit("dir/"), name, F.col("f").cast("string"), F.lit(".drawio")).alias("relative_path"), content.alias("content")))
+    return diagrams.analyze_diagrams(found).select("diagram_id", "page_ix", "diagram_name", "type", "summary", "node_count", "edge_count", "label_count")
+
+
 # ---------------------------------------------------------------- streams
 
 
