@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import decode_entities, escape_cell, no_blank, placeholder, span, src_name, strip
+from leafmill.functions.text import decode_entities, escape_cell, no_blank, placeholder, safe_name, span, src_name, strip
 from leafmill.operators.common import cut, distinct_ordered
 
 VOID = ("br", "hr", "img", "meta", "link", "input")
@@ -15,10 +15,15 @@ _TOKEN = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[^>]+>|[^<]+"
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
+def _written(attrs: Column, name: str) -> Column:
+    """The value of an attribute as it is written, null where it is missing."""
+    found = F.regexp_extract(attrs, rf"""(?s)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.when(found != "", F.substring(found, F.lit(2), F.length(found) - 2))
+
+
 def attribute(attrs: Column, name: str) -> Column:
     """The value of an attribute in a tag's text, null where it is missing."""
-    found = F.regexp_extract(attrs, rf"""(?s)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*')""", 1)
-    return F.when(found != "", decode_entities(F.substring(found, F.lit(2), F.length(found) - 2)))
+    return decode_entities(_written(attrs, name))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -55,67 +60,118 @@ def blocks(toks: DataFrame) -> DataFrame:
     return out.withColumn("top", F.first("tag").over(Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _mark() -> Column:
-    """What an inline token becomes in Markdown."""
-    both = F.col("kind").isin("open", "close")
-    href = attribute(F.col("attrs"), "href")
-    return (
-        F.when(F.col("kind").isin("text", "cdata"), F.col("text"))
-        .when((F.col("tag") == "br"), F.lit("\n"))
-        .when(both & F.col("tag").isin("strong", "b"), F.lit("**"))
-        .when(both & F.col("tag").isin("em", "i"), F.lit("*"))
-        .when(both & (F.col("tag") == "code"), F.lit("`"))
-        .when((F.col("tag") == "a") & (F.col("kind") == "open"), F.lit("["))
-        .when((F.col("tag") == "a") & (F.col("kind") == "close"), F.concat(F.lit("]("), F.coalesce("href", F.lit("")), F.lit(")")))
-        .when((F.col("tag") == "img"), placeholder("image", src_name(attribute(F.col("attrs"), "src"))))
-        .when((F.col("tag") == "ri:attachment") & (F.col("kind") != "close"), placeholder("image", attribute(F.col("attrs"), "ri:filename")))
-        .when((F.col("tag") == "ri:page") & (F.col("kind") != "close"), F.concat(F.lit("["), attribute(F.col("attrs"), "ri:content-title"), F.lit("]()")))
-        .when((F.col("tag") == "hr") & href.isNull(), F.lit(""))
+def _within(items: DataFrame, openers: DataFrame, name: str) -> DataFrame:
+    """items(page_id, lvl, ix, ...) with `name`: the last of openers(page_id, lvl, ix, o) of their page and level that comes before them.
+
+    Elements of one depth never overlap, so the last opening of a depth before a token is the element that holds it.
+    """
+    cols = [c for c in items.columns if c not in ("page_id", "lvl", "ix")]
+    kind = openers.schema["o"].dataType
+    rows = items.select("page_id", "lvl", "ix", F.struct(F.lit(True).alias("_is"), *cols).alias("it"), F.lit(None).cast(kind).alias("o"))
+    both = rows.unionByName(openers.select("page_id", "lvl", "ix", "o"), allowMissingColumns=True)
+    before = Window.partitionBy("page_id", "lvl").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("o", F.last("o", ignorenulls=True).over(before)).where("it is not null").select("page_id", "lvl", "ix", *[F.col("it")[c].alias(c) for c in cols], F.col("o").alias(name))
+
+
+def nodes(toks: DataFrame) -> DataFrame:
+    """(page_id, ix, parent, level, kind, tag, attrs, text): elements (at their opening), void elements and texts, each with the ix of the element
+    that holds it, null at the top, and its level, 1 at the top."""
+    level = F.when(F.col("kind").isin("text", "cdata"), F.col("depth") + 1).otherwise(F.col("depth"))
+    rows = toks.where("kind <> 'close'").withColumn("lvl", level - 1).drop("depth")
+    opens = toks.where("kind = 'open'").select("page_id", F.col("depth").alias("lvl"), "ix", F.col("ix").alias("o"))
+    return _within(rows, opens, "parent").select("page_id", "ix", "parent", (F.col("lvl") + 1).alias("level"), "kind", "tag", "attrs", "text")
+
+
+def _spaced() -> Column:
+    """What a token adds to an element's text: texts as they are, a blank where a block begins or ends or a line breaks."""
+    return F.when(F.col("kind").isin("text", "cdata"), F.col("text")).when(F.col("tag").isin(*_BLOCKS), F.lit(" ")).otherwise(F.lit(""))
+
+
+def _squeezed(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r"\s+", " "))
+
+
+# Elements that part words in an element's text.
+_BLOCKS = "br hr p div ul ol li table caption thead tbody tfoot tr td th pre blockquote section article h1 h2 h3 h4 h5 h6".split()
+
+
+def _argument() -> Column:
+    """The one attribute that counts in rendering an element, as it is written."""
+    own = {"a": "href", "ri:page": "ri:content-title", "ac:structured-macro": "ac:name"}
+    found = F.when(F.col("tag") == "ri:attachment", F.coalesce(no_blank(_written(F.col("attrs"), "ri:filename")), _written(F.col("attrs"), "filename")))
+    for tag, name in own.items():
+        found = found.when(F.col("tag") == tag, _written(F.col("attrs"), name))
+    return found
+
+
+def _level(here: DataFrame) -> DataFrame:
+    """Elements and texts of one level with their children's values put in: v, the Markdown of the whole, t, its text, and the first page title,
+    file name and literal body in it."""
+    kids = F.coalesce(F.col("kids"), F.array().cast(_KIDS))
+    joined = lambda name: F.array_join(F.transform(kids, lambda k: k[name]), "")
+    first = lambda name: F.get(F.filter(F.transform(kids, lambda k: k[name]), lambda x: x.isNotNull()), 0)
+    tag, arg, is_text = F.col("tag"), F.col("arg"), F.col("kind").isin("text", "cdata")
+    inner, bare = joined("v"), strip(joined("v"))
+    title = F.when(tag == "ri:page", F.coalesce(arg, F.lit(""))).otherwise(first("page"))
+    file = F.when(tag == "ri:attachment", F.coalesce(arg, F.lit(""))).otherwise(first("file"))
+    text = F.when(is_text, F.col("text")).when(tag.isin(*_BLOCKS), F.concat(F.lit(" "), joined("t"), F.lit(" "))).otherwise(joined("t"))
+    value = (
+        F.when(is_text, F.col("text"))
+        .when(F.col("swap").isNotNull(), F.col("swap"))
+        .when(tag == "br", F.lit("\n"))
+        .when(tag.isin("strong", "b"), F.concat(F.lit("**"), bare, F.lit("**")))
+        .when(tag.isin("em", "i"), F.concat(F.lit("*"), bare, F.lit("*")))
+        .when(tag == "code", F.concat(F.lit("`"), _squeezed(joined("t")), F.lit("`")))
+        .when(tag == "a", F.when(no_blank(arg).isNull(), bare).otherwise(F.concat(F.lit("["), F.coalesce(no_blank(bare), arg), F.lit("]("), arg, F.lit(")"))))
+        .when(tag == "ac:link", F.coalesce(no_blank(bare), title, F.lit("")))
+        .when(tag == "ac:image", placeholder("image", safe_name(F.coalesce(no_blank(file), F.lit("image")))))
+        .otherwise(inner)
     )
+    body = F.when(tag.isin("ac:plain-text-body", "plain-text-body"), joined("t")).otherwise(first("body"))
+    return here.select("page_id", "parent", "ix", "tag", "arg", "kind", kids.alias("kids"), value.alias("v"), text.alias("t"), title.alias("page"), file.alias("file"), body.alias("body"))
 
 
-def _tidy(text: Column) -> Column:
-    """What stands between two marks of strong or code text is stripped."""
-    return F.regexp_replace(F.regexp_replace(text, r"\*\*\s*([^*]+?)\s*\*\*", "**$1**"), r"`\s*([^`]+?)\s*`", "`$1`")
+_KIDS = "array<struct<ix: int, tag: string, v: string, t: string, page: string, file: string, body: string>>"
 
 
 def render_blocks(toks: DataFrame) -> DataFrame:
-    """(page_id, block, tag, text) for each top-level element that isn't empty: headings, paragraphs, lists, code, quotes, rules,
-    tables (as pipe tables, or placeholders for complex ones) and images; any other element gives its inline content."""
-    w = Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    href = F.when((F.col("tag") == "a") & (F.col("kind") == "open"), F.coalesce(attribute(F.col("attrs"), "href"), F.lit("")))
-    item = F.sum(((F.col("tag") == "li") & (F.col("kind") == "open") & (F.col("depth") == 2)).cast("int")).over(w)
-    held = cut(blocks(toks))  # written once, since blocks and tables both read it
-    inside = held.withColumn("href", F.last(href, ignorenulls=True).over(w)).withColumn("item", item)
-    # Tokens are joined by items, then items by blocks; both stay in the partition of their page.
-    inline = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", F.coalesce(_mark(), F.lit("")).alias("m")))), lambda x: x["m"]), "")
-    parts = inside.groupBy("page_id", "block", "top", "item").agg(inline.alias("m"))
-    whole = parts.groupBy("page_id", "block", "top").agg(F.array_sort(F.collect_list(F.struct("item", "m"))).alias("parts"))
-
-    def line(part: Column) -> Column:
-        mark = F.when(F.col("top") == "ol", F.concat(part["item"].cast("string"), F.lit(". "))).otherwise("- ")
-        return F.concat(mark, strip(F.regexp_replace(_tidy(part["m"]), r"\s+", " ")))
-
-    lines = F.array_join(F.transform(F.filter("parts", lambda x: x["item"] > 0), line), "\n")
-    plain = whole.select("page_id", "block", "top", _tidy(F.array_join(F.transform("parts", lambda x: x["m"]), "")).alias("text"), F.when(F.col("top").isin("ul", "ol"), lines).alias("list"))
-    cells = cut(_cells(held))
-    hard = complex_tables(cells).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("block")))
-    hard = hard.select("page_id", "block", placeholder("table", F.concat(F.lit("table-"), F.col("n").cast("string"))).alias("table"))
-    tables = hard.unionAll(pipe_tables(cells).select("page_id", "block", "pipe"))
-    out = plain.join(tables, ["page_id", "block"], "left")
-    body, level = strip(F.col("text")), F.substring("top", 2, 1).cast("int")
+    """(page_id, block, tag, text) for each top-level element that isn't empty: headings, paragraphs, lists, code, quotes, rules, tables (as pipe
+    tables), images and code macros; any other element gives its inline content. Complex tables give their placeholder at any depth.
+
+    Elements are assembled from the innermost level outwards, one aggregate a level, so that what an element holds is known when its marks are
+    put around it. A page's elements stay in its partition.
+    """
+    held = cut(toks.repartition("page_id"))  # written once, since nodes and tables both read it
+    cells = cut(table_cells(held))
+    hard = _numbered(complex_tables(cells)).select("page_id", F.col("table_ix").alias("ix"), placeholder("table", F.col("table_id")).alias("swap"))
+    every = cut(nodes(held).withColumn("arg", decode_entities(_argument())).join(hard, ["page_id", "ix"], "left"))
+    deepest = every.agg(F.max("level")).first()[0] or 0
+    none = F.lit(None).cast(_KIDS).alias("kids")
+    level = _level(every.where(F.col("level") == deepest).withColumn("kids", none))
+    for depth in range(deepest - 1, 0, -1):
+        kids = level.groupBy("page_id", F.col("parent").alias("ix")).agg(F.array_sort(F.collect_list(F.struct("ix", "tag", "v", "t", "page", "file", "body"))).alias("kids"))
+        level = _level(every.where(F.col("level") == depth).join(kids, ["page_id", "ix"], "left"))
+        if depth % 6 == 0:  # plans of deep markup stay short
+            level = cut(level)
+    pipes = pipe_tables(cells).select("page_id", F.col("table_ix").alias("ix"), "pipe")
+    top = level.where("kind in ('open', 'void')").join(pipes, ["page_id", "ix"], "left")
+    inner, plain = strip(F.array_join(F.transform("kids", lambda k: k["v"]), "")), F.array_join(F.transform("kids", lambda k: k["t"]), "")
+    items = F.transform(F.filter("kids", lambda k: k["tag"] == "li"), lambda k: strip(k["v"]))
+    lines = F.transform(items, lambda x, i: F.concat(F.when(F.col("tag") == "ol", F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), x))
+    fenced = lambda text: F.concat(F.lit("```\n"), text, F.lit("\n```"))
+    is_code = (F.col("tag") == "ac:structured-macro") & (F.lower("arg") == "code")
     text = (
-        F.when(F.col("top").isin(*_HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), body))
-        .when(F.col("top").isin("ul", "ol"), F.col("list"))
-        .when(F.col("top") == "table", F.col("table"))
-        .when(F.col("top") == "pre", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
-        .when(F.col("top") == "blockquote", F.concat(F.lit("> "), F.regexp_replace(body, r"\n", "\n> ")))
-        .when(F.col("top") == "hr", F.lit("---"))
-        .when((F.col("top") == "ac:structured-macro"), F.concat(F.lit("```\n"), body, F.lit("\n```")))
-        .otherwise(body)
+        F.when(F.col("tag").isin(*_HEADINGS), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), inner))
+        .when(F.col("tag").isin("ul", "ol"), strip(F.array_join(lines, "\n")))
+        .when((F.col("tag") == "table") & F.col("pipe").isNotNull(), F.col("pipe"))
+        .when(F.col("tag") == "pre", fenced(strip(plain)))
+        .when(F.col("tag") == "blockquote", F.concat(F.lit("> "), F.regexp_replace(inner, r"\n", "\n> ")))
+        .when(F.col("tag") == "hr", F.lit("---"))
+        .when(is_code, fenced(strip(F.coalesce("body", plain))))
+        .when(F.col("tag").isin("table", "ac:image"), F.col("v"))
+        .otherwise(inner)
     )
-    bare = F.when(F.col("top").isin(*_HEADINGS), body).otherwise(text)
-    return out.where(no_blank(bare).isNotNull()).select("page_id", "block", F.col("top").alias("tag"), text.alias("text"))
+    return top.select("page_id", F.col("ix").alias("block"), "tag", text.alias("text")).where(F.col("text").rlike(r"\S") & ~((F.col("tag") == "blockquote") & (inner == "")))
 
 
 def markdown(pages: DataFrame) -> DataFrame:
@@ -128,33 +184,45 @@ def markdown(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tables
 
 
+def _levels(toks: DataFrame) -> DataFrame:
+    """toks with the numbers of tables, rows and cells that are open at each token."""
+    so_far = Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    step = lambda tags: F.sum(F.when(F.col("tag").isin(*tags), F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)).over(so_far).cast("int")
+    return toks.withColumns({"tables": step(["table"]), "rows": step(["tr"]), "cells": step(["td", "th"])})
+
+
+def _each(df: DataFrame, levels: Column) -> DataFrame:
+    """A row of df for each level 1 ... levels; none where there is none."""
+    return df.withColumn("lvl", F.explode(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))))).where(F.col("lvl") <= levels)
+
+
 def table_cells(toks: DataFrame) -> DataFrame:
-    """(page_id, block, row_ix, col_ix, text, colspan, rowspan, header, nested) of top-level tables, a row per cell."""
-    return _cells(blocks(toks))
-
-
-def _cells(inside: DataFrame) -> DataFrame:
-    w = Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.where("top = 'table'")
-    step = lambda tags, kind: F.sum((F.col("tag").isin(*tags) & (F.col("kind") == kind)).cast("int")).over(w)
-    rows = inside.withColumn("tables", step(["table"], "open") - step(["table"], "close")).withColumn("row_n", F.sum(((F.col("tag") == "tr") & (F.col("kind") == "open") & (F.col("tables") == 1)).cast("int")).over(w))
-    opens = F.col("tag").isin("td", "th") & (F.col("kind") == "open") & (F.col("tables") == 1)
-    rows = rows.withColumn("cell_n", F.sum(opens.cast("int")).over(w)).where("cell_n > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ix", "text")))), lambda x: x["text"]), " ")
-    cell = rows.groupBy("page_id", "block", "cell_n").agg(
-        F.min("row_n").alias("row_n"),
-        strip(F.regexp_replace(text, r"\s+", " ")).alias("text"),
-        F.min_by(F.struct("tag", "attrs"), F.when(opens, F.col("ix"))).alias("o"),
-        F.max((F.col("tables") > 1)).alias("nested"),
-    )
-    w2 = Window.partitionBy("page_id", "block", "row_n").orderBy("cell_n")
-    return cell.select("page_id", "block", (F.col("row_n") - 1).cast("int").alias("row_ix"), (F.row_number().over(w2) - 1).alias("col_ix"), "text", span(attribute(F.col("o.attrs"), "colspan")).alias("colspan"), span(attribute(F.col("o.attrs"), "rowspan")).alias("rowspan"), (F.col("o.tag") == "th").alias("header"), "nested")
+    """(page_id, table_ix, row_ix, col_ix, text, colspan, rowspan, header, nested) of tables at any depth, a row a cell; table_ix is the place of the
+    table's opening.
+
+    A table inside a cell is a table of its own, and its rows and cells belong to the tables and rows around it too. nested: the table holds
+    another one. Rows are numbered among those that have cells.
+    """
+    held = cut(_levels(toks).where("tables > 0"))  # read five times, and little of most pages
+    opens = lambda tags, level, *more: held.where(F.col("tag").isin(*tags) & (F.col("kind") == "open")).select("page_id", F.col(level).alias("lvl"), "ix", F.struct("ix", *more).alias("o"))
+    tables, rows, cells = opens(["table"], "tables"), opens(["tr"], "rows", "tables"), opens(["td", "th"], "cells")
+    # A cell's text is that of all tokens inside it.
+    inside = _within(_each(held.where((F.col("cells") > 0) & (_spaced() != "")).select("page_id", "ix", _spaced().alias("s"), "cells"), F.col("cells")), cells, "cell")
+    texts = inside.where("cell is not null").groupBy("page_id", F.col("cell.ix").alias("ix")).agg(_squeezed(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ix").alias("at"), "s"))), lambda x: x["s"]), "")).alias("text"))
+    found = held.where(F.col("tag").isin("td", "th") & (F.col("kind") == "open")).select("page_id", "ix", "tag", "attrs", "rows")
+    found = _within(_each(found, F.col("rows")), rows, "row").drop("lvl").where("row is not null")
+    found = _within(_each(found, F.col("row.tables")), tables, "table").drop("lvl").where("table is not null")
+    inner = held.where("tag = 'table' and kind = 'open' and tables > 1").select("page_id", "ix", "tables")
+    inner = _within(_each(inner, F.col("tables") - 1), tables, "table").select("page_id", F.col("table.ix").alias("table_ix")).distinct().withColumn("nested", F.lit(True))
+    out = found.join(texts, ["page_id", "ix"], "left").withColumn("table_ix", F.col("table.ix")).join(inner, ["page_id", "table_ix"], "left")
+    row_no, col_no = Window.partitionBy("page_id", "table_ix").orderBy("row.ix"), Window.partitionBy("page_id", "table_ix", "row.ix").orderBy("ix")
+    return out.select("page_id", "table_ix", (F.dense_rank().over(row_no) - 1).alias("row_ix"), (F.row_number().over(col_no) - 1).alias("col_ix"), F.coalesce("text", F.lit("")).alias("text"), span(attribute(F.col("attrs"), "colspan")).alias("colspan"), span(attribute(F.col("attrs"), "rowspan")).alias("rowspan"), (F.col("tag") == "th").alias("header"), F.coalesce("nested", F.lit(False)).alias("nested"))
 
 
 def table_shapes(cells: DataFrame) -> DataFrame:
     """Per table: rows, columns (most of a row, spans counted), ragged (rows of different numbers of columns), spanned and nested flags."""
-    per = cells.groupBy("page_id", "block", "row_ix").agg(F.sum("colspan").cast("int").alias("wide"), F.bool_or((F.col("colspan") > 1) | (F.col("rowspan") > 1)).alias("spanned"), F.bool_or("nested").alias("nested"))
-    return per.groupBy("page_id", "block").agg(F.count("*").cast("int").alias("row_count"), F.max("wide").alias("column_count"), (F.countDistinct("wide") > 1).alias("ragged"), F.bool_or("spanned").alias("spanned"), F.bool_or("nested").alias("nested"))
+    per = cells.groupBy("page_id", "table_ix", "row_ix").agg(F.sum("colspan").cast("int").alias("wide"), F.bool_or((F.col("colspan") > 1) | (F.col("rowspan") > 1)).alias("spanned"), F.bool_or("nested").alias("nested"))
+    return per.groupBy("page_id", "table_ix").agg(F.count("*").cast("int").alias("row_count"), F.max("wide").alias("column_count"), (F.countDistinct("wide") > 1).alias("ragged"), F.bool_or("spanned").alias("spanned"), F.bool_or("nested").alias("nested"))
 
 
 def complex_tables(cells: DataFrame) -> DataFrame:
@@ -162,34 +230,40 @@ def complex_tables(cells: DataFrame) -> DataFrame:
     return table_shapes(cells).where("nested or ragged or spanned")
 
 
+def _numbered(hard: DataFrame) -> DataFrame:
+    """Complex tables with table_id, by their openings' order in the page."""
+    return hard.withColumn("table_id", F.concat(F.lit("table-"), F.row_number().over(Window.partitionBy("page_id").orderBy("table_ix")).cast("string")))
+
+
 def pipe_tables(cells: DataFrame) -> DataFrame:
-    """(page_id, block, pipe): Markdown of the tables that aren't complex; the first row is the header."""
-    simple = cells.join(complex_tables(cells).select("page_id", "block"), ["page_id", "block"], "left_anti")
-    rows = simple.groupBy("page_id", "block", "row_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_ix", escape_cell(F.col("text")).alias("t")))), lambda x: x["t"]).alias("c"))
+    """(page_id, table_ix, pipe): Markdown of the tables that aren't complex; the first row is the header."""
+    simple = cells.join(complex_tables(cells).select("page_id", "table_ix"), ["page_id", "table_ix"], "left_anti")
+    rows = simple.groupBy("page_id", "table_ix", "row_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_ix", escape_cell(F.col("text")).alias("t")))), lambda x: x["t"]).alias("c"))
     line = F.concat(F.lit("| "), F.array_join("c", " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda x: F.lit("---")), " | "), F.lit(" |"))
-    w = Window.partitionBy("page_id", "block").orderBy("row_ix")
-    lines = rows.withColumn("first", F.row_number().over(w) == 1).withColumn("l", F.when(F.col("first"), F.concat(line, F.lit("\n"), rule)).otherwise(line))
-    return lines.groupBy("page_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "l"))), lambda x: x["l"]), "\n").alias("pipe"))
+    lines = rows.withColumn("l", F.when(F.col("row_ix") == 0, F.concat(line, F.lit("\n"), rule)).otherwise(line))
+    return lines.groupBy("page_id", "table_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "l"))), lambda x: x["l"]), "\n").alias("pipe"))
 
 
 def extract_tables(toks: DataFrame) -> DataFrame:
-    """(page_id, table_id, row_count, column_count, caption, rows) of complex tables, numbered in page order."""
-    cells = table_cells(toks)
+    """(page_id, table_id, row_count, column_count, caption, rows) of complex tables at any depth, numbered by their openings in page order."""
+    toks = cut(toks)
+    cells = cut(table_cells(toks))
     hard = complex_tables(cells)
-    per_row = cells.groupBy("page_id", "block", "row_ix").agg(F.array_sort(F.collect_list(F.struct("col_ix", "text", "colspan", "rowspan", "header"))).alias("cells"))
-    rows = per_row.groupBy("page_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "cells"))), lambda r: r["cells"]).alias("rows"))
-    out = hard.join(rows, ["page_id", "block"]).join(captions(toks), ["page_id", "block"], "left")
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("block"))
-    return out.select("page_id", F.concat(F.lit("table-"), n.cast("string")).alias("table_id"), "row_count", "column_count", "caption", "rows")
+    per_row = cells.groupBy("page_id", "table_ix", "row_ix").agg(F.array_sort(F.collect_list(F.struct("col_ix", "text", "colspan", "rowspan", "header"))).alias("cells"))
+    rows = per_row.groupBy("page_id", "table_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "cells"))), lambda r: r["cells"]).alias("rows"))
+    out = _numbered(hard).join(rows, ["page_id", "table_ix"]).join(captions(toks), ["page_id", "table_ix"], "left")
+    return out.select("page_id", "table_id", "row_count", "column_count", "caption", "rows")
 
 
 def captions(toks: DataFrame) -> DataFrame:
-    """(page_id, block, caption) of tables, null where it is blank."""
-    w = Window.partitionBy("page_id", "block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    inside = blocks(toks).withColumn("in", F.sum(F.when(F.col("tag") == "caption", F.when(F.col("kind") == "open", 1).otherwise(-1)).otherwise(0)).over(w))
-    held = inside.where((F.col("in") > 0) & F.col("text").isNotNull())
-    return held.groupBy("page_id", "block").agg(no_blank(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "text"))), lambda x: x["text"]), " "))).alias("caption"))
+    """(page_id, table_ix, caption) of tables: the first caption inside each, null where it is blank."""
+    held = _levels(toks)
+    tables = held.where("tag = 'table' and kind = 'open'").select("page_id", F.col("tables").alias("lvl"), "ix", F.struct("ix").alias("o"))
+    marks = held.withColumn("in", F.sum(F.when(F.col("tag") == "caption", F.when(F.col("kind") == "open", 1).otherwise(-1)).otherwise(0)).over(Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))
+    marks = marks.withColumn("at", F.last(F.when((F.col("tag") == "caption") & (F.col("kind") == "open"), F.col("ix")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)))
+    texts = marks.where(F.col("in") > 0).groupBy("page_id", F.col("at").alias("ix")).agg(no_blank(_squeezed(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", _spaced().alias("s")))), lambda x: x["s"]), ""))).alias("caption"), F.min_by("tables", "ix").alias("tables"))
+    return _within(_each(texts, F.col("tables")), tables, "table").groupBy("page_id", F.col("table.ix").alias("table_ix")).agg(F.min_by("caption", "ix").alias("caption"))
 
 
 # ---------------------------------------------------------------- references

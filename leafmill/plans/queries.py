@@ -339,14 +339,17 @@ def heading_tokens(spark, sf_dir):
 
 _STORED = """select doc_id as page_id, source as title, '<h2>' || lang || '</h2><p>One <strong> bold </strong> and <a href="http://x/' || doc_id || '">link</a></p><ol><li>' || source || '</li><li>b</li></ol><ul><li>u&#8211;1</li><li><em>u2</em></li></ul>'
   || '<blockquote>q1<br/>q2</blockquote><table><tr><th>' || lang || '</th><th>h</th></tr><tr><td>a|b</td><td>' || source || '</td></tr></table><table><tr><td colspan="2">w</td></tr><tr><td>1</td><td>2</td></tr></table>'
+  || '<div>in <table><tr><td colspan="2">' || lang || '</td></tr></table></div><ac:structured-macro ac:name="code"><ac:parameter ac:name="language">java</ac:parameter><ac:plain-text-body><![CDATA[int ' || lang || ';]]></ac:plain-text-body></ac:structured-macro>'
+  || '<ac:structured-macro ac:name="info"><ac:rich-text-body><p>Note <em> ' || source || ' </em></p></ac:rich-text-body></ac:structured-macro><p><ac:link><ri:page ri:content-title="' || source || '"/></ac:link> <a>bare</a><a href="http://y"></a></p>'
   || '<p><ac:image><ri:attachment ri:filename="f' || doc_id || '.png"/></ac:image></p><p><img src="http://i/g' || doc_id || '.jpg"/></p><pre>x &lt; y</pre><hr/><p>'
-  || replace(replace(replace(replace(text, '<', ' '), '&', ' '), '*', ' '), '`', ' ') || '</p>' as html, text, lang, source, doc_id from documents"""
+  || replace(replace(text, '<', ' '), '&', ' ') || '</p>' as html, text, lang, source, doc_id from documents"""
 
 
-@query(f"""with s as ({_STORED}), b as (select *, regexp_replace(replace(replace(replace(replace(text, '<', ' '), '&', ' '), '*', ' '), '`', ' '), '^\\s+|\\s+$', '', 'g') as body from s)
+@query(f"""with s as ({_STORED}), b as (select *, regexp_replace(replace(replace(text, '<', ' '), '&', ' '), '^\\s+|\\s+$', '', 'g') as body from s)
   select page_id, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || 'One **bold** and [link](http://x/' || doc_id || ')' || chr(10) || chr(10) || '1. ' || source || chr(10) || '2. b' || chr(10) || chr(10)
   || '- u–1' || chr(10) || '- *u2*' || chr(10) || chr(10) || '> q1' || chr(10) || '> q2' || chr(10) || chr(10) || '| ' || lang || ' | h |' || chr(10) || '| --- | --- |' || chr(10) || '| a\\|b | ' || source || ' |' || chr(10) || chr(10) || '[TABLE:table-1](assets/tables/table-1.json)'
-  || chr(10) || chr(10) || '![f' || doc_id || '.png](assets/f' || doc_id || '.png)' || chr(10) || chr(10) || '![g' || doc_id || '.jpg](assets/g' || doc_id || '.jpg)' || chr(10) || chr(10) || '```' || chr(10) || 'x < y' || chr(10) || '```' || chr(10) || chr(10) || '---' || case when body = '' then '' else chr(10) || chr(10) || body end as md from b""")
+  || chr(10) || chr(10) || 'in [TABLE:table-2](assets/tables/table-2.json)' || chr(10) || chr(10) || '```' || chr(10) || 'int ' || lang || ';' || chr(10) || '```' || chr(10) || chr(10) || 'Note *' || source || '*' || chr(10) || chr(10) || source || ' bare[http://y](http://y)'
+  || chr(10) || chr(10) || '![f' || doc_id || '.png](assets/f' || doc_id || '.png)' || chr(10) || chr(10) || '```' || chr(10) || 'x < y' || chr(10) || '```' || chr(10) || chr(10) || '---' || case when body = '' then '' else chr(10) || chr(10) || body end as md from b""")
 def storage_markdown(spark, sf_dir):
     """The whole Markdown of stored pages that hold each document's text beside every kind of block."""
     return markup.markdown(derived(spark, sf_dir, _STORED)).select("page_id", "md")
@@ -360,7 +363,7 @@ def image_refs(spark, sf_dir):
 
 def _table_pages(spark, sf_dir) -> DataFrame:
     rows = derived(spark, sf_dir, fx.TABLE_ROWS).withColumnRenamed("table_id", "page_id")
-    return assemble(rows, ["page_id"], ["row_ix"], "tr", "", "rows").select("page_id", F.concat(F.lit("<table><caption> Parts </caption><tbody>"), "rows", F.lit("</tbody></table>")).alias("html"))
+    return assemble(rows, ["page_id"], ["row_ix"], "tr", "", "rows").select("page_id", F.concat(F.lit("<ac:layout><ac:layout-cell><table><caption> Parts </caption><tbody>"), "rows", F.lit("</tbody></table></ac:layout-cell></ac:layout>")).alias("html"))
 
 
 _D4 = f"t as (select *, table_id % 3 = 0 and row_ix = 2 as is_span, table_id % 3 = 1 and row_ix = 3 as is_long, row_ix as r from ({fx.TABLE_ROWS}))"
@@ -374,7 +377,7 @@ def table_cells(spark, sf_dir):
 
 @query(f"with {_D4} select table_id as page_id, count(*)::int as row_count, case when bool_or(is_long) then 3 else 2 end as column_count, bool_or(is_long) as ragged, bool_or(is_span) as spanned, false as nested from t group by table_id")
 def table_shapes(spark, sf_dir):
-    return markup.table_shapes(markup.table_cells(markup.tokens(_table_pages(spark, sf_dir)))).drop("block")
+    return markup.table_shapes(markup.table_cells(markup.tokens(_table_pages(spark, sf_dir)))).drop("table_ix")
 
 
 @query(f"""with {_D4}, s as (select * from t where table_id not in ({_HARD})) select table_id as page_id, string_agg('| ' || p_name || ' | ' || p_brand || ' \\| x |' || case when r = 0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by r) as pipe from s group by table_id""")
@@ -588,10 +591,10 @@ _PAGED = f"""{_D6}, f as (select *, g // 2 as f, kind = 1 as is_state from u),
 c as (select f, case f % 3 when 0 then coalesce(min(case when is_state then g end), min(g)) when 1 then max(g) else min(g) end as g, min(g) as g0 from f group by f)"""
 
 
-@query(f"with {_PAGED} select 'dir/' || case c.f % 3 when 0 then 'state' when 1 then 'plan' else 'q' end || c.f || '.drawio' as diagram_id, (c.g - g0)::int as page_ix, case when c.g = g0 then 'First' else 'Plan' end as diagram_name, type, summary, len(names) as node_count, len(arrows) as edge_count, len(labels) as label_count from c join u on u.g = c.g")
+@query(f"with {_PAGED} select 'dir/' || case c.f % 3 when 0 then 'state' when 1 then 'plan-' else 'q' end || c.f || '.drawio' as diagram_id, (c.g - g0)::int as page_ix, case when c.g = g0 then 'First' else 'Plan' end as diagram_name, type, summary, len(names) as node_count, len(arrows) as edge_count, len(labels) as label_count from c join u on u.g = c.g")
 def diagram_pages(spark, sf_dir):
     """Files of two pages with the same cell ids; the file's name tells the page by type or by the page's name, or fits none."""
-    name = F.when(F.col("f") % 3 == 0, "state").when(F.col("f") % 3 == 1, "plan").otherwise("q")
+    name = F.when(F.col("f") % 3 == 0, "state").when(F.col("f") % 3 == 1, "plan-").otherwise("q")
     pages = _files(spark, sf_dir).selectExpr("*", "cast(diagram_id as bigint) div 2 as f", "cast(diagram_id as bigint) % 2 as k")
     body = F.concat(F.when(F.col("k") == 0, '<diagram id="a" name="First">').otherwise('<diagram name=" Plan ">'), "xml", F.lit("</diagram>"))
     held = assemble(pages.withColumn("body", body), ["f"], ["k"], "body", "", "xml")

@@ -176,7 +176,7 @@ def test_numeric_entities(spark):
 
 def test_wide_cells_do_not_make_a_table_ragged(spark):
     html = "<table><tr><td colspan=\"2\">a</td></tr><tr><td>b</td><td>c</td></tr></table><table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>"
-    shapes = markup.table_shapes(markup.table_cells(markup.tokens(spark.createDataFrame([(1, html)], "page_id long, html string")))).orderBy("block").collect()
+    shapes = markup.table_shapes(markup.table_cells(markup.tokens(spark.createDataFrame([(1, html)], "page_id long, html string")))).orderBy("table_ix").collect()
     assert [(r.column_count, r.ragged, r.spanned) for r in shapes] == [(2, False, True), (2, True, False)]
 
 
