@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import asset_path, checksum, display_type, extension, is_drawio, join_lists, mime_type, no_blank, strip, truncate
-from leafmill.operators.common import distinct_ordered, first_n
-from leafmill.operators.markup import attribute, tokens
+from leafmill.operators.common import cut, distinct_ordered, first_n
+from leafmill.operators.markup import attribute, texts_of, tokens
 
 # The heading of inserted sections, texts for attachments without content, and known extensions.
 NO_ERD = "Data Model Summary\n\nStructured ERD extraction is unavailable because no deterministic diagram metadata was found."
@@ -115,17 +115,23 @@ def analyze_incremental(files: DataFrame, previous: DataFrame, analyze: Callable
 
 
 def svg_text(attachments: DataFrame, most: int = 8) -> DataFrame:
-    """(page_id, title, description, ids, visible_text, summary) of SVGs attachments(page_id, html): texts in first-seen order."""
-    toks = tokens(attachments)
-    w = Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    rows = toks.withColumn("inside", F.last(F.when(F.col("kind") == "open", F.col("tag")).when(F.col("kind") == "close", F.lit("")), ignorenulls=True).over(w))
-    ids = distinct_ordered(toks.select("page_id", attribute(F.col("attrs"), "id").alias("t"), "ix").where("t is not null"), ["page_id", "t"], "ix")
-    texts = rows.where(F.col("kind").isin("text", "cdata") & no_blank(F.col("text")).isNotNull()).select("page_id", "inside", strip(F.col("text")).alias("t"), "ix")
-    shown = distinct_ordered(texts.where(F.col("inside").isin("text", "tspan")).drop("inside"), ["page_id", "t"], "ix")
+    """(page_id, title, description, ids, visible_text, summary) of SVGs attachments(page_id, html).
+
+    An element's text is all that is below it. visible_text holds the texts of text elements, then of tspan elements, each once; the summary
+    names the title, or the first `most` of them. Without a title or description these are null, without texts or ids the lists are.
+    """
+    toks = cut(tokens(attachments))
+    flat = lambda text: strip(F.regexp_replace(text, "\n", " "))
+    first = lambda tag, name: texts_of(toks, tag).groupBy("page_id").agg(F.min_by(strip(F.col("text")), "ix").alias(name))
+    ids = distinct_ordered(toks.select("page_id", no_blank(strip(attribute(F.col("attrs"), "id"))).alias("t"), "ix").where("t is not null"), ["page_id", "t"], "ix")
+    texts = [texts_of(toks, tag).select("page_id", flat(F.col("text")).alias("t"), F.struct(F.lit(k).alias("k"), "ix").alias("ix")) for k, tag in enumerate(("text", "tspan"))]
+    shown = distinct_ordered(texts[0].unionByName(texts[1]).where("t <> ''"), ["page_id", "t"], "ix")
     listed = lambda df, name: df.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ix", "t"))), lambda x: x["t"]).alias(name))
-    one = lambda tag, name: texts.where(F.col("inside") == tag).groupBy("page_id").agg(F.min_by("t", "ix").alias(name))
-    out = attachments.select("page_id").join(one("title", "title"), "page_id", "left").join(one("desc", "description"), "page_id", "left").join(listed(ids, "ids"), "page_id", "left").join(listed(shown, "visible_text"), "page_id", "left")
-    return out.withColumn("summary", no_blank(F.concat_ws("; ", "title", "description", F.array_join(first_n(F.col("visible_text"), most), "; "))))
+    out = attachments.select("page_id")
+    for part in (first("title", "title"), first("desc", "description"), listed(ids, "ids"), listed(shown, "visible_text")):
+        out = out.join(part, "page_id", "left")
+    named = F.coalesce(no_blank(F.col("title")), no_blank(F.array_join(first_n(F.col("visible_text"), most), ", ")))
+    return out.withColumn("summary", F.concat_ws(": ", F.lit("SVG diagram"), named))
 
 
 METADATA = "title string, description string, ids array<string>, visible_text array<string>, labels array<string>, components array<string>, relationships array<string>, flow array<string>, diagram_type string, node_count bigint, edge_count bigint, label_count bigint, warnings array<string>"

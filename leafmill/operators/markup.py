@@ -82,6 +82,17 @@ def nodes(toks: DataFrame) -> DataFrame:
     return _within(rows, opens, "parent").select("page_id", "ix", "parent", (F.col("lvl") + 1).alias("level"), "kind", "tag", "attrs", "text")
 
 
+def texts_of(toks: DataFrame, tag: str) -> DataFrame:
+    """(page_id, ix, text) of every element with the tag, in or outside of others with it: all text below it as written, '' where there is none."""
+    so_far = Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("tag") == tag, F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)).otherwise(0)
+    held = toks.withColumn("n", F.sum(step).over(so_far).cast("int"))
+    opens = held.where((F.col("tag") == tag) & (F.col("kind") == "open")).select("page_id", F.col("n").alias("lvl"), "ix", F.col("ix").alias("o"))
+    inside = _within(_each(held.where((F.col("n") > 0) & F.col("text").isNotNull()).select("page_id", "ix", "text", "n"), F.col("n")), opens, "at")
+    texts = inside.groupBy("page_id", F.col("at").alias("ix")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ix").alias("k"), "text"))), lambda x: x["text"]), "").alias("text"))
+    return opens.select("page_id", "ix").join(texts, ["page_id", "ix"], "left").select("page_id", "ix", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _spaced() -> Column:
     """What a token adds to an element's text: texts as they are, a blank where a block begins or ends or a line breaks."""
     return F.when(F.col("kind").isin("text", "cdata"), F.col("text")).when(F.col("tag").isin(*_BLOCKS), F.lit(" ")).otherwise(F.lit(""))

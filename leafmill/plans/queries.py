@@ -467,10 +467,13 @@ def all_chunks(spark, sf_dir):
     return chunks.all_chunks(one("c"), one("i"), md)
 
 
-@query("select c_custkey as page_id, c_name as title, c_name || '; ' || c_mktsegment as summary from customer")
+@query("""select c_custkey as page_id, case when c_custkey % 2 = 0 then c_name end as title, c_mktsegment || 'x' || c_custkey || 'y|' || c_mktsegment || '|x' || c_custkey as shown,
+  'SVG diagram: ' || case when c_custkey % 2 = 0 then c_name else c_mktsegment || 'x' || c_custkey || 'y, ' || c_mktsegment || ', x' || c_custkey end as summary from customer""")
 def svg_text(spark, sf_dir):
-    svg = load(spark, sf_dir, "customer").selectExpr("c_custkey as page_id", "'<svg id=\"a\"><title>' || c_name || '</title><g><text>' || c_mktsegment || '</text><text>' || c_mktsegment || '</text></g></svg>' as html")
-    return att.svg_text(svg).select("page_id", "title", "summary")
+    """Every other file has a title; a text element goes on behind the tspan in it."""
+    title, body = "case when c_custkey % 2 = 0 then '<title> ' || c_name || ' </title>' else '' end", "c_mktsegment || '<tspan>x' || c_custkey || '</tspan>y</text><text>' || c_mktsegment || '</text></g></svg>'"
+    svg = load(spark, sf_dir, "customer").selectExpr("c_custkey as page_id", f"'<svg id=\"a\">' || {title} || '<g><text>' || {body} as html")
+    return att.svg_text(svg).select("page_id", "title", F.array_join("visible_text", "|").alias("shown"), "summary")
 
 
 # ---------------------------------------------------------------- diagrams

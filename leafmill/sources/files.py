@@ -52,17 +52,30 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+#: Up to so many touched partitions are named in the scan of a store; more are met by a join.
+NAMED_PARTITIONS = 10_000
+
+
+def touched(old: DataFrame, new: DataFrame, partition: str) -> DataFrame:
+    """The rows of the store old in partitions that new has rows for. Their values stand in the scan's filter, so others aren't listed or read."""
+    found = [r[0] for r in new.select(partition).distinct().limit(NAMED_PARTITIONS + 1).collect()]
+    if len(found) > NAMED_PARTITIONS:
+        return old.join(new.select(partition).distinct(), partition, "left_semi")
+    named = F.col(partition).isin([v for v in found if v is not None])
+    return old.where(named | F.col(partition).isNull() if None in found else named)
+
+
 def upsert_store(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
     """Replaces in the store at path the rows with the keys of new by the rows of new.
 
     Only partitions that new touches are read and written; the merged rows are written to the shared folder before the store is changed, and
     the same call again gives the same store.
     """
+    new = cut(new)  # asked for its partitions first
     old = read_store(new.sparkSession, path)
     if old is not None:
-        old = old.join(new.select(partition).distinct(), partition, "left_semi")
-        new = replace_pages(old, new, keys).select(*old.columns)
-    cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        new = cut(replace_pages(touched(old, new, partition), new, keys).select(*old.columns))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def write_chunks(new: DataFrame, path: str) -> None:

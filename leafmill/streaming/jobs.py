@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.sources.files import read_store, upsert_store
+from leafmill.operators.common import cut
+from leafmill.sources.files import read_store, touched, upsert_store
 
 JOB = "message_id string, root_id bigint, job_type string, ts timestamp"
 
@@ -39,9 +40,10 @@ def stream_upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: s
     def write(batch: DataFrame, number: int) -> None:
         cols = [c for c in batch.columns if c not in keys]
         new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        new = cut(new)
         old = read_store(batch.sparkSession, target)
         if old is not None:
-            new = new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_semi"))
+            new = new.unionByName(touched(old, new, "bucket").join(new.select("bucket", *keys).distinct(), ["bucket", *keys], "left_semi").select(*new.columns))
         latest = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in cols], "bucket")
         upsert_store(latest, target, ["bucket", *keys], "bucket")
 

@@ -65,3 +65,15 @@ def test_page_documents(spark):
     rows = {r.page_id: r.tables for r in files.page_documents(pages, tables=tables).collect()}
     assert [t.table_id for t in rows[1]] == ["table-1", "table-2"] and rows[2] is None
     assert [r.value for r in files.artifacts(tables, ["page_id"]).orderBy("value").collect()] == ['{"page_id":1,"table_id":"table-1"}', '{"page_id":1,"table_id":"table-2"}']
+
+
+def test_a_store_is_read_in_the_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = spark.range(500).selectExpr("cast(id as string) as chunk_id", "array(1.0f) as embedding", "1 as batch")
+    files.write_vectors(rows, path)
+    new = spark.createDataFrame([("7", 3), ("8", 3)], "chunk_id string, bucket int")
+    plan = files.touched(files.read_store(spark, path), new, "bucket")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket" in plan.split("PartitionFilters")[1] and " = 3)" in plan and "Join" not in plan
+    odd = spark.createDataFrame([(None,), (1,)], "p int")
+    assert sorted(str(r.p) for r in files.touched(spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "p int, v int"), odd, "p").collect()) == ["1", "None"]
+    assert files.touched(files.read_store(spark, path), new.limit(0), "bucket").collect() == []
