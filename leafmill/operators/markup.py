@@ -115,9 +115,13 @@ def _argument() -> Column:
     return found
 
 
+def _plain(kids: Column) -> Column:
+    return F.array_join(F.transform(kids, lambda k: F.coalesce(k["t"], k["v"])), "")
+
+
 def _level(here: DataFrame) -> DataFrame:
-    """Elements and texts of one level with their children's values put in: v, the Markdown of the whole, t, its text, and the first page title,
-    file name and literal body in it."""
+    """Elements and texts of one level with their children's values put in: v, the Markdown of the whole, t, its text (null where that is v), and
+    the first page title, file name and literal body in it."""
     kids = F.coalesce(F.col("kids"), F.array().cast(_KIDS))
     joined = lambda name: F.array_join(F.transform(kids, lambda k: k[name]), "")
     first = lambda name: F.get(F.filter(F.transform(kids, lambda k: k[name]), lambda x: x.isNotNull()), 0)
@@ -125,20 +129,21 @@ def _level(here: DataFrame) -> DataFrame:
     inner, bare = joined("v"), strip(joined("v"))
     title = F.when(tag == "ri:page", F.coalesce(arg, F.lit(""))).otherwise(first("page"))
     file = F.when(tag == "ri:attachment", F.coalesce(arg, F.lit(""))).otherwise(first("file"))
-    text = F.when(is_text, F.col("text")).when(tag.isin(*_BLOCKS), F.concat(F.lit(" "), joined("t"), F.lit(" "))).otherwise(joined("t"))
+    plain = _plain(kids)
+    text = F.when(is_text, F.lit(None)).when(tag.isin(*_BLOCKS), F.concat(F.lit(" "), plain, F.lit(" "))).otherwise(plain)
     value = (
         F.when(is_text, F.col("text"))
         .when(F.col("swap").isNotNull(), F.col("swap"))
         .when(tag == "br", F.lit("\n"))
         .when(tag.isin("strong", "b"), F.concat(F.lit("**"), bare, F.lit("**")))
         .when(tag.isin("em", "i"), F.concat(F.lit("*"), bare, F.lit("*")))
-        .when(tag == "code", F.concat(F.lit("`"), _squeezed(joined("t")), F.lit("`")))
+        .when(tag == "code", F.concat(F.lit("`"), _squeezed(plain), F.lit("`")))
         .when(tag == "a", F.when(no_blank(arg).isNull(), bare).otherwise(F.concat(F.lit("["), F.coalesce(no_blank(bare), arg), F.lit("]("), arg, F.lit(")"))))
         .when(tag == "ac:link", F.coalesce(no_blank(bare), title, F.lit("")))
         .when(tag == "ac:image", placeholder("image", safe_name(F.coalesce(no_blank(file), F.lit("image")))))
         .otherwise(inner)
     )
-    body = F.when(tag.isin("ac:plain-text-body", "plain-text-body"), joined("t")).otherwise(first("body"))
+    body = F.when(tag.isin("ac:plain-text-body", "plain-text-body"), plain).otherwise(first("body"))
     return here.select("page_id", "parent", "ix", "tag", "arg", "kind", kids.alias("kids"), value.alias("v"), text.alias("t"), title.alias("page"), file.alias("file"), body.alias("body"))
 
 
@@ -152,10 +157,9 @@ def render_blocks(toks: DataFrame) -> DataFrame:
     Elements are assembled from the innermost level outwards, one aggregate a level, so that what an element holds is known when its marks are
     put around it. A page's elements stay in its partition.
     """
-    held = cut(toks.repartition("page_id"))  # written once, since nodes and tables both read it
-    cells = cut(table_cells(held))
+    cells = cut(table_cells(toks))  # of the tokens only those in tables are written, and all of them once, as nodes
     hard = _numbered(complex_tables(cells)).select("page_id", F.col("table_ix").alias("ix"), placeholder("table", F.col("table_id")).alias("swap"))
-    every = cut(nodes(held).withColumn("arg", decode_entities(_argument())).join(hard, ["page_id", "ix"], "left"))
+    every = cut(nodes(toks).withColumn("arg", decode_entities(_argument())).join(hard, ["page_id", "ix"], "left"))
     deepest = every.agg(F.max("level")).first()[0] or 0
     none = F.lit(None).cast(_KIDS).alias("kids")
     level = _level(every.where(F.col("level") == deepest).withColumn("kids", none))
@@ -166,7 +170,7 @@ def render_blocks(toks: DataFrame) -> DataFrame:
             level = cut(level)
     pipes = pipe_tables(cells).select("page_id", F.col("table_ix").alias("ix"), "pipe")
     top = level.where("kind in ('open', 'void')").join(pipes, ["page_id", "ix"], "left")
-    inner, plain = strip(F.array_join(F.transform("kids", lambda k: k["v"]), "")), F.array_join(F.transform("kids", lambda k: k["t"]), "")
+    inner, plain = strip(F.array_join(F.transform("kids", lambda k: k["v"]), "")), _plain(F.col("kids"))
     items = F.transform(F.filter("kids", lambda k: k["tag"] == "li"), lambda k: strip(k["v"]))
     lines = F.transform(items, lambda x, i: F.concat(F.when(F.col("tag") == "ol", F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), x))
     fenced = lambda text: F.concat(F.lit("```\n"), text, F.lit("\n```"))
