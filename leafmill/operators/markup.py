@@ -157,7 +157,8 @@ def render_blocks(toks: DataFrame) -> DataFrame:
     Elements are assembled from the innermost level outwards, one aggregate a level, so that what an element holds is known when its marks are
     put around it. A page's elements stay in its partition.
     """
-    cells = cut(table_cells(toks))  # of the tokens only those in tables are written, and all of them once, as nodes
+    toks = cut(toks)  # written once, since nodes and tables both read it
+    cells = cut(table_cells(toks))
     hard = _numbered(complex_tables(cells)).select("page_id", F.col("table_ix").alias("ix"), placeholder("table", F.col("table_id")).alias("swap"))
     every = cut(nodes(toks).withColumn("arg", decode_entities(_argument())).join(hard, ["page_id", "ix"], "left"))
     deepest = every.agg(F.max("level")).first()[0] or 0
