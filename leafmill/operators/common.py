@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,3 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there, so that lineage ends."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read from there, for loops of joins.
+
+    What checkpoint() returns keeps the estimates and constraints of the plan behind it, and those of joins grow with every round.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/leafmill/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -80,6 +80,12 @@ select case when event_id % 100 = 7 then null else cast(event_id as string) end
 union all
 select cast(event_id as string), user_id, event_type, ts from events where event_id % 10 = 0"""
 
+# Crawls of 500 pages that discover three pages with each processed one, until 401 are known.
+TICKS = """
+select cast(floor(doc_id / 500) as bigint) as root_id, doc_id % 500 as seq, doc_id % 500 as processed, least(400, 3 * (doc_id % 500)) + 1 as discovered,
+  cast(doc_id as string) as page_id, source as title
+from documents"""
+
 VECTORS = "select cast(vec_id as string) as chunk_id, vec_id, cast(label as bigint) as root_id, vec_id % 200 as page_id, embedding from embeddings"
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -630,6 +630,19 @@ def stream_upsert(spark, sf_dir):
     return jobs.read_target(spark, f"{path}/out", stream.schema).selectExpr("root_id", "cast(ts as timestamp_ntz) as ts")
 
 
+@query(f"""with t as (select *, discovered // 25 as d, processed // 25 as p from ({fx.TICKS})),
+  w as (select *, lag(d, 1, 0) over (partition by root_id order by seq) as d0, lag(p, 1, 0) over (partition by root_id order by seq) as p0 from t)
+  select root_id, seq, processed, discovered, page_id, title from w where d > d0 or p > p0""")
+def crawl_ticks(spark, sf_dir):
+    """Ticks stream in and are throttled; the stream stops midway, and its second run goes on from the state of the first."""
+    path, ticks = scratch(spark, "ticks"), derived(spark, sf_dir, fx.TICKS)
+    for half in ("seq < 210", "seq >= 210"):
+        ticks.where(half).write.mode("append").parquet(f"{path}/in")
+        out = jobs.crawl_ticks(jobs.job_stream(spark, f"{path}/in", jobs.TICK))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 # ---------------------------------------------------------------- matching of attachments and diagrams
 
 

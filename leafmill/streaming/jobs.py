@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from leafmill.operators.common import cut
 from leafmill.sources.files import read_store, touched, upsert_store
 
 JOB = "message_id string, root_id bigint, job_type string, ts timestamp"
+TICK = "root_id bigint, seq bigint, processed bigint, discovered bigint, page_id string, title string"
 
 
 def job_stream(spark: SparkSession, source: str | dict, schema: str = JOB, job_type: str | None = None) -> DataFrame:
@@ -59,3 +64,29 @@ def read_target(spark: SparkSession, target: str, schema) -> DataFrame:
 def progress_ticks(ticks: DataFrame, every: int = 25) -> DataFrame:
     """One tick per root and `every` pages: the last of ticks(root_id, n, ts) in each stretch."""
     return ticks.groupBy("root_id", F.floor(F.col("n") / every).alias("step")).agg(F.max("n").alias("n"), F.max_by("ts", "n").alias("ts"))
+
+
+def crawl_ticks(ticks: DataFrame, every: int = 25) -> DataFrame:
+    """Of a stream of ticks (columns of TICK) those that a progress file is written for: a tick that has reached more whole stretches of
+    `every` pages discovered, or processed, than the tick written last.
+
+    State per root are the two numbers of stretches of the last tick written, zeros at first; they outlive batches and restarts. Ticks of one
+    batch go by seq, batches in their order. Counters may fall back (a crawl that starts again): only what passes the last written tick is
+    written. Null counters count as zero; ticks with no root are a root of their own. A task holds the ticks of a root in one batch, which
+    the reader's trigger options (maxFilesPerTrigger, maxOffsetsPerTrigger) bound.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
+        marks = np.stack([rows["discovered"].to_numpy(np.int64) // every, rows["processed"].to_numpy(np.int64) // every], axis=1)
+        last, keep = tuple(state.get) if state.exists else (0, 0), []
+        for i in np.flatnonzero(np.r_[True, (np.diff(marks, axis=0) != 0).any(axis=1)]):  # inside a run of equal marks nothing changes
+            if (marks[i] > last).any():
+                last = tuple(marks[i].tolist())
+                keep.append(i)
+        state.update(last)
+        yield rows.iloc[keep].assign(root_id=key[0])
+
+    whole = ticks.select("root_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("seq", "processed", "discovered")], "page_id", "title")
+    return whole.groupBy("root_id").applyInPandasWithState(fold, TICK, "discovered bigint, processed bigint", "append", GroupStateTimeout.NoTimeout)

@@ -93,6 +93,38 @@ def test_crawl_order_is_numbered_in_ranges(spark):
     assert "Window" in plan and "SinglePartition" not in plan
 
 
+def test_a_chain_of_100000_takes_a_bounded_number_of_jobs(spark):
+    sc, n = spark.sparkContext, 100_000
+    edges = spark.range(n).selectExpr("id as parent_id", "id + 1 as child_id", "0 as position")
+    sc.setJobGroup("chain", "chain")
+    try:
+        got = tree.crawl_order(edges, 0)
+        assert got.where("page_id = crawl_order and depth = page_id").count() == n + 1
+        assert len(sc.statusTracker().getJobIdsForGroup("chain")) < 500
+    finally:
+        sc.setJobGroup("rest", "rest")
+
+
+def test_forests_with_cycles_ties_and_hot_parents(spark):
+    rng = random.Random(4)
+    rows = [(0, 1, None)] + [(1, c, 0) for c in range(2, 60)] + [(rng.randint(2, c - 1), c, rng.randint(0, 2)) for c in range(60, 160)]
+    rows += [(500, 501, 0), (501, 500, 0), (501, 502, 0), (700, 701, 0), (160, 0, 0), (159, 160, 0), (None, 800, 0), (5, None, 0)]
+    edges = spark.createDataFrame(rows, "parent_id long, child_id long, position int")
+    kids = {}
+    for p, c, at in sorted((r for r in rows if None not in r[:2] and r[1]), key=lambda r: (r[2] is not None, r[2], r[1])):
+        kids.setdefault(p, []).append(c)
+    order, stack = [(0, 0)], [(0, 0)]
+    while stack:
+        page, depth = stack.pop()
+        below = [(c, depth + 1) for c in kids.get(page, [])]
+        order += below
+        stack += below[::-1]
+    assert [(r.page_id, r.depth) for r in tree.crawl_order(edges, 0).orderBy("crawl_order").collect()] == order
+    assert sorted((r.page_id, r.depth) for r in tree.descendants(edges, 0).collect()) == sorted(order[1:])
+    assert tree.descendants(edges, 999).count() == 0 and [r.page_id for r in tree.crawl_rows(edges, 999).collect()] == [999]
+    assert [r.page_id for r in tree.crawl_rows(edges.limit(0), 0).collect()] == [0]
+
+
 def test_deep_trees_and_cells_are_whole(spark):
     edges = spark.range(105).selectExpr("id as parent_id", "id + 1 as child_id", "0 as position")
     assert sorted(r.depth for r in tree.descendants(edges, 0).select("depth").collect()) == list(range(1, 106))
