@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from leafmill.functions.text import decode_entities, escape_cell, no_blank, placeholder, safe_name, span, src_name, strip
 from leafmill.operators.common import cut, distinct_ordered
@@ -26,15 +29,8 @@ def attribute(attrs: Column, name: str) -> Column:
     return decode_entities(_written(attrs, name))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(page_id, ix, kind, tag, attrs, text, depth) of pages(page_id, html); kind: open, close, void, text, cdata.
-
-    depth: 1 for top-level elements; a closing and a void tag have the depth of their element. Content that doesn't begin with a tag is
-    put into a paragraph. Void elements and the missing end of a paragraph aren't closed by themselves (see article_blocks for raw pages).
-    """
-    html = F.coalesce("html", F.lit(""))
-    fragment = F.when(html.rlike(r"^\s*<"), html).otherwise(F.concat(F.lit("<p>"), html, F.lit("</p>")))
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(fragment, F.lit(_TOKEN), F.lit(0))).alias("ix", "raw"))
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows with a token each in `raw`, but comments and declarations, with kind, tag, attrs and text."""
     in_tag = F.col("raw").startswith("<")  # looked at first, so that patterns never run over long texts
     rows = rows.where(~(in_tag & (F.col("raw").startswith("<!--") | F.col("raw").rlike("^<[!?](?!\\[CDATA)"))))
     tag = F.when(in_tag, F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][^\s/>]*)", 1)))
@@ -43,10 +39,97 @@ def tokens(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", kind).withColumn("tag", F.when(F.col("kind").isin("open", "close", "void"), tag))
     text = F.when(F.col("kind") == "text", decode_entities(F.col("raw"))).when(F.col("kind") == "cdata", F.regexp_extract("raw", r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1))
     attrs = F.when(F.col("kind").isin("open", "void"), F.regexp_extract("raw", r"(?s)^<[^\s/>]+(.*?)/?>$", 1))
+    return rows.withColumns({"attrs": attrs, "text": text})
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """(page_id, ix, kind, tag, attrs, text, depth) of pages(page_id, html); kind: open, close, void, text, cdata.
+
+    depth: 1 for top-level elements; a closing and a void tag have the depth of their element. Content that doesn't begin with a tag is
+    put into a paragraph. Missing ends aren't put in (see raw_tokens for raw pages).
+    """
+    html = F.coalesce("html", F.lit(""))
+    fragment = F.when(html.rlike(r"^\s*<"), html).otherwise(F.concat(F.lit("<p>"), html, F.lit("</p>")))
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(fragment, F.lit(_TOKEN), F.lit(0))).alias("ix", "raw"))
+    rows = _parsed(rows)
     w = Window.partitionBy("page_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     depth = F.sum(step).over(w) + F.when(F.col("kind").isin("close", "void"), 1).otherwise(0)
-    return rows.select("page_id", "ix", "kind", "tag", attrs.alias("attrs"), text.alias("text"), depth.cast("int").alias("depth"))
+    return rows.select("page_id", "ix", "kind", "tag", "attrs", "text", depth.cast("int").alias("depth"))
+
+
+# Fixed values of the markup standard: what an opening tag ends, looked for no further out than the innermost of the elements named after.
+_CELLS, _ROWS = ("td", "th"), ("tbody", "thead", "tfoot")
+_PARAGRAPH = (("p",), ("table", "td", "th", "caption", "button", "object"))
+_AFTER_P = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+_ENDS = {t: [_PARAGRAPH] for t in _AFTER_P} | {
+    "li": [(("li",), ("ul", "ol")), _PARAGRAPH], "dt": [(("dt", "dd"), ("dl",)), _PARAGRAPH], "dd": [(("dt", "dd"), ("dl",)), _PARAGRAPH],
+    "option": [(("option",), ("select",))], "body": [(("head",), ())], "td": [(_CELLS, ("table",))], "th": [(_CELLS, ("table",))],
+    "tr": [((*_CELLS, "tr"), ("table",))], **{t: [((*_CELLS, "tr", *_ROWS), ("table",))] for t in _ROWS},
+}
+_RAW = r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>|[^<]+|<"
+
+
+def _nested(heads: list[str]) -> list[int]:
+    """The depth of each token of a page by its head ('<p', '</p', '<p/' or '' for text), as in tokens; -1 for an end of nothing."""
+    stack, places, out = [], defaultdict(list), []
+
+    def innermost(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
+    def leave(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop()].pop()
+
+    for head in heads:
+        tag = head.strip("</")
+        if not head:
+            out.append(len(stack))
+        elif head.startswith("</"):
+            # An end tag ends its innermost element, but never one outside of the table cell that it stands in; ends of table parts stay in their table.
+            fence = () if tag == "table" else ("table",) if tag in ("tr", *_CELLS, *_ROWS, "caption") else (*_CELLS, "caption")
+            at = innermost((tag,))
+            if at <= innermost(fence):
+                out.append(-1)
+                continue
+            leave(at)
+            out.append(at + 1)
+        else:
+            for ended, fence in _ENDS.get(tag, ()):
+                beyond = innermost(fence)
+                leave(min((at for t in ended for at in places[t] if at > beyond), default=len(stack)))
+            if tag not in VOID and not head.endswith("/"):
+                places[tag].append(len(stack))
+                stack.append(tag)
+                out.append(len(stack))
+            else:
+                out.append(len(stack) + 1)
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _depths(heads: pd.Series) -> pd.Series:
+    return heads.map(_nested)
+
+
+def raw_tokens(pages: DataFrame) -> DataFrame:
+    """tokens of raw web pages, whose paragraphs, list items, table rows and cells may lack an end, and whose ends may lack a beginning.
+
+    Elements are ended as the markup standard says for these; others that are left open end with the one that holds them. Ends of nothing,
+    scripts, styles and comments go; a lone '<' is text. A page's tokens are nested where they are split, before any shuffle.
+    """
+    bare = _without(F.coalesce("html", F.lit("")), ("script", "style"))
+    raws = F.transform(F.regexp_extract_all(bare, F.lit(_RAW), F.lit(0)), lambda r: F.when(r == "<", F.lit("&lt;")).otherwise(r))
+    shut = lambda r: F.when(r.startswith("<") & r.endswith("/>"), F.lit("/")).otherwise(F.lit(""))
+    heads = F.transform("raws", lambda r: F.concat(F.lower(F.regexp_extract(r, r"^</?[A-Za-z][^\s/>]*", 0)), F.when(r.rlike("^<[A-Za-z]"), shut(r)).otherwise(F.lit(""))))
+    split = pages.select("page_id", raws.alias("raws")).select("page_id", "raws", _depths(heads).alias("depths"))
+    rows = split.select("page_id", F.posexplode(F.arrays_zip("raws", "depths")).alias("ix", "t")).select("page_id", "ix", F.col("t.raws").alias("raw"), F.col("t.depths").alias("depth"))
+    return _parsed(rows.where("depth >= 0")).select("page_id", "ix", "kind", "tag", "attrs", "text", "depth")
+
+
+def _without(html: Column, tags: tuple[str, ...]) -> Column:
+    """html without comments and the elements with these tags."""
+    return reduce(lambda c, tag: F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}>", ""), tags, F.regexp_replace(html, "(?s)<!--.*?-->", ""))
 
 
 def blocks(toks: DataFrame) -> DataFrame:
@@ -320,7 +403,7 @@ def inline_diagrams(refs: DataFrame, labels: DataFrame) -> DataFrame:
 def article_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, pos, text): the article of raw web pages, cut at paragraph, heading and break tags; scripts, styles, comments, navigation
     and footers go. Works on unclosed tags."""
-    bare = reduce(lambda c, tag: F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}>", ""), ("script", "style", "nav", "footer"), F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<!--.*?-->", ""))
+    bare = _without(F.coalesce("html", F.lit("")), ("script", "style", "nav", "footer"))
     article = F.regexp_extract(bare, r"(?is)<article[^>]*>(.*?)</article>", 1)
     parts = pages.select("page_id", F.posexplode(F.split(article, r"(?i)</?(?:p|h1|h2|h3|br|li|ul|ol|div)\b[^>]*>")).alias("pos", "raw"))
     text = strip(decode_entities(F.regexp_replace("raw", "<[^>]+>", "")))

@@ -337,6 +337,21 @@ def heading_tokens(spark, sf_dir):
     return markup.heading_tokens(load(spark, sf_dir, "pages"))
 
 
+_SHOWN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _t in ("script", "style"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?is)<{_t}\\b.*?</{_t}>', '', 'g')"
+
+
+@query(f"""with t as (select page_id, unnest(regexp_extract_all({_SHOWN}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pages)
+  select page_id, tag, count(*) as n, case when tag = 'html' then 1 when tag in ('head', 'body') then 2 when tag in ('title', 'nav', 'div', 'article', 'footer') then 3
+    when tag in ('h1', 'ul', 'p') then 4 when tag in ('li', 'b') then 5 when tag = 'a' then 6 end::int as outermost, outermost as innermost
+  from t where tag not in ('br', 'meta') group by page_id, tag""")
+def page_elements(spark, sf_dir):
+    """Elements of raw pages by tag and level: a paragraph without an end holds no other one."""
+    found = markup.nodes(markup.raw_tokens(load(spark, sf_dir, "pages"))).where("kind = 'open'")
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.min("level").alias("outermost"), F.max("level").alias("innermost"))
+
+
 _STORED = """select doc_id as page_id, source as title, '<h2>' || lang || '</h2><p>One <strong> bold </strong> and <a href="http://x/' || doc_id || '">link</a></p><ol><li>' || source || '</li><li>b</li></ol><ul><li>u&#8211;1</li><li><em>u2</em></li></ul>'
   || '<blockquote>q1<br/>q2</blockquote><table><tr><th>' || lang || '</th><th>h</th></tr><tr><td>a|b</td><td>' || source || '</td></tr></table><table><tr><td colspan="2">w</td></tr><tr><td>1</td><td>2</td></tr></table>'
   || '<div>in <table><tr><td colspan="2">' || lang || '</td></tr></table></div><ac:structured-macro ac:name="code"><ac:parameter ac:name="language">java</ac:parameter><ac:plain-text-body><![CDATA[int ' || lang || ';]]></ac:plain-text-body></ac:structured-macro>'
