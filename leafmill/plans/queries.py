@@ -819,3 +819,51 @@ def titled_hits(spark, sf_dir):
 def delete_pages(spark, sf_dir):
     v = derived(spark, sf_dir, fx.VECTORS)
     return vectors.delete_pages(v, v.where("page_id % 3 = 0")).select("chunk_id", "page_id")
+
+
+# ---------------------------------------------------------------- files of other programs
+
+
+_PAGE_FILES = "select page_id, page_id % 7 as root_id, 'Page ' || url || chr(10) as md, url from pages"
+
+
+@query(f"select page_id, md from ({_PAGE_FILES}) where page_id % 3 <> 0 union all select page_id, 'old ' || url from ({_PAGE_FILES}) where page_id % 3 = 0")
+def page_files(spark, sf_dir):
+    """Pages written as files and read back; a third has the older file name only, and half have both."""
+    path, p = scratch(spark, "pages"), derived(spark, sf_dir, _PAGE_FILES)
+    files.write_pages(p.where("page_id % 3 <> 0"), path)
+    files.write_files(p.where("page_id % 3 = 0 or page_id % 2 = 0").selectExpr("concat(root_id, '/', page_id, '/page.md') as name", "encode(concat('old ', url), 'UTF-8') as content"), path)
+    return files.read_markdown(spark, path)
+
+
+@query("select page_id, url, case when page_id % 2 = 0 then 1 + page_id % 3 else 0 end as n_tables, case when page_id % 2 = 0 then 'table-1' end as first_table, page_id % 5 = 0 as has_assets from pages")
+def page_documents(spark, sf_dir):
+    """Pages with the lists of their tables and assets, written as JSON documents beside the Markdown and read back."""
+    path, p = scratch(spark, "documents"), load(spark, sf_dir, "pages").selectExpr("page_id", "page_id % 7 as root_id", "url", "url as md")
+    tables = p.where("page_id % 2 = 0").selectExpr("page_id", "explode(sequence(1, cast(1 + page_id % 3 as int))) as n").selectExpr("page_id", "n as ord", "concat('table-', n) as table_id")
+    assets = p.where("page_id % 5 = 0").selectExpr("page_id", "concat('f', page_id, '.png') as file_name")
+    files.write_pages(files.page_documents(p, tables=tables, assets=assets), path)
+    held = spark.read.schema("page_id long, url string, tables array<struct<ord: int, table_id: string>>, assets array<struct<file_name: string>>").json(f"{path}/*/*/metadata.json")
+    return held.selectExpr("page_id", "url", "cast(coalesce(size(tables), 0) as bigint) as n_tables", "tables[0].table_id as first_table", "assets is not null as has_assets")
+
+
+@query("select page_id, 'f' || page_id || '.png' as file_name, strlen(coalesce(html, '')) as n_bytes, sha256(coalesce(html, '')) as checksum from pages where html <> ''")
+def asset_files(spark, sf_dir):
+    """Assets written as files beside table artifacts and JSON, which the reader leaves out."""
+    path, p = scratch(spark, "assets"), load(spark, sf_dir, "pages").selectExpr("page_id", "encode(coalesce(html, ''), 'UTF-8') as content")
+    names = "array(concat(page_id, '/assets/f', page_id, '.png'), concat(page_id, '/assets/tables/t.png'), concat(page_id, '/assets/m.json'))"
+    files.write_files(p.selectExpr(f"explode({names}) as name", "if(name like '%/f%', content, cast('{}' as binary)) as content"), path)
+    found = files.read_assets(spark, path)
+    return found.select(F.regexp_extract("path", r"/(\d+)/assets/", 1).cast("long").alias("page_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("n_bytes"), fn.checksum(F.col("content")).alias("checksum"))
+
+
+@query(f"with a as ({fx.ATTACHMENTS}) select page_id, 'assets/' || file_name as relative_path, case when ord % 4 = 0 then 'again' else status end as status, case when ord % 3 = 0 then 'PHOTO' when ord % 3 = 1 then 'TABLE_IMAGE' else 'UNKNOWN' end as detected_type from a")
+def attachment_manifests(spark, sf_dir):
+    """Manifests of attachments, a file per page, some of which name a path twice; types come from the labels of a vision model."""
+    path, a = scratch(spark, "manifests"), derived(spark, sf_dir, fx.ATTACHMENTS)
+    label = "case ord % 3 when 0 then ' Photo ' when 1 then 'table' else 'cat' end"
+    rows = a.selectExpr("page_id", "ord", "file_name", "concat('assets/', file_name) as relative_path", f"{label} as label", "explode(if(ord % 4 = 0, array(status, 'again'), array(status))) as status")
+    rows = rows.withColumn("detected_type", fn.vision_type(F.col("label"))).withColumn("turn", (F.col("status") == "again").cast("int"))
+    listed = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ord", "page_id", "file_name", "relative_path", "detected_type", "status"))).alias("attachments"))
+    files.write_files(listed.selectExpr("concat(page_id, '/attachments.json') as name", "encode(to_json(struct(attachments)), 'UTF-8') as content"), path)
+    return files.read_attachments(spark, f"{path}/*/attachments.json").select("page_id", "relative_path", "status", "detected_type")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,14 +114,51 @@ def write_manifest(pages: DataFrame, path: str) -> str:
     return write_version(manifest_documents(pages), path, form="json", maxRecordsPerFile=1)
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """A file below path per row of files(name, content), for layouts that other programs read; name is a relative path, content binary.
+
+    Tasks write each file under another name and then move it, so that readers see whole files only and a task that runs again gives the
+    same ones. Of rows with one name any may stay. A null content is an empty file; a name that is null, empty or leads out of path fails.
+    """
+    root = re.sub("^file:/+", "/", path).rstrip("/")
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for part in parts:
+            for name, content in zip(part.column("name").to_pylist(), part.column("content")):
+                if not name or name.startswith("/") or ".." in name.split("/"):
+                    raise ValueError(f"no name of a file below the folder: {name!r}")
+                target = posixpath.join(base, name)
+                folder = posixpath.dirname(target)
+                store.create_dir(folder, recursive=True)
+                hidden = posixpath.join(folder, f".{uuid.uuid4().hex}")
+                with store.open_output_stream(hidden, compression=None) as out:
+                    out.write(content.as_buffer() or b"")
+                store.move(hidden, target)
+            yield pa.record_batch({"n": pa.array([part.num_rows], pa.int64())})
+
+    files.selectExpr("cast(name as string) as name", "cast(content as binary) as content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """{root_id}/{page_id}/{page_id}.md with the Markdown of pages(root_id, page_id, md, ...), beside it metadata.json with the other columns.
+
+    Null columns are left out of the metadata, so that page_documents' empty lists are.
+    """
+    folder = F.concat_ws("/", F.col("root_id").cast("string"), F.col("page_id").cast("string"))
+    text = pages.select(F.concat(folder, F.lit("/"), F.col("page_id").cast("string"), F.lit(".md")).alias("name"), F.encode("md", "UTF-8").alias("content"))
+    meta = F.to_json(F.struct(*[c for c in pages.columns if c != "md"]))
+    write_files(text.unionByName(pages.select(F.concat(folder, F.lit("/metadata.json")).alias("name"), F.encode(meta, "UTF-8").alias("content"))), path)
+
+
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """Attachment files under path, but table artifacts and JSON."""
+    """Attachment files under path, but table artifacts, JSON and empty files (Spark lists none)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(~F.col("path").contains("/tables/") & ~F.lower("path").endswith(".json"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, md): {id}.md of a page's folder, else its page.md."""
+    """(page_id, md): {id}.md of a page's folder, else its page.md. Spark lists no empty files, so these have no row."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("md"), F.input_file_name().alias("file"))
     named = files.withColumn("page", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).withColumn("legacy", F.col("file").endswith("/page.md"))
     named = named.where(F.col("legacy") | F.col("file").endswith(F.concat(F.lit("/"), F.col("page"), F.lit(".md"))))

@@ -1,5 +1,8 @@
 """Sources and sinks: what is written comes back."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.sources import files
@@ -77,3 +80,24 @@ def test_a_store_is_read_in_the_touched_partitions_only(spark, tmp_path):
     odd = spark.createDataFrame([(None,), (1,)], "p int")
     assert sorted(str(r.p) for r in files.touched(spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "p int, v int"), odd, "p").collect()) == ["1", "None"]
     assert files.touched(files.read_store(spark, path), new.limit(0), "bucket").collect() == []
+
+
+def test_files_are_written_whole_and_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.bin", b"\x00\xff"), ("a/c d.txt", None), ("e.txt", b"x" * 3_000_000)], "name string, content binary")
+    for _ in range(2):
+        files.write_files(rows, f"file:{tmp_path}")
+        held = {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()}
+        assert held == {"a/b.bin": b"\x00\xff", "a/c d.txt": b"", "e.txt": b"x" * 3_000_000}
+    files.write_files(rows.limit(0), str(tmp_path / "none"))
+    for bad in (None, "", "/x", "a/../../x"):
+        with pytest.raises(Exception, match="no name of a file"):
+            files.write_files(spark.createDataFrame([(bad, b"x")], rows.schema), str(tmp_path))
+
+
+def test_page_files_leave_empty_lists_out(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 5, "# a", "t"), (1, 6, None, None)], "root_id long, page_id long, md string, title string")
+    tables = spark.createDataFrame([(5, "table-1", True)], "page_id long, id string, complex boolean")
+    files.write_pages(files.page_documents(pages, tables=tables), str(tmp_path))
+    assert json.loads((tmp_path / "1/5/metadata.json").read_text()) == {"root_id": 1, "page_id": 5, "title": "t", "tables": [{"id": "table-1", "complex": True}]}
+    assert json.loads((tmp_path / "1/6/metadata.json").read_text()) == {"root_id": 1, "page_id": 6}
+    assert sorted((r.page_id, r.md) for r in files.read_markdown(spark, str(tmp_path)).collect()) == [(5, "# a")]  # page 6 is an empty file
