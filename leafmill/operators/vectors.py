@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.common import kept
+
 #: Queries and vectors that meet in one task.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 50_000
 
@@ -30,14 +34,14 @@ def top_k(scored: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _matrix(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """{length: (row numbers, unit vectors)} of the finite vectors that aren't zero."""
-    rows = [np.asarray(x, np.float64) for x in column.to_pylist()]
-    sizes = np.array([len(r) for r in rows])
-    out = {}
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    ends, out = np.cumsum(sizes), {}
     for n in set(sizes.tolist()) - {0}:
         at = np.flatnonzero(sizes == n)
-        x = np.stack([rows[i] for i in at])
+        x = flat.reshape(-1, n) if len(at) == len(sizes) else np.stack([flat[ends[i] - n : ends[i]] for i in at])
         norm = np.linalg.norm(x, axis=1)
         good = np.isfinite(norm) & (norm > 0)
         out[n] = at[good], x[good] / norm[good, None]
@@ -82,24 +86,141 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float
     Null, empty and zero vectors and those with null or non-finite components match nothing; vectors of different lengths aren't compared.
     Rows with a null root_id count as root -1.
     """
-    clean = lambda df, ident: df.select(ident, F.coalesce("root_id", F.lit(-1)).cast("long").alias("root_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("size(embedding) > 0 and not exists(embedding, x -> x is null)")
-    asked, held = clean(queries, "query_id"), clean(vectors, "chunk_id")
+    asked, held = _clean(queries, "query_id"), _clean(vectors, "chunk_id")
+    area = F.col("root_id") if scoped else F.lit(0).cast("long")
+    return top_k(_meet(asked.withColumn("area", area), held.withColumn("area", area), k, threshold, query_block, vector_block, whole=not scoped), k)
+
+
+def _clean(df: DataFrame, ident: str) -> DataFrame:
+    return df.select(ident, F.coalesce("root_id", F.lit(-1)).cast("long").alias("root_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("size(embedding) > 0 and not exists(embedding, x -> x is null)")
+
+
+def _meet(asked: DataFrame, held: DataFrame, k: int, threshold: float, query_block: int, vector_block: int, whole: bool = False) -> DataFrame:
+    """The k best of each query in each pair of blocks; blocks are made inside each area. whole: there is one area."""
     blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
-    if scoped:
-        sizes = asked.groupBy("root_id").agg(blocks(F.count("*"), query_block).alias("qs")).join(held.groupBy("root_id").agg(blocks(F.count("*"), vector_block).alias("vs")), "root_id")
-        asked, held = asked.join(sizes, "root_id"), held.join(sizes, "root_id")
-    else:
+    kinds = dict(asked.dtypes)["query_id"], dict(held.dtypes)["chunk_id"]
+    if whole:
         counts = {"qs": max(1, -(-asked.count() // query_block)), "vs": max(1, -(-held.count() // vector_block))}
         asked, held = (df.withColumns({c: F.lit(n) for c, n in counts.items()}) for df in (asked, held))
+    else:
+        sizes = asked.groupBy("area").agg(blocks(F.count("*"), query_block).alias("qs")).join(held.groupBy("area").agg(blocks(F.count("*"), vector_block).alias("vs")), "area")
+        asked, held = asked.join(sizes, "area"), held.join(sizes, "area")
     own = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    area = F.col("root_id") if scoped else F.lit(0).cast("long")
-    left = asked.select("query_id", "embedding", area.alias("area"), own("query_id", "qs").alias("qb"), every("vs").alias("vb"))
-    right = held.select("chunk_id", "root_id", "embedding", area.alias("area"), every("qs").alias("qb"), own("chunk_id", "vs").alias("vb"))
+    left = asked.select("query_id", "embedding", "area", own("query_id", "qs").alias("qb"), every("vs").alias("vb"))
+    right = held.select("chunk_id", "root_id", "embedding", "area", every("qs").alias("qb"), own("chunk_id", "vs").alias("vb"))
     keys = ["area", "qb", "vb"]
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k, threshold), f"query_id {kinds[0]}, chunk_id {kinds[1]}, root_id long, score double")
-    return top_k(found, k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k, threshold), f"query_id {kinds[0]}, chunk_id {kinds[1]}, root_id long, score double")
+
+
+#: The centres of cells hold at most so many numbers (32 MB) and go to all tasks; vectors too long for that get no centre.
+CENTRE_NUMBERS, MAX_CENTRES = 4_000_000, 4096
+#: Width of a ring around a centre, in radians: 63 rings at most. Slack for rounding, in angles and in cosines.
+RING, ANGLE_SLACK, COSINE_SLACK = 0.05, 1e-6, 1e-9
+_NO_CENTRE = (1 << 20) - 1
+
+
+def cell_centres(vectors: DataFrame, centres: int | None = None) -> dict[int, np.ndarray]:
+    """{length: unit vectors}: rows of vectors(chunk_id, embedding) chosen by the hash of their ids, by default the root of their number.
+
+    The choice decides how much a search can leave out, never what it finds.
+    """
+    held = _clean(vectors.withColumn("root_id", F.lit(0)), "chunk_id")
+    n = centres or min(MAX_CENTRES, max(1, round(held.count() ** 0.5)))
+    rows = held.where(F.size("embedding") <= CENTRE_NUMBERS // n).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n).select("embedding").toArrow()
+    return {size: unit for size, (_, unit) in _matrix(rows.column("embedding")).items() if len(unit)}
+
+
+def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ centres.T, -1, 1))
+
+
+def in_cells(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(chunk_id, root_id, embedding, area, angle): the area is the nearest centre of the vector's length and the ring around it, angle the
+    distance to that centre. Vectors of a length without centres share an area of that length; those that match nothing are left out."""
+    held = _clean(vectors, "chunk_id")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            area, angle = np.full(part.num_rows, -1, np.int64), np.zeros(part.num_rows)
+            for n, (at, unit) in _matrix(part.column("embedding")).items():
+                area[at] = n << 26 | _NO_CENTRE << 6
+                for i in range(0, len(at), 1024) if n in centres else ():
+                    far = _angles(unit[i : i + 1024], centres[n])
+                    near, some = far.argmin(axis=1), at[i : i + 1024]
+                    angle[some] = far[np.arange(len(near)), near]
+                    area[some] = n << 26 | near.astype(np.int64) << 6 | (angle[some] / RING).astype(np.int64)
+            cols = [*part.columns, pa.array(area), pa.array(angle)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "area", "angle"]).filter(pa.array(area >= 0))
+
+    return held.mapInArrow(run, f"chunk_id {dict(held.dtypes)['chunk_id']}, root_id long, embedding array<double>, area long, angle double")
+
+
+def _reach(asked: DataFrame, centres: dict[int, np.ndarray], areas: dict[int, np.ndarray], k: int, first: bool) -> DataFrame:
+    """(query_id, embedding, area) of each query and the areas that it must meet.
+
+    areas: {length: rows of centre, ring, least angle, greatest angle, number of vectors}. first: the nearest areas that hold k vectors
+    between them. Else all others that can hold a vector within the query's column `reach`: by the triangle inequality of angles no vector
+    of an area is nearer than the gap between the query's angle to the centre and the angles of the area.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            reach = part.column("reach").to_numpy(zero_copy_only=False)
+            for n, (at, unit) in _matrix(part.column("embedding")).items():
+                rows, marks = [at] if first else [], [np.full(len(at), n << 26 | _NO_CENTRE << 6)] if first else []
+                if n in areas:
+                    centre, ring, low, high, count = areas[n].T
+                    names = n << 26 | centre.astype(np.int64) << 6 | ring.astype(np.int64)
+                    step = max(1, 1_000_000 // len(names))
+                    for i in range(0, len(at), step):
+                        far = _angles(unit[i : i + step], centres[n])[:, centre.astype(np.int64)]
+                        gap = np.maximum(np.maximum(far - high, low - far), 0)
+                        order = np.lexsort((far, gap), axis=1)
+                        before = np.cumsum(count[order], axis=1) - count[order]
+                        met = np.zeros(gap.shape, bool)
+                        np.put_along_axis(met, order, before < k, axis=1)
+                        if not first:
+                            met = ~met & (gap <= reach[at[i : i + step], None] + ANGLE_SLACK)
+                        q, a = np.nonzero(met)
+                        rows.append(at[i : i + step][q])
+                        marks.append(names[a])
+                which, area = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, marks))
+                for i in range(0, len(which), 10_000):
+                    some = pa.array(which[i : i + 10_000])
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(some), part.column("embedding").take(some), pa.array(area[i : i + 10_000])], names=["query_id", "embedding", "area"])
+
+    return asked.select("query_id", "embedding", "reach").mapInArrow(run, f"query_id {dict(asked.dtypes)['query_id']}, embedding array<double>, area long")
+
+
+def search_cells(queries: DataFrame, cells: DataFrame, centres: dict[int, np.ndarray], k: int = 5, threshold: float = -1.0, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(hits, met): the rows of search, without comparing all; met(query_id, area, n) are the areas that each query was compared with.
+
+    cells: what in_cells gave for the same centres, stored; it is read and never copied, but for areas that more than query_block queries
+    meet. Each query first meets the nearest areas that hold k vectors. The k-th score found there is a distance within which its k best
+    must lie, so that only areas that reach into it are met then. Exact for any data; how much is left out depends on them: vectors in
+    groups leave most out, vectors in all directions alike nothing. Nulls, zero vectors, lengths and ties as in search; scopes are not for
+    it, since search makes its blocks inside them.
+    """
+    asked = _clean(queries.withColumn("root_id", F.lit(0)), "query_id")
+    per_area = cells.groupBy("area").agg(F.min("angle"), F.max("angle"), F.count("*"))
+    centred = (F.col("area").bitwiseAND(_NO_CENTRE << 6)) != _NO_CENTRE << 6
+    areas: dict[int, list] = {}
+    for area, low, high, n in per_area.where(centred).collect():  # at most 63 a centre
+        areas.setdefault(area >> 26, []).append((area >> 6 & _NO_CENTRE, area & 63, low, high, n))
+    packed = {n: np.array(sorted(rows), np.float64) for n, rows in areas.items()}
+    all_of = math.acos(max(-1.0, min(1.0, threshold - COSINE_SLACK)))
+    near = kept(_reach(asked.withColumn("reach", F.lit(all_of)), centres, packed, k, True))
+    found = kept(top_k(_meet(near, cells, k, threshold, query_block, vector_block), k))
+    last = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("last"))
+    within = F.when(F.col("last").isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("last") - COSINE_SLACK))))
+    bounded = asked.alias("q").join(last.alias("l"), F.col("q.query_id").eqNullSafe(F.col("l.query_id")), "left").select("q.query_id", "q.embedding", F.coalesce(within, F.lit(all_of)).alias("reach"))
+    more = kept(_reach(bounded, centres, packed, k, False))
+    hits = top_k(found.drop("rank").unionByName(_meet(more, cells, k, threshold, query_block, vector_block)), k)
+    met = near.unionByName(more).select("query_id", "area").join(per_area.select("area", F.col("count(1)").alias("n")), "area")
+    return hits, met
 
 
 def embed_hashing(chunks: DataFrame, size: int = 256) -> DataFrame:

@@ -66,6 +66,15 @@ def topk_threshold(spark, sf_dir):
     return vectors.search(*_sides(spark, sf_dir), k=5, threshold=0.2).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(SQL["topk_cosine"])
+def topk_cells(spark, sf_dir):
+    """The hits of topk_cosine from vectors kept in cells, of which each query meets only those that can hold one."""
+    q, v = _sides(spark, sf_dir)
+    centres = vectors.cell_centres(v)
+    held = stored(vectors.in_cells(v, centres), "cells")
+    return vectors.search_cells(q, held, centres, k=5)[0].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q, v = _sides(spark, sf_dir)
     found = vectors.search(q, v, k=5, scoped=True).join(v.select("chunk_id", "page_id"), "chunk_id")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import chunks, diagrams, manifest, markup, tree, vectors
@@ -189,6 +190,37 @@ def test_search_with_odd_vectors(spark):
     assert vectors.search(q.limit(0), v).collect() == [] and vectors.search(q, v.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("k, threshold, centres", [(1, -1.0, 7), (3, 0.3, None), (200, -1.0, 40)])
+def test_search_in_cells_equals_search(spark, sf_dir, k, threshold, centres):
+    from leafmill.plans.queries import _sides
+
+    q, v = _sides(spark, sf_dir)
+    nan = float("nan")
+    odd = [("c0", 1, None), ("c1", 1, []), ("c2", None, [0.0, 0.0]), ("c3", 1, [nan, 1.0]), ("c4", 1, [None, 1.0]), (None, 2, [3.0, 4.0]), ("c5", 1, [1.0] * 5), ("c6", 1, [1.0] * 5)]
+    v = v.select("chunk_id", "root_id", "embedding").unionByName(spark.createDataFrame(odd, "chunk_id string, root_id long, embedding array<float>"))
+    v = v.unionByName(v.limit(50))
+    q = q.unionByName(spark.createDataFrame([(None, 1, [3.0, 4.1]), (-1, 1, [1.0, 2.0, 1.0, 1.0, 1.0]), (-2, 1, [0.0])], "query_id long, root_id long, embedding array<float>"))
+    rows = lambda df: sorted((str(r.query_id), r["rank"], str(r.chunk_id), r.root_id, r.score) for r in df.collect())
+    found = vectors.cell_centres(v.where("size(embedding) > 5 or size(embedding) = 2"), centres)
+    cells = vectors.in_cells(v, found)
+    hits, met = vectors.search_cells(q, cells, found, k, threshold, query_block=4, vector_block=30)
+    assert rows(hits) == rows(vectors.search(q, v, k, threshold))
+    assert vectors.search_cells(q.limit(0), cells, found)[0].collect() == [] and vectors.search_cells(q, cells.limit(0), found)[0].collect() == []
+
+
+def test_search_in_cells_leaves_groups_out(spark):
+    r = np.random.default_rng(3)
+    axes = r.normal(size=(20, 24))
+    x = (axes[r.integers(0, 20, 3000)] + 0.05 * r.normal(size=(3000, 24))).tolist()
+    v = spark.createDataFrame([(f"{i:04}", 0, e) for i, e in enumerate(x)], "chunk_id string, root_id long, embedding array<double>")
+    q = v.where("chunk_id like '%0'").withColumn("query_id", F.col("chunk_id")).drop("chunk_id")
+    found = vectors.cell_centres(v)
+    hits, met = vectors.search_cells(q, vectors.in_cells(v, found), found, 5)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
+    assert rows(hits) == rows(vectors.search(q, v, 5))
+    assert met.groupBy().sum("n").first()[0] < 0.2 * 300 * 3000
+
+
 def test_lsh_finds_most_pairs(spark, sf_dir):
     from leafmill.plans.queries import _sides
 
