@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import posixpath
 import re
 import uuid
@@ -9,9 +11,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.operators.common import cut
 
@@ -35,8 +37,10 @@ def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def replace_pages(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old without the pages that new rewrites, and new."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
+    """old without the pages that new rewrites, and new. Null keys are keys like others."""
+    pages = new.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = functools.reduce(lambda x, y: x & y, [old[k].eqNullSafe(pages[f"_{k}"]) for k in keys])
+    return old.join(pages, same, "left_anti").unionByName(new.select(*old.columns))
 
 
 def write_version(df: DataFrame, path: str, partition: str | None = None, form: str = "parquet", **options) -> str:
@@ -47,54 +51,160 @@ def write_version(df: DataFrame, path: str, partition: str | None = None, form:
     return target
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """A partitioned store of Parquet files; None if there is none yet."""
+#: Rows that a bucket of a store holds at most, on average; a store that outgrows its buckets is dealt into at least twice as many.
+BUCKET_ROWS = 1_000_000
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of the path, and its class of paths."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    return paths(path).getFileSystem(spark._jsc.hadoopConfiguration()), paths
+
+
+def _below(spark: SparkSession, path: str) -> list[str]:
+    store, paths = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(paths(path))) if store.exists(paths(path)) else []
+
+
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    return [int(n[:-5]) for n in _below(spark, f"{path}/_versions") if re.fullmatch(r"\d{10}\.json", n)]
+
+
+def _state(spark: SparkSession, path: str, number: int) -> dict:
+    store, paths = _file_system(spark, path)
+    source = store.open(paths(f"{path}/_versions/{number:010}.json"))
     try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def _publish(spark: SparkSession, path: str, number: int, state: dict) -> None:
+    """Makes state the store's version `number` by a rename that fails if another writer has published that number."""
+    store, paths = _file_system(spark, path)
+    hidden, target = f"{path}/_versions/.{uuid.uuid4().hex}", f"{path}/_versions/{number:010}.json"
+    out = store.create(paths(hidden))
+    out.write(bytearray(json.dumps(state), "utf-8"))
+    out.close()
+    moves = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration())
+    kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    try:
+        moves.rename(paths(hidden), paths(target), spark._sc._gateway.new_array(kinds, 0))
+    except Exception:
+        store.delete(paths(hidden), False)
         raise
 
 
-#: Up to so many touched partitions are named in the scan of a store; more are met by a join.
-NAMED_PARTITIONS = 10_000
+def _held(spark: SparkSession, path: str, state: dict, only: set[int] | None = None) -> DataFrame:
+    """The rows of a version, or of some of its buckets: other buckets' folders aren't even listed."""
+    schema = StructType.fromJson(state["schema"]).add("bucket", "integer")
+    found = [f"{path}/version={v}/bucket={b}" for b, v in state["parts"].items() if only is None or int(b) in only]
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", path).schema(StructType(schema.fields).add("version", "string")).parquet(*found)
+    return rows.select(*schema.names)
+
 
+def read_store(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame | None:
+    """The last published version of a store, with its column `bucket`; None if there is none yet.
 
-def touched(old: DataFrame, new: DataFrame, partition: str) -> DataFrame:
-    """The rows of the store old in partitions that new has rows for. Their values stand in the scan's filter, so others aren't listed or read."""
-    found = [r[0] for r in new.select(partition).distinct().limit(NAMED_PARTITIONS + 1).collect()]
-    if len(found) > NAMED_PARTITIONS:
-        return old.join(new.select(partition).distinct(), partition, "left_semi")
-    named = F.col(partition).isin([v for v in found if v is not None])
-    return old.where(named | F.col(partition).isNull() if None in found else named)
+    keys: rows with the store's key columns; only the buckets that can hold them are read.
+    """
+    path = path.rstrip("/")
+    numbers = _pointers(spark, path)
+    if not numbers:
+        return None
+    state = _state(spark, path, numbers[-1])
+    return _held(spark, path, state, None if keys is None else _touched(_bucketed(_typed(keys.select(*state["keys"]), state), state)))
+
+
+def _typed(rows: DataFrame, state: dict) -> DataFrame:
+    """rows with the store's types, on which hashes depend, in the order of its columns."""
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromJson(state["schema"]) if f.name in rows.columns])
+
+
+def _bucketed(rows: DataFrame, state: dict) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*state["keys"]), F.lit(state["buckets"])).cast("int"))
 
 
-def upsert_store(new: DataFrame, path: str, keys: list[str], partition: str) -> None:
-    """Replaces in the store at path the rows with the keys of new by the rows of new.
+def _touched(rows: DataFrame) -> set[int]:
+    """At most as many numbers as the store has buckets."""
+    return {r["bucket"] for r in rows.select("bucket").distinct().collect()}
 
-    Only partitions that new touches are read and written; the merged rows are written to the shared folder before the store is changed, and
-    the same call again gives the same store.
+
+def _latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    cols = [c for c in rows.columns if c not in keys and c != "bucket"]
+    return rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*[F.col("r")[c].alias(c) if c in cols else F.col(c) for c in rows.columns])
+
+
+def upsert_store(new: DataFrame, path: str, keys: list[str], latest: str | None = None, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Replaces in the store at path the rows with the keys of new by the rows of new; latest: of all rows with one key, the store's too, the
+    one with the greatest such column stays.
+
+    Rows lie in hash buckets of the keys, so that no key that many rows share in part (a root) is one folder. Only buckets that new touches
+    are read, and written into a new version folder; a numbered pointer names the folder of each bucket. It is published last, by a rename:
+    until then readers, and all after a write that failed, see the version before, whole. Of two writers that began from one version the second fails and may
+    call again. The number of buckets is a power of two that grows with the store: if they hold more than bucket_rows rows on average, the
+    store is dealt anew, which happens once in a doubling. The same call again gives the same rows. See vacuum for what old versions leave.
+    """
+    spark, path = new.sparkSession, path.rstrip("/")
+    numbers = _pointers(spark, path)
+    before = _state(spark, path, numbers[-1]) if numbers else None
+    state = before or {"schema": json.loads(new.schema.json()), "keys": keys, "buckets": 1, "parts": {}, "rows": {}}
+    if state["keys"] != keys:
+        raise ValueError(f"the store's keys are {state['keys']}, not {keys}")
+    new = cut(_typed(new, state))  # counted and asked for its buckets before it is written
+    count = new.count()
+    if before and not count:
+        return
+    total = sum(state["rows"].values()) + count
+    anew = total > state["buckets"] * bucket_rows
+    state = {**state, "buckets": 1 << (2 * total // bucket_rows).bit_length() if anew else state["buckets"]}
+    new = _bucketed(new, state)
+    if before:
+        old = _held(spark, path, before) if anew else _held(spark, path, before, _touched(new))
+        old = _bucketed(old.drop("bucket"), state)
+        new = old.unionByName(new) if latest else replace_pages(old, new, ["bucket", *keys])
+    if latest:
+        new = _latest(new, keys, latest)
+    version = uuid.uuid4().hex
+    folder, parts, rows = f"{path}/version={version}", {}, {}
+    if count:
+        new.repartition("bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(folder)
+        counts = spark.read.schema("bucket int").parquet(folder).groupBy("bucket").count().collect()  # from the files' footers
+        parts, rows = {str(r["bucket"]): version for r in counts}, {str(r["bucket"]): r["count"] for r in counts}
+    if not anew:
+        parts, rows = {**state["parts"], **parts}, {**state["rows"], **rows}
+    _publish(spark, path, numbers[-1] + 1 if numbers else 1, {**state, "parts": parts, "rows": rows})
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Deletes all that the last `keep` versions of a store don't need and returns the names of the deleted folders and pointers.
+
+    Call it when no reader of older versions and no writer is at work: a writer's folder that isn't published yet goes too.
     """
-    new = cut(new)  # asked for its partitions first
-    old = read_store(new.sparkSession, path)
-    if old is not None:
-        new = cut(replace_pages(touched(old, new, partition), new, keys).select(*old.columns))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    path = path.rstrip("/")
+    store, paths = _file_system(spark, path)
+    numbers = _pointers(spark, path)
+    used = {f"version={v}" for n in numbers[-keep:] for v in _state(spark, path, n)["parts"].values()}
+    gone = [f"_versions/{n:010}.json" for n in numbers[:-keep]] + [n for n in _below(spark, path) if n.startswith("version=") and n not in used]
+    for name in gone:
+        store.delete(paths(f"{path}/{name}"), True)
+    return gone
 
 
-def write_chunks(new: DataFrame, path: str) -> None:
-    """Chunks of the pages of new in place of those that the store has of these pages; partitions are roots."""
-    upsert_store(new, path, ["root_id", "page_id"], "root_id")
+def write_chunks(new: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Chunks of the pages of new in place of those that the store has of these pages."""
+    upsert_store(new, path, ["root_id", "page_id"], bucket_rows=bucket_rows)
 
 
-def write_vectors(new: DataFrame, path: str, buckets: int = 64) -> None:
+def write_vectors(new: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
     """The collection: vectors(chunk_id, ...) in place of those with their chunk_id; of several new rows with one the latest stays where
-    there is a column `batch`, else the largest. Partitions are hash buckets of the chunk_id."""
+    there is a column `batch`, else the largest."""
     cols = [c for c in new.columns if c != "chunk_id"]
     row = F.struct(*sorted(cols, key=lambda c: c != "batch"))
     one = new.groupBy("chunk_id").agg(F.max(row).alias("r")).select("chunk_id", *[F.col("r")[c].alias(c) for c in cols])
-    upsert_store(one.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int")), path, ["bucket", "chunk_id"], "bucket")
+    upsert_store(one, path, ["chunk_id"], bucket_rows=bucket_rows)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -174,9 +284,9 @@ def read_attachments(spark: SparkSession, path: str) -> DataFrame:
     return last.select("page_id", "relative_path", "r.*")
 
 
-def write_attachments(new: DataFrame, path: str, buckets: int = 64) -> None:
-    """Attachments of the pages of new in place of those that the store has of these pages; partitions are hash buckets of the page."""
-    upsert_store(new.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")), path, ["bucket", "page_id"], "bucket")
+def write_attachments(new: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Attachments of the pages of new in place of those that the store has of these pages."""
+    upsert_store(new, path, ["page_id"], bucket_rows=bucket_rows)
 
 
 def artifacts(df: DataFrame, keys: list[str]) -> DataFrame:

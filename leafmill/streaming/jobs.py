@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.common import cut
-from leafmill.sources.files import read_store, touched, upsert_store
+from leafmill.sources.files import BUCKET_ROWS, read_store, upsert_store
 
 JOB = "message_id string, root_id bigint, job_type string, ts timestamp"
 TICK = "root_id bigint, seq bigint, processed bigint, discovered bigint, page_id string, title string"
@@ -35,22 +34,15 @@ def dedupe_jobs(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return once.unionByName(timed.where("message_id is null"))
 
 
-def stream_upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: str = "ts", buckets: int = 16):
+def stream_upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: str = "ts", bucket_rows: int = BUCKET_ROWS):
     """Starts a query that keeps the latest row per key (by `order`) in target, a store in hash buckets of the keys.
 
     A batch reads and writes the buckets that it touches only, so its cost does not grow with the number of batches; one that runs again
-    gives the same rows.
+    gives the same rows, and one that fails leaves the version before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        cols = [c for c in batch.columns if c not in keys]
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        new = cut(new)
-        old = read_store(batch.sparkSession, target)
-        if old is not None:
-            new = new.unionByName(touched(old, new, "bucket").join(new.select("bucket", *keys).distinct(), ["bucket", *keys], "left_semi").select(*new.columns))
-        latest = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*keys, *[F.col("r")[c].alias(c) for c in cols], "bucket")
-        upsert_store(latest, target, ["bucket", *keys], "bucket")
+        upsert_store(batch, target, keys, latest=order, bucket_rows=bucket_rows)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

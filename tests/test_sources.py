@@ -20,11 +20,9 @@ def test_chunks_round_trip_and_bad_lines(spark, tmp_path):
     files.write_chunks(old, path)
     other = spark.createDataFrame([("5-0", 2, 5, "", 0, "other root")], files.CHUNK)
     files.write_chunks(other, path)
-    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "root_id=2").glob("*.parquet")}
     for _ in range(2):  # the same write again changes nothing
         files.write_chunks(good, path)
-        assert sorted((r.chunk_id, r.text) for r in spark.read.parquet(path).collect()) == [("5-0", "other root"), ("7-0", "a"), ("9-0", "kept")]
-    assert untouched == {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "root_id=2").glob("*.parquet")}
+        assert sorted((r.chunk_id, r.text) for r in files.read_store(spark, path).collect()) == [("5-0", "other root"), ("7-0", "a"), ("9-0", "kept")]
 
 
 def test_vectors_latest_of_repeated_rows_stays(spark, tmp_path):
@@ -70,16 +68,57 @@ def test_page_documents(spark):
     assert [r.value for r in files.artifacts(tables, ["page_id"]).orderBy("value").collect()] == ['{"page_id":1,"table_id":"table-1"}', '{"page_id":1,"table_id":"table-2"}']
 
 
-def test_a_store_is_read_in_the_touched_partitions_only(spark, tmp_path):
-    path = str(tmp_path / "v")
-    rows = spark.range(500).selectExpr("cast(id as string) as chunk_id", "array(1.0f) as embedding", "1 as batch")
-    files.write_vectors(rows, path)
-    new = spark.createDataFrame([("7", 3), ("8", 3)], "chunk_id string, bucket int")
-    plan = files.touched(files.read_store(spark, path), new, "bucket")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "(bucket" in plan.split("PartitionFilters")[1] and " = 3)" in plan and "Join" not in plan
-    odd = spark.createDataFrame([(None,), (1,)], "p int")
-    assert sorted(str(r.p) for r in files.touched(spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "p int, v int"), odd, "p").collect()) == ["1", "None"]
-    assert files.touched(files.read_store(spark, path), new.limit(0), "bucket").collect() == []
+def _ids(df):
+    return sorted((r.id, r.v) for r in df.collect())
+
+
+def test_a_store_grows_its_buckets_and_reads_the_touched_ones_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    want = {}
+    for low, high, v in ((0, 50, 1), (40, 90, 2), (60, 500, 3), (7, 9, 4)):
+        files.upsert_store(spark.range(low, high).withColumn("v", F.lit(v)), path, ["id"], bucket_rows=40)
+        want |= {i: v for i in range(low, high)}
+        assert _ids(files.read_store(spark, path)) == sorted(want.items())
+    state = files._state(spark, path, 4)
+    assert state["buckets"] >= 16 and state["buckets"] & (state["buckets"] - 1) == 0 and sum(state["rows"].values()) == 500
+    parts = {b: v for b, v in files._state(spark, path, 3)["parts"].items() if v != state["parts"][b]}
+    assert 1 <= len(parts) <= 2 and len(set(state["parts"].values())) == 2  # two keys were written, the other buckets are where they were
+    some = files.read_store(spark, path, spark.createDataFrame([(7,)], "id int"))  # as the store's type, whatever the caller's
+    assert len(some.inputFiles()) == 1 and (7, 4) in _ids(some)
+    assert files.read_store(spark, path, spark.createDataFrame([], "id long")).collect() == []
+    with pytest.raises(ValueError, match="keys"):
+        files.upsert_store(spark.range(1).withColumn("v", F.lit(1)), path, ["v"])
+    gone = files.vacuum(spark, path)
+    assert len([n for n in gone if n.startswith("_versions")]) == 3 and len(gone) > 3
+    assert _ids(files.read_store(spark, path)) == sorted(want.items()) and files.vacuum(spark, path) == []
+
+
+def test_a_write_that_fails_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    files.upsert_store(spark.range(20).withColumn("v", F.lit(1)), path, ["id"], bucket_rows=4)
+    old = files.read_store(spark, path)
+    new = spark.range(10, 30).withColumn("v", F.lit(2))
+    with monkeypatch.context() as m:
+        m.setattr(files, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            files.upsert_store(new, path, ["id"], bucket_rows=4)
+    assert _ids(files.read_store(spark, path)) == [(i, 1) for i in range(20)]
+    files.upsert_store(new, path, ["id"], bucket_rows=4)
+    assert _ids(files.read_store(spark, path)) == [(i, 1 if i < 10 else 2) for i in range(30)]
+    assert _ids(old) == [(i, 1) for i in range(20)]  # a reader of the version before still has it
+    with pytest.raises(Exception, match="exist"):  # another writer was faster
+        files._publish(spark, path, 2, files._state(spark, path, 2))
+
+
+def test_null_keys_empty_writes_and_latest_rows(spark, tmp_path):
+    path, kind = str(tmp_path / "s"), "id long, v int"
+    files.upsert_store(spark.createDataFrame([], kind), path, ["id"])
+    assert files.read_store(spark, path).columns == ["id", "v", "bucket"] and files.read_store(spark, path).count() == 0
+    for _ in range(2):
+        files.upsert_store(spark.createDataFrame([(None, 1), (1, 1), (1, 2)], kind), path, ["id"])
+        assert sorted((str(r.id), r.v) for r in files.read_store(spark, path).collect()) == [("1", 1), ("1", 2), ("None", 1)]
+    files.upsert_store(spark.createDataFrame([(None, 0), (1, 3), (2, None)], kind), path, ["id"], latest="v")
+    assert sorted((str(r.id), r.v or -1) for r in files.read_store(spark, path).collect()) == [("1", 3), ("2", -1), ("None", 1)]
 
 
 def test_files_are_written_whole_and_again(spark, tmp_path):
