@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,21 +47,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, n
     return out
 
 
-def _best(k: int, threshold: float):
-    """For a block of queries and a block of vectors: the k best rows of each query, ties by chunk_id."""
+def _best(k: int):
+    """For a block of queries and a block of vectors: the k best rows of each query that reach its least score, ties by chunk_id."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         names = np.array(vectors.column("chunk_id").to_pylist(), object)
         place = np.empty(len(names), np.int64)
         place[np.argsort(names.astype(str), kind="stable")] = np.arange(len(names))
+        least = queries.column("least").to_numpy()
         asked, held = _matrix(queries.column("embedding")), _matrix(vectors.column("embedding"))
         for n in asked.keys() & held.keys():
             (qs, q), (vs, v) = asked[n], held[n]
             for at in range(0, len(q), 256) if len(v) else ():
                 score = q[at : at + 256] @ v.T
                 low = np.partition(score, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))] - 1e-11
-                i, j = np.nonzero(score >= np.maximum(low, threshold)[:, None])
+                i, j = np.nonzero(score >= np.maximum(low, least[qs[at : at + 256]])[:, None])
                 near = np.round(score[i, j], 11)  # equal vectors tie, wherever they lie
                 order = np.lexsort((place[vs[j]], -near, i))
                 i, j, near = i[order], j[order], near[order]
@@ -88,14 +88,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float
     """
     asked, held = _clean(queries, "query_id"), _clean(vectors, "chunk_id")
     area = F.col("root_id") if scoped else F.lit(0).cast("long")
-    return top_k(_meet(asked.withColumn("area", area), held.withColumn("area", area), k, threshold, query_block, vector_block, whole=not scoped), k)
+    return top_k(_meet(asked.withColumns({"area": area, "least": F.lit(float(threshold))}), held.withColumn("area", area), k, query_block, vector_block, whole=not scoped), k)
 
 
 def _clean(df: DataFrame, ident: str) -> DataFrame:
     return df.select(ident, F.coalesce("root_id", F.lit(-1)).cast("long").alias("root_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("size(embedding) > 0 and not exists(embedding, x -> x is null)")
 
 
-def _meet(asked: DataFrame, held: DataFrame, k: int, threshold: float, query_block: int, vector_block: int, whole: bool = False) -> DataFrame:
+def _meet(asked: DataFrame, held: DataFrame, k: int, query_block: int, vector_block: int, whole: bool = False) -> DataFrame:
     """The k best of each query in each pair of blocks; blocks are made inside each area. whole: there is one area."""
     blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
     kinds = dict(asked.dtypes)["query_id"], dict(held.dtypes)["chunk_id"]
@@ -107,27 +107,27 @@ def _meet(asked: DataFrame, held: DataFrame, k: int, threshold: float, query_blo
         asked, held = asked.join(sizes, "area"), held.join(sizes, "area")
     own = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.select("query_id", "embedding", "area", own("query_id", "qs").alias("qb"), every("vs").alias("vb"))
+    left = asked.select("query_id", "embedding", "least", "area", own("query_id", "qs").alias("qb"), every("vs").alias("vb"))
     right = held.select("chunk_id", "root_id", "embedding", "area", every("qs").alias("qb"), own("chunk_id", "vs").alias("vb"))
     keys = ["area", "qb", "vb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k, threshold), f"query_id {kinds[0]}, chunk_id {kinds[1]}, root_id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, root_id long, score double")
 
 
 #: The centres of cells hold at most so many numbers (32 MB) and go to all tasks; vectors too long for that get no centre.
-CENTRE_NUMBERS, MAX_CENTRES = 4_000_000, 4096
-#: Width of a ring around a centre, in radians: 63 rings at most. Slack for rounding, in angles and in cosines.
-RING, ANGLE_SLACK, COSINE_SLACK = 0.05, 1e-6, 1e-9
+CENTRE_NUMBERS = 4_000_000
+#: For rounding, in angles and in cosines.
+ANGLE_SLACK, COSINE_SLACK = 1e-6, 1e-9
 _NO_CENTRE = (1 << 20) - 1
 
 
-def cell_centres(vectors: DataFrame, centres: int | None = None) -> dict[int, np.ndarray]:
-    """{length: unit vectors}: rows of vectors(chunk_id, embedding) chosen by the hash of their ids, by default the root of their number.
+def cell_centres(vectors: DataFrame, centres: int = 256) -> dict[int, np.ndarray]:
+    """{length: unit vectors}: `centres` rows of vectors(chunk_id, embedding) chosen by the hash of their ids.
 
-    The choice decides how much a search can leave out, never what it finds.
+    The choice decides how much a search can leave out, never what it finds. A query is sent to `centres` cells at most, so that what is
+    sent grows with the queries alone.
     """
     held = _clean(vectors.withColumn("root_id", F.lit(0)), "chunk_id")
-    n = centres or min(MAX_CENTRES, max(1, round(held.count() ** 0.5)))
-    rows = held.where(F.size("embedding") <= CENTRE_NUMBERS // n).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n).select("embedding").toArrow()
+    rows = held.where(F.size("embedding") <= CENTRE_NUMBERS // centres).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(centres).select("embedding").toArrow()
     return {size: unit for size, (_, unit) in _matrix(rows.column("embedding")).items() if len(unit)}
 
 
@@ -136,7 +136,7 @@ def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def in_cells(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """(chunk_id, root_id, embedding, area, angle): the area is the nearest centre of the vector's length and the ring around it, angle the
+    """(chunk_id, root_id, embedding, area, angle): the area is the cell of the nearest centre of the vector's length, angle the
     distance to that centre. Vectors of a length without centres share an area of that length; those that match nothing are left out."""
     held = _clean(vectors, "chunk_id")
 
@@ -144,12 +144,12 @@ def in_cells(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
         for part in parts:
             area, angle = np.full(part.num_rows, -1, np.int64), np.zeros(part.num_rows)
             for n, (at, unit) in _matrix(part.column("embedding")).items():
-                area[at] = n << 26 | _NO_CENTRE << 6
+                area[at] = n << 20 | _NO_CENTRE
                 for i in range(0, len(at), 1024) if n in centres else ():
                     far = _angles(unit[i : i + 1024], centres[n])
                     near, some = far.argmin(axis=1), at[i : i + 1024]
                     angle[some] = far[np.arange(len(near)), near]
-                    area[some] = n << 26 | near.astype(np.int64) << 6 | (angle[some] / RING).astype(np.int64)
+                    area[some] = n << 20 | near
             cols = [*part.columns, pa.array(area), pa.array(angle)]
             yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "area", "angle"]).filter(pa.array(area >= 0))
 
@@ -157,42 +157,38 @@ def in_cells(vectors: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _reach(asked: DataFrame, centres: dict[int, np.ndarray], areas: dict[int, np.ndarray], k: int, first: bool) -> DataFrame:
-    """(query_id, embedding, area) of each query and the areas that it must meet.
+    """(query_id, embedding, least, area) of each query and the areas that it must meet.
 
-    areas: {length: rows of centre, ring, least angle, greatest angle, number of vectors}. first: the nearest areas that hold k vectors
-    between them. Else all others that can hold a vector within the query's column `reach`: by the triangle inequality of angles no vector
-    of an area is nearer than the gap between the query's angle to the centre and the angles of the area.
+    areas: {length: rows of centre, least angle, greatest angle, number of vectors}. first: the nearest areas that hold k vectors between
+    them. Else all others that can hold a vector of the query's least score: by the triangle inequality of angles no vector of an area is
+    nearer than the gap between the query's angle to the centre and the angles of the area.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not part.num_rows:
-                continue
-            reach = part.column("reach").to_numpy(zero_copy_only=False)
+            reach = np.arccos(np.clip(part.column("least").to_numpy() - COSINE_SLACK, -1, 1)) + ANGLE_SLACK
             for n, (at, unit) in _matrix(part.column("embedding")).items():
-                rows, marks = [at] if first else [], [np.full(len(at), n << 26 | _NO_CENTRE << 6)] if first else []
+                rows, marks = [at] if first else [], [np.full(len(at), n << 20 | _NO_CENTRE)] if first else []
                 if n in areas:
-                    centre, ring, low, high, count = areas[n].T
-                    names = n << 26 | centre.astype(np.int64) << 6 | ring.astype(np.int64)
-                    step = max(1, 1_000_000 // len(names))
-                    for i in range(0, len(at), step):
-                        far = _angles(unit[i : i + step], centres[n])[:, centre.astype(np.int64)]
+                    low, high, count = areas[n][:, 1:].T
+                    centre = areas[n][:, 0].astype(np.int64)
+                    for i in range(0, len(at), 1024):
+                        far = _angles(unit[i : i + 1024], centres[n][centre])
                         gap = np.maximum(np.maximum(far - high, low - far), 0)
                         order = np.lexsort((far, gap), axis=1)
-                        before = np.cumsum(count[order], axis=1) - count[order]
                         met = np.zeros(gap.shape, bool)
-                        np.put_along_axis(met, order, before < k, axis=1)
+                        np.put_along_axis(met, order, np.cumsum(count[order], axis=1) - count[order] < k, axis=1)
                         if not first:
-                            met = ~met & (gap <= reach[at[i : i + step], None] + ANGLE_SLACK)
+                            met = ~met & (gap <= reach[at[i : i + 1024], None])
                         q, a = np.nonzero(met)
-                        rows.append(at[i : i + step][q])
-                        marks.append(names[a])
+                        rows.append(at[i : i + 1024][q])
+                        marks.append(n << 20 | centre[a])
                 which, area = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, marks))
                 for i in range(0, len(which), 10_000):
-                    some = pa.array(which[i : i + 10_000])
-                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(some), part.column("embedding").take(some), pa.array(area[i : i + 10_000])], names=["query_id", "embedding", "area"])
+                    some = part.take(pa.array(which[i : i + 10_000]))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(area[i : i + 10_000])], names=[*some.schema.names, "area"])
 
-    return asked.select("query_id", "embedding", "reach").mapInArrow(run, f"query_id {dict(asked.dtypes)['query_id']}, embedding array<double>, area long")
+    return asked.select("query_id", "embedding", "least").mapInArrow(run, f"query_id {dict(asked.dtypes)['query_id']}, embedding array<double>, least double, area long")
 
 
 def search_cells(queries: DataFrame, cells: DataFrame, centres: dict[int, np.ndarray], k: int = 5, threshold: float = -1.0, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -200,26 +196,23 @@ def search_cells(queries: DataFrame, cells: DataFrame, centres: dict[int, np.nda
 
     cells: what in_cells gave for the same centres, stored; it is read and never copied, but for areas that more than query_block queries
     meet. Each query first meets the nearest areas that hold k vectors. The k-th score found there is a distance within which its k best
-    must lie, so that only areas that reach into it are met then. Exact for any data; how much is left out depends on them: vectors in
+    must lie, so that only areas that reach into it are met then, and only better hits handed on. Exact for any data; how much is left out depends on them: vectors in
     groups leave most out, vectors in all directions alike nothing. Nulls, zero vectors, lengths and ties as in search; scopes are not for
     it, since search makes its blocks inside them.
     """
-    asked = _clean(queries.withColumn("root_id", F.lit(0)), "query_id")
-    per_area = cells.groupBy("area").agg(F.min("angle"), F.max("angle"), F.count("*"))
-    centred = (F.col("area").bitwiseAND(_NO_CENTRE << 6)) != _NO_CENTRE << 6
+    asked = _clean(queries.withColumn("root_id", F.lit(0)), "query_id").withColumn("least", F.lit(float(threshold)))
+    per_area = cells.groupBy("area").agg(F.min("angle"), F.max("angle"), F.count("*").alias("n"))
     areas: dict[int, list] = {}
-    for area, low, high, n in per_area.where(centred).collect():  # at most 63 a centre
-        areas.setdefault(area >> 26, []).append((area >> 6 & _NO_CENTRE, area & 63, low, high, n))
+    for area, low, high, n in per_area.where(F.col("area").bitwiseAND(_NO_CENTRE) != _NO_CENTRE).collect():  # a row a centre
+        areas.setdefault(area >> 20, []).append((area & _NO_CENTRE, low, high, n))
     packed = {n: np.array(sorted(rows), np.float64) for n, rows in areas.items()}
-    all_of = math.acos(max(-1.0, min(1.0, threshold - COSINE_SLACK)))
-    near = kept(_reach(asked.withColumn("reach", F.lit(all_of)), centres, packed, k, True))
-    found = kept(top_k(_meet(near, cells, k, threshold, query_block, vector_block), k))
-    last = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("last"))
-    within = F.when(F.col("last").isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("last") - COSINE_SLACK))))
-    bounded = asked.alias("q").join(last.alias("l"), F.col("q.query_id").eqNullSafe(F.col("l.query_id")), "left").select("q.query_id", "q.embedding", F.coalesce(within, F.lit(all_of)).alias("reach"))
+    near = kept(_reach(asked, centres, packed, k, True))
+    found = kept(top_k(_meet(near, cells, k, query_block, vector_block), k))
+    last = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score") - COSINE_SLACK).alias("last"))
+    bounded = asked.alias("q").join(last.alias("l"), F.col("q.query_id").eqNullSafe(F.col("l.query_id")), "left").select("q.query_id", "q.embedding", F.greatest("last", "least").alias("least"))
     more = kept(_reach(bounded, centres, packed, k, False))
-    hits = top_k(found.drop("rank").unionByName(_meet(more, cells, k, threshold, query_block, vector_block)), k)
-    met = near.unionByName(more).select("query_id", "area").join(per_area.select("area", F.col("count(1)").alias("n")), "area")
+    hits = top_k(found.drop("rank").unionByName(_meet(more, cells, k, query_block, vector_block)), k)
+    met = near.unionByName(more).select("query_id", "area").join(per_area.select("area", "n"), "area")
     return hits, met
 
 

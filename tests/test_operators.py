@@ -190,7 +190,7 @@ def test_search_with_odd_vectors(spark):
     assert vectors.search(q.limit(0), v).collect() == [] and vectors.search(q, v.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("k, threshold, centres", [(1, -1.0, 7), (3, 0.3, None), (200, -1.0, 40)])
+@pytest.mark.parametrize("k, threshold, centres", [(1, -1.0, 7), (3, 0.3, 256), (200, -1.0, 40)])
 def test_search_in_cells_equals_search(spark, sf_dir, k, threshold, centres):
     from leafmill.plans.queries import _sides
 
