@@ -725,7 +725,7 @@ def chunk_store(spark, sf_dir):
     """Chunks as JSON lines are read into a store; then a third of the pages is rewritten with one chunk each."""
     path = scratch(spark, "chunks")
     rows = chunks.chunk_pages(derived(spark, sf_dir, fx.MARKDOWN)).withColumn("root_id", F.col("page_id") % 9)
-    files.artifacts(rows, []).write.text(f"{path}/in")
+    files.artifacts(rows, []).write.text(f"{path}/in", compression="gzip")
     good, _ = files.read_chunks(spark, f"{path}/in")
     files.write_chunks(good, f"{path}/out")
     files.write_chunks(good.where("page_id % 3 = 0 and chunk_index = 0").withColumn("text", F.lit("new")), f"{path}/out")

@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafmill.operators.common import cut
-
 MANIFEST_PAGE = "page_id bigint, title string, web_url string, markdown_extracted boolean, chunked boolean, vector_ingested boolean, last_error string, no_of_retries int"
 MANIFEST = f"root_id bigint, version int, base_url string, created_at timestamp, updated_at timestamp, total_pages int, pages array<struct<{', '.join(c.replace(' ', ': ', 1) for c in MANIFEST_PAGE.split(', '))}>>"
 CHUNK = "chunk_id string, root_id bigint, page_id bigint, heading_path string, chunk_index int, text string"
@@ -149,19 +147,28 @@ def upsert_store(new: DataFrame, path: str, keys: list[str], latest: str | None
     """
     spark, path = new.sparkSession, path.rstrip("/")
     numbers = _pointers(spark, path)
-    before = _state(spark, path, numbers[-1]) if numbers else None
-    state = before or {"schema": json.loads(new.schema.json()), "keys": keys, "buckets": 1, "parts": {}, "rows": {}}
+    state = _state(spark, path, numbers[-1]) if numbers else {"schema": json.loads(new.schema.json()), "keys": keys, "buckets": 1, "parts": {}, "rows": {}}
     if state["keys"] != keys:
         raise ValueError(f"the store's keys are {state['keys']}, not {keys}")
-    new = cut(_typed(new, state))  # counted and asked for its buckets before it is written
-    count = new.count()
-    if before and not count:
+    store, paths = _file_system(spark, path)
+    waiting = f"{path}/_write-{uuid.uuid4().hex}"
+    try:
+        _typed(new, state).write.parquet(waiting)  # counted and asked for its buckets before it is written
+        _commit(spark.read.schema(StructType.fromJson(state["schema"])).parquet(waiting), path, state, numbers[-1] if numbers else 0, latest, bucket_rows)
+    finally:
+        store.delete(paths(waiting), True)
+
+
+def _commit(new: DataFrame, path: str, before: dict, number: int, latest: str | None, bucket_rows: int) -> None:
+    """Version number + 1 of the store: version `number`, which is `before`, with the rows of new."""
+    spark, keys, count = new.sparkSession, before["keys"], new.count()
+    if number and not count:
         return
-    total = sum(state["rows"].values()) + count
-    anew = total > state["buckets"] * bucket_rows
-    state = {**state, "buckets": 1 << (2 * total // bucket_rows).bit_length() if anew else state["buckets"]}
+    total = sum(before["rows"].values()) + count
+    anew = total > before["buckets"] * bucket_rows
+    state = {**before, "buckets": 1 << (2 * total // bucket_rows).bit_length() if anew else before["buckets"]}
     new = _bucketed(new, state)
-    if before:
+    if before["parts"]:
         old = _held(spark, path, before) if anew else _held(spark, path, before, _touched(new))
         old = _bucketed(old.drop("bucket"), state)
         new = old.unionByName(new) if latest else replace_pages(old, new, ["bucket", *keys])
@@ -174,8 +181,8 @@ def upsert_store(new: DataFrame, path: str, keys: list[str], latest: str | None
         counts = spark.read.schema("bucket int").parquet(folder).groupBy("bucket").count().collect()  # from the files' footers
         parts, rows = {str(r["bucket"]): version for r in counts}, {str(r["bucket"]): r["count"] for r in counts}
     if not anew:
-        parts, rows = {**state["parts"], **parts}, {**state["rows"], **rows}
-    _publish(spark, path, numbers[-1] + 1 if numbers else 1, {**state, "parts": parts, "rows": rows})
+        parts, rows = {**before["parts"], **parts}, {**before["rows"], **rows}
+    _publish(spark, path, number + 1, {**state, "parts": parts, "rows": rows})
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
@@ -187,7 +194,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     store, paths = _file_system(spark, path)
     numbers = _pointers(spark, path)
     used = {f"version={v}" for n in numbers[-keep:] for v in _state(spark, path, n)["parts"].values()}
-    gone = [f"_versions/{n:010}.json" for n in numbers[:-keep]] + [n for n in _below(spark, path) if n.startswith("version=") and n not in used]
+    gone = [f"_versions/{n:010}.json" for n in numbers[:-keep]] + [n for n in _below(spark, path) if n.startswith(("version=", "_write-")) and n not in used]
     for name in gone:
         store.delete(paths(f"{path}/{name}"), True)
     return gone
