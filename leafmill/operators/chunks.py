@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import join_lists, no_blank, strip
+from leafmill.functions.text import join_lists, named, no_blank, strip
 from leafmill.operators.attachments import ENRICHMENT_HEADING
 
 MAX_CHARACTERS = 4000
@@ -37,12 +37,34 @@ def heading_paths(rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "section", F.array_join(F.filter(F.array(*titles), lambda t: t.isNotNull()), " > ").alias("heading_path"))
 
 
+def _sections() -> Column:
+    """array<struct<section, heading_path, body>> of the column md: the stretches between headings that aren't blank.
+
+    A page stays in its row, so that its text is shuffled nowhere.
+    """
+    lines_, mark = F.split("md", "\n"), r"^(#{1,6})\s+(.+)$"
+    heading = lambda line, i: F.when(line.startswith("#") & line.rlike(mark), F.struct(i.alias("pos"), F.length(F.regexp_extract(line, mark, 1)).alias("level"), strip(F.regexp_extract(line, mark, 2)).alias("title")))
+    headings = lambda ls: F.filter(F.transform(ls, heading), lambda h: h.isNotNull())
+
+    def holding(state: Column, h: Column) -> Column:
+        """The titles of levels 1 to 6 that hold from a heading on, and the paths so far."""
+        held = F.transform(state["held"], lambda t, i: F.when(i < h["level"] - 1, t).when(i == h["level"] - 1, no_blank(h["title"])))
+        return named(held, lambda t: F.struct(t.alias("held"), F.concat(state["paths"], F.array(F.array_join(t, " > "))).alias("paths")))
+
+    def parts(ls: Column, hs: Column) -> Column:
+        start = F.struct(F.array_repeat(F.lit(None).cast("string"), 6).alias("held"), F.array(F.lit("")).alias("paths"))
+        paths = F.aggregate(hs, start, holding, lambda s: s["paths"])
+        begins = F.concat(F.array(F.lit(0)), F.transform(hs, lambda h: h["pos"] + 1))
+        ends = F.concat(F.transform(hs, lambda h: h["pos"]), F.array(F.size(ls)))
+        body = lambda z, i: F.struct(i.cast("long").alias("section"), z["path"].alias("heading_path"), strip(F.array_join(F.slice(ls, z["from"] + 1, z["to"] - z["from"]), "\n")).alias("body"))
+        return F.filter(F.transform(F.arrays_zip(paths.alias("path"), begins.alias("from"), ends.alias("to")), body), lambda s: s["body"] != "")
+
+    return named(lines_, lambda ls: named(headings(ls), lambda hs: parts(ls, hs)))
+
+
 def sections(md: DataFrame) -> DataFrame:
     """(page_id, section, heading_path, body) for each stretch between headings that isn't blank."""
-    body = heading_paths(lines(md)).where("level is null")
-    held = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    out = body.groupBy("page_id", "section").agg(F.min_by("heading_path", "pos").alias("heading_path"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("body"))
-    return out.withColumn("body", strip(F.col("body"))).where("body <> ''")
+    return md.where("md is not null").select("page_id", F.inline(_sections()))
 
 
 def pack(body: Column, most: int = MAX_CHARACTERS) -> Column:
@@ -55,10 +77,9 @@ def pack(body: Column, most: int = MAX_CHARACTERS) -> Column:
 
     def add(state: Column, p: Column) -> Column:
         parts, open_ = state["parts"], state["open"]
-        joined = F.concat(open_, F.lit("\n\n"), p)
         closed = F.when(open_ == "", parts).otherwise(F.concat(parts, F.array(open_)))
         return (
-            F.when((open_ != "") & (F.length(joined) <= most), F.struct(parts.alias("parts"), joined.alias("open")))
+            F.when((open_ != "") & (F.length(open_) + 2 + F.length(p) <= most), F.struct(parts.alias("parts"), F.concat(open_, F.lit("\n\n"), p).alias("open")))
             .when(F.length(p) <= most, F.struct(closed.alias("parts"), p.alias("open")))
             .otherwise(F.struct(F.concat(closed, slices(p)).alias("parts"), F.lit("").alias("open")))
         )
@@ -70,9 +91,9 @@ def pack(body: Column, most: int = MAX_CHARACTERS) -> Column:
 
 def chunk_pages(md: DataFrame, most: int = MAX_CHARACTERS) -> DataFrame:
     """(chunk_id, page_id, heading_path, chunk_index, text): chunks of md(page_id, md), numbered from 0 in page order."""
-    parts = sections(md).select("page_id", "section", "heading_path", F.posexplode(pack(F.col("body"), most)).alias("part", "text"))
-    ix = (F.row_number().over(Window.partitionBy("page_id").orderBy("section", "part")) - 1).alias("chunk_index")
-    return parts.select("page_id", "heading_path", ix, "text").select(F.concat_ws("-", "page_id", "chunk_index").alias("chunk_id"), "page_id", "heading_path", "chunk_index", "text")
+    parts = F.flatten(F.transform(_sections(), lambda s: F.transform(pack(s["body"], most), lambda t: F.struct(s["heading_path"].alias("heading_path"), t.alias("text")))))
+    rows = md.where("md is not null").select("page_id", F.posexplode(parts).alias("chunk_index", "c"))
+    return rows.select(F.concat_ws("-", "page_id", "chunk_index").alias("chunk_id"), "page_id", "c.heading_path", "chunk_index", "c.text")
 
 
 def chunk_metadata(manifest: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose time or traffic must not grow faster than their input."""
 
-from leafmill.operators import markup
+from leafmill.operators import chunks, markup
+from leafmill.sources import files
 
 
 def plan(df):
@@ -14,3 +15,22 @@ def test_outlines_are_made_before_any_shuffle(spark):
     bare = toks.select("page_id", "ix", "kind", "tag", "attrs", "text", "depth")  # from these, parents and levels come by windows
     same = lambda x, y: sorted(map(tuple, x.collect()), key=str) == sorted(map(tuple, y.select(*x.columns).collect()), key=str)
     assert same(markup.nodes(bare), markup.nodes(toks)) and same(markup._levels(bare), toks)
+
+
+def test_chunks_are_made_where_the_page_lies(spark):
+    md = "intro\n# A\n\n## B\r\nx\n### C  \ny\n#no\n####### no\n## \n## D\nz\n# E\n\n## F\n" + "w" * 5000
+    df = spark.createDataFrame([(1, md), (2, None), (3, ""), (4, "# only"), (5, "a\n\nb")], "page_id long, md string")
+    for made in (chunks.sections(df), chunks.chunk_pages(df)):
+        assert "Exchange" not in plan(made)
+    body = chunks.heading_paths(chunks.lines(df)).where("level is null")  # section and path of each line by windows
+    want = {(r.page_id, r.section, r.heading_path) for r in body.where("line rlike '\\\\S'").collect()}
+    assert {(r.page_id, r.section, r.heading_path) for r in chunks.sections(df).collect()} == want
+    got = chunks.chunk_pages(df).where("page_id = 1").orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in got] == list(range(len(got))) and [len(r.text) for r in got][-2:] == [4000, 1000]
+
+
+def test_chunk_lines_are_parsed_once(spark, tmp_path):
+    (tmp_path / "7.jsonl").write_text('{"chunk_id": "7-0", "root_id": 1, "page_id": 7, "heading_path": "", "chunk_index": 0, "text": "a"}\n')
+    good, _ = files.read_chunks(spark, str(tmp_path))
+    assert "from_json" not in plan(good).lower() and "jsontostructs" not in plan(good).lower() and "Join" not in plan(good)
+    assert [r.text for r in good.collect()] == ["a"]
