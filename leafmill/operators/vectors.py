@@ -80,7 +80,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float
 
     queries(query_id, root_id, embedding) against vectors(chunk_id, root_id, embedding). Both are dealt by hash into blocks of about
     query_block and vector_block rows; each block of queries meets each block of vectors in a task of its own, which hands on the k best
-    of each query, so that no task or driver holds all of either and no pairs are written. scoped: only vectors of the query's root,
+    of each query, so that no task or driver holds all of either and no pairs are written. Equal queries are asked once. scoped: only vectors of the query's root,
     blocks being made inside each root. Scores have 11 digits; ties go by chunk_id.
 
     Null, empty and zero vectors and those with null or non-finite components match nothing; vectors of different lengths aren't compared.
@@ -88,7 +88,10 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float
     """
     asked, held = _clean(queries, "query_id"), _clean(vectors, "chunk_id")
     area = F.col("root_id") if scoped else F.lit(0).cast("long")
-    return top_k(_meet(asked.withColumns({"area": area, "least": F.lit(float(threshold))}), held.withColumn("area", area), k, query_block, vector_block, whole=not scoped), k)
+    who = asked.select("query_id", "embedding", area.alias("area"))
+    once = kept(who.select("embedding", "area").distinct().withColumn("number", F.monotonically_increasing_id()))
+    hits = top_k(_meet(once.select(F.col("number").alias("query_id"), "embedding", "area", F.lit(float(threshold)).alias("least")), held.withColumn("area", area), k, query_block, vector_block, whole=not scoped), k)
+    return who.join(once, ["embedding", "area"]).select("query_id", "number").join(hits.withColumnRenamed("query_id", "number"), "number").drop("number")
 
 
 def _clean(df: DataFrame, ident: str) -> DataFrame:

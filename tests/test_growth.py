@@ -1,6 +1,6 @@
 """Steps whose time or traffic must not grow faster than their input."""
 
-from leafmill.operators import chunks, markup
+from leafmill.operators import chunks, markup, vectors
 from leafmill.sources import files
 
 
@@ -34,3 +34,15 @@ def test_chunk_lines_are_parsed_once(spark, tmp_path):
     good, _ = files.read_chunks(spark, str(tmp_path))
     assert "from_json" not in plan(good).lower() and "jsontostructs" not in plan(good).lower() and "Join" not in plan(good)
     assert [r.text for r in good.collect()] == ["a"]
+
+
+def test_equal_queries_are_asked_once(spark, monkeypatch):
+    met, meet = [], vectors._meet
+    monkeypatch.setattr(vectors, "_meet", lambda asked, *rest, **more: met.append(asked) or meet(asked, *rest, **more))
+    kind = "root_id long, embedding array<double>"
+    q = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.0]), (None, 1, [1.0, 0.0]), ("c", 1, [0.0, 1.0])], f"query_id string, {kind}")
+    v = spark.createDataFrame([("x", 1, [2.0, 0.1]), ("y", 2, [0.1, 1.0])], f"chunk_id string, {kind}")
+    hits = lambda **more: sorted((str(r.query_id), r.chunk_id, r["rank"]) for r in vectors.search(q, v, k=1, **more).collect())
+    assert hits() == [("None", "x", 1), ("a", "x", 1), ("b", "x", 1), ("c", "y", 1)]
+    assert hits(scoped=True) == [("None", "x", 1), ("a", "x", 1), ("b", "y", 1), ("c", "x", 1)]
+    assert [m.count() for m in met] == [2, 3]  # by root where scoped
