@@ -46,3 +46,16 @@ def test_equal_queries_are_asked_once(spark, monkeypatch):
     assert hits() == [("None", "x", 1), ("a", "x", 1), ("b", "x", 1), ("c", "y", 1)]
     assert hits(scoped=True) == [("None", "x", 1), ("a", "x", 1), ("b", "y", 1), ("c", "x", 1)]
     assert [m.count() for m in met] == [2, 3]  # by root where scoped
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    texts = {"1/5/5.md": "new", "1/5/page.md": "old", "2/6/page.md": "b c", "2/6/.x.md": "hidden", "_no/7/7.md": "hidden", "a=1/8/8.md": "é", "1/9/9.md": ""}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    pages = files.read_markdown(spark, str(tmp_path))
+    assert sorted(map(tuple, pages.collect())) == [(5, "new"), (6, "b c"), (8, "é")]
+    assert not [f for f in pages.inputFiles() if f.endswith(".md")]
+    names = lambda path: sorted(r.path.removeprefix(f"file:{tmp_path}/") for r in files.list_files(spark, path).collect())
+    assert names(f"file:{tmp_path}/?/*/page.md") == ["1/5/page.md", "2/6/page.md"] and names(f"{tmp_path}/1/*") == ["1/5/5.md", "1/5/page.md"]
+    assert names(f"{tmp_path}/1/5/5.md") == ["1/5/5.md"]
