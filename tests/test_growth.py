@@ -59,3 +59,5 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     names = lambda path: sorted(r.path.removeprefix(f"file:{tmp_path}/") for r in files.list_files(spark, path).collect())
     assert names(f"file:{tmp_path}/?/*/page.md") == ["1/5/page.md", "2/6/page.md"] and names(f"{tmp_path}/1/*") == ["1/5/5.md", "1/5/page.md"]
     assert names(f"{tmp_path}/1/5/5.md") == ["1/5/5.md"]
+    assets = files.read_assets(spark, f"{tmp_path}/1")
+    assert {(r.length, bytes(r.content)) for r in assets.collect()} == {(3, b"new"), (3, b"old")} and not [f for f in assets.inputFiles() if f.endswith(".md")]
