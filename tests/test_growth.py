@@ -61,3 +61,11 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert names(f"{tmp_path}/1/5/5.md") == ["1/5/5.md"]
     assets = files.read_assets(spark, f"{tmp_path}/1")
     assert {(r.length, bytes(r.content)) for r in assets.collect()} == {(3, b"new"), (3, b"old")} and not [f for f in assets.inputFiles() if f.endswith(".md")]
+
+
+def test_artifacts_lie_in_a_file_per_page(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3 or None, i) for i in range(30)], "page_id long, n int").repartition(5)
+    path = files.write_artifacts(rows, "kind", str(tmp_path))
+    assert sorted(f.parent.name for f in tmp_path.rglob("*.txt")) == ["page=1", "page=2", "page=__HIVE_DEFAULT_PARTITION__"]
+    got = files.read_artifacts(spark, path)
+    assert sorted(r.value for r in got.collect()) == sorted(r.value for r in files.artifacts(rows, []).collect()) and not [f for f in got.inputFiles() if f.endswith(".txt")]
