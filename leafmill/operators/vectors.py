@@ -238,7 +238,53 @@ def embed(chunks: DataFrame, fn: Callable[[pd.Series], list]) -> DataFrame:
     return chunks.withColumn("embedding", run(F.coalesce("text", F.lit(""))))
 
 
-def lsh_candidates(queries: DataFrame, vectors: DataFrame, distance: float, tables: int = 6, width: float | None = None) -> DataFrame:
+@F.pandas_udf("array<long>")
+def _bucket_numbers(rows: pd.Series) -> pd.Series:
+    """The bucket in each table; none for vectors that aren't finite, which nothing is near."""
+    numbers = rows.map(lambda hs: [h["values"][0] for h in hs])
+    return numbers.map(lambda ns: [int(n) for n in ns] if np.isfinite(ns).all() else [])
+
+
+def _within(distance: float):
+    """For a block of queries and one of vectors of a bucket: the pairs at less than the distance whose first common bucket this is."""
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if queries.num_rows and vectors.num_rows:
+            table = queries.column("t")[0].as_py()
+            (q, v), (qk, vk) = ([np.stack(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for t in (queries, vectors)] for c in ("embedding", "keys"))
+            square = (v * v).sum(axis=1)
+            for at in range(0, len(q), 128):
+                some = q[at : at + 128]
+                rough = (some * some).sum(axis=1)[:, None] + square - 2 * (some @ v.T)
+                i, j = np.nonzero(rough < distance * distance * (1 + 1e-9) + 1e-9 * (1 + square.max()))
+                for k in range(0, len(i), 100_000):  # exactly, for the pairs that may be near
+                    x, y = at + i[k : k + 100_000], j[k : k + 100_000]
+                    far = np.sqrt(((q[x] - v[y]) ** 2).sum(axis=1))
+                    first = (far < distance) & ~(qk[x, :table] == vk[y, :table]).any(axis=1)
+                    out.append((x[first], y[first], far[first]))
+        x, y, far = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
+        take = lambda t, rows: t.column("id").take(pa.array(rows.astype(np.int64)))
+        return pa.table({"query_id": take(queries, x), "chunk_id": take(vectors, y), "distance": pa.array(far, pa.float64())})
+
+    return run
+
+
+def _near(asked: DataFrame, held: DataFrame, distance: float, query_block: int, vector_block: int) -> DataFrame:
+    """Pairs of asked and held(id, embedding, keys) that share a bucket of a table. A bucket's rows are dealt into blocks, and each pair of
+    blocks is a task's; what is shuffled are vectors and never pairs."""
+    blocks = lambda size: F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")
+    asked, held = (df.select("id", "embedding", "keys", F.posexplode("keys").alias("t", "bucket")) for df in (asked, held))
+    sizes = asked.groupBy("t", "bucket").agg(blocks(query_block).alias("qs")).join(held.groupBy("t", "bucket").agg(blocks(vector_block).alias("vs")), ["t", "bucket"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, ["t", "bucket"]).select("id", "embedding", "keys", "t", "bucket", own("qs").alias("qb"), every("vs").alias("vb"))
+    right = held.join(sizes, ["t", "bucket"]).select("id", "embedding", "keys", "t", "bucket", every("qs").alias("qb"), own("vs").alias("vb"))
+    by, kinds = ["t", "bucket", "qb", "vb"], (dict(asked.dtypes)["id"], dict(held.dtypes)["id"])
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_within(distance), f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")
+
+
+def lsh_candidates(queries: DataFrame, vectors: DataFrame, distance: float, tables: int = 6, width: float | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, chunk_id, distance) of pairs within a Euclidean distance, for two large sides: the pairs that share a bucket of one table.
 
     width: length of a bucket along a random direction; by default twice the distance over the root of the dimension, which a pair at the
@@ -251,8 +297,9 @@ def lsh_candidates(queries: DataFrame, vectors: DataFrame, distance: float, tabl
         width = 2 * distance / max(first[0] if first else 1, 1) ** 0.5
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=5)
     a, b = (df.where("embedding is not null").withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))) for df in (queries.select("query_id", "embedding"), vectors.select("chunk_id", "embedding")))
-    pairs = model.fit(b).approxSimilarityJoin(a, b, distance, "distance")
-    return pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), "distance")
+    found = model.fit(b)
+    hashed = lambda df, ident: kept(found.transform(df).select(F.col(ident).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), _bucket_numbers("h").alias("keys")))
+    return _near(hashed(a, "query_id"), hashed(b, "chunk_id"), distance, query_block, vector_block)
 
 
 def upsert_vectors(new: DataFrame, old: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -1,5 +1,9 @@
 """Steps whose time or traffic must not grow faster than their input."""
 
+import numpy as np
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+
 from leafmill.operators import chunks, markup, vectors
 from leafmill.sources import files
 
@@ -69,3 +73,16 @@ def test_artifacts_lie_in_a_file_per_page(spark, tmp_path):
     assert sorted(f.parent.name for f in tmp_path.rglob("*.txt")) == ["page=1", "page=2", "page=__HIVE_DEFAULT_PARTITION__"]
     got = files.read_artifacts(spark, path)
     assert sorted(r.value for r in got.collect()) == sorted(r.value for r in files.artifacts(rows, []).collect()) and not [f for f in got.inputFiles() if f.endswith(".txt")]
+
+
+def test_bucket_pairs_by_blocks_are_those_of_the_join(spark):
+    rng = np.random.default_rng(3)
+    v = [(f"v{i}", x.tolist()) for i, x in enumerate(rng.normal(size=(300, 4)))] + [("nan", [float("nan")] * 4), ("none", None)]
+    held = spark.createDataFrame(v, "chunk_id string, embedding array<double>")
+    asked = held.where("chunk_id like 'v%0' or chunk_id = 'nan'").withColumnRenamed("chunk_id", "query_id")
+    got = vectors.lsh_candidates(asked, held, 1.0, tables=3, width=0.5, query_block=7, vector_block=40)
+    vec = lambda df: df.where("embedding is not null").withColumn("v", array_to_vector("embedding"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=5).fit(vec(held))
+    want = model.approxSimilarityJoin(vec(asked), vec(held), 1.0, "distance").select("datasetA.query_id", "datasetB.chunk_id", "distance")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.distance, 9)) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 300
