@@ -12,6 +12,7 @@ from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Norm
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from leafmill.operators.common import kept
 
@@ -238,7 +239,7 @@ def embed(chunks: DataFrame, fn: Callable[[pd.Series], list]) -> DataFrame:
     return chunks.withColumn("embedding", run(F.coalesce("text", F.lit(""))))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def _bucket_numbers(rows: pd.Series) -> pd.Series:
     """The bucket in each table; none for vectors that aren't finite, which nothing is near."""
     numbers = rows.map(lambda hs: [h["values"][0] for h in hs])
