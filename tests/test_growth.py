@@ -67,6 +67,24 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert {(r.length, bytes(r.content)) for r in assets.collect()} == {(3, b"new"), (3, b"old")} and not [f for f in assets.inputFiles() if f.endswith(".md")]
 
 
+def test_reading_assets_needs_no_task_per_folder(spark, tmp_path):
+    def tasks(n):
+        for i in range(n):
+            (tmp_path / f"{n}/{i}/assets").mkdir(parents=True)
+            (tmp_path / f"{n}/{i}/assets/f.png").write_text("x")
+        spark.sparkContext.setJobGroup(f"assets-{n}", "")
+        try:
+            assert files.read_assets(spark, str(tmp_path / str(n))).count() == n
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        seen = spark.sparkContext.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup(f"assets-{n}") for s in seen.getJobInfo(j).stageIds}
+        return sum(found.numTasks for s in stages if (found := seen.getStageInfo(s)))
+
+    few, many = tasks(40), tasks(400)  # what a task sends to the driver has a bound, so their number says how that grows
+    assert 0 < few and many - few < 60
+
+
 def test_artifacts_lie_in_a_file_per_page(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3 or None, i) for i in range(30)], "page_id long, n int").repartition(5)
     path = files.write_artifacts(rows, "kind", str(tmp_path))
