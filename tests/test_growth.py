@@ -1,10 +1,14 @@
 """Steps whose time or traffic must not grow faster than their input."""
 
+import os
+
 import numpy as np
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from leafmill.operators import chunks, markup, vectors
+from leafmill.operators.common import shared_dir
 from leafmill.sources import files
 
 
@@ -12,6 +16,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def checkpoints(spark):
+    return shared_dir(spark).removeprefix("file:")
+
+
 def test_outlines_are_made_before_any_shuffle(spark):
     html = "<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table></p><P x='1'>c<br><1a>d</1a><![CDATA[e]]><!-- f --></p>"
     toks = markup.tokens(spark.createDataFrame([(1, html), (2, None), (3, "x")], "page_id long, html string"))
@@ -104,3 +112,26 @@ def test_bucket_pairs_by_blocks_are_those_of_the_join(spark):
     want = model.approxSimilarityJoin(vec(asked), vec(held), 1.0, "distance").select("datasetA.query_id", "datasetB.chunk_id", "distance")
     rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.distance, 9)) for r in df.collect())
     assert rows(got) == rows(want) and len(rows(got)) > 100
+
+
+def test_pages_are_rendered_where_they_lie(spark):
+    html = '<p>a <b> b </b></p><table><tr><td>c</td><td>d</td></tr></table><table><tr><td colspan="2">e</td></tr><tr><td>f</td><td>g</td></tr></table><ul><li>h</li></ul>'
+    df = spark.createDataFrame([(i, "T", html) for i in range(20)], "page_id long, title string, html string")
+    before = set(os.listdir(checkpoints(spark)))
+    md = markup.markdown(df)
+    assert {r.md for r in md.collect()} == {"# T\n\na **b**\n\n| c | d |\n| --- | --- |\n\n[TABLE:table-1](assets/tables/table-1.json)\n\n- h"}
+    assert "Exchange" not in plan(md) and "Join" not in plan(md) and set(os.listdir(checkpoints(spark))) == before
+    blocks = markup.render_blocks(markup.tokens(df))
+    assert blocks.count() == 80 and plan(blocks).count("Exchange hashpartitioning") == 1
+
+
+def test_blocks_of_tokens_are_those_of_pages(spark):
+    odd = [
+        '<!-- x --><p>a<!-- y -->b &lt;i&gt;</p>text<hr/><br><![CDATA[c]]>', "<TD>1<td>2</tr></table>", "<table><tr><td>a<tr><td>b</td></tr></table><p>c</p>", "</b>", "<", "<1a>x</1a>",
+        '<ac:structured-macro ac:name="code"><p>a</p>b<br/>c</ac:structured-macro>', "<div><code>a<p>b</p></code></div>", "<b>" * 50 + "x" + "</b>" * 50, None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").withColumn("title", F.lit(None).cast("string"))
+    rows = markup.render_blocks(markup.tokens(df)).orderBy("page_id", "block").collect()
+    got = {i: "\n\n".join(r.text for r in rows if r.page_id == i) for i in range(len(odd))}
+    assert {r.page_id: r.md for r in markup.markdown(df).collect()} == got
+    assert (got[0], got[2], got[6], got[7]) == ("ab <i>\n\n---", "[TABLE:table-1](assets/tables/table-1.json)", "```\na b  c\n```", "`a b`") and [(r.block, r.tag) for r in rows if r.page_id == 0] == [(1, "p"), (7, "hr")]
